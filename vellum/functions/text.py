@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # Leading or trailing whitespace in the Unicode sense, as Python's str.strip().
 _EDGE_WS = r"(?U)^\s+|\s+$"
-# Runs of letters and of non-letters; title case capitalises each letter run.
-_LETTER_RUNS = r"(\p{L}+|\P{L}+)"
+# Runs of cased letters (Lu, Ll, Lt) and of everything else; as in Python,
+# a cased letter after any uncased character starts a new word.
+_LETTER_RUNS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
 
 
 def strip_whitespace(c: Column) -> Column:
