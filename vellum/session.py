@@ -40,6 +40,7 @@ def get_session(master: str | None = None, app: str = "vellum",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    quiet_query_context_log()
     checkpoint_dir(spark)
     return spark
 
@@ -59,3 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="vellum-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def quiet_query_context_log() -> None:
+    """Analysis errors that operators catch on purpose (a bad rule or KPI
+    becomes a status row) are otherwise logged with a full JVM trace."""
+    import logging
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)

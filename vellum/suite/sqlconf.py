@@ -65,7 +65,7 @@ def sql5(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 
 
-BANDS = "(VALUES (1, 0.0, 500.0), (2, 500.0, 1000.0), (3, 1000.0, 1500.0), (4, 1500.0, 2000.0), (5, 2000.0, 1e9))"
+BANDS = "(VALUES (1, 0.0, 920.0), (2, 920.0, 940.0), (3, 940.0, 960.0), (4, 960.0, 980.0), (5, 980.0, 1e9))"
 
 same("sql6_range_join", f"""
 SELECT band, count(*) AS parts, min(p_retailprice) AS lowest FROM part
@@ -160,7 +160,7 @@ SELECT * FROM yearly""", rounds={"best": 2, "worst": 2})
 
 same("sql22_functions", """
 SELECT p_partkey,
-  CASE WHEN p_retailprice < 1000 THEN 'low' WHEN p_retailprice < 1500 THEN 'mid' ELSE 'high' END AS band,
+  CASE WHEN p_retailprice < 930 THEN 'low' WHEN p_retailprice < 960 THEN 'mid' ELSE 'high' END AS band,
   upper(p_brand) AS brand, substr(p_name, 1, 5) AS prefix, length(p_name) AS name_len,
   abs(p_retailprice - 1000.0) AS dist, round(sqrt(p_size), 9) AS root, round(ln(p_retailprice), 9) AS lnp,
   p_size % 7 AS size_mod
