@@ -5,7 +5,9 @@ A query is registered with ``@query(name, sql=..., views=..., rounds=...)``.
 ``views`` lists the derived views (``vellum.sources.tables.VIEWS``) the
 oracle needs inlined; ``rounds`` maps floating columns to the number of
 decimals both sides are rounded to, because sums run in a different
-order on the two engines.
+order on the two engines; ``"f"`` casts to FLOAT instead (binary
+rounding, for model outputs whose exact values often sit on a decimal
+tie that the two engines break differently).
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ class Query:
         tables.register(spark, sf_dir)
         df = self.build(spark, sf_dir)
         if self.rounds:
-            df = df.select(*[F.round(F.col(f"`{c}`"), self.rounds[c]).alias(c) if c in self.rounds
+            df = df.select(*[_round(F.col(f"`{c}`"), self.rounds[c]).alias(c) if c in self.rounds
                              else F.col(f"`{c}`") for c in df.columns])
         return df
 
@@ -42,10 +44,15 @@ class Query:
         body = tables.with_views(self.sql, *self.views)
         if not self.rounds:
             return body
-        repl = ", ".join(f'round("{c}", {d}) AS "{c}"' for c, d in self.rounds.items())
+        repl = ", ".join((f'CAST("{c}" AS FLOAT) AS "{c}"' if d == "f" else f'round("{c}", {d}) AS "{c}"')
+                         for c, d in self.rounds.items())
         return f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) AS _q"
 
 
+def _round(c, digits):
+    return c.cast("float") if digits == "f" else F.round(c, digits)
+
+
 REGISTRY: dict[str, Query] = {}
 
 
