@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.common import col
+from vellum.operators.quantiles import exact_quantiles
 
 log = logging.getLogger(__name__)
 
@@ -40,8 +41,7 @@ def kpi_expression(logic: str, exact: bool = True) -> Column:
             return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
         if fn == "mean":
             return F.avg(x.cast("double"))
-        return (F.median(x.cast("double")) if exact
-                else F.percentile_approx(x.cast("double"), 0.5, 100000).cast("double"))
+        return F.percentile_approx(x.cast("double"), 0.5, 100000).cast("double") if not exact else None
     return F.expr(text).cast("double")
 
 
@@ -59,6 +59,9 @@ def calculate_kpis(df: DataFrame, kpis: list[dict]) -> DataFrame:
                 e = sql_kpi(spark, logic)
             else:
                 e = kpi_expression(logic)
+                if e is None:  # exact median: distributed selection, then a value
+                    c = _SIMPLE.match(logic.strip()).group(2)
+                    e = F.lit(exact_quantiles(df, [c], [0.5])[c][0]).cast("double")
                 df.agg(e).schema  # resolve now: bad logic becomes a null value
         except Exception as err:  # noqa: BLE001 - any failure is a null KPI, as in the reference
             log.warning("Failed to calculate KPI '%s': %s", name, str(err).splitlines()[0])

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from vellum.functions.numeric import is_datetime_type, is_numeric_type, is_string_type, nan_to_null
 from vellum.operators.common import col
+from vellum.operators.quantiles import exact_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -57,12 +58,21 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column."""
+    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column.
+
+    Exact quartiles come from ``exact_quantiles`` (a few counting passes,
+    bounded memory per task) and enter the one statistics aggregation as
+    values; ``exact=False`` folds ``percentile_approx`` into that aggregation."""
+    cols = numeric_columns(df)
+    exact_q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], median_mean=False) if exact and cols else {}
     structs = {}
-    for c in numeric_columns(df):
+    for c in cols:
         x = _num(df, c)
-        qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        q = F.percentile(x, qs) if exact else F.percentile_approx(x, qs, 100000).cast("array<double>")
+        if exact:
+            q = [F.lit(v).cast("double") for v in exact_q[c]]
+        else:
+            a = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000).cast("array<double>")
+            q = [a[0], a[1], a[2]]
         structs[c] = F.struct(F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"),
                               F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
                               q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max"))

@@ -65,7 +65,7 @@ def query(name: str, sql: str | None = None, views=(), rounds=None):
     return deco
 
 
-MODULES = ("cleaning", "transforms", "features", "quality", "profiling", "relations",
+MODULES = ("cleaning", "transforms", "features", "quality", "profiling", "relations", "joins",
            "sqlconf", "kpis", "anomalies", "timeseries", "charts", "segments",
            "documents", "sources", "streams", "jobs", "udfs")
 
