@@ -51,12 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register every base table and derived view as a temp view."""
+def register(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
+    """Register every base table and derived view as a temp view (once per
+    session and folder: reading a parquet schema runs a small job per table)."""
+    key = "vellum.registered.dir"
+    if not force and spark.conf.get(key, None) == sf_dir and all(spark.catalog.tableExists(v) for v in VIEWS):
+        return
     for name in TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     for name, sql in VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
+    spark.conf.set(key, sf_dir)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
