@@ -87,3 +87,16 @@ def test_segments_invariants(spark):
     assert seg.silhouette > 0.5
     with pytest.raises(ValueError):
         segments.find_segments(df, ["a"], 1)
+
+
+def test_grouped_exact_quantiles_hot_and_normal_groups(spark):
+    import numpy as np
+    from vellum.operators.quantiles import grouped_exact_quantiles
+    rows = [("hot", float((i * 7919) % 1000)) for i in range(3000)] + [("a", float(i)) for i in range(10)] + \
+           [(None, 5.0), (None, 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = {r.g: (r.q0, r.q1) for r in grouped_exact_quantiles(df, "g", "v", [0.5, 0.9], hot_rows=100).collect()}
+    for key in ("hot", "a", None):
+        vals = [v for g, v in rows if g == key]
+        assert out[key][0] == np.median(vals)
+        assert out[key][1] == pytest.approx(np.percentile(vals, 90))

@@ -38,6 +38,7 @@ class _Bracket:
     below: int            # rows of the column with value < lo
     inside: int           # rows with lo <= value <= hi
     ranks: set = field(default_factory=set)
+    where: object = None  # optional row condition (a group of a grouped quantile)
 
 
 def _values(df: DataFrame, columns: list[str]):
@@ -59,9 +60,14 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 def order_statistics(df: DataFrame, columns: list[str], ranks: dict[int, set], counts: list[int],
                      mins: list, maxs: list, bins: int = 1024, fetch_limit: int = 1024,
-                     max_rounds: int = 16) -> dict[tuple[int, int], float]:
-    """Values at the given 0-based ranks of each column: {(column, rank): value}."""
+                     max_rounds: int = 16, wheres: list | None = None) -> dict[tuple[int, int], float]:
+    """Values at the given 0-based ranks of each column: {(column, rank): value}.
+
+    ``columns`` may repeat a column with a different row condition in
+    ``wheres`` (one entry per column slot), which is how groups are handled."""
     xs = _values(df, columns)
+    if wheres:
+        xs = [x if w is None else F.when(w, x) for x, w in zip(xs, wheres)]
     found: dict[tuple[int, int], float] = {}
     open_ = [_Bracket(i, mins[i], maxs[i], 0, counts[i], set(rs)) for i, rs in ranks.items() if rs and counts[i]]
     for rnd in range(max_rounds + 1):
@@ -149,3 +155,51 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], median_m
                 vals.append(_lerp(a, b, pos - math.floor(pos)))
         out[c] = vals
     return out
+
+
+def _interpolate(found, i, n, qs, median_mean):
+    vals = []
+    for q in qs:
+        pos = (n - 1) * q
+        a, b = found[(i, math.floor(pos))], found[(i, math.ceil(pos))]
+        if q == 0.5 and median_mean and math.floor(pos) != math.ceil(pos):
+            vals.append((a + b) / 2)
+        else:
+            vals.append(_lerp(a, b, pos - math.floor(pos)))
+    return vals
+
+
+def grouped_exact_quantiles(df: DataFrame, group: str, column: str, qs: list[float], hot_rows: int = 2_000_000,
+                            median_mean: bool = True, **kw) -> DataFrame:
+    """``group, q0, q1, ...``: exact per-group quantiles that stay skew-safe.
+
+    Groups with at most ``hot_rows`` values use Spark's ``percentile`` (its
+    buffer holds at most that many values, in the task that owns the group);
+    the few larger groups - at most rows / ``hot_rows`` of them - are solved
+    by the counting selection above, all of them in the same passes."""
+    x = _values(df, [column])[0]
+    g = col(group)
+    sizes = df.groupBy(g.alias("_g")).agg(F.count(x).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    hot = sizes.filter(F.col("_n") > hot_rows).collect()
+    names = [f"q{i}" for i in range(len(qs))]
+    arr = F.percentile(x, F.array(*[F.lit(float(q)) for q in qs]))
+    normal = df
+    if hot:
+        keys = df.sparkSession.createDataFrame([(r["_g"],) for r in hot], df.select(g.alias("_g")).schema)
+        normal = df.join(F.broadcast(keys), g.eqNullSafe(F.col("_g")), "left_anti")
+    small = normal.groupBy(g.alias(group)).agg(arr.alias("_q"))
+    small = small.select(group, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    if not hot:
+        return small
+    wheres = [g.eqNullSafe(F.lit(r["_g"])) for r in hot]
+    ranks = {}
+    for i, r in enumerate(hot):
+        n = r["_n"]
+        ranks[i] = {v for q in qs for v in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}
+    found = order_statistics(df, [column] * len(hot), ranks, [r["_n"] for r in hot], [r["_lo"] for r in hot],
+                             [r["_hi"] for r in hot], wheres=wheres, **kw)
+    rows = [(r["_g"], *_interpolate(found, i, r["_n"], qs, median_mean)) for i, r in enumerate(hot)]
+    schema = df.select(g.alias(group)).schema.add("_tmp", "double")
+    fields = [schema[group]] + [T.StructField(n, T.DoubleType()) for n in names]
+    big = df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    return small.unionByName(big)
