@@ -10,7 +10,8 @@ reference's solvers (which are single-machine maximum-likelihood fits):
   interval +-1.2816 residual std (80 %);
 * ``ar_diff`` (for ARIMA(1,1,1)): AR(1) with intercept on first
   differences, forecast by the recursion d_h = c + phi d_(h-1),
-  interval +-1.2816 sigma sqrt(h);
+  interval +-1.2816 sigma sqrt(h); ``seasonal_ar`` (for SARIMA): the same
+  on differences at the seasonal lag;
 * ``simple``: mean, last value or seasonal naive.
 
 They are not numerically equal to Prophet / statsmodels fits.
@@ -207,6 +208,43 @@ def ar_diff(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds
     return hist.join(fut, [*keys, ds], "full")
 
 
+def seasonal_ar(df: DataFrame, periods: int, season: int = 12, freq: str = "D", keys=(), ds: str = "ds",
+                y: str = "y") -> DataFrame:
+    """Seasonal re-aim of the SARIMA call: difference at lag ``season``
+    (D_t = y_t - y_(t-season)), fit AR(1) with intercept on D, and forecast
+    y_(T+h) = y_(T+h-season) + D_h, carrying the last ``season`` values (a
+    bounded buffer per series) through the recursion. Same output shape as
+    ``ar_diff``."""
+    w = Window.partitionBy(*keys).orderBy(ds) if keys else Window.orderBy(ds)
+    d = df.withColumn("_d", F.col(y) - F.lag(y, season).over(w))
+    d = d.withColumn("_dl", F.lag("_d").over(w))
+    last = Window.partitionBy(*keys).orderBy(F.col(ds).desc()) if keys else Window.orderBy(F.col(ds).desc())
+    tail = (d.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= season)
+            .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ds).alias("t"), F.col(y).alias("v")))),
+                                            lambda e: e["v"]).alias("_buf")))
+    fit = d.groupBy(*keys).agg(F.regr_slope("_d", "_dl").alias("_phi"), F.regr_intercept("_d", "_dl").alias("_c"),
+                               F.max_by("_d", ds).alias("_dT"))
+    fit = fit.join(tail, list(keys)) if keys else _with_row(fit, tail)
+    res = d.join(fit, list(keys)) if keys else _with_row(d, fit)
+    sig = (res.withColumn("_e", F.col("_d") - (F.col("_c") + F.col("_phi") * F.col("_dl")))
+           .groupBy(*keys).agg(F.stddev_samp("_e").alias("_sigma")))
+    fut = future(df, periods, freq, keys, ds)
+    fut = fut.join(fit, list(keys)) if keys else _with_row(fut, fit)
+    fut = fut.join(sig, list(keys)) if keys else _with_row(fut, sig)
+    init = F.struct(F.col("_dT").alias("d"), F.col("_buf").alias("buf"))
+
+    def step(acc, _):
+        dn = F.col("_c") + F.col("_phi") * acc["d"]
+        yn = F.element_at(acc["buf"], 1) + dn
+        return F.struct(dn.alias("d"), F.concat(F.slice(acc["buf"], 2, season - 1), F.array(yn)).alias("buf"))
+
+    fc = F.element_at(F.aggregate(F.sequence(F.lit(1), F.col("h")), init, step)["buf"], -1)
+    band = Z80 * F.col("_sigma") * F.sqrt(F.col("h").cast("double"))
+    fut = fut.select(*keys, ds, fc.alias("forecast"), (fc - band).alias("lower"), (fc + band).alias("upper"))
+    hist = df.select(*keys, ds, F.col(y).alias("history"))
+    return hist.join(fut, [*keys, ds], "full")
+
+
 def simple(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds", y: str = "y",
            method: str = "mean", season: int = 7) -> DataFrame:
     """``keys..., ds, forecast`` for the future steps: mean, last value or seasonal naive."""
@@ -241,6 +279,8 @@ def generate_forecast(df: DataFrame, time_col: str, target_col: str, periods: in
     grid = fill_gaps(asfreq(series, freq, keys), keys)
     if model_name == "prophet":
         return trend_weekly(grid, periods, freq, keys)
-    if model_name in ("arima", "sarima"):
+    if model_name == "arima":
         return ar_diff(grid, periods, freq, keys)
+    if model_name == "sarima":
+        return seasonal_ar(grid, periods, 12, freq, keys)
     return simple(grid, periods, freq, keys)

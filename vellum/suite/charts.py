@@ -155,3 +155,13 @@ def sg2(spark, sf):
         s = c.select(F.stddev_pop(src)).scalar()
         out = out.withColumn(name, (F.col(src) - m) / s)
     return out.select("c_custkey", "z_acctbal", "z_nation")
+
+
+@query("sg7_silhouette_by_k")
+def sg7(spark, sf):
+    """Silhouette (squared Euclidean) for k = 2..4: the data to choose k with."""
+    rows = []
+    for k in (2, 3, 4):
+        seg = segments.find_segments(spark.table("customer"), SEG_FEATURES, k, with_pca=False, with_silhouette=True)
+        rows.append((k, float(seg.silhouette)))
+    return spark.createDataFrame(rows, "k int, silhouette double")

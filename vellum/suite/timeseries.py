@@ -238,3 +238,61 @@ def ts10(spark, sf):
     "events_daily_gaps", "events_daily_gaps"), views=["events_daily_gaps"])
 def ts7g(spark, sf):
     return ts.generate_forecast(spark.table("events_daily_gaps"), "ds", "y", periods=7, model_name="prophet")
+
+
+SEASONAL_SQL = """
+WITH RECURSIVE s AS (SELECT ds, y FROM events_daily),
+d AS (SELECT ds, y, y - lag(y, 7) OVER (ORDER BY ds) AS d FROM s),
+dl AS (SELECT ds, y, d, lag(d) OVER (ORDER BY ds) AS dl FROM d),
+tail AS (SELECT list(y ORDER BY ds) AS buf FROM (SELECT ds, y FROM s ORDER BY ds DESC LIMIT 7)),
+fit AS (SELECT regr_slope(d, dl) AS phi, regr_intercept(d, dl) AS c, arg_max(d, ds) AS dT, max(ds) AS last FROM dl),
+sig AS (SELECT stddev_samp(d - (c + phi * dl)) AS sigma FROM dl, fit),
+rec(h, dd, buf) AS (SELECT 0, dT, (SELECT buf FROM tail) FROM fit
+                    UNION ALL SELECT h + 1, c + phi * dd, list_append(buf[2:], buf[1] + (c + phi * dd)) FROM rec, fit WHERE h < 10),
+fut AS (SELECT CAST(last + INTERVAL (h) DAY AS DATE) AS ds, buf[7] AS forecast,
+               buf[7] - 1.2816 * sigma * sqrt(h) AS lower, buf[7] + 1.2816 * sigma * sqrt(h) AS upper
+        FROM rec, fit, sig WHERE h >= 1)
+SELECT coalesce(s.ds, fut.ds) AS ds, s.y AS history, forecast, lower, upper
+FROM s FULL OUTER JOIN fut ON s.ds = fut.ds"""
+
+
+@query("ts8_seasonal_ar_forecast", views=["events_daily"],
+       rounds={"history": 6, "forecast": "f", "lower": "f", "upper": "f"}, sql=SEASONAL_SQL)
+def ts8s(spark, sf):
+    out = ts.seasonal_ar(spark.table("events_daily").select("ds", "y"), 10, season=7)
+    return out.select("ds", "history", "forecast", "lower", "upper")
+
+
+SEASONAL_USER_SQL = f"""
+WITH RECURSIVE u AS ({USER_DAILY}),
+g AS (SELECT user_id, CAST(d AS DATE) AS ds FROM (SELECT user_id, min(ds) AS lo, max(ds) AS hi FROM u GROUP BY user_id),
+      LATERAL generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY) AS t(d)),
+a AS (SELECT g.user_id, g.ds, u.y FROM g LEFT JOIN u ON g.user_id = u.user_id AND g.ds = u.ds),
+s AS (SELECT user_id, ds, coalesce(
+        last_value(y IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(y IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y
+      FROM a),
+d AS (SELECT user_id, ds, y, y - lag(y, 7) OVER (PARTITION BY user_id ORDER BY ds) AS d FROM s),
+dl AS (SELECT user_id, ds, y, d, lag(d) OVER (PARTITION BY user_id ORDER BY ds) AS dl FROM d),
+tail AS (SELECT user_id, list(y ORDER BY ds) AS buf FROM (
+           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ds DESC) AS k FROM s) WHERE k <= 7 GROUP BY user_id),
+fit AS (SELECT user_id, regr_slope(d, dl) AS phi, regr_intercept(d, dl) AS c, arg_max(d, ds) AS dT, max(ds) AS last
+        FROM dl GROUP BY user_id),
+sig AS (SELECT dl.user_id, stddev_samp(d - (c + phi * dl)) AS sigma FROM dl JOIN fit ON dl.user_id = fit.user_id
+        GROUP BY dl.user_id),
+rec(user_id, h, dd, buf) AS (
+  SELECT fit.user_id, 0, dT, buf FROM fit JOIN tail ON fit.user_id = tail.user_id
+  UNION ALL SELECT rec.user_id, h + 1, c + phi * dd, list_append(buf[2:], buf[1] + (c + phi * dd))
+  FROM rec JOIN fit ON rec.user_id = fit.user_id WHERE h < 7),
+fut AS (SELECT rec.user_id, CAST(last + INTERVAL (h) DAY AS DATE) AS ds, buf[len(buf)] AS forecast,
+               buf[len(buf)] - 1.2816 * sigma * sqrt(h) AS lower, buf[len(buf)] + 1.2816 * sigma * sqrt(h) AS upper
+        FROM rec JOIN fit ON rec.user_id = fit.user_id JOIN sig ON rec.user_id = sig.user_id WHERE h >= 1)
+SELECT coalesce(s.user_id, fut.user_id) AS user_id, coalesce(s.ds, fut.ds) AS ds, s.y AS history, forecast, lower, upper
+FROM s FULL OUTER JOIN fut ON s.user_id = fut.user_id AND s.ds = fut.ds"""
+
+
+@query("ts8_seasonal_ar_per_user", sql=SEASONAL_USER_SQL,
+       rounds={"history": 6, "forecast": "f", "lower": "f", "upper": "f"})
+def ts8u(spark, sf):
+    series = ts.fill_gaps(ts.asfreq(spark.sql(USER_DAILY), "D", keys=["user_id"]), keys=["user_id"])
+    return ts.seasonal_ar(series, 7, season=7, keys=["user_id"])
