@@ -82,3 +82,10 @@ def test_relationships(spark):
     assert [(r.source1, r.column1, r.source2, r.column2) for r in rel] == [("documents", "doc_id", "labels", "doc_id")]
     c = relations.containment({"documents": a, "labels": b}, [("documents", "doc_id", "labels", "doc_id")]).first()
     assert c.containment == 1.0
+
+
+def test_bad_custom_sql_is_an_error_row(spark, sample):
+    rules = [{"rule_name": "bad", "rule_type": "custom_sql", "rule_parameters": {"condition": "nope > 1"}},
+             {"rule_name": "ok", "rule_type": "custom_sql", "rule_parameters": {"condition": "col_c > 15"}}]
+    r = _by_name(quality.run_quality_checks(sample, rules))
+    assert r["bad"].status == "error" and r["ok"].violation_count == 2
