@@ -100,3 +100,11 @@ def test_grouped_exact_quantiles_hot_and_normal_groups(spark):
         vals = [v for g, v in rows if g == key]
         assert out[key][0] == np.median(vals)
         assert out[key][1] == pytest.approx(np.percentile(vals, 90))
+
+
+def test_trend_change_fires_on_a_jump(spark):
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(i % 3)) for i in range(40)]
+    rows.append((dt.datetime(2024, 1, 3), 500.0))  # newest point jumps
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    out = anomalies.trend_change(df, "ts", bucket_rows=7).collect()
+    assert len(out) == 1 and "increase" in out[0].details and out[0].column_name == "v"

@@ -125,3 +125,9 @@ def an3(spark, sf):
     now = spark.table("events")
     before = now.filter(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     return anomalies.snapshot_drift(now, before)
+
+
+@query("an4_findings_table", views=["events_nulls"], rounds={"mean": 6}, sql=_z_sql("events_nulls", list(EV_NUM), EV_NUM)
+       + "\nUNION ALL\nSELECT * FROM (" + _trend_sql("events_nulls", "event_id", "ts, event_id") + ")")
+def an4(spark, sf):
+    return anomalies.find_anomalies(spark.table("events_nulls"), time_column="ts", tie_breaker=["event_id"])
