@@ -108,3 +108,15 @@ def test_trend_change_fires_on_a_jump(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
     out = anomalies.trend_change(df, "ts", bucket_rows=7).collect()
     assert len(out) == 1 and "increase" in out[0].details and out[0].column_name == "v"
+
+
+def test_per_key_rolling_index_equals_window(spark):
+    rows = [(k, i, float((i * 13 + k) % 7)) for k in range(4) for i in range(30 if k else 120)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    a = ordered.rolling(df, "v", ["i"], 5, partition_by=["k"], bucket_rows=11).orderBy("k", "i").collect()
+    b = ordered.rolling(df, "v", ["i"], 5, partition_by=["k"], strategy="window").orderBy("k", "i").collect()
+    for x, y in zip(a, b):
+        assert (x.v_rolling_mean is None) == (y.v_rolling_mean is None)
+        assert (x.v_rolling_mean_diff is None) == (y.v_rolling_mean_diff is None)
+        if y.v_rolling_mean_diff is not None:
+            assert x.v_rolling_mean_diff == pytest.approx(y.v_rolling_mean_diff)

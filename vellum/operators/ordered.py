@@ -56,33 +56,54 @@ def halo_buckets(indexed: DataFrame, halo: int, idx: str = "idx", bucket_rows: i
 
 
 def rolling(df: DataFrame, value: str, order_cols: list, window: int = 5, partition_by: list | None = None,
-            out: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+            out: str | None = None, bucket_rows: int = BUCKET_ROWS, strategy: str = "index") -> DataFrame:
     """Rolling mean over ``window`` rows (null until the frame holds ``window``
     non-null values, as pandas ``rolling(window).mean()``) and its first
-    difference ``{out}_diff``.
+    difference ``{out}_diff``, per ``partition_by`` key when given.
 
-    With ``partition_by`` each key is its own window; without it the
-    global order is handled by ``with_global_index`` + ``halo_buckets``.
-    """
+    ``strategy="index"`` (default) sorts by (keys, order) with range
+    partitioning, so a hot key is spread over many tasks, and runs the window
+    per halo bucket; a frame or lag that would cross into another key is
+    null, which is exactly the per-key result. ``strategy="window"`` uses one
+    window per key (one task per key)."""
     out = out or f"{value}_rolling_mean"
     x = F.col(value).cast("double")
-
-    def frame_cols(w):
+    keys = list(partition_by or [])
+    if strategy == "window" and keys:
+        w = Window.partitionBy(*keys).orderBy(*order_cols)
         wr = w.rowsBetween(-(window - 1), 0)
-        rm = F.when(F.count(x).over(wr) == window, F.avg(x).over(wr))
-        return rm
-
-    if partition_by:
-        w = Window.partitionBy(*partition_by).orderBy(*order_cols)
-        res = df.withColumn(out, frame_cols(w))
+        res = df.withColumn(out, F.when(F.count(x).over(wr) == window, F.avg(x).over(wr)))
         return res.withColumn(f"{out}_diff", F.col(out) - F.lag(out, 1).over(w))
-    indexed = with_global_index(df, order_cols)
+    indexed = with_global_index(df, keys + list(order_cols))
     hb = halo_buckets(indexed, window, bucket_rows=bucket_rows)
     w = Window.partitionBy("_bucket").orderBy("idx")
-    res = hb.withColumn(out, frame_cols(w))
-    res = res.withColumn(f"{out}_diff", F.col(out) - F.lag(out, 1).over(w))
+    wr = w.rowsBetween(-(window - 1), 0)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.lag(F.col(k), window - 1).over(w).eqNullSafe(F.col(k))
+    res = hb.withColumn(out, F.when((F.count(x).over(wr) == window) & same, F.avg(x).over(wr)))
+    prev_same = F.lit(True)
+    for k in keys:
+        prev_same = prev_same & F.lag(F.col(k), 1).over(w).eqNullSafe(F.col(k))
+    res = res.withColumn(f"{out}_diff", F.when(prev_same, F.col(out) - F.lag(out, 1).over(w)))
     return res.filter(~F.col("_halo")).drop("_bucket", "_halo")
 
 
+def previous_in_key(df: DataFrame, columns: list[str], order_cols: list, keys: list | None = None,
+                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``prev_<c>`` for each column: the value on the previous row of the same
+    key in order (null on a key's first row), skew-safe as ``rolling``."""
+    keys = list(keys or [])
+    indexed = with_global_index(df, keys + list(order_cols))
+    hb = halo_buckets(indexed, 1, bucket_rows=bucket_rows)
+    w = Window.partitionBy("_bucket").orderBy("idx")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.lag(F.col(k), 1).over(w).eqNullSafe(F.col(k))
+    for c in columns:
+        hb = hb.withColumn(f"prev_{c}", F.when(same, F.lag(F.col(c), 1).over(w)))
+    return hb.filter(~F.col("_halo")).drop("_bucket", "_halo")
+
+
 def lag_col(c: str, n: int, w) -> Column:
     return F.lag(c, n).over(w)

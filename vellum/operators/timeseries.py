@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.numeric import to_number, to_timestamp
+from vellum.operators import ordered
 from vellum.operators.common import col
 
 Z80 = 1.2816
@@ -54,10 +55,12 @@ def _seconds(c: Column) -> Column:
 def infer_freq(df: DataFrame, keys=(), ds: str = "ds") -> DataFrame:
     """``keys..., freq``: D/h/min/s or W-SUN (constant step), MS / M (month starts /
     ends one month apart), else null. Needs at least 3 timestamps per series."""
-    w = Window.partitionBy(*keys).orderBy(ds) if keys else Window.orderBy(ds)
-    step = _seconds(F.col(ds)) - _seconds(F.lag(ds).over(w))
-    months = (F.year(ds) * 12 + F.month(ds)) - F.lag(F.year(ds) * 12 + F.month(ds)).over(w)
-    steps = df.select(*keys, F.col(ds), step.alias("step"), months.alias("months"))
+    # previous timestamp of the same series without a per-series window (skew-safe)
+    prev = ordered.previous_in_key(df.select(*keys, ds), [ds], [ds], list(keys))
+    p = F.col(f"prev_{ds}")
+    step = _seconds(F.col(ds)) - _seconds(p)
+    months = (F.year(ds) * 12 + F.month(ds)) - (F.year(p) * 12 + F.month(p))
+    steps = prev.select(*keys, F.col(ds), step.alias("step"), months.alias("months"))
     g = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("step").alias("lo"), F.max("step").alias("hi"),
         F.min("months").alias("mlo"), F.max("months").alias("mhi"),
