@@ -43,6 +43,23 @@ def norm(v):
     return v
 
 
+def spark_type(dt) -> str:
+    from pyspark.sql import types as T
+    m = {T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.FloatType: "FLOAT",
+         T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampNTZType: "TIMESTAMP",
+         T.TimestampType: "TIMESTAMP WITH TIME ZONE", T.ShortType: "SMALLINT", T.ByteType: "TINYINT"}
+    for k, v in m.items():
+        if isinstance(dt, k):
+            return v
+    if isinstance(dt, T.DecimalType):
+        return f"DECIMAL({dt.precision},{dt.scale})"
+    if isinstance(dt, T.ArrayType):
+        return spark_type(dt.elementType) + "[]"
+    if isinstance(dt, T.MapType):
+        return f"MAP({spark_type(dt.keyType)}, {spark_type(dt.valueType)})"
+    return dt.simpleString().upper()
+
+
 def rowkey(r):
     return tuple((type(x).__name__, repr(x)) for x in r)
 
@@ -99,6 +116,12 @@ def main():
             bad += 1
             print(f"{name:40s} DUCK-ERROR {str(e)[:300]}")
             continue
+        if os.environ.get("CHECK_TYPES"):
+            st = {f.name: spark_type(f.dataType) for f in sdf.schema.fields}
+            dtypes = {d[0]: str(d[1]) for d in res.description}
+            diff = {c: (st[c], dtypes.get(c)) for c in st if st[c] != dtypes.get(c)}
+            if diff:
+                print(f"{name:40s} TYPES {diff}")
         if sorted(scols) != sorted(dcols):
             bad += 1
             print(f"{name:40s} COLS spark={scols} duck={dcols}")

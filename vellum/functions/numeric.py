@@ -58,21 +58,24 @@ def to_number(c: Column, dt: T.DataType | None = None) -> Column:
 
 def to_timestamp(c: Column, formats: list[str] | None = None,
                  dt: T.DataType | None = None, unit: str | None = None) -> Column:
-    """``pd.to_datetime(errors='coerce')`` with an explicit list of formats.
-
-    Numbers are rejected unless ``unit`` ('s', 'ms', 'us') is given.
+    """``pd.to_datetime(errors='coerce')`` with an explicit list of formats, as
+    a naive timestamp (TIMESTAMP_NTZ, like pandas' datetime64); text is read
+    as wall-clock time. Numbers are rejected unless ``unit`` ('s', 'ms', 'us')
+    is given (epoch time, UTC).
     """
+    if dt is not None and isinstance(dt, T.TimestampType):
+        return c
     if dt is not None and is_datetime_type(dt):
-        return c.cast("timestamp")
+        return c.cast("timestamp_ntz")
     if dt is not None and is_numeric_type(dt):
         if unit is None:
-            return F.lit(None).cast("timestamp")
+            return F.lit(None).cast("timestamp_ntz")
         fn = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros}[unit]
-        return fn(c.cast("long"))
+        return fn(c.cast("long")).cast("timestamp_ntz")  # wall clock of the (UTC) session time zone
     s = c.cast("string")
     if not formats:
-        return F.try_to_timestamp(s)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+        return F.try_to_timestamp(s).cast("timestamp_ntz")
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -26,7 +26,8 @@ def _violations(spark):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("rule_id", "source", "rule_name", "status", "violation_count", "check_timestamp")
+    return out.select("rule_id", "source", "rule_name", "status", "violation_count",
+                      F.col("check_timestamp").cast("timestamp_ntz").alias("check_timestamp"))
 
 
 def _rules_df(spark):

@@ -15,7 +15,8 @@ from vellum.suite.kpis import KPIS, _kpi_rows_sql
 from vellum.suite.quality import LI_RULES, oracle_rules
 
 
-@query("src1_csv_scan", sql="SELECT * FROM customer")
+@query("src1_csv_scan", sql="""
+SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def src1(spark, sf):
     path = sinks.scratch_path(spark, "csv")
     spark.table("customer").write.option("header", "true").csv(path)

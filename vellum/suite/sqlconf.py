@@ -103,8 +103,8 @@ def sql12(spark, sf):
 
 
 @query("sql13_ranking", sql="""
-SELECT o_orderkey, o_custkey,
-  row_number() OVER w AS rn, rank() OVER w AS rnk, dense_rank() OVER w AS drnk, ntile(4) OVER w AS quartile
+SELECT o_orderkey, o_custkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER w AS INTEGER) AS rnk,
+  CAST(dense_rank() OVER w AS INTEGER) AS drnk, CAST(ntile(4) OVER w AS INTEGER) AS quartile
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""")
 def sql13(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
@@ -161,7 +161,7 @@ SELECT * FROM yearly""", rounds={"best": 2, "worst": 2})
 same("sql22_functions", """
 SELECT p_partkey,
   CASE WHEN p_retailprice < 930 THEN 'low' WHEN p_retailprice < 960 THEN 'mid' ELSE 'high' END AS band,
-  upper(p_brand) AS brand, substr(p_name, 1, 5) AS prefix, length(p_name) AS name_len,
+  upper(p_brand) AS brand, substr(p_name, 1, 5) AS prefix, CAST(length(p_name) AS INT) AS name_len,
   abs(p_retailprice - 1000.0) AS dist, round(sqrt(p_size), 9) AS root, round(ln(p_retailprice), 9) AS lnp,
   p_size % 7 AS size_mod
 FROM part""")

@@ -174,7 +174,8 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def _onehot_sql(values):
-    return ", ".join(f"CASE WHEN c_mktsegment = '{v}' THEN 1.0 ELSE 0.0 END AS \"c_mktsegment_{v}\"" for v in values)
+    return ", ".join(f"CAST(CASE WHEN c_mktsegment = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS \"c_mktsegment_{v}\""
+                     for v in values)
 
 
 @query("fe7_one_hot", sql=f"SELECT c_custkey, c_name, c_nationkey, c_acctbal, {_onehot_sql(SEGMENTS)} FROM customer")
@@ -190,9 +191,9 @@ def fe7d(spark, sf):
 
 @query("fe7_one_hot_nulls", views=["orders_nulls"], sql="""
 SELECT o_orderkey, """ + ", ".join(
-    f"CASE WHEN o_orderpriority = '{v}' THEN 1.0 ELSE 0.0 END AS \"o_orderpriority_{v}\""
+    f"CAST(CASE WHEN o_orderpriority = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS \"o_orderpriority_{v}\""
     for v in ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]) + """,
-  CASE WHEN o_orderpriority IS NULL THEN 1.0 ELSE 0.0 END AS o_orderpriority_nan FROM orders_nulls""")
+  CAST(CASE WHEN o_orderpriority IS NULL THEN 1 ELSE 0 END AS DOUBLE) AS o_orderpriority_nan FROM orders_nulls""")
 def fe7n(spark, sf):
     df = spark.table("orders_nulls").select("o_orderkey", "o_orderpriority")
     return features.categorical_encoding(df, ["o_orderpriority"])
