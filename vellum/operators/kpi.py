@@ -23,15 +23,22 @@ log = logging.getLogger(__name__)
 _SIMPLE = re.compile(r"^\s*(count_unique|sum|mean|median)\s*'([^']+)'")
 
 
+def median_column(logic: str) -> str | None:
+    """The column of a ``median 'c'`` KPI, else None."""
+    m = _SIMPLE.match((logic or "").strip())
+    return m.group(2) if m and m.group(1).lower() == "median" else None
+
+
 def kpi_expression(logic: str, exact: bool = True) -> Column:
     """Aggregate Column for a KPI's logic: ``count``, ``count_unique 'c'``,
-    ``sum 'c'``, ``mean 'c'``, ``median 'c'``, else a SQL aggregate expression."""
+    ``sum 'c'``, ``mean 'c'``, ``median 'c'`` (approximate here; the exact
+    median is computed by ``calculate_kpis``), else a SQL aggregate expression."""
     text = (logic or "").strip()
     if not text:
         raise ValueError("No calculation logic defined.")
     if text.lower() == "count":
         return F.count(F.lit(1)).cast("double")
-    m = _SIMPLE.match(text.lower()) and _SIMPLE.match(text)
+    m = _SIMPLE.match(text)
     if m:
         fn, c = m.group(1).lower(), m.group(2)
         x = col(c)
@@ -41,11 +48,11 @@ def kpi_expression(logic: str, exact: bool = True) -> Column:
             return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
         if fn == "mean":
             return F.avg(x.cast("double"))
-        return F.percentile_approx(x.cast("double"), 0.5, 100000).cast("double") if not exact else None
+        return F.percentile_approx(x.cast("double"), 0.5, 100000).cast("double")
     return F.expr(text).cast("double")
 
 
-def calculate_kpis(df: DataFrame, kpis: list[dict]) -> DataFrame:
+def calculate_kpis(df: DataFrame, kpis: list[dict], exact: bool = True) -> DataFrame:
     """``name, value`` for every KPI definition (dicts with ``name``,
     ``calculation_logic`` and optional ``calculation_type`` = 'sql')."""
     spark = df.sparkSession
@@ -57,11 +64,13 @@ def calculate_kpis(df: DataFrame, kpis: list[dict]) -> DataFrame:
         try:
             if ctype == "sql":
                 e = sql_kpi(spark, logic)
+            elif median_column(logic) and exact:
+                c = median_column(logic)
+                df.select(col(c)).schema  # an unknown column is a null KPI, not an abort
+                # exact median by distributed selection, then a value
+                e = F.lit(exact_quantiles(df, [c], [0.5])[c][0]).cast("double")
             else:
                 e = kpi_expression(logic)
-                if e is None:  # exact median: distributed selection, then a value
-                    c = _SIMPLE.match(logic.strip()).group(2)
-                    e = F.lit(exact_quantiles(df, [c], [0.5])[c][0]).cast("double")
                 df.agg(e).schema  # resolve now: bad logic becomes a null value
         except Exception as err:  # noqa: BLE001 - any failure is a null KPI, as in the reference
             log.warning("Failed to calculate KPI '%s': %s", name, str(err).splitlines()[0])
