@@ -51,3 +51,14 @@ def test_document_filters(spark):
     assert g.total == 25
     with pytest.raises(ValueError):
         docs.aggregate(df, [{"$group": {"_id": "$t", "all": {"$push": "$v"}}}])
+
+
+def test_safe_get(spark):
+    from pyspark.sql import functions as F
+    from vellum.functions.nested import safe_get
+    df = spark.createDataFrame([({"a": 1}, [1.0, 2.0], '{"x": {"y": 5}}', {"k": "v"})],
+                               "s struct<a:int>, arr array<double>, j string, m map<string,string>")
+    r = df.select(safe_get(df, ["s", "a"]), safe_get(df, ["s", "zz"], 7), safe_get(df, ["arr", 5], 0.0),
+                  safe_get(df, ["j", "x", "y"], 0), safe_get(df, ["m", "k"]), safe_get(df, ["m", "q"], "d"),
+                  safe_get(df, ["nope"], "z")).first()
+    assert tuple(r) == (1, 7, 0.0, 5, "v", "d", "z")

@@ -18,7 +18,7 @@ Instead:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.session import checkpoint_dir
@@ -103,7 +103,3 @@ def previous_in_key(df: DataFrame, columns: list[str], order_cols: list, keys: l
     for c in columns:
         hb = hb.withColumn(f"prev_{c}", F.when(same, F.lag(F.col(c), 1).over(w)))
     return hb.filter(~F.col("_halo")).drop("_bucket", "_halo")
-
-
-def lag_col(c: str, n: int, w) -> Column:
-    return F.lag(c, n).over(w)

@@ -66,3 +66,27 @@ def src10(spark, sf):
     path = scratch_path(spark, "docs-json")
     _coll(spark).write.json(path)
     return json_schema(spark, path)
+
+
+@query("sf8_safe_get", sql="""
+SELECT event_id AS _id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS k, user_id AS uid,
+       'anon' AS name, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k_text, -1 AS missing_key
+FROM events""")
+def sf8(spark, sf):
+    from vellum.functions.nested import safe_get
+    coll = _coll(spark).withColumn("props_text", F.to_json("props"))
+    return coll.select("_id", safe_get(coll, ["props", "k"], -1).alias("k"), safe_get(coll, ["user", "id"]).alias("uid"),
+                       safe_get(coll, ["user", "name"], "anon").alias("name"),
+                       safe_get(coll, ["props_text", "k"], 0).alias("k_text"),
+                       safe_get(coll, ["props", "nope"], -1).alias("missing_key"))
+
+
+@query("sf8_safe_get_arrays", sql="""
+SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last,
+       CAST(0.0 AS DOUBLE) AS beyond FROM embeddings""")
+def sf8a(spark, sf):
+    from vellum.functions.nested import safe_get
+    e = spark.table("embeddings")
+    return e.select("vec_id", safe_get(e, ["embedding", 0]).cast("double").alias("first"),
+                    safe_get(e, ["embedding", -1]).cast("double").alias("last"),
+                    safe_get(e, ["embedding", 10_000], 0.0).cast("double").alias("beyond"))
