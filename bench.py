@@ -41,7 +41,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = get_session(master=f"local[{cpus}]", app="vellum-bench", shuffle_partitions=int(cpus) * 2,
-                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "4g")})
     reg = load_all()
     timings = {}
     for name in names:

@@ -24,6 +24,7 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,7 +35,7 @@ def get_session(master: str | None = None, app: str = "vellum",
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf.setdefault("spark.driver.memory", "8g")
+    conf.setdefault("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "4g"))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
