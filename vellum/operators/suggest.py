@@ -148,35 +148,42 @@ def suggest_features(df: DataFrame, max_categories: int = 200) -> DataFrame:
     L = F.lit
     d0, n0, n1, c0 = F.col("d")[0], F.col("num")[0], F.col("num")[1], F.col("cat")[0]
     nn = F.size("num")
-    props = [
-        F.when(F.size("d") > 0, F.struct(
+    has_date, two_nums, one_num, has_cat = F.size("d") > 0, nn >= 2, nn >= 1, F.size("cat") > 0
+    conds = [has_date, two_nums, one_num & has_cat, one_num, has_cat, two_nums]
+    rows_ = [
+        F.struct(
             L("date_extraction").alias("step_type"),
             m(L("column"), d0, L("components"), L('["year", "month", "dayofweek", "hour"]')).alias("params"),
             L("Feature Suggestion").alias("issue"),
             F.format_string("Extract time components from '%s'.", d0).alias("details"),
-            L("Temporal patterns are often predictive or cyclical.").alias("rationale"))),
-        F.when(nn >= 2, F.struct(
+            L("Temporal patterns are often predictive or cyclical.").alias("rationale")),
+        F.struct(
             L("numeric_interaction"), m(L("column1"), n0, L("column2"), n1, L("operation"), L("multiply")),
             L("Feature Suggestion"), F.format_string("Create interaction: '%s' * '%s'.", n0, n1),
-            L("May capture synergistic effects."))),
-        F.when((nn >= 1) & (F.size("cat") > 0), F.struct(
+            L("May capture synergistic effects.")),
+        F.struct(
             L("grouped_aggregation"), m(L("group_by_column"), c0, L("agg_column"), n0, L("agg_func"), L("mean")),
             L("Feature Suggestion"), F.format_string("Aggregate '%s' grouped by '%s'.", n0, c0),
-            L("Captures group-level behavior."))),
-        F.when(nn >= 1, F.struct(
+            L("Captures group-level behavior.")),
+        F.struct(
             L("binning"), m(L("column"), n0, L("bins"), L("5"), L("strategy"), L("quantile")),
             L("Feature Suggestion"), F.format_string("Discretize '%s' into bins.", n0),
-            L("Can capture non-linear relationships."))),
-        F.when(F.size("cat") > 0, F.struct(
+            L("Can capture non-linear relationships.")),
+        F.struct(
             L("categorical_encoding"), m(L("columns"), F.to_json(F.col("cat")), L("method"), L("one-hot")),
             L("Feature Suggestion"), F.format_string("Encode categorical: '%s'.", c0),
-            L("Needed for many ML models."))),
-        F.when(nn >= 2, F.struct(
+            L("Needed for many ML models.")),
+        F.struct(
             L("polynomial_features"), m(L("columns"), F.to_json(F.col("num")), L("degree"), L("2")),
             L("Feature Suggestion"),
             F.format_string("Generate polynomial features (degree 2) for %d column(s).", nn),
-            L("Capture non-linear interactions between numeric features."))),
+            L("Capture non-linear interactions between numeric features.")),
     ]
+    props = [F.when(c, r) for c, r in zip(conds, rows_)]
+    nothing = ~(has_date | two_nums | one_num | has_cat)
+    props.append(F.when(nothing, F.struct(
+        L("No Suggestions"), F.create_map().cast("map<string,string>"), L("Feature Suggestion"),
+        L("Could not generate suggestions."), L(None).cast("string"))))
     names = [f.name for f in SUGGESTION_SCHEMA.fields]
     rows = s.select(F.explode(F.array(*[p.cast(
         T.StructType([T.StructField(n, SUGGESTION_SCHEMA[n].dataType) for n in names])) for p in props])).alias("x"))
