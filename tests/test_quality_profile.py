@@ -89,3 +89,23 @@ def test_bad_custom_sql_is_an_error_row(spark, sample):
              {"rule_name": "ok", "rule_type": "custom_sql", "rule_parameters": {"condition": "col_c > 15"}}]
     r = _by_name(quality.run_quality_checks(sample, rules))
     assert r["bad"].status == "error" and r["ok"].violation_count == 2
+
+
+def test_long_enum_list_uses_anti_join(spark, monkeypatch):
+    df = spark.createDataFrame([("a",), ("b",), ("z",), (None,), ("z",)], "c string")
+    rule = [{"rule_name": "e", "rule_type": "enum_values", "column_name": "c", "rule_parameters": {"allowed": ["a", "b"]}}]
+    short = quality.run_quality_checks(df, rule).first()
+    monkeypatch.setattr(quality, "ENUM_JOIN_THRESHOLD", 1)
+    long = quality.run_quality_checks(df, rule).first()
+    assert (short.violation_count, short.sample_failures) == (long.violation_count, long.sample_failures) == (2, ["z"])
+    good, bad = quality.split(df, rule)
+    assert good.count() == 3 and [r.failed_rules for r in bad.collect()] == [["e"], ["e"]]
+
+
+def test_one_hot_vectors(spark):
+    from vellum.operators import features
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "c string, k int")
+    out = features.categorical_encoding(df, ["c"], method="one-hot-vector")
+    assert out.columns == ["k", "c_vec"]
+    rows = {r.k: r.c_vec.toArray().tolist() for r in out.collect()}
+    assert rows[2] == [1.0, 0.0, 0.0] and rows[1] == [0.0, 1.0, 0.0] and rows[3] == [0.0, 0.0, 1.0]

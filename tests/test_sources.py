@@ -62,3 +62,14 @@ def test_safe_get(spark):
                   safe_get(df, ["j", "x", "y"], 0), safe_get(df, ["m", "k"]), safe_get(df, ["m", "q"], "d"),
                   safe_get(df, ["nope"], "z")).first()
     assert tuple(r) == (1, 7, 0.0, 5, "v", "d", "z")
+
+
+def test_document_filter_pushdown(spark, tmp_path):
+    p = str(tmp_path / "docs.parquet")
+    spark.createDataFrame([(1, "a", 5), (2, "b", 50)], "_id int, t string, v int").write.parquet(p)
+    df = spark.read.parquet(p)
+    out = docs.find(df, {"v": {"$gt": 10}, "t": {"$in": ["a", "b"]}})
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,10)" in plan and "In(t" in plan
+    assert sorted(r["t"] for r in docs.find(df, {"$nor": [{"v": {"$gt": 10}}, {"t": "zz"}]}).collect()) == ["a"]

@@ -85,14 +85,17 @@ def _condition(field: str, cond) -> Column:
         elif op == "$regex":
             parts.append(c.rlike(v))
         elif op == "$not":
-            parts.append(~F.coalesce(_condition(field, v), F.lit(False)))
+            parts.append(~F.coalesce(_condition(field, v), F.lit(False)))  # null does not match -> $not matches
         else:
             raise ValueError(f"Unsupported query operator: {op}")
     return reduce(lambda a, b: a & b, parts)
 
 
 def filter_column(spec: dict | None) -> Column:
-    """Column predicate for a filter document (null comparisons count as no match)."""
+    """Column predicate for a filter document. A comparison with a null is
+    null, which a filter drops exactly like false, so plain comparisons stay
+    bare and are pushed down to the scan; only under a negation ($nor, $not)
+    is null first turned into "no match"."""
     if not spec:
         return F.lit(True)
     parts = []
@@ -102,9 +105,9 @@ def filter_column(spec: dict | None) -> Column:
         elif k == "$or":
             parts.append(reduce(lambda a, b: a | b, [filter_column(x) for x in v]))
         elif k == "$nor":
-            parts.append(~reduce(lambda a, b: a | b, [filter_column(x) for x in v]))
+            parts.append(~reduce(lambda a, b: a | b, [F.coalesce(filter_column(x), F.lit(False)) for x in v]))
         else:
-            parts.append(F.coalesce(_condition(k, v), F.lit(False)))
+            parts.append(_condition(k, v))
     return reduce(lambda a, b: a & b, parts)
 
 

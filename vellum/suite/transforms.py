@@ -218,3 +218,14 @@ SELECT p_partkey, CAST(p_size AS DOUBLE) * p_retailprice AS "p_size p_retailpric
 def fe8i(spark, sf):
     df = spark.table("part").select("p_partkey", "p_size", "p_retailprice")
     return features.polynomial_features(df, ["p_size", "p_retailprice"], 2, interaction_only=True)
+
+
+@query("fe7_one_hot_vector", sql="""
+SELECT c_custkey, list_transform(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', NULL],
+       lambda v: CAST(CASE WHEN v IS NULL THEN c_mktsegment IS NULL ELSE c_mktsegment = v END AS DOUBLE)) AS c_mktsegment_vec
+FROM customer""")
+def fe7v(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    df = spark.table("customer").select("c_custkey", "c_mktsegment")
+    out = features.categorical_encoding(df, ["c_mktsegment"], method="one-hot-vector")
+    return out.select("c_custkey", vector_to_array("c_mktsegment_vec").alias("c_mktsegment_vec"))
