@@ -148,14 +148,13 @@ STATUS_RULES = [
 
 
 @query("dq9_status", sql="""
-SELECT CAST(NULL AS VARCHAR) AS source, * FROM (VALUES
+SELECT CAST(NULL AS VARCHAR) AS source, *, CAST(NULL AS VARCHAR[]) AS sample_failures FROM (VALUES
  ('no_type', NULL, 'l_quantity', 'skipped', 0, 'Missing rule_type.'),
  ('bad_column', 'not_null', 'nope', 'error', NULL, 'Error executing rule: Column ''nope'' not found in DataFrame.'),
  ('text_min', 'min_value', 'l_returnflag', 'error', NULL, 'Error executing rule: min_value rule requires numeric column.'),
  ('no_param', 'max_value', 'l_quantity', 'error', NULL, 'Error executing rule: ''max'' parameter required for max_value rule.'),
  ('unknown', 'fancy', 'l_quantity', 'error', NULL, 'Error executing rule: Unsupported rule type: fancy')
 ) AS t(rule_name, rule_type, column_name, status, violation_count, details)
-CROSS JOIN (SELECT CAST(NULL AS VARCHAR[]) AS sample_failures)
 UNION ALL
 SELECT NULL, 'disc_ok', 'max_value', 'l_discount', CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END,
        n, CASE WHEN n > 0 THEN 'failed' ELSE 'Rule ''max_value'' passed.' END, NULL
