@@ -120,3 +120,11 @@ def test_per_key_rolling_index_equals_window(spark):
         assert (x.v_rolling_mean_diff is None) == (y.v_rolling_mean_diff is None)
         if y.v_rolling_mean_diff is not None:
             assert x.v_rolling_mean_diff == pytest.approx(y.v_rolling_mean_diff)
+
+
+def test_generate_forecast_infers_frequency(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, m, 1), float(m)) for m in range(1, 13)], "ts timestamp_ntz, v double")
+    out = timeseries.generate_forecast(df, "ts", "v", periods=2, model_name="simple")
+    assert [r.ds for r in out.orderBy("ds").collect()] == [dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1)]
+    with pytest.raises(ValueError):
+        timeseries.generate_forecast(df.limit(2), "ts", "v", periods=2, model_name="simple")

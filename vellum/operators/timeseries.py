@@ -272,13 +272,24 @@ def per_series(df: DataFrame, keys: list, fn, schema) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
+def resolve_freq(series: DataFrame, keys=(), ds: str = "ds") -> str:
+    """The frequency shared by all series: inferred, else ``D``; a series with
+    fewer than 3 timestamps cannot be inferred (ValueError, as the reference).
+    Only the distinct inferred values reach the driver."""
+    found = (infer_freq(series, keys, ds).groupBy("freq").agg(F.min("points").alias("fewest")).collect())
+    if any(r["fewest"] < 3 for r in found):
+        raise ValueError("Frequency inference needs at least 3 timestamps per series.")
+    freqs = {r["freq"] for r in found}
+    return freqs.pop() if len(freqs) == 1 and None not in freqs else "D"
+
+
 def generate_forecast(df: DataFrame, time_col: str, target_col: str, periods: int = 30, freq: str | None = None,
                       model_name: str = "prophet", keys=()) -> DataFrame:
     if model_name not in MODELS:
         raise ValueError(f"Unsupported model: {model_name}. Choose one of {list(MODELS)}.")
     series = prepare(df, time_col, target_col, keys)
     if freq is None:
-        freq = "D"
+        freq = resolve_freq(series, keys)
     grid = fill_gaps(asfreq(series, freq, keys), keys)
     if model_name == "prophet":
         return trend_weekly(grid, periods, freq, keys)
