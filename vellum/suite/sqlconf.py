@@ -44,8 +44,8 @@ SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_orderdate < TIME
 RIGHT JOIN customer ON c_custkey = o_custkey""")
 
 same("sql3_full_join", """
-SELECT a.k AS left_key, b.k AS right_key FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey < 120) a
-FULL OUTER JOIN (SELECT s_suppkey + 50 AS k FROM supplier) b ON a.k = b.k""")
+SELECT a.k AS left_key, b.k AS right_key FROM (SELECT c_custkey AS k FROM customer) a
+FULL OUTER JOIN (SELECT s_suppkey + (SELECT max(c_custkey) FROM customer) - 10 AS k FROM supplier) b ON a.k = b.k""")
 
 
 @query("sql4_semi_join", sql="""
