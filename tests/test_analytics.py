@@ -35,7 +35,7 @@ def test_kpi_formatting_and_status(spark):
     df = spark.createDataFrame([(1234.5,), (None,), (0.125,)], "v double")
     got = [tuple(r) for r in df.select(kpi.format_value(F.col("v"), "currency"), kpi.format_value(F.col("v"), "percentage"),
                                        kpi.threshold_status(F.col("v"), 1000.0, 1.0)).collect()]
-    assert got[0] == ("$1,234.50", "123,450.00%", "above_upper")
+    assert got[0] == (f"${1234.5:,.2f}", f"{1234.5:.2%}", "above_upper")
     assert got[1] == ("N/A", "N/A", None)
     assert got[2][0] == f"${0.125:,.2f}" and got[2][2] == "below_lower"
 

@@ -138,8 +138,8 @@ def format_value(value: Column, value_type: str = "number", precision: int = 2,
     v = value.cast("double")
     if value_type == "currency":
         s = F.concat(F.when(v < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(v), precision))
-    elif value_type == "percentage":
-        s = F.concat(F.format_number(v * 100.0, precision), F.lit("%"))
+    elif value_type == "percentage":  # no thousands separator, as Python's '.2%'
+        s = F.concat(F.regexp_replace(F.format_number(v * 100.0, precision), ",", ""), F.lit("%"))
     elif value_type == "number":
         s = F.format_number(value.cast("long"), 0) if is_integer else F.format_number(v, precision)
     else:
