@@ -33,6 +33,8 @@ def test_kpis(spark):
 
 def test_kpi_formatting_and_status(spark):
     df = spark.createDataFrame([(1234.5,), (None,), (0.125,)], "v double")
+    neg = spark.createDataFrame([(-5.0,)], "v double").select(kpi.format_value(F.col("v"), "currency")).first()[0]
+    assert neg == f"${-5.0:,.2f}"
     got = [tuple(r) for r in df.select(kpi.format_value(F.col("v"), "currency"), kpi.format_value(F.col("v"), "percentage"),
                                        kpi.threshold_status(F.col("v"), 1000.0, 1.0)).collect()]
     assert got[0] == (f"${1234.5:,.2f}", f"{1234.5:.2%}", "above_upper")

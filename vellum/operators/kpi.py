@@ -137,7 +137,7 @@ def format_value(value: Column, value_type: str = "number", precision: int = 2,
     Rounding is half-to-even on the binary value, as Python's format."""
     v = value.cast("double")
     if value_type == "currency":
-        s = F.concat(F.when(v < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(v), precision))
+        s = F.concat(F.lit("$"), F.format_number(v, precision))  # "$-5.00" for negatives, as Python
     elif value_type == "percentage":  # no thousands separator, as Python's '.2%'
         s = F.concat(F.regexp_replace(F.format_number(v * 100.0, precision), ",", ""), F.lit("%"))
     elif value_type == "number":
