@@ -109,3 +109,10 @@ def test_one_hot_vectors(spark):
     assert out.columns == ["k", "c_vec"]
     rows = {r.k: r.c_vec.toArray().tolist() for r in out.collect()}
     assert rows[2] == [1.0, 0.0, 0.0] and rows[1] == [0.0, 1.0, 0.0] and rows[3] == [0.0, 0.0, 1.0]
+
+
+def test_profile_sample_is_repeatable(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    a = profile.profile(df, sample_rows=100)["overview"].first()
+    b = profile.profile(df, sample_rows=100)["overview"].first()
+    assert a.rows == 100 and a == b

@@ -40,3 +40,11 @@ def as_list(v) -> list:
 def replace_column(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Replace ``name`` in place, keeping the column order."""
     return df.select(*[expr.alias(c) if c == name else col(c) for c in df.columns])
+
+
+def seeded_sample(df: DataFrame, n: int, seed: int = 42, key: list | None = None) -> DataFrame:
+    """``n`` rows chosen by a seeded hash of ``key`` (all columns by default):
+    repeatable, and computed as a top-k (each partition keeps its n smallest
+    hashes), with no full sort and no driver round trip."""
+    cols = [col(c) for c in (key or df.columns)]
+    return df.withColumn("__h", F.xxhash64(F.lit(seed), *cols)).orderBy("__h").limit(n).drop("__h")

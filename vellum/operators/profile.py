@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.numeric import is_datetime_type, is_numeric_type, is_string_type, nan_to_null
-from vellum.operators.common import col
+from vellum.operators.common import col, seeded_sample
 from vellum.operators.quantiles import exact_quantiles
 
 
@@ -147,8 +147,13 @@ def semantic_types(df: DataFrame) -> DataFrame:
     return _long(df, structs)
 
 
-def profile(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
-    """All profile tables (lazy; each one aggregation)."""
+def profile(df: DataFrame, exact: bool = True, sample_rows: int | None = None) -> dict[str, DataFrame]:
+    """All profile tables (each one aggregation; describe needs a few counting
+    passes for exact quartiles). ``sample_rows`` profiles a seeded sample of
+    that many rows, as the reference does (10 000, seed 42); by default every
+    row is profiled."""
+    if sample_rows:
+        df = seeded_sample(df, sample_rows)
     return {
         "overview": overview(df),
         "numeric": describe_numeric(df, exact),

@@ -167,7 +167,10 @@ def _group(df: DataFrame, spec: dict) -> DataFrame:
     return g
 
 
-def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFrame] | None = None) -> DataFrame:
+def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFrame] | None = None,
+              drop_id: bool = True) -> DataFrame:
+    """Run the stages; as the reference, ``_id`` is dropped from the result
+    (which also drops a ``$group`` key) unless ``drop_id=False``."""
     out = df
     for stage in stages:
         (op, arg), = stage.items()
@@ -201,7 +204,7 @@ def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFram
             out = out.agg(F.count(F.lit(1)).alias(arg))
         else:
             raise ValueError(f"Unsupported pipeline stage: {op}")
-    return out
+    return out.drop("_id") if drop_id and "_id" in out.columns else out
 
 
 def as_documents(events: DataFrame) -> DataFrame:

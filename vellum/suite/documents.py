@@ -26,7 +26,8 @@ SELECT event_id AS _id, event_type AS type, CAST(json_extract_string(props, '$.k
 WHERE (CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90 OR event_type = 'signup') AND event_type NOT IN ('view')""")
 def src6p(spark, sf):
     q = {"$or": [{"props.k": {"$gte": 90}}, {"type": "signup"}], "type": {"$nin": ["view"]}}
-    return docs.aggregate(_coll(spark), [{"$match": q}, {"$project": {"_id": 1, "type": 1, "k": "$props.k"}}])
+    return docs.aggregate(_coll(spark), [{"$match": q}, {"$project": {"_id": 1, "type": 1, "k": "$props.k"}}],
+                          drop_id=False)
 
 
 @query("src7_aggregate_group", rounds={"total": 2, "avg_k": 6}, sql="""
@@ -36,7 +37,7 @@ def src7(spark, sf):
     return docs.aggregate(_coll(spark), [
         {"$match": {"value": {"$gte": 1}}},
         {"$group": {"_id": "$type", "total": {"$sum": "$value"}, "n": {"$count": {}}, "avg_k": {"$avg": "$props.k"}}},
-        {"$sort": {"total": -1}}, {"$limit": 3}])
+        {"$sort": {"total": -1}}, {"$limit": 3}], drop_id=False)
 
 
 @query("src7_aggregate_lookup", sql="""
@@ -47,7 +48,8 @@ def src7l(spark, sf):
         {"$match": {"type": "purchase"}},
         {"$addFields": {"uid": "$user.id"}},
         {"$lookup": {"from": "customer", "localField": "uid", "foreignField": "c_custkey", "as": "cust"}},
-        {"$project": {"_id": 1, "uid": 1, "cname": "$cust.c_name"}}], {"customer": spark.table("customer")})
+        {"$project": {"_id": 1, "uid": 1, "cname": "$cust.c_name"}}], {"customer": spark.table("customer")},
+        drop_id=False)
     return out
 
 
@@ -57,7 +59,7 @@ WHERE x > 0.25""")
 def src7u(spark, sf):
     coll = spark.table("embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("x"), "label")
     out = docs.aggregate(coll, [{"$match": {"label": 3}}, {"$unwind": "$x"}, {"$match": {"x": {"$gt": 0.25}}},
-                                {"$project": {"_id": 1, "x": 1}}])
+                                {"$project": {"_id": 1, "x": 1}}], drop_id=False)
     return out.withColumn("x", F.col("x").cast("double"))
 
 
@@ -90,3 +92,10 @@ def sf8a(spark, sf):
     return e.select("vec_id", safe_get(e, ["embedding", 0]).cast("double").alias("first"),
                     safe_get(e, ["embedding", -1]).cast("double").alias("last"),
                     safe_get(e, ["embedding", 10_000], 0.0).cast("double").alias("beyond"))
+
+
+@query("src7_aggregate_drops_id", rounds={"total": 2}, sql="""
+SELECT sum(value) AS total, count(*) AS n FROM events GROUP BY event_type""")
+def src7d(spark, sf):
+    """As the reference: the result loses ``_id`` (here the group key)."""
+    return docs.aggregate(_coll(spark), [{"$group": {"_id": "$type", "total": {"$sum": "$value"}, "n": {"$count": {}}}}])
