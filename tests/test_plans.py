@@ -1,6 +1,5 @@
 """Plan properties the scale design relies on (read from the physical plan)."""
 
-from pyspark.sql import functions as F
 
 from vellum.operators import clean, features, ordered, quality, suggest
 from vellum.plans.steps import run_steps

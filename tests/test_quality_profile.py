@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from vellum.operators import profile, quality, relations, suggest
 from vellum.sources.schema import schema_info

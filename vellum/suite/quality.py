@@ -1,6 +1,5 @@
 """Quality rules (DQ1-DQ13), alert rows (FLT4) and the all-sources job (JB1)."""
 
-from pyspark.sql import functions as F
 
 from vellum.operators import quality
 from vellum.operators.jobs import check_sources
