@@ -66,3 +66,23 @@ def catalog_rows(tables: dict[str, DataFrame], exact: bool = True, profiled_at=N
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def catalog_entries(tables: dict[str, DataFrame], source_type: str = "file", tags: dict | None = None,
+                    descriptions: dict | None = None, profiled_at=None) -> DataFrame:
+    """One catalog row per table: ``name, source_type, description, tags,
+    schema_cache MAP<column, type>, last_profiled_at, rows``. Schemas come from
+    metadata; the row count is one aggregation per table, unioned into one job."""
+    profiled_at = profiled_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    parts = []
+    for name, df in tables.items():
+        schema = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
+        tag_list = F.array(*[F.lit(t) for t in (tags or {}).get(name, [])]).cast("array<string>")
+        parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("name"), F.lit(source_type).alias("source_type"),
+            F.lit((descriptions or {}).get(name)).cast("string").alias("description"), tag_list.alias("tags"),
+            schema.alias("schema_cache"), F.lit(profiled_at).cast("timestamp").alias("last_profiled_at"), "rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -101,3 +101,12 @@ def snk4(spark, sf):
     rows = sinks.catalog_rows({"orders": spark.table("orders"), "region": spark.table("region")})
     sinks.append(rows, path, "run-1")
     return sinks.read_table(spark, path).select("name", "column_name", "null_share", "distinct_count")
+
+
+@query("snk4_catalog_entries")
+def snk4e(spark, sf):
+    path = sinks.scratch_path(spark, "catalog-entries")
+    rows = sinks.catalog_entries({t: spark.table(t) for t in ("orders", "lineitem", "events")},
+                                 tags={"events": ["stream", "clicks"]})
+    sinks.append(rows, path, "run-1")
+    return sinks.read_table(spark, path).select("name", "source_type", "tags", "schema_cache", "rows")
