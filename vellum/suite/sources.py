@@ -103,10 +103,14 @@ def snk4(spark, sf):
     return sinks.read_table(spark, path).select("name", "column_name", "null_share", "distinct_count")
 
 
-@query("snk4_catalog_entries")
+@query("snk4_catalog_entries", sql="""
+SELECT 'orders' AS name, 'file' AS source_type, CAST([] AS VARCHAR[]) AS tags, count(*) AS rows, 6 AS schema_columns FROM orders
+UNION ALL SELECT 'lineitem', 'file', CAST([] AS VARCHAR[]), count(*), 11 FROM lineitem
+UNION ALL SELECT 'events', 'file', ['stream', 'clicks'], count(*), 6 FROM events""")
 def snk4e(spark, sf):
     path = sinks.scratch_path(spark, "catalog-entries")
     rows = sinks.catalog_entries({t: spark.table(t) for t in ("orders", "lineitem", "events")},
                                  tags={"events": ["stream", "clicks"]})
     sinks.append(rows, path, "run-1")
-    return sinks.read_table(spark, path).select("name", "source_type", "tags", "schema_cache", "rows")
+    return sinks.read_table(spark, path).select("name", "source_type", "tags", "rows",
+                                                F.size("schema_cache").alias("schema_columns"))
