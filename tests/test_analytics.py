@@ -130,3 +130,20 @@ def test_generate_forecast_infers_frequency(spark):
     assert [r.ds for r in out.orderBy("ds").collect()] == [dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1)]
     with pytest.raises(ValueError):
         timeseries.generate_forecast(df.limit(2), "ts", "v", periods=2, model_name="simple")
+
+
+def test_quarter_and_year_grids(spark):
+    df = spark.createDataFrame([(dt.datetime(2023, 2, 10), 1.0), (dt.datetime(2024, 11, 3), 2.0)], "ds timestamp_ntz, y double")
+    qe = [r.ds for r in timeseries.asfreq(df, "Q").orderBy("ds").collect()]
+    assert qe[0] == dt.datetime(2023, 3, 31) and qe[-1] == dt.datetime(2024, 9, 30) and len(qe) == 7
+    ys = [r.ds for r in timeseries.asfreq(df, "YS").collect()]
+    assert ys == [dt.datetime(2024, 1, 1)]
+    fut = [r.ds for r in timeseries.future(df, 2, "QS").orderBy("ds").collect()]
+    assert fut == [dt.datetime(2025, 1, 1), dt.datetime(2025, 4, 1)]
+    ends = [r.ds for r in timeseries.future(df, 2, "Q").orderBy("ds").collect()]
+    assert ends == [dt.datetime(2024, 12, 31), dt.datetime(2025, 3, 31)]
+
+
+def test_target_achieved(spark):
+    df = spark.createDataFrame([(5.0,), (4.0,)], "v double")
+    assert [r[0] for r in df.select(kpi.target_achieved(F.col("v"), 5.0)).collect()] == [True, False]

@@ -130,6 +130,12 @@ def target_distance(value: Column, target: Column | float) -> Column:
     return F.try_divide(value - t, F.nullif(t, F.lit(0.0)))
 
 
+def target_achieved(value: Column, target: Column | float) -> Column:
+    """True when the value equals the target (null when either is missing)."""
+    t = target if isinstance(target, Column) else F.lit(target).cast("double")
+    return value.cast("double") == t
+
+
 def format_value(value: Column, value_type: str = "number", precision: int = 2,
                  is_integer: bool = False) -> Column:
     """Text of a value as the UI shows it: ``$1,234.50``, ``12.34%``,

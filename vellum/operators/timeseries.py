@@ -33,6 +33,11 @@ Z80 = 1.2816
 
 # Fixed frequency aliases understood by asfreq / future / infer_freq.
 STEP_SECONDS = {"D": 86400, "h": 3600, "H": 3600, "min": 60, "T": 60, "s": 1, "S": 1}
+# month-based aliases: (months per step, period unit, anchored at the period end)
+MONTH_FREQS = {"MS": (1, "month", False), "M": (1, "month", True), "ME": (1, "month", True),
+               "QS": (3, "quarter", False), "Q": (3, "quarter", True), "QE": (3, "quarter", True),
+               "YS": (12, "year", False), "AS": (12, "year", False), "Y": (12, "year", True),
+               "YE": (12, "year", True), "A": (12, "year", True)}
 MODELS = ("prophet", "arima", "sarima", "simple")
 
 
@@ -86,15 +91,13 @@ def _grid(start: Column, stop: Column, freq: str) -> Column:
         first_ts = F.to_timestamp_ntz(F.concat(first.cast("string"), F.lit(" "), F.date_format(start, "HH:mm:ss")))
         return F.filter(F.sequence(first_ts, F.greatest(first_ts, stop), F.expr("INTERVAL 7 DAYS")),
                         lambda x: x <= stop)
-    if freq == "MS":
-        first = F.when(F.dayofmonth(start) == 1, F.to_date(start)).otherwise(F.add_months(F.trunc(start, "month"), 1))
-        return F.transform(F.filter(F.sequence(first, F.greatest(first, F.to_date(stop)), F.expr("INTERVAL 1 MONTH")),
-                                    lambda x: x <= stop), lambda x: x.cast("timestamp_ntz"))
-    if freq in ("M", "ME"):
-        first = F.trunc(start, "month")
-        seq = F.sequence(first, F.greatest(first, F.to_date(stop)), F.expr("INTERVAL 1 MONTH"))
-        return F.filter(F.transform(seq, lambda x: F.last_day(x).cast("timestamp_ntz")),
-                        lambda x: (x >= start) & (x <= stop))
+    if freq in MONTH_FREQS:
+        months, unit, at_end = MONTH_FREQS[freq]
+        base = F.trunc(start, unit)
+        seq = F.sequence(base, F.greatest(base, F.to_date(stop)), F.expr(f"INTERVAL {months} MONTH"))
+        if at_end:
+            seq = F.transform(seq, lambda x: F.last_day(F.add_months(x, months - 1)))
+        return F.filter(F.transform(seq, lambda x: x.cast("timestamp_ntz")), lambda x: (x >= start) & (x <= stop))
     raise ValueError(f"Unsupported frequency '{freq}'")
 
 
@@ -129,10 +132,13 @@ def _step_expr(freq: str) -> Callable[[Column, Column], Column]:
         return lambda last, h: last + F.make_dt_interval(secs=h * STEP_SECONDS[freq])
     if freq in ("W", "W-SUN"):
         return lambda last, h: last + F.make_dt_interval(days=h * 7)
-    if freq == "MS":
-        return lambda last, h: F.add_months(last, h).cast("timestamp_ntz")
-    if freq in ("M", "ME"):
-        return lambda last, h: F.last_day(F.add_months(last, h)).cast("timestamp_ntz")
+    if freq in MONTH_FREQS:
+        # anchored at period boundaries: the h-th period start / end after ``last``
+        months, unit, at_end = MONTH_FREQS[freq]
+        if at_end:
+            return lambda last, h: F.last_day(F.add_months(F.trunc(last, unit), h * months + months - 1)) \
+                .cast("timestamp_ntz")
+        return lambda last, h: F.add_months(F.trunc(last, unit), h * months).cast("timestamp_ntz")
     raise ValueError(f"Unsupported frequency '{freq}'")
 
 

@@ -16,9 +16,14 @@ SCHEMA_INFO = T.StructType([
 ])
 
 
-def schema_info(spark: SparkSession, tables: dict[str, DataFrame], max_columns: int | None = None) -> DataFrame:
+def schema_info(spark: SparkSession, tables: dict[str, DataFrame], max_columns: int | None = None,
+                max_tables: int | None = None) -> DataFrame:
+    """``source, source_no, ordinal, column_name, type`` (the reference caps
+    listings at 10 tables and 25 columns; here the caps are optional)."""
     rows = []
     for s_no, (name, df) in enumerate(tables.items()):
+        if max_tables is not None and s_no >= max_tables:
+            break
         for i, f in enumerate(df.schema.fields):
             if max_columns is not None and i >= max_columns:
                 break
