@@ -136,8 +136,12 @@ def _step_expr(freq: str) -> Callable[[Column, Column], Column]:
         # anchored at period boundaries: the h-th period start / end after ``last``
         months, unit, at_end = MONTH_FREQS[freq]
         if at_end:
-            return lambda last, h: F.last_day(F.add_months(F.trunc(last, unit), h * months + months - 1)) \
-                .cast("timestamp_ntz")
+            def nth_end(last, h):
+                base = F.trunc(last, unit)
+                current_end = F.last_day(F.add_months(base, months - 1))
+                skip = F.when(current_end <= F.to_date(last), 1).otherwise(0)  # current period already ended
+                return F.last_day(F.add_months(base, months - 1 + (h - 1 + skip) * months)).cast("timestamp_ntz")
+            return nth_end
         return lambda last, h: F.add_months(F.trunc(last, unit), h * months).cast("timestamp_ntz")
     raise ValueError(f"Unsupported frequency '{freq}'")
 
