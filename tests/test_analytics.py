@@ -147,3 +147,10 @@ def test_quarter_and_year_grids(spark):
 def test_target_achieved(spark):
     df = spark.createDataFrame([(5.0,), (4.0,)], "v double")
     assert [r[0] for r in df.select(kpi.target_achieved(F.col("v"), 5.0)).collect()] == [True, False]
+
+
+def test_infer_quarter_and_year(spark):
+    q = spark.createDataFrame([(dt.datetime(2023, m, 1), 1.0) for m in (1, 4, 7, 10)], "ds timestamp_ntz, y double")
+    assert timeseries.infer_freq(q).first().freq == "QS"
+    y = spark.createDataFrame([(dt.datetime(yr, 12, 31), 1.0) for yr in (2020, 2021, 2022)], "ds timestamp_ntz, y double")
+    assert timeseries.infer_freq(y).first().freq == "Y"

@@ -58,8 +58,9 @@ def _seconds(c: Column) -> Column:
 
 
 def infer_freq(df: DataFrame, keys=(), ds: str = "ds") -> DataFrame:
-    """``keys..., freq``: D/h/min/s or W-SUN (constant step), MS / M (month starts /
-    ends one month apart), else null. Needs at least 3 timestamps per series."""
+    """``keys..., freq``: D/h/min/s or W-SUN (constant step), MS / M, QS / Q,
+    YS / Y (period starts / ends one period apart), else null. Needs at least
+    3 timestamps per series."""
     # previous timestamp of the same series without a per-series window (skew-safe)
     prev = ordered.previous_in_key(df.select(*keys, ds), [ds], [ds], list(keys))
     p = F.col(f"prev_{ds}")
@@ -71,14 +72,20 @@ def infer_freq(df: DataFrame, keys=(), ds: str = "ds") -> DataFrame:
         F.min("months").alias("mlo"), F.max("months").alias("mhi"),
         F.bool_and(F.dayofmonth(ds) == 1).alias("starts"),
         F.bool_and(F.to_date(F.col(ds)) == F.last_day(F.col(ds))).alias("ends"),
-        F.bool_and(F.dayofweek(ds) == 1).alias("sundays"))
+        F.bool_and(F.dayofweek(ds) == 1).alias("sundays"),
+        F.bool_and(F.month(ds) % 3 == 1).alias("q_start_months"), F.bool_and(F.month(ds) % 3 == 0).alias("q_end_months"),
+        F.bool_and(F.month(ds) == 1).alias("jan"), F.bool_and(F.month(ds) == 12).alias("dec"))
     const = F.col("lo") == F.col("hi")
     freq = (F.when(F.col("n") < 3, None)
             .when(const & (F.col("lo") == 604800) & F.col("sundays"), "W-SUN")
             .when(const & (F.col("lo") == 86400), "D").when(const & (F.col("lo") == 3600), "h")
             .when(const & (F.col("lo") == 60), "min").when(const & (F.col("lo") == 1), "s")
             .when((F.col("mlo") == 1) & (F.col("mhi") == 1) & F.col("starts"), "MS")
-            .when((F.col("mlo") == 1) & (F.col("mhi") == 1) & F.col("ends"), "M"))
+            .when((F.col("mlo") == 1) & (F.col("mhi") == 1) & F.col("ends"), "M")
+            .when((F.col("mlo") == 3) & (F.col("mhi") == 3) & F.col("starts") & F.col("q_start_months"), "QS")
+            .when((F.col("mlo") == 3) & (F.col("mhi") == 3) & F.col("ends") & F.col("q_end_months"), "Q")
+            .when((F.col("mlo") == 12) & (F.col("mhi") == 12) & F.col("starts") & F.col("jan"), "YS")
+            .when((F.col("mlo") == 12) & (F.col("mhi") == 12) & F.col("ends") & F.col("dec"), "Y"))
     return g.select(*keys, F.col("n").alias("points"), freq.alias("freq"))
 
 

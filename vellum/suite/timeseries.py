@@ -32,7 +32,9 @@ SELECT 'daily' AS series, CAST(ds AS TIMESTAMP) AS ds FROM events_daily
 UNION ALL SELECT 'monthly', CAST(m AS TIMESTAMP) FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders)
 UNION ALL SELECT 'irregular', ts FROM events
 UNION ALL SELECT 'hourly', h FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE ts < TIMESTAMP '2024-01-02 00:00:00')
-UNION ALL SELECT 'short', CAST(ds AS TIMESTAMP) FROM events_daily WHERE ds < DATE '2024-01-03'"""
+UNION ALL SELECT 'short', CAST(ds AS TIMESTAMP) FROM events_daily WHERE ds < DATE '2024-01-03'
+UNION ALL SELECT 'quarterly', CAST(q AS TIMESTAMP) FROM (SELECT DISTINCT date_trunc('quarter', o_orderdate) AS q FROM orders)
+UNION ALL SELECT 'yearly', CAST(y AS TIMESTAMP) FROM (SELECT DISTINCT date_trunc('year', o_orderdate) AS y FROM orders)"""
 
 
 @query("ts2_infer_freq", views=["events_daily"], sql=f"""
@@ -42,18 +44,24 @@ d AS (SELECT series, ds, epoch(ds) - epoch(lag(ds) OVER w) AS step,
       FROM s WINDOW w AS (PARTITION BY series ORDER BY ds)),
 g AS (SELECT series, count(*) AS n, min(step) AS lo, max(step) AS hi, min(months) AS mlo, max(months) AS mhi,
              bool_and(day(ds) = 1) AS starts, bool_and(CAST(ds AS DATE) = last_day(ds)) AS ends,
-             bool_and(dayofweek(ds) = 0) AS sundays
+             bool_and(dayofweek(ds) = 0) AS sundays, bool_and(month(ds) % 3 = 1) AS qs, bool_and(month(ds) % 3 = 0) AS qe,
+             bool_and(month(ds) = 1) AS jan, bool_and(month(ds) = 12) AS dec
       FROM d GROUP BY series)
 SELECT series, n AS points, CASE WHEN n < 3 THEN NULL
   WHEN lo = hi AND lo = 604800 AND sundays THEN 'W-SUN' WHEN lo = hi AND lo = 86400 THEN 'D'
   WHEN lo = hi AND lo = 3600 THEN 'h' WHEN lo = hi AND lo = 60 THEN 'min' WHEN lo = hi AND lo = 1 THEN 's'
-  WHEN mlo = 1 AND mhi = 1 AND starts THEN 'MS' WHEN mlo = 1 AND mhi = 1 AND ends THEN 'M' END AS freq
+  WHEN mlo = 1 AND mhi = 1 AND starts THEN 'MS' WHEN mlo = 1 AND mhi = 1 AND ends THEN 'M'
+  WHEN mlo = 3 AND mhi = 3 AND starts AND qs THEN 'QS' WHEN mlo = 3 AND mhi = 3 AND ends AND qe THEN 'Q'
+  WHEN mlo = 12 AND mhi = 12 AND starts AND jan THEN 'YS' WHEN mlo = 12 AND mhi = 12 AND ends AND dec THEN 'Y' END AS freq
 FROM g""")
 def ts2(spark, sf):
     df = spark.sql(FREQ_INPUT.replace("CAST(m AS TIMESTAMP)", "CAST(m AS TIMESTAMP_NTZ)")
                    .replace("CAST(ds AS TIMESTAMP)", "CAST(ds AS TIMESTAMP_NTZ)")
                    .replace("date_trunc('hour', ts)", "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)")
-                   .replace("date_trunc('month', o_orderdate)", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ)"))
+                   .replace("date_trunc('month', o_orderdate)", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ)")
+                   .replace("date_trunc('quarter', o_orderdate)", "CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP_NTZ)")
+                   .replace("date_trunc('year', o_orderdate)", "CAST(date_trunc('year', o_orderdate) AS TIMESTAMP_NTZ)")
+                   .replace("CAST(q AS TIMESTAMP)", "q").replace("CAST(y AS TIMESTAMP)", "y"))
     return ts.infer_freq(df, ["series"])
 
 
