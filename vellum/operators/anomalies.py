@@ -17,6 +17,7 @@ from vellum.functions.numeric import is_datetime_type, nan_to_null
 from vellum.operators import ordered
 from vellum.operators.common import col
 from vellum.operators.profile import numeric_columns
+from vellum import texts
 
 ANOMALY_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("column_name", T.StringType()),
@@ -63,11 +64,11 @@ def zscore_stats(df: DataFrame, threshold: float = Z_THRESHOLD) -> DataFrame:
 def zscore_anomalies(df: DataFrame, threshold: float = Z_THRESHOLD, min_count: int = 10) -> DataFrame:
     s = zscore_stats(df, threshold)
     found = s.filter((F.col("n") >= min_count) & (F.col("std") > 0) & (F.col("outlier_count") > 0))
-    details = F.format_string("%d potential outliers detected in '%s' (Z-score > %s). Max value: %s, Mean: %s.",
+    details = F.format_string(texts.OUTLIER_DETAILS,
                               F.col("outlier_count"), F.col("column_name"), F.lit(str(threshold)),
                               F.col("max_text"), _fmt2(F.col("mean")))
-    return found.select(F.lit("Statistical Outlier").alias("type"), "column_name", details.alias("details"),
-                        F.lit("Medium").alias("severity"), F.col("outlier_count").cast("long"),
+    return found.select(F.lit(texts.OUTLIER_TYPE).alias("type"), "column_name", details.alias("details"),
+                        F.lit(texts.SEVERITY_MEDIUM).alias("severity"), F.col("outlier_count").cast("long"),
                         "mean", "max")
 
 
@@ -98,10 +99,10 @@ def trend_change(df: DataFrame, time_column: str, target: str | None = None, tie
                   F.max_by("rm_diff", "idx").alias("last"))
     hit = stats.filter((F.col("n") > 10) & (F.col("std") > 0) & (F.abs(F.col("last")) > factor * F.col("std")))
     direction = F.when(F.col("last") > 0, "increase").otherwise("decrease")
-    details = F.format_string("Significant recent %s detected in rolling average for '%s' (Change: %s, StdDev: %s).",
+    details = F.format_string(texts.TREND_DETAILS,
                               direction, F.lit(target), _fmt2(F.col("last")), _fmt2(F.col("std")))
-    return hit.select(F.lit("Trend Change").alias("type"), F.lit(target).alias("column_name"),
-                      details.alias("details"), F.lit("Medium").alias("severity"),
+    return hit.select(F.lit(texts.TREND_TYPE).alias("type"), F.lit(target).alias("column_name"),
+                      details.alias("details"), F.lit(texts.SEVERITY_MEDIUM).alias("severity"),
                       F.lit(None).cast("long").alias("outlier_count"), F.lit(None).cast("double").alias("mean"),
                       F.lit(None).cast("double").alias("max"))
 

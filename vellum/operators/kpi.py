@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from vellum.operators.common import col
 from vellum.operators.quantiles import exact_quantiles
+from vellum import texts
 
 log = logging.getLogger(__name__)
 
@@ -150,7 +151,7 @@ def format_value(value: Column, value_type: str = "number", precision: int = 2,
         s = F.format_number(value.cast("long"), 0) if is_integer else F.format_number(v, precision)
     else:
         s = value.cast("string")
-    return F.coalesce(s, F.lit("N/A"))
+    return F.coalesce(s, F.lit(texts.NOT_AVAILABLE))
 
 
 KPI_SCHEMA = T.StructType([

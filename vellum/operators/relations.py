@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import normalise_name
 from vellum.operators.common import col
+from vellum import texts
 
 # Type families (fixed values): substrings of the lower-cased type name.
 NUMERIC_FAMILY = ["int", "float", "decimal", "numeric", "number"]
@@ -40,7 +41,7 @@ def join_key_candidates(schema_df: DataFrame) -> DataFrame:
     return pairs.select(
         F.concat_ws(".", "a.source", "a.column_name").alias("column1"),
         F.concat_ws(".", "b.source", "b.column_name").alias("column2"),
-        F.format_string("Name match ('%s') + Type compatible (%s/%s)", F.col("a.norm"), t1, t2).alias("reason"))
+        F.format_string(texts.JOIN_KEY_REASON, F.col("a.norm"), t1, t2).alias("reason"))
 
 
 def find_relationships(schema_df: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def find_relationships(schema_df: DataFrame) -> DataFrame:
     return pairs.select(
         F.col("a.source").alias("source1"), F.col("a.column_name").alias("column1"),
         F.col("b.source").alias("source2"), F.col("b.column_name").alias("column2"),
-        F.format_string("Heuristic: Name match ('%s') & Type compatible (%s/%s)", F.col("a.norm"), t1, t2)
+        F.format_string(texts.RELATIONSHIP_RATIONALE, F.col("a.norm"), t1, t2)
         .alias("rationale"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from vellum.functions.numeric import NUMBER_PATTERN, is_datetime_type, is_numeric_type, is_string_type
 from vellum.operators.common import col
 from vellum.operators.profile import _missing
+from vellum import texts
 
 SUGGESTION_SCHEMA = T.StructType([
     T.StructField("step_type", T.StringType()),
@@ -68,20 +69,19 @@ def suggest_cleaning(df: DataFrame) -> DataFrame:
         items.append(F.when(m > 0, F.struct(
             F.lit("impute_missing").alias("step_type"),
             F.create_map(F.lit("column"), F.lit(f.name), F.lit("strategy"), F.lit(strategy)).alias("params"),
-            F.lit("Missing Values").alias("issue"),
-            F.format_string("Column '%s' has %d missing values (%s%%).", F.lit(f.name), m,
+            F.lit(texts.MISSING_ISSUE).alias("issue"),
+            F.format_string(texts.MISSING_DETAILS, F.lit(f.name), m,
                             _pct(m, F.col("n"))).alias("details"),
-            F.lit(f"Suggesting '{strategy}' imputation for '{f.name}'. Consider alternatives like mean, "
-                  "constant, or dropping.").alias("rationale"))))
+            F.lit(texts.MISSING_RATIONALE.format(strategy=strategy, column=f.name)).alias("rationale"))))
     if items:
         parts.append(stats.select(F.explode(F.array(*items)).alias("s")).filter("s IS NOT NULL").select("s.*"))
     # 2. duplicate rows
     parts.append(dup.select(F.lit("drop_duplicates").alias("step_type"),
                             F.create_map().cast("map<string,string>").alias("params"),
-                            F.lit("Duplicate Rows").alias("issue"),
-                            F.format_string("Found %d complete duplicate rows (%s%%).", F.col("dups"),
+                            F.lit(texts.DUPLICATES_ISSUE).alias("issue"),
+                            F.format_string(texts.DUPLICATES_DETAILS, F.col("dups"),
                                             _pct(F.col("dups"), stats.select(F.col("n")).scalar())).alias("details"),
-                            F.lit("Dropping duplicates ensures each record is unique.").alias("rationale"),
+                            F.lit(texts.DUPLICATES_RATIONALE).alias("rationale"),
                             F.col("dups")).filter("dups > 0").drop("dups"))
     # 3. text columns: numeric, datetime, category or string cleaning
     items = []
@@ -98,21 +98,17 @@ def suggest_cleaning(df: DataFrame) -> DataFrame:
         nn, u = F.col(f"nn{i}"), F.col(f"u{i}")
         items.append(
             F.when(F.col(f"bad_num{i}") == 0, row(
-                "convert_type", "numeric", "Potential Numeric Type",
-                f"Column '{c}' (object type) might be convertible to numeric.",
-                "Converting to numeric enables calculations and analysis."))
+                "convert_type", "numeric", texts.NUMERIC_ISSUE, texts.NUMERIC_DETAILS.format(column=c),
+                texts.NUMERIC_RATIONALE))
             .when(F.col(f"bad_ts{i}") == 0, row(
-                "convert_type", "datetime", "Potential Datetime Type",
-                f"Column '{c}' (object type) might be convertible to datetime.",
-                "Converting to datetime enables time-based analysis."))
+                "convert_type", "datetime", texts.DATETIME_ISSUE, texts.DATETIME_DETAILS.format(column=c),
+                texts.DATETIME_RATIONALE))
             .when(F.try_divide(u.cast("double"), nn) < 0.5, row(
-                "convert_type", "category", "Potential Categorical Type",
-                f"Column '{c}' (object) has relatively few unique values.",
-                "Converting to 'category' can save memory and improve performance."))
+                "convert_type", "category", texts.CATEGORY_ISSUE, texts.CATEGORY_DETAILS.format(column=c),
+                texts.CATEGORY_RATIONALE))
             .otherwise(row(
-                "strip_whitespace", None, "Potential String Cleaning Needed",
-                f"Column '{c}' is object type. Check for leading/trailing spaces or inconsistent casing.",
-                "Standardizing strings ensures consistency.")))
+                "strip_whitespace", None, texts.STRING_ISSUE, texts.STRING_DETAILS.format(column=c),
+                texts.STRING_RATIONALE)))
     if items:
         parts.append(stats.select(F.explode(F.array(*items)).alias("s")).select("s.*"))
     return _union([_cast(p) for p in parts], spark)
@@ -155,35 +151,35 @@ def suggest_features(df: DataFrame, max_categories: int = 200) -> DataFrame:
             L("date_extraction").alias("step_type"),
             m(L("column"), d0, L("components"), L('["year", "month", "dayofweek", "hour"]')).alias("params"),
             L("Feature Suggestion").alias("issue"),
-            F.format_string("Extract time components from '%s'.", d0).alias("details"),
-            L("Temporal patterns are often predictive or cyclical.").alias("rationale")),
+            F.format_string(texts.DATE_PARTS_DETAILS, d0).alias("details"),
+            L(texts.DATE_PARTS_RATIONALE).alias("rationale")),
         F.struct(
             L("numeric_interaction"), m(L("column1"), n0, L("column2"), n1, L("operation"), L("multiply")),
-            L("Feature Suggestion"), F.format_string("Create interaction: '%s' * '%s'.", n0, n1),
-            L("May capture synergistic effects.")),
+            L("Feature Suggestion"), F.format_string(texts.INTERACTION_DETAILS, n0, n1),
+            L(texts.INTERACTION_RATIONALE)),
         F.struct(
             L("grouped_aggregation"), m(L("group_by_column"), c0, L("agg_column"), n0, L("agg_func"), L("mean")),
-            L("Feature Suggestion"), F.format_string("Aggregate '%s' grouped by '%s'.", n0, c0),
-            L("Captures group-level behavior.")),
+            L("Feature Suggestion"), F.format_string(texts.GROUP_AGG_DETAILS, n0, c0),
+            L(texts.GROUP_AGG_RATIONALE)),
         F.struct(
             L("binning"), m(L("column"), n0, L("bins"), L("5"), L("strategy"), L("quantile")),
-            L("Feature Suggestion"), F.format_string("Discretize '%s' into bins.", n0),
-            L("Can capture non-linear relationships.")),
+            L("Feature Suggestion"), F.format_string(texts.BINNING_DETAILS, n0),
+            L(texts.BINNING_RATIONALE)),
         F.struct(
             L("categorical_encoding"), m(L("columns"), F.to_json(F.col("cat")), L("method"), L("one-hot")),
-            L("Feature Suggestion"), F.format_string("Encode categorical: '%s'.", c0),
-            L("Needed for many ML models.")),
+            L("Feature Suggestion"), F.format_string(texts.ENCODING_DETAILS, c0),
+            L(texts.ENCODING_RATIONALE)),
         F.struct(
             L("polynomial_features"), m(L("columns"), F.to_json(F.col("num")), L("degree"), L("2")),
             L("Feature Suggestion"),
-            F.format_string("Generate polynomial features (degree 2) for %d column(s).", nn),
-            L("Capture non-linear interactions between numeric features.")),
+            F.format_string(texts.POLYNOMIAL_DETAILS, nn),
+            L(texts.POLYNOMIAL_RATIONALE)),
     ]
     props = [F.when(c, r) for c, r in zip(conds, rows_)]
     nothing = ~(has_date | two_nums | one_num | has_cat)
     props.append(F.when(nothing, F.struct(
-        L("No Suggestions"), F.create_map().cast("map<string,string>"), L("Feature Suggestion"),
-        L("Could not generate suggestions."), L(None).cast("string"))))
+        L(texts.NO_SUGGESTIONS), F.create_map().cast("map<string,string>"), L("Feature Suggestion"),
+        L(texts.NO_SUGGESTIONS_DETAILS), L(None).cast("string"))))
     names = [f.name for f in SUGGESTION_SCHEMA.fields]
     rows = s.select(F.explode(F.array(*[p.cast(
         T.StructType([T.StructField(n, SUGGESTION_SCHEMA[n].dataType) for n in names])) for p in props])).alias("x"))
