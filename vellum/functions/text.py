@@ -28,11 +28,15 @@ def title_case(c: Column) -> Column:
         F.array_join(F.transform(runs, lambda x: F.initcap(x)), ""))
 
 
+# The tokens removed from join-key names, in this order.
+NAME_TOKENS = ["_id", "id", "_key", "key"]
+
+
 def normalise_name(c: Column) -> Column:
     """Join-key name normalisation: lower case, drop ``_id``, ``id``,
     ``_key`` and ``key`` anywhere (in that order), then strip ``_`` and
     spaces at both ends."""
     x = F.lower(c)
-    for token in ("_id", "id", "_key", "key"):
+    for token in NAME_TOKENS:
         x = F.replace(x, F.lit(token), F.lit(""))
     return F.regexp_replace(x, r"^[_ ]+|[_ ]+$", "")
