@@ -1,6 +1,8 @@
 """Plan properties the scale design relies on (read from the physical plan)."""
 
 
+from pyspark.sql import functions as F
+
 from vellum.operators import clean, features, ordered, quality, suggest
 from vellum.plans.steps import run_steps
 
@@ -62,3 +64,20 @@ def test_no_suggestions_row(spark):
     df = spark.createDataFrame([(1,)], "x int")  # constant numeric column: nothing usable
     rows = suggest.suggest_features(df).collect()
     assert [r.step_type for r in rows] == ["No Suggestions"]
+
+
+def test_hot_key_spreads_over_partitions(spark):
+    """Range partitioning on (key, order) splits a key holding a third of the rows."""
+    rows = [(0 if i % 3 == 0 else i % 50 + 1, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, i int")
+    parts = (df.repartitionByRange(8, "k", "i").select(F.spark_partition_id().alias("p"), "k")
+             .filter("k = 0").select("p").distinct().count())
+    assert parts >= 2
+
+
+def test_pca_without_scaling_is_centred(spark):
+    from vellum.operators import segments
+    rows = [(float(i), float(i * 2 + 100)) for i in range(30)]
+    seg = segments.find_segments(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 2, scale_data=False)
+    pcs = [r.pc1 for r in seg.projection.collect()]
+    assert abs(sum(pcs)) < 1e-6
