@@ -68,3 +68,19 @@ def quiet_query_context_log() -> None:
     becomes a status row) are otherwise logged with a full JVM trace."""
     import logging
     logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster: scan splits of ``target_partition_bytes``,
+    an initial shuffle width that keeps partitions near that size (AQE then
+    coalesces small ones and splits skewed ones), at least two waves of tasks."""
+    shuffle = max(2 * total_cores, int(input_bytes // target_partition_bytes) or 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
