@@ -70,11 +70,13 @@ def quiet_query_context_log() -> None:
     logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
 
 
-def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+                     max_shuffle_partitions: int = 50_000) -> dict:
     """Settings for a large cluster: scan splits of ``target_partition_bytes``,
     an initial shuffle width that keeps partitions near that size (AQE then
-    coalesces small ones and splits skewed ones), at least two waves of tasks."""
-    shuffle = max(2 * total_cores, int(input_bytes // target_partition_bytes) or 1)
+    coalesces small ones and splits skewed ones), at least two waves of tasks,
+    and at most ``max_shuffle_partitions`` (map outputs grow as maps x reducers)."""
+    shuffle = min(max_shuffle_partitions, max(2 * total_cores, int(input_bytes // target_partition_bytes) or 1))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),
