@@ -132,3 +132,13 @@ def an3(spark, sf):
        + "\nUNION ALL\nSELECT * FROM (" + _trend_sql("events_nulls", "event_id", "ts, event_id") + ")")
 def an4(spark, sf):
     return anomalies.find_anomalies(spark.table("events_nulls"), time_column="ts", tie_breaker=["event_id"])
+
+
+MONTHLY_ORDERS = ("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS revenue, "
+                  "count(*) AS orders FROM orders GROUP BY 1")
+
+
+@query("an2_trend_change_monthly_orders", sql=_trend_sql(f"({MONTHLY_ORDERS}) AS mo", "revenue", "month"))
+def an2m(spark, sf):
+    """The last month of orders is partial: its rolling mean drops sharply."""
+    return anomalies.trend_change(spark.sql(MONTHLY_ORDERS), "month")
