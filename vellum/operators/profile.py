@@ -57,25 +57,40 @@ def overview(df: DataFrame) -> DataFrame:
                 F.coalesce("duplicate_rows", F.lit(0)).alias("duplicate_rows"))
 
 
+DESCRIBE_SCHEMA = T.StructType([
+    T.StructField("column_name", T.StringType()), T.StructField("count", T.LongType()),
+    *[T.StructField(n, T.DoubleType()) for n in ("mean", "std", "min", "p25", "p50", "p75", "max")],
+])
+
+
 def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 %, max per numeric column.
 
-    Exact quartiles come from ``exact_quantiles`` (a few counting passes,
-    bounded memory per task) and enter the one statistics aggregation as
-    values; ``exact=False`` folds ``percentile_approx`` into that aggregation."""
+    ``exact``: one aggregation gives count, mean, std, min and max of every
+    column (a few values per column reach the driver), then
+    ``exact_quantiles`` selects the quartiles with counting passes; the table
+    is built from those bounded results. ``exact=False`` is a single lazy
+    aggregation with ``percentile_approx``."""
     cols = numeric_columns(df)
-    exact_q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], median_mean=False) if exact and cols else {}
+    if not cols:
+        return df.sparkSession.createDataFrame([], DESCRIBE_SCHEMA)
+    xs = [_num(df, c) for c in cols]
+    if exact:
+        row = df.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(xs)
+                       for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp), ("lo", F.min),
+                                    ("hi", F.max))]).first()
+        n = [row[f"n{i}"] for i in range(len(cols))]
+        lo = [row[f"lo{i}"] for i in range(len(cols))]
+        hi = [row[f"hi{i}"] for i in range(len(cols))]
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], median_mean=False, stats=(n, lo, hi))
+        rows = [(c, int(n[i]), row[f"m{i}"], row[f"s{i}"], lo[i], *q[c], hi[i]) for i, c in enumerate(cols)]
+        return df.sparkSession.createDataFrame(rows, DESCRIBE_SCHEMA)
     structs = {}
-    for c in cols:
-        x = _num(df, c)
-        if exact:
-            q = [F.lit(v).cast("double") for v in exact_q[c]]
-        else:
-            a = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000).cast("array<double>")
-            q = [a[0], a[1], a[2]]
+    for c, x in zip(cols, xs):
+        a = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000).cast("array<double>")
         structs[c] = F.struct(F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"),
                               F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                              q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max"))
+                              a[0].alias("p25"), a[1].alias("p50"), a[2].alias("p75"), F.max(x).alias("max"))
     return _long(df, structs)
 
 

@@ -120,17 +120,21 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[int, set], c
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], median_mean: bool = True,
-                    **kw) -> dict[str, list[float | None]]:
+                    stats: tuple[list, list, list] | None = None, **kw) -> dict[str, list[float | None]]:
     """``{column: [quantile for q in qs]}`` (nulls and NaN ignored; None for an
     empty column). ``median_mean``: q = 0.5 is the mean of the two middle
-    values, as ``np.median`` / pandas ``median``; other q interpolate linearly."""
-    xs = _values(df, columns)
-    stats = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                   *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
-                   *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
-    counts = [int(stats[f"n{i}"]) for i in range(len(columns))]
-    mins = [stats[f"lo{i}"] for i in range(len(columns))]
-    maxs = [stats[f"hi{i}"] for i in range(len(columns))]
+    values, as ``np.median`` / pandas ``median``; other q interpolate linearly.
+    ``stats`` = (counts, mins, maxs) of the non-null values, when the caller
+    already aggregated them, saves the first pass."""
+    if stats is None:
+        xs = _values(df, columns)
+        row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                     *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
+                     *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
+        stats = ([row[f"n{i}"] for i in range(len(columns))], [row[f"lo{i}"] for i in range(len(columns))],
+                 [row[f"hi{i}"] for i in range(len(columns))])
+    counts = [int(n) for n in stats[0]]
+    mins, maxs = list(stats[1]), list(stats[2])
     ranks: dict[int, set] = {}
     for i, n in enumerate(counts):
         if n == 0:
