@@ -73,3 +73,13 @@ def test_document_filter_pushdown(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(v,10)" in plan and "In(t" in plan
     assert sorted(r["t"] for r in docs.find(df, {"$nor": [{"v": {"$gt": 10}}, {"t": "zz"}]}).collect()) == ["a"]
+
+
+def test_run_sql(spark):
+    from vellum.plans.sql import broadcast_if_small, run_sql
+    with pytest.raises(ValueError):
+        run_sql(spark, "   ")
+    run_sql(spark, "CREATE OR REPLACE TEMP VIEW v_small AS SELECT id FROM range(10)")
+    assert run_sql(spark, "SELECT count(*) AS n FROM v_small WHERE id > :lo", {"lo": 4}).first().n == 5
+    small = spark.range(5)
+    assert broadcast_if_small(small, 10) is not small and broadcast_if_small(small, 3) is small
