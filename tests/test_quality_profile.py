@@ -115,3 +115,16 @@ def test_profile_sample_is_repeatable(spark):
     a = profile.profile(df, sample_rows=100)["overview"].first()
     b = profile.profile(df, sample_rows=100)["overview"].first()
     assert a.rows == 100 and a == b
+
+
+def test_reference_shaped_api(spark, sample):
+    from vellum import api
+    rep = api.generate_profile_report(sample, "sample")
+    assert rep["overview"]["rows"] == 5 and rep["missing_percentage"] == {"col_a": 20.0}
+    assert rep["numeric_variables"]["col_a"]["p50"] == 2.5
+    sugg = api.suggest_cleaning_steps(sample)
+    assert any("(20.0%)" in s["details"] for s in sugg)
+    res = api.run_quality_checks(sample, [{"rule_type": "not_null", "column_name": "col_a"}])
+    assert res[0]["status"] == "failed"
+    assert api.calculate_kpi_value({"name": "n", "calculation_logic": "count"}, sample) == 5.0
+    assert api.execute_pipeline(sample, []) is sample
