@@ -209,3 +209,11 @@ def prj1(spark, sf):
 @query("prj2_drop_column", sql="SELECT * EXCLUDE (o_orderpriority) FROM orders")
 def prj2(spark, sf):
     return clean.drop_column(spark.table("orders"), "o_orderpriority")
+
+
+@query("cl1_drop_duplicate_texts", sql="""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+def cl1t(spark, sf):
+    """Exact copies of whole texts: keep the document with the smallest id."""
+    return clean.drop_duplicates(spark.table("documents"), subset=["text"], keep="first", order_by=["doc_id"])
