@@ -5,28 +5,73 @@ from vellum.sources.schema import schema_info
 from vellum.suite import query
 
 TEXT_TABLES = ["documents", "labels", "conversations", "benchmark", "pages", "events"]
+SCHEMA_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 
 
 def _tables(spark, names=TEXT_TABLES):
     return {n: spark.table(n) for n in names}
 
 
-@query("src9_schema_info")
+# Oracle side: DuckDB type names written as Spark's simpleString.
+SPARK_TYPE_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>'
+  WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'FLOAT' THEN 'float' ELSE lower(data_type) END"""
+
+NORM_SQL = "trim(replace(replace(replace(replace(lower(column_name), '_id', ''), 'id', ''), '_key', ''), 'key', ''), '_ ')"
+Q = "'"  # a quote inside the SQL text
+
+
+def _schema_sql(names):
+    order = ", ".join(f"('{n}', {i})" for i, n in enumerate(names))
+    return (f"SELECT c.table_name AS source, CAST(o.source_no AS INTEGER) AS source_no, "
+            f"CAST(c.ordinal_position - 1 AS INTEGER) AS ordinal, c.column_name, {SPARK_TYPE_SQL} AS type "
+            f"FROM information_schema.columns c JOIN (VALUES {order}) AS o(name, source_no) ON c.table_name = o.name")
+
+
+def _family(t, words):
+    return "(" + " OR ".join(f"contains(lower({t}), '{w}')" for w in words) + ")"
+
+
+ORDERED_PAIR = "(a.source_no < b.source_no OR (a.source_no = b.source_no AND a.ordinal < b.ordinal))"
+TYPES_TEXT = "' || lower(a.type) || '/' || lower(b.type) || ')'"
+
+JN8_SQL = (
+    f"WITH s AS (SELECT *, {NORM_SQL} AS norm FROM ({_schema_sql(TEXT_TABLES)}) WHERE {NORM_SQL} <> '') "
+    "SELECT a.source || '.' || a.column_name AS column1, b.source || '.' || b.column_name AS column2, "
+    f"'Name match (' || {Q}{Q}{Q}{Q} || a.norm || {Q}{Q}{Q}{Q} || ') + Type compatible (' || lower(a.type) || '/' "
+    "|| lower(b.type) || ')' AS reason "
+    f"FROM s a JOIN s b ON a.norm = b.norm AND {ORDERED_PAIR} "
+    "WHERE (contains(lower(a.type), 'int') AND contains(lower(b.type), 'int')) "
+    "OR (contains(lower(a.type), 'string') AND contains(lower(b.type), 'string')) "
+    "OR (contains(lower(a.type), 'varchar') AND contains(lower(b.type), 'varchar')) OR lower(a.type) = lower(b.type)")
+
+JN9_SQL = (
+    f"WITH s AS (SELECT *, {NORM_SQL} AS norm FROM ({_schema_sql(TEXT_TABLES)}) WHERE length({NORM_SQL}) >= 2) "
+    "SELECT a.source AS source1, a.column_name AS column1, b.source AS source2, b.column_name AS column2, "
+    f"'Heuristic: Name match (' || {Q}{Q}{Q}{Q} || a.norm || {Q}{Q}{Q}{Q} || ') & Type compatible (' || lower(a.type) "
+    "|| '/' || lower(b.type) || ')' AS rationale "
+    f"FROM s a JOIN s b ON a.norm = b.norm AND a.source <> b.source AND {ORDERED_PAIR} "
+    f"WHERE ({_family('a.type', relations.NUMERIC_FAMILY)} AND {_family('b.type', relations.NUMERIC_FAMILY)}) "
+    f"OR ({_family('a.type', relations.STRING_FAMILY)} AND {_family('b.type', relations.STRING_FAMILY)}) "
+    "OR lower(a.type) = lower(b.type)")
+
+
+@query("src9_schema_info", sql=_schema_sql(SCHEMA_TABLES))
 def src9(spark, sf):
-    return schema_info(spark, _tables(spark, ["region", "nation", "customer", "supplier", "part", "orders",
-                                              "lineitem", "events", "documents"]))
+    return schema_info(spark, _tables(spark, SCHEMA_TABLES))
 
 
-@query("jn8_join_key_candidates")
+@query("jn8_join_key_candidates", sql=JN8_SQL)
 def jn8(spark, sf):
     return relations.join_key_candidates(schema_info(spark, _tables(spark)))
 
 
-@query("jn9_relationships")
+@query("jn9_relationships", sql=JN9_SQL)
 def jn9(spark, sf):
     return relations.find_relationships(schema_info(spark, _tables(spark)))
 
 
+
 def _containment_sql(pairs):
     parts = []
     for s1, c1, s2, c2 in pairs:
