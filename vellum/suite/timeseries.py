@@ -234,7 +234,16 @@ def _linear_fit(pdf: pd.DataFrame) -> pd.DataFrame:
                          "forecast": a + b * (t.max() + h)})
 
 
-@query("ts10_per_series_model")
+TS10_SQL = f"""
+WITH u AS ({USER_DAILY}),
+t AS (SELECT u.*, datediff('day', min(ds) OVER (PARTITION BY user_id), ds) AS t FROM u),
+fit AS (SELECT user_id, coalesce(regr_slope(y, t), 0.0) AS b, coalesce(regr_intercept(y, t), any_value(y)) AS a,
+               max(t) AS tmax, max(ds) AS last FROM t GROUP BY user_id)
+SELECT user_id, CAST(last + INTERVAL (h) DAY AS DATE) AS ds, a + b * (tmax + h) AS forecast
+FROM fit, range(1, 8) AS r(h)"""
+
+
+@query("ts10_per_series_model", sql=TS10_SQL, rounds={"forecast": "f"})
 def ts10(spark, sf):
     return ts.per_series(spark.sql(USER_DAILY), ["user_id"], _linear_fit, "user_id long, ds date, forecast double")
 
