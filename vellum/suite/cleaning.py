@@ -217,3 +217,24 @@ SELECT * EXCLUDE (rn) FROM (
 def cl1t(spark, sf):
     """Exact copies of whole texts: keep the document with the smallest id."""
     return clean.drop_duplicates(spark.table("documents"), subset=["text"], keep="first", order_by=["doc_id"])
+
+
+FUSED_STEPS = [{"step_type": "grouped_aggregation",
+                "params": {"group_by_column": "o_orderpriority", "agg_column": c, "agg_func": f}}
+               for c, f in (("o_totalprice", "mean"), ("o_totalprice", "sum"), ("o_custkey", "nunique"),
+                            ("o_totalprice", "max"), ("o_totalprice", "median"))]
+
+
+@query("pl1_group_transforms_fused", views=["orders_nulls"],
+       rounds={"o_totalprice_mean_by_o_orderpriority": 6, "o_totalprice_sum_by_o_orderpriority": 2}, sql="""
+SELECT o.*, g.m AS o_totalprice_mean_by_o_orderpriority, g.s AS o_totalprice_sum_by_o_orderpriority,
+       g.u AS o_custkey_nunique_by_o_orderpriority, g.x AS o_totalprice_max_by_o_orderpriority,
+       g.md AS o_totalprice_median_by_o_orderpriority
+FROM orders_nulls o LEFT JOIN (
+  SELECT o_orderpriority, avg(o_totalprice) AS m, coalesce(sum(o_totalprice), 0) AS s, count(DISTINCT o_custkey) AS u,
+         max(o_totalprice) AS x, median(o_totalprice) AS md
+  FROM orders_nulls GROUP BY o_orderpriority) g ON o.o_orderpriority = g.o_orderpriority""")
+def pl1f(spark, sf):
+    """Five group transforms on one key: the step runner fuses them into one
+    aggregation and one join (the exact median keeps its skew-safe path)."""
+    return run_steps(spark.table("orders_nulls"), FUSED_STEPS)
