@@ -238,3 +238,17 @@ def pl1f(spark, sf):
     """Five group transforms on one key: the step runner fuses them into one
     aggregation and one join (the exact median keeps its skew-safe path)."""
     return run_steps(spark.table("orders_nulls"), FUSED_STEPS)
+
+
+@query("pl1_imputations_fused", views=["events_nulls"], rounds={"value": 6}, sql="""
+SELECT event_id, ts, user_id,
+       coalesce(event_type, (SELECT event_type FROM events_nulls WHERE event_type IS NOT NULL
+                             GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS event_type,
+       coalesce(value, (SELECT median(value) FROM events_nulls)) AS value
+FROM events_nulls""")
+def pl1i(spark, sf):
+    """Two imputations in a row: their statistics come from one pass (mode) and
+    one quantile selection (median)."""
+    return run_steps(spark.table("events_nulls"), [
+        {"step_type": "impute_missing", "params": {"column": "event_type", "strategy": "mode"}},
+        {"step_type": "impute_missing", "params": {"column": "value", "strategy": "median"}}])
