@@ -128,3 +128,22 @@ def test_reference_shaped_api(spark, sample):
     assert res[0]["status"] == "failed"
     assert api.calculate_kpi_value({"name": "n", "calculation_logic": "count"}, sample) == 5.0
     assert api.execute_pipeline(sample, []) is sample
+
+
+def test_fused_profile_equals_separate_tables(spark):
+    import math as m
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    fused = profile.profile(df)
+    separate = {"overview": profile.overview(df), "numeric": profile.describe_numeric(df),
+                "missing": profile.missing_values(df), "unique": profile.unique_counts(df),
+                "moments": profile.shape_moments(df), "semantic_types": profile.semantic_types(df)}
+    for name, sep in separate.items():
+        a = sorted(map(tuple, fused[name].collect()), key=str)
+        b = sorted(map(tuple, sep.collect()), key=str)
+        assert len(a) == len(b), name
+        for x, y in zip(a, b):
+            for u, v in zip(x, y):
+                if isinstance(u, float) and isinstance(v, float):
+                    assert m.isclose(u, v, rel_tol=1e-9, abs_tol=1e-9), (name, x, y)
+                else:
+                    assert u == v, (name, x, y)

@@ -11,6 +11,8 @@ taken: Spark profiles every row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,18 +165,79 @@ def semantic_types(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, exact: bool = True, sample_rows: int | None = None) -> dict[str, DataFrame]:
-    """All profile tables (each one aggregation; describe needs a few counting
-    passes for exact quartiles). ``sample_rows`` profiles a seeded sample of
-    that many rows, as the reference does (10 000, seed 42); by default every
-    row is profiled."""
+    """All profile tables from few passes: one aggregation over every column
+    (missing and distinct counts, moments, min/max, text lengths), one quantile
+    selection for the quartiles, one grouped count for the top text values and
+    one for duplicate rows. Per-column results are bounded (a few numbers per
+    column) and the small tables are built from them. ``sample_rows`` profiles
+    a seeded sample of that many rows, as the reference does (10 000, seed
+    42); by default every row is profiled."""
     if sample_rows:
         df = seeded_sample(df, sample_rows)
+    spark = df.sparkSession
+    fields = df.schema.fields
+    nums = numeric_columns(df)
+    distinct = F.count_distinct if exact else (lambda x: F.approx_count_distinct(x, 0.01))
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(fields):
+        aggs += [F.count_if(_missing(df, f.name)).alias(f"miss{i}"), distinct(col(f.name)).alias(f"u{i}"),
+                 F.count(col(f.name)).alias(f"nn{i}")]
+        if f.name in nums:
+            x = _num(df, f.name)
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                     F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g1_{i}"),
+                     F.kurtosis(x).alias(f"g2_{i}")]
+        elif is_string_type(f.dataType):
+            aggs.append(F.avg(F.length(col(f.name))).alias(f"len{i}"))
+    r = df.agg(*aggs).first()
+    rows = r["rows"]
+    idx = {f.name: i for i, f in enumerate(fields)}
+    num_i = [idx[c] for c in nums]
+    quart = (exact_quantiles(df, nums, [0.25, 0.5, 0.75], median_mean=False,
+                             stats=([r[f"n{i}"] for i in num_i], [r[f"lo{i}"] for i in num_i],
+                                    [r[f"hi{i}"] for i in num_i])) if exact and nums else {})
+    if nums and not exact:
+        approx = df.agg(*[F.percentile_approx(_num(df, c), [0.25, 0.5, 0.75], 100000).alias(c) for c in nums]).first()
+        quart = {c: list(approx[c]) if approx[c] is not None else [None] * 3 for c in nums}
+    distinct_rows = df.distinct().count()
+
+    def g1g2(i):
+        n = float(r[f"n{i}"] or 0)
+        g1, g2 = r[f"g1_{i}"], r[f"g2_{i}"]
+        skew = g1 * math.sqrt(n * (n - 1)) / (n - 2) if n >= 3 and g1 is not None else None
+        kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if n >= 4 and g2 is not None else None
+        return skew, kurt
+
+    def semantic(f, i):
+        u, nn = r[f"u{i}"], r[f"nn{i}"]
+        if isinstance(f.dataType, T.BooleanType):
+            return "boolean"
+        if is_numeric_type(f.dataType):
+            return "numeric_id_candidate" if u < 20 else "numeric"
+        if is_datetime_type(f.dataType):
+            return "datetime"
+        if is_string_type(f.dataType):
+            if nn == 0:
+                return "unknown"
+            if u / nn > 0.9:
+                return "text_long" if (r[f"len{i}"] or 0) > 50 else "text_or_id_high_cardinality"
+            return "categorical"
+        return "unknown"
+
+    numeric_rows = [(c, int(r[f"n{i}"]), r[f"m{i}"], r[f"s{i}"], r[f"lo{i}"], *(quart.get(c) or [None] * 3),
+                     r[f"hi{i}"]) for c, i in zip(nums, num_i)]
     return {
-        "overview": overview(df),
-        "numeric": describe_numeric(df, exact),
+        "overview": spark.createDataFrame([(rows, len(fields), rows - distinct_rows)],
+                                          "rows long, columns int, duplicate_rows long"),
+        "numeric": spark.createDataFrame(numeric_rows, DESCRIBE_SCHEMA),
         "categorical": describe_categorical(df),
-        "missing": missing_values(df),
-        "unique": unique_counts(df, exact),
-        "moments": shape_moments(df),
-        "semantic_types": semantic_types(df),
+        "missing": spark.createDataFrame(
+            [(f.name, r[f"miss{i}"], r[f"miss{i}"] / rows * 100.0) for i, f in enumerate(fields) if r[f"miss{i}"]],
+            "column_name string, missing_count long, missing_percentage double"),
+        "unique": spark.createDataFrame([(f.name, r[f"u{i}"]) for i, f in enumerate(fields)],
+                                        "column_name string, unique_count long"),
+        "moments": spark.createDataFrame([(c, *g1g2(i)) for c, i in zip(nums, num_i)],
+                                         "column_name string, skewness double, kurtosis double"),
+        "semantic_types": spark.createDataFrame([(f.name, semantic(f, i)) for i, f in enumerate(fields)],
+                                                "column_name string, semantic_type string"),
     }
