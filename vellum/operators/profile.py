@@ -166,9 +166,9 @@ def semantic_types(df: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, exact: bool = True, sample_rows: int | None = None) -> dict[str, DataFrame]:
     """All profile tables from few passes: one aggregation over every column
-    (missing and distinct counts, moments, min/max, text lengths), one quantile
-    selection for the quartiles, one grouped count for the top text values and
-    one for duplicate rows. Per-column results are bounded (a few numbers per
+    (missing counts, moments, min/max, text lengths), one for the distinct
+    counts, one quantile selection for the quartiles, one grouped count for
+    the top text values and one for duplicate rows. Per-column results are bounded (a few numbers per
     column) and the small tables are built from them. ``sample_rows`` profiles
     a seeded sample of that many rows, as the reference does (10 000, seed
     42); by default every row is profiled."""
@@ -178,10 +178,12 @@ def profile(df: DataFrame, exact: bool = True, sample_rows: int | None = None) -
     fields = df.schema.fields
     nums = numeric_columns(df)
     distinct = F.count_distinct if exact else (lambda x: F.approx_count_distinct(x, 0.01))
+    # distinct counts get their own aggregation: mixed with plain aggregates, Spark's
+    # rewrite would expand every row once per distinct column for all of them
+    u = df.agg(*[distinct(col(f.name)).alias(f"u{i}") for i, f in enumerate(fields)]).first()
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
-        aggs += [F.count_if(_missing(df, f.name)).alias(f"miss{i}"), distinct(col(f.name)).alias(f"u{i}"),
-                 F.count(col(f.name)).alias(f"nn{i}")]
+        aggs += [F.count_if(_missing(df, f.name)).alias(f"miss{i}"), F.count(col(f.name)).alias(f"nn{i}")]
         if f.name in nums:
             x = _num(df, f.name)
             aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
@@ -189,7 +191,8 @@ def profile(df: DataFrame, exact: bool = True, sample_rows: int | None = None) -
                      F.kurtosis(x).alias(f"g2_{i}")]
         elif is_string_type(f.dataType):
             aggs.append(F.avg(F.length(col(f.name))).alias(f"len{i}"))
-    r = df.agg(*aggs).first()
+    r = df.agg(*aggs).first().asDict()
+    r.update(u.asDict())
     rows = r["rows"]
     idx = {f.name: i for i, f in enumerate(fields)}
     num_i = [idx[c] for c in nums]
