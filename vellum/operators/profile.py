@@ -139,12 +139,19 @@ def shape_moments(df: DataFrame) -> DataFrame:
 
 def semantic_types(df: DataFrame) -> DataFrame:
     """numeric_id_candidate / numeric / datetime / text_long /
-    text_or_id_high_cardinality / categorical / boolean / unknown."""
+    text_or_id_high_cardinality / categorical / boolean / unknown.
+
+    Distinct counts come from their own aggregation (a struct-valued scalar
+    subquery, run once): mixed with plain aggregates, Spark's distinct
+    rewrite would expand every row once per column for all of them."""
+    fields = df.schema.fields
+    dist = df.select(F.struct(*[F.count_distinct(col(f.name)).alias(f"u{i}")
+                                for i, f in enumerate(fields)]).alias("d")).scalar()
     structs = {}
-    for f in df.schema.fields:
+    for i, f in enumerate(fields):
         c, dt = f.name, f.dataType
         x = col(c)
-        nunique = F.count_distinct(x)
+        nunique = dist[f"u{i}"]
         if isinstance(dt, T.BooleanType):
             kind = F.lit("boolean")
         elif is_numeric_type(dt):

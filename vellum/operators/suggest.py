@@ -56,8 +56,11 @@ def suggest_cleaning(df: DataFrame) -> DataFrame:
             x = col(f.name)
             aggs += [F.count_if(x.isNotNull() & ~x.rlike(NUMBER_PATTERN)).alias(f"bad_num{i}"),
                      F.count_if(x.isNotNull() & F.try_to_timestamp(x).isNull()).alias(f"bad_ts{i}"),
-                     F.count_distinct(x).alias(f"u{i}"), F.count(x).alias(f"nn{i}")]
+                     F.count(x).alias(f"nn{i}")]
     stats = df.agg(*aggs)
+    # distinct counts in their own aggregation (one struct-valued scalar subquery)
+    dist = (df.select(F.struct(*[F.count_distinct(col(f.name)).alias(f"u{i}") for i, f in enumerate(fields)
+                                 if f.name in text_cols]).alias("d")).scalar() if text_cols else None)
     dup = (df.groupBy(*[col(c) for c in df.columns]).count()
            .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("dups")))
     parts = []
@@ -95,7 +98,7 @@ def suggest_cleaning(df: DataFrame) -> DataFrame:
                       else F.create_map(F.lit("column"), F.lit(c)))
             return F.struct(F.lit(step).alias("step_type"), params.alias("params"), F.lit(issue).alias("issue"),
                             F.lit(details).alias("details"), F.lit(rationale).alias("rationale"))
-        nn, u = F.col(f"nn{i}"), F.col(f"u{i}")
+        nn, u = F.col(f"nn{i}"), dist[f"u{i}"]
         items.append(
             F.when(F.col(f"bad_num{i}") == 0, row(
                 "convert_type", "numeric", texts.NUMERIC_ISSUE, texts.NUMERIC_DETAILS.format(column=c),
@@ -124,14 +127,17 @@ def suggest_features(df: DataFrame, max_categories: int = 200) -> DataFrame:
     nums = [f.name for f in fields if is_numeric_type(f.dataType)]
     cats = [f.name for f in fields if is_string_type(f.dataType)]
     dates = [f.name for f in fields if is_datetime_type(f.dataType)]
+    # distinct counts in their own aggregation (one struct-valued scalar subquery)
+    dist = (df.select(F.struct(*[F.count_distinct(col(c)).alias(f"u_{c}") for c in cats + dates]).alias("d")).scalar()
+            if cats or dates else None)
     aggs = [F.lit(1).alias("_")]
     for c in nums:
         aggs.append((F.coalesce(F.stddev_samp(col(c).cast("double")), F.lit(0.0)) > 0).alias(f"ok_{c}"))
     for c in cats:
-        u = F.count_distinct(col(c))
+        u = dist[f"u_{c}"]
         aggs.append(((u >= 2) & (u <= max_categories)).alias(f"ok_{c}"))
     for c in dates:
-        aggs.append((F.count_distinct(col(c)) > 1).alias(f"ok_{c}"))
+        aggs.append((dist[f"u_{c}"] > 1).alias(f"ok_{c}"))
     stats = df.agg(*aggs)
 
     def first_ok(names: list[str], k: int = 1) -> Column:
