@@ -81,3 +81,12 @@ def test_pca_without_scaling_is_centred(spark):
     seg = segments.find_segments(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 2, scale_data=False)
     pcs = [r.pc1 for r in seg.projection.collect()]
     assert abs(sum(pcs)) < 1e-6
+
+
+def test_recommended_conf_bounds():
+    from vellum.session import recommended_conf
+    big = recommended_conf(100 * 10**12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 50_000
+    small = recommended_conf(10 * 2**20, 16)
+    assert int(small["spark.sql.shuffle.partitions"]) == 32
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
