@@ -154,3 +154,22 @@ def test_infer_quarter_and_year(spark):
     assert timeseries.infer_freq(q).first().freq == "QS"
     y = spark.createDataFrame([(dt.datetime(yr, 12, 31), 1.0) for yr in (2020, 2021, 2022)], "ds timestamp_ntz, y double")
     assert timeseries.infer_freq(y).first().freq == "Y"
+
+
+def test_segments_against_bruteforce(spark):
+    import numpy as np
+    cust = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    feats = ["c_acctbal", "c_nationkey"]
+    seg = segments.find_segments(cust, feats, 3)
+    rows = seg.rows.select(*feats, "segment").collect()
+    x = np.array([[r.c_acctbal, r.c_nationkey] for r in rows], dtype=float)
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    z = (x - mean) / std
+    summary = {r.segment: r for r in seg.summary.collect()}
+    centres = np.array([[(summary[k][f"center_{f}"] - mean[j]) / std[j] for j, f in enumerate(feats)]
+                        for k in sorted(summary)])
+    nearest = np.argmin(((z[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2), axis=1)
+    assert (nearest == np.array([r.segment for r in rows])).mean() > 0.99
+    ratios = np.sort(np.linalg.eigvalsh(np.cov(z, rowvar=False)))[::-1]
+    ratios = ratios / ratios.sum()
+    assert seg.explained_variance == pytest.approx(list(ratios[:2]), rel=1e-6)
