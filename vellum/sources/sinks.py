@@ -18,7 +18,10 @@ from vellum.session import checkpoint_dir
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint directory."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
+    base = checkpoint_dir(spark)
+    if not base:
+        raise ValueError("Set spark.checkpoint.dir to a shared folder: scratch output is written there.")
+    return f"{base.rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
 
 
 def append(df: DataFrame, path: str, run_id: str) -> None:
