@@ -43,6 +43,7 @@ def get_session(master: str | None = None, app: str = "vellum",
     spark.sparkContext.setLogLevel("ERROR")
     quiet_query_context_log()
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -89,3 +90,31 @@ def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vellum`` importable on the executors (once per session).
+
+    Pandas-based steps (``applyInPandas``, ``mapInPandas``, pandas UDFs)
+    unpickle functions defined in this package, so the Python workers need
+    it on their path: the package is zipped on the driver and shipped with
+    ``addPyFile`` (``addArtifacts`` on a remote session)."""
+    key = "vellum.package.shipped"
+    if spark.conf.get(key, None) == "true":
+        return
+    import zipfile
+
+    import vellum
+    root = os.path.dirname(os.path.dirname(os.path.abspath(vellum.__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="vellum-pkg-"), "vellum.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "vellum")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    try:
+        spark.sparkContext.addPyFile(path)
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        spark.addArtifacts(path, pyfile=True)
+    spark.conf.set(key, "true")
