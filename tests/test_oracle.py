@@ -71,3 +71,9 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(rows) == len(drows)
     assert _rows(df.columns, rows) == _rows(dcols, drows)
+
+
+def test_entry_schema_is_stable(spark):
+    a = contract.entry(spark).schema
+    b = QUERIES[contract.FLAGSHIP](spark, "/root/testdata/sf0.01").schema
+    assert a == b
