@@ -62,6 +62,8 @@ def zscore_stats(df: DataFrame, threshold: float = Z_THRESHOLD) -> DataFrame:
 
 
 def zscore_anomalies(df: DataFrame, threshold: float = Z_THRESHOLD, min_count: int = 10) -> DataFrame:
+    """One finding per numeric column with at least ``min_count`` values, a positive
+    standard deviation and rows beyond |z| > ``threshold``."""
     s = zscore_stats(df, threshold)
     found = s.filter((F.col("n") >= min_count) & (F.col("std") > 0) & (F.col("outlier_count") > 0))
     details = F.format_string(texts.OUTLIER_DETAILS,
@@ -108,6 +110,8 @@ def trend_change(df: DataFrame, time_column: str, target: str | None = None, tie
 
 
 def find_anomalies(df: DataFrame, time_column: str | None = None, tie_breaker: list | None = None) -> DataFrame:
+    """Z-score findings for every numeric column, plus the trend check when a time
+    column is given (the reference's findings list, as rows)."""
     out = zscore_anomalies(df)
     if time_column:
         out = out.unionByName(trend_change(df, time_column, tie_breaker=tie_breaker))

@@ -119,6 +119,7 @@ def history_trend(history: DataFrame, key: str = "name", ts: str = "run_ts", val
 
 
 def threshold_status(value: Column, upper: Column | float | None, lower: Column | float | None) -> Column:
+    """``above_upper`` / ``below_lower`` / ``ok`` against stored alert thresholds."""
     up = upper if isinstance(upper, Column) else F.lit(upper).cast("double")
     lo = lower if isinstance(lower, Column) else F.lit(lower).cast("double")
     return (F.when(value.isNull(), None).when(up.isNotNull() & (value > up), "above_upper")
@@ -177,6 +178,7 @@ def upsert(definitions: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def active(kpis: DataFrame, project_id: int | None = None) -> DataFrame:
+    """Active KPI definitions, optionally of one project."""
     cond = F.col("is_active")
     if project_id is not None:
         cond = cond & (F.col("project_id") == project_id)

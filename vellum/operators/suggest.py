@@ -45,6 +45,8 @@ def _cast(df: DataFrame) -> DataFrame:
 
 
 def suggest_cleaning(df: DataFrame) -> DataFrame:
+    """Cleaning suggestions: imputation per column with missing values, duplicate
+    removal, and a type conversion or string cleaning per text column."""
     spark = df.sparkSession
     fields = df.schema.fields
     text_cols = [f.name for f in fields if is_string_type(f.dataType)]

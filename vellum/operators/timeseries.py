@@ -302,6 +302,10 @@ def resolve_freq(series: DataFrame, keys=(), ds: str = "ds") -> str:
 
 def generate_forecast(df: DataFrame, time_col: str, target_col: str, periods: int = 30, freq: str | None = None,
                       model_name: str = "prophet", keys=()) -> DataFrame:
+    """Prepare the series (``keys`` for many at once), put it on its frequency grid
+    (given, else inferred), fill gaps and forecast ``periods`` steps with the
+    named model: ``prophet`` (trend + weekly), ``arima`` (AR on differences),
+    ``sarima`` (AR on seasonal differences) or ``simple`` (mean)."""
     if model_name not in MODELS:
         raise ValueError(f"Unsupported model: {model_name}. Choose one of {list(MODELS)}.")
     series = prepare(df, time_col, target_col, keys)

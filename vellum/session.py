@@ -31,6 +31,7 @@ BASE_CONF = {
 def get_session(master: str | None = None, app: str = "vellum",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
+    """A local session with the settings the operators rely on (see module doc)."""
     cpus = os.environ.get("BENCH_CPUS") or "8"
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
     conf = dict(BASE_CONF)

@@ -24,6 +24,8 @@ DRIVERS = {
 def jdbc_options(db_type: str, user: str | None = None, password: str | None = None, host: str | None = None,
                  port: int | None = None, database: str | None = None, service_name: str | None = None,
                  driver: str | None = None) -> dict:
+    """URL, user and driver options for a supported database (default ports filled
+    in; required fields checked)."""
     t = (db_type or "").lower()
     if t not in DRIVERS:
         raise ValueError(f"Unsupported database type: {db_type}")
@@ -56,6 +58,8 @@ def jdbc_options(db_type: str, user: str | None = None, password: str | None = N
 def read_jdbc(spark: SparkSession, options: dict, table: str | None = None, query: str | None = None,
               partition_column: str | None = None, lower_bound=None, upper_bound=None,
               num_partitions: int | None = None, fetch_size: int = 10000) -> DataFrame:
+    """Read a table or query through JDBC, optionally as ``num_partitions`` range
+    queries on a numeric column so executors read in parallel."""
     if bool(table) == bool(query):
         raise ValueError("Give exactly one of table or query.")
     r = spark.read.format("jdbc").options(**options).option("fetchsize", fetch_size)
