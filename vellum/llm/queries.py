@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, topk
+from . import mixing, packing, sharding, suffix_dedup, topk, window_dedup
 from .common import prepare
 
 
@@ -39,6 +39,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 @query("op4_mix_sources", sql=r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -65,6 +70,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+@query("op5_window_dedup")
+def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
@@ -43,7 +43,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             while len(a) < size:  # doubling: a concat a * base^len
                 a = np.concatenate([a, a * _U(pow(base, len(a), 1 << 64))])
             out[name] = a[:size]
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 64 * CHUNK_BYTES:
             _pow.update(out)
         return out["p"], out["ip"]
     return _pow["p"], _pow["ip"]
@@ -129,33 +129,29 @@ def sequence_hash(w: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(out, salt)
 
 
-def window_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost minimum of every window of ``w`` values
-    (van Herk: block prefix and suffix minima, no loop over positions)."""
-    n = len(h)
-    m = n - w + 1
-    if m <= 0:
+def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every window of ``w`` values, by doubling."""
+    m, size = v, 1
+    while 2 * size <= w:
+        m = np.minimum(m[:len(m) - size], m[size:])
+        size *= 2
+    if size < w:
+        m = np.minimum(m[:max(0, len(m) - (w - size))], m[w - size:])
+    return m
+
+
+#: Positions inside one chunk take the low bits of a packed minimum; chunks
+#: stay below this length, so the bits left to the hash never vary.
+POSITION_BITS = 24
+
+
+def window_anchors(h: np.ndarray, w: int) -> np.ndarray:
+    """For every window of ``w`` hashes, the position of its smallest one
+    (upper bits of the hash; ties to the left)."""
+    if len(h) < w:
         return np.zeros(0, np.int64)
-    blocks = -(-n // w)
-    top = _U(0xFFFFFFFFFFFFFFFF)
-    pad = np.full(blocks * w, top, np.uint64)
-    pad[:n] = h
-    grid = pad.reshape(blocks, w)
-    idx = np.arange(blocks * w, dtype=np.int64).reshape(blocks, w)
-
-    pre = np.minimum.accumulate(grid, axis=1)
-    new = np.ones_like(grid, dtype=bool)
-    new[:, 1:] = grid[:, 1:] < pre[:, :-1]
-    pre_i = np.maximum.accumulate(np.where(new, idx, 0), axis=1)
-
-    rev = grid[:, ::-1]
-    suf = np.minimum.accumulate(rev, axis=1)
-    new[:, 1:] = rev[:, 1:] <= suf[:, :-1]  # ties go to the left
-    new[:, 0] = True
-    back = idx[:, ::-1]
-    suf_i = np.minimum.accumulate(np.where(new, back, np.iinfo(np.int64).max), axis=1)[:, ::-1].ravel()
-    suf = suf[:, ::-1].ravel()
-    pre, pre_i = pre.ravel(), pre_i.ravel()
-    a = np.arange(m)
-    left, right = suf[a], pre[a + w - 1]
-    return np.where(left <= right, suf_i[a], pre_i[a + w - 1])
+    if len(h) >= 1 << POSITION_BITS:
+        raise ValueError("chunk too long for packed positions")
+    low = _U((1 << POSITION_BITS) - 1)
+    packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    return (sliding_min(packed, w) & low).astype(np.int64)
