@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, sharding, suffix_dedup, topk, window_dedup
+from . import minhash, mixing, packing, sharding, simhash, suffix_dedup, topk, window_dedup
 from .common import prepare
 
 
@@ -117,3 +117,8 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare(_table(spark, sf_dir, "documents"))
