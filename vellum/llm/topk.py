@@ -6,9 +6,11 @@ has a one-sided contribution: lists that agree with the sign of the query's
 weight add up to ``|q| * max|w|``, the others add at most 0. Per query, lists
 are sorted by that bound; the longest run of weak lists whose bounds sum to
 less than the current k-th score is non-essential. Only essential lists are
-traversed; the other lists are probed, strongest first, for the rows that are
-still competitive under the bounds that remain. Ties are kept competitive, so
-equal scores always resolve to the smaller id. Each (query block, shard) pair
+traversed; the other lists, and those that can only lower a score, are probed,
+strongest first, for the rows that are still competitive under the bounds that
+remain. Ties are kept competitive, so equal scores always resolve to the
+smaller id. A list that covers much of its shard is kept as one weight per
+row, any other as (row, weight) pairs. Each (query block, shard) pair
 is one bounded task group; its k best are merged per query by a window.
 
 The query set is a parameter: queries against all rows, in blocks.
@@ -25,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 8192
-QUERY_BLOCK = 512
+SHARD_ROWS = 16384
+QUERY_BLOCK = 2048
+#: A list over more than this share of the shard's rows is kept dense.
+DENSE = 1 / 16
+#: Lists probed between two prunings.
+PRUNE_EVERY = 4
 
 
 def quantise(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -57,20 +63,34 @@ class Shard:
         row = place[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
         term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
         weight = np.concatenate(weights) if weights else np.zeros(0, np.int64)
-        self.lists: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, int]] = {}
+        self.lists: dict[tuple[int, bool], tuple[np.ndarray | None, np.ndarray, int]] = {}
         key = term * 2 + (weight > 0)
         by = np.lexsort((row, key))
         key, row, weight = key[by], row[by], weight[by]
         cut = np.flatnonzero(np.diff(key, prepend=-1))
         for s, e in zip(cut, [*cut[1:], len(key)], strict=True):
-            self.lists[int(key[s]) // 2, bool(key[s] & 1)] = (row[s:e], weight[s:e], int(np.abs(weight[s:e]).max()))
+            at, w, most = row[s:e], weight[s:e], int(np.abs(weight[s:e]).max())
+            w = w.astype(np.int32) if most < 1 << 31 else w
+            if e - s > DENSE * len(ids):
+                every = np.zeros(len(ids), w.dtype)
+                every[at] = w
+                at, w = None, every
+            self.lists[int(key[s]) // 2, bool(key[s] & 1)] = (at, w, most)
 
     def probe(self, term: int, positive: bool, rows: np.ndarray) -> np.ndarray:
         """Weights of ``rows`` (sorted) in one list, 0 where absent."""
         at, weight, _ = self.lists[term, positive]
+        if at is None:
+            return weight[rows]
         i = np.minimum(np.searchsorted(at, rows), len(at) - 1)
         return np.where(at[i] == rows, weight[i], 0)
 
+    def strongest(self, term: int, positive: bool, n: int) -> np.ndarray:
+        at, weight, _ = self.lists[term, positive]
+        size = np.abs(weight)
+        best = np.argpartition(-size, n)[:n] if len(size) > n else np.flatnonzero(size)
+        return best if at is None else at[best]
+
     def score(self, query: list[tuple[int, int]], rows: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rows), np.int64)
         for t, q in query:
@@ -85,15 +105,17 @@ class Shard:
         if not free.any():
             return []
         gain = sorted((abs(q) * self.lists[t, q > 0][2], t, q) for t, q in query if (t, q > 0) in self.lists)
-        loss = [(t, q) for t, q in query if (t, q < 0) in self.lists]
-        seeds = np.flatnonzero(free)[:k]
-        if gain:  # rows with the strongest weights of the strongest list
-            at, w, _ = self.lists[gain[-1][1], gain[-1][2] > 0]
-            best = at[np.argsort(-np.abs(w), kind="stable")[:8 * k]]
-            seeds = np.unique(np.concatenate([seeds, best[free[best]]]))
-        scores = np.sort(self.score(query, seeds))
-        enough = len(scores) >= k
-        floor = int(scores[-k]) if enough else 0
+        loss = [(abs(q) * self.lists[t, q < 0][2], t, q) for t, q in query if (t, q < 0) in self.lists]
+        # narrow sums where no score can overflow them
+        kind = np.int32 if sum(g[0] for g in gain) + sum(x[0] for x in loss) < 1 << 31 else np.int64
+        seeds = [np.flatnonzero(free)[:k]]
+        for _, t, q in gain[-4:]:  # rows with the strongest weights of the strongest lists
+            best = self.strongest(t, q > 0, 16 * k)
+            seeds.append(best[free[best]])
+        rows = np.unique(np.concatenate(seeds))
+        got = self.score(query, rows)
+        enough = len(got) >= k
+        floor = int(np.partition(got, -k)[-k]) if enough else 0
         bounds = np.cumsum([0] + [g[0] for g in gain])  # bounds[i]: of the i weakest lists
         weak = int(np.searchsorted(bounds, floor, side="left")) - 1 if enough and floor > 0 else -1
         if weak < 0:  # every row may compete: nothing can be left out
@@ -101,23 +123,26 @@ class Shard:
             got = self.score(query, rows)
         else:
             weak = min(weak, len(gain))
-            acc = np.zeros(len(self.ids), np.int64)
-            hit = np.zeros(len(self.ids), bool)
+            acc = np.zeros(len(self.ids), kind)  # essential lists only add
             for _, t, q in gain[weak:]:
                 at, w, _ = self.lists[t, q > 0]
-                acc[at] += q * w
-                hit[at] = True
-            rows = np.flatnonzero(hit & free & (acc + bounds[weak] >= floor))
+                if at is None:
+                    acc += np.multiply(w, q, dtype=kind)
+                else:
+                    acc[at] += np.multiply(w, q, dtype=kind)
+            rest = int(bounds[weak])
+            rows = np.flatnonzero((acc > 0) & free & (acc + rest >= floor))
             got = acc[rows]
-            for i in range(weak - 1, -1, -1):
-                _, t, q = gain[i]
-                got = got + q * self.probe(t, q > 0, rows)
-                alive = got + bounds[i] >= floor
-                rows, got = rows[alive], got[alive]
-            for t, q in loss:
-                got = got + q * self.probe(t, q < 0, rows)
-                alive = got >= floor
-                rows, got = rows[alive], got[alive]
+            others = sorted([(*g, True) for g in gain[:weak]] + [(*x, False) for x in loss], reverse=True)
+            for n, (bound, t, q, adds) in enumerate(others, 1):
+                got = got + np.multiply(self.probe(t, (q > 0) == adds, rows), q, dtype=kind)
+                rest -= bound * adds
+                if n % PRUNE_EVERY == 0 or n == len(others):
+                    alive = got >= floor - rest
+                    rows, got = rows[alive], got[alive]
+        if len(got) > k:  # rows below the k-th score cannot be among the k best
+            alive = got >= np.partition(got, -k)[-k]
+            rows, got = rows[alive], got[alive]
         best = np.lexsort((self.ids[rows], -got))[:k]
         return [(int(self.ids[rows[i]]), int(got[i])) for i in best]
 
