@@ -3,7 +3,8 @@
 A document is the set of its ``k``-word shingles (A-Z lower-cased). One hash
 per shingle picks a bucket; a bucket keeps its minimum compressed to five
 bits of leading zeros and eleven bits of mantissa behind them. ``ROWS``
-registers of ``BUCKETS`` make a band; documents with an equal band are
+registers of ``BUCKETS`` make a band (empty buckets borrow from full ones,
+``densified``); documents with an equal band are
 candidates (a pair at similarity 0.8 misses all bands with probability
 below 1e-8, at 0.85 below 1e-12). The steps:
 
@@ -88,6 +89,27 @@ def registers(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return out.reshape(n_docs, BUCKETS)
 
 
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Empty buckets take the register of a full one, looked for in an order
+    that depends on the bucket only (optimal densification): every register
+    then agrees with the chance of a common minimum, also for short texts.
+    Rows without any register stay empty."""
+    out = regs.ravel().copy()
+    some = (regs != EMPTY).any(axis=1)
+    todo = np.flatnonzero((regs == EMPTY).ravel() & np.repeat(some, BUCKETS))
+    base = todo // BUCKETS * BUCKETS
+    flat = regs.ravel()
+    attempt = 0
+    while len(todo):
+        attempt += 1
+        step = (textops.mix(np.arange(BUCKETS, dtype=np.uint64), 1000 + attempt) % _U(BUCKETS)).astype(np.int64)
+        got = flat[base + step[todo - base]]
+        hit = got != EMPTY
+        out[todo[hit]] = got[hit]
+        todo, base = todo[~hit], base[~hit]
+    return out.reshape(regs.shape)
+
+
 def collision(sizes: np.ndarray) -> np.ndarray:
     """Chance that two different minima share a register, for every pair of
     set sizes: equal leading zeros times an equal mantissa."""
@@ -145,13 +167,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         uid = b.column(0).to_numpy()
-        regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(len(uid), BUCKETS // ROWS, ROWS)
-        some = (regs != EMPTY).any(axis=2)
+        regs = densified(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(len(uid), BUCKETS))
+        regs = regs.reshape(len(uid), BUCKETS // ROWS, ROWS)
         key = np.zeros(regs.shape[:2], np.uint64)
         for r in range(ROWS):
             key = textops.mix(key ^ regs[:, :, r].astype(np.uint64), r)
         key = textops.mix(key + np.arange(regs.shape[1], dtype=np.uint64)[None, :], 99)
-        key, who = key[some], np.broadcast_to(uid[:, None], some.shape)[some]
+        key, who = key.ravel(), np.repeat(uid, regs.shape[1])
         order = np.lexsort((who, key))
         key, who = key[order], who[order]
         first = np.ones(len(key), bool)
