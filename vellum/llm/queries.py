@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity, window_dedup
+from . import licenses, minhash, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity, window_dedup
 from .common import prepare
 
 
@@ -61,6 +61,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["family"]))), ",").alias("families"),
+        F.transform("notices", lambda x: x["paragraph"]).alias("paragraphs"))
+
+
 @query("op4_mix_sources", sql=r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
