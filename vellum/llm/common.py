@@ -42,7 +42,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if integral:
         repeated = docs.groupBy(ident.alias("_id")).count().filter("_id IS NULL OR count > 1")
         if repeated.isEmpty():
-            return out.select(F.col("_id").cast("long").alias("_uid"), "_text", "_row")
+            return out.select(F.col("_id").cast("long").alias("_uid", metadata={"is_id": True}), "_text", "_row")
     tie = [F.sha2(F.coalesce(F.col("_text"), F.lit("")), 256), F.col("_text").isNull(),
            F.xxhash64(F.to_json("_row"))]
     ranked = with_global_index(out.select("*", *[t.alias(f"_t{i}") for i, t in enumerate(tie)]),
@@ -50,6 +50,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return ranked.select("_uid", "_text", "_row")
 
 
+def is_id(rows: DataFrame) -> bool:
+    """Whether ``_uid`` of keyed rows is the id itself."""
+    return bool(rows.schema["_uid"].metadata.get("is_id"))
+
+
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written once to the session's shared checkpoint folder and read
     back: later uses neither recompute it nor depend on a live executor."""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import keyed, staged
+from .common import is_id, keyed, staged
 from .graph import components
 
 BUCKETS = 240
@@ -317,6 +317,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     id reachable), ``kept`` (it names its component)."""
     rows = keyed(docs, id_col, text_col)
     found = classes(rows, k, num, den)
+    if is_id(rows):
+        kind = docs.schema[id_col].dataType
+        return found.select(F.col("uid").cast(kind).alias(id_col), F.col("n").alias("n_shingles"),
+                            F.col("component").cast(kind).alias("component_id"),
+                            (F.col("component") == F.col("uid")).alias("kept"))
     ids = rows.select(F.col("_uid"), F.col("_row").getField(id_col).alias("_id"))
     own = found.join(ids, F.col("uid") == F.col("_uid")).select("uid", "n", "component", "_id")
     names = ids.select(F.col("_uid").alias("_c"), F.col("_id").alias("_name"))
