@@ -97,11 +97,29 @@ def test_grouped_exact_quantiles_hot_and_normal_groups(spark):
     rows = [("hot", float((i * 7919) % 1000)) for i in range(3000)] + [("a", float(i)) for i in range(10)] + \
            [(None, 5.0), (None, 7.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    out = {r.g: (r.q0, r.q1) for r in grouped_exact_quantiles(df, "g", "v", [0.5, 0.9], hot_rows=100).collect()}
+    out = {r.g: (r.q0, r.q1) for r in grouped_exact_quantiles(df, "g", "v", [0.5, 0.9]).collect()}
     for key in ("hot", "a", None):
         vals = [v for g, v in rows if g == key]
         assert out[key][0] == np.median(vals)
-        assert out[key][1] == pytest.approx(np.percentile(vals, 90))
+        assert out[key][1] == np.percentile(vals, 90)
+
+
+def test_quantiles_with_infinities_and_wide_ranges(spark):
+    import numpy as np
+    from vellum.operators.quantiles import exact_quantiles, grouped_exact_quantiles
+    rng = np.random.default_rng(4)
+    columns = {"inf": [*rng.normal(size=5000), float("inf")], "both": [*range(3000), *[float("inf"), float("-inf")] * 800],
+               "wide": [*(10.0 ** rng.uniform(-300, 300, 3000)), -1.7e308, 1.7e308], "only": [float("inf")] * 5}
+    for name, vals in columns.items():
+        df = spark.createDataFrame([(float(v),) for v in vals] + [(None,), (float("nan"),)], "v double")
+        ranks = np.sort(np.array(vals, float))
+        got = exact_quantiles(df, ["v"], [0.0, 0.25, 0.75, 1.0])["v"]
+        odd = len(vals) % 4 == 1  # the quartiles are values themselves
+        if odd:
+            assert got == [ranks[0], ranks[(len(ranks) - 1) // 4], ranks[3 * (len(ranks) - 1) // 4], ranks[-1]]
+        assert got[0] == ranks[0] and got[-1] == ranks[-1]
+        row = grouped_exact_quantiles(df.selectExpr("1 AS g", "v"), "g", "v", [0.0, 1.0]).first()
+        assert (row.q0, row.q1) == (ranks[0], ranks[-1])
 
 
 def test_trend_change_fires_on_a_jump(spark):

@@ -90,15 +90,18 @@ def test_bad_custom_sql_is_an_error_row(spark, sample):
     assert r["bad"].status == "error" and r["ok"].violation_count == 2
 
 
-def test_long_enum_list_uses_anti_join(spark, monkeypatch):
+def test_enum_lists_of_any_length_agree(spark):
     df = spark.createDataFrame([("a",), ("b",), ("z",), (None,), ("z",)], "c string")
-    rule = [{"rule_name": "e", "rule_type": "enum_values", "column_name": "c", "rule_parameters": {"allowed": ["a", "b"]}}]
-    short = quality.run_quality_checks(df, rule).first()
-    monkeypatch.setattr(quality, "ENUM_JOIN_THRESHOLD", 1)
-    long = quality.run_quality_checks(df, rule).first()
-    assert (short.violation_count, short.sample_failures) == (long.violation_count, long.sample_failures) == (2, ["z"])
-    good, bad = quality.split(df, rule)
-    assert good.count() == 3 and [r.failed_rules for r in bad.collect()] == [["e"], ["e"]]
+    numbers = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (-5.0,)], "c double")
+    for extra in (0, 10_001):
+        rule = [{"rule_name": "e", "rule_type": "enum_values", "column_name": "c",
+                 "rule_parameters": {"allowed": ["a", "b", *[f"v{i}" for i in range(extra)]]}}]
+        r = quality.run_quality_checks(df, rule).first()
+        assert (r.violation_count, r.sample_failures) == (2, ["z"])
+        good, bad = quality.split(df, rule)
+        assert good.count() == 3 and [x.failed_rules for x in bad.collect()] == [["e"], ["e"]]
+        rule[0]["rule_parameters"]["allowed"] = [1.0, 2.0, *[float(i) for i in range(3, 3 + extra)]]
+        assert quality.run_quality_checks(numbers, rule).first().violation_count == 1  # NaN is missing
 
 
 def test_one_hot_vectors(spark):

@@ -76,10 +76,37 @@ def test_document_filter_pushdown(spark, tmp_path):
 
 
 def test_run_sql(spark):
-    from vellum.plans.sql import broadcast_if_small, run_sql
+    from vellum.plans.sql import run_sql
     with pytest.raises(ValueError):
         run_sql(spark, "   ")
     run_sql(spark, "CREATE OR REPLACE TEMP VIEW v_small AS SELECT id FROM range(10)")
     assert run_sql(spark, "SELECT count(*) AS n FROM v_small WHERE id > :lo", {"lo": 4}).first().n == 5
-    small = spark.range(5)
-    assert broadcast_if_small(small, 10) is not small and broadcast_if_small(small, 3) is small
+
+
+def test_find_returns_every_match(spark):
+    df = spark.range(150_000).selectExpr("id AS _id", "id AS v")
+    assert docs.find(df, {"v": {"$gte": 0}}).count() == 150_000
+    assert docs.find(df, {}, limit=0).count() == 0
+
+
+def test_first_and_last_follow_the_sort(spark):
+    df = spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("a", 3, "y"), ("b", 5, "z"), ("b", None, "n")],
+                               "g string, o int, v string").repartition(3)
+    for way, first, last in ((1, {"a": "x", "b": "n"}, {"a": "y", "b": "z"}), (-1, {"a": "y", "b": "z"}, {"a": "x", "b": "n"})):
+        out = docs.aggregate(df, [{"$sort": {"o": way}},
+                                  {"$group": {"_id": "$g", "f": {"$first": "$v"}, "l": {"$last": "$v"}}}], drop_id=False)
+        rows = {r["_id"]: (r["f"], r["l"]) for r in out.collect()}
+        assert rows == {k: (first[k], last[k]) for k in first}
+    with pytest.raises(ValueError):
+        docs.aggregate(df, [{"$sort": {"o": 1, "v": -1}}, {"$group": {"_id": "$g", "f": {"$first": "$v"}}}])
+
+
+def test_nested_unwind_and_lookup_then_unwind(spark):
+    df = spark.createDataFrame([(1, ([1, 2], "p")), (2, ([], "q"))], "_id int, d struct<xs: array<int>, t: string>")
+    out = docs.aggregate(df, [{"$unwind": "$d.xs"}], drop_id=False)
+    assert sorted((r["_id"], r["d"]["xs"], r["d"]["t"]) for r in out.collect()) == [(1, 1, "p"), (1, 2, "p")]
+    other = spark.createDataFrame([(1, "one"), (1, "uno")], "k int, n string")
+    for keep, n in ((False, 2), (True, 3)):
+        out = docs.aggregate(df, [{"$lookup": {"from": "o", "localField": "_id", "foreignField": "k", "as": "m"}},
+                                  {"$unwind": {"path": "$m", "preserveNullAndEmptyArrays": keep}}], {"o": other})
+        assert out.count() == n

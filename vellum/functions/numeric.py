@@ -46,6 +46,21 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 
 
+def number_text(c: Column) -> Column:
+    """A double as Python writes it: plain digits from 1e-4 up to 1e16, else
+    ``1.5e+16`` / ``1e-05``."""
+    size = F.abs(c)
+    plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    text = c.cast("string")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1)
+    sign, digits = F.when(power.startswith("-"), "-").otherwise("+"), F.regexp_replace(power, "^-", "")
+    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), F.lit("0")))
+    return (F.when((size >= 1e7) & (size < 1e16) | (size >= 1e-4) & (size < 1e-3), plain)
+            .when(F.isnan(c), "nan").when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+            .when(text.contains("E"), scientific).otherwise(text))
+
+
 def to_number(c: Column, dt: T.DataType | None = None) -> Column:
     """``pd.to_numeric(errors='coerce')`` as a double column."""
     if dt is not None and is_numeric_type(dt):

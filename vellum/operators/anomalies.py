@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from vellum.functions.numeric import is_datetime_type, nan_to_null
 from vellum.operators import ordered
-from vellum.operators.common import col
+from vellum.operators.common import col, present
 from vellum.operators.profile import numeric_columns
 from vellum import texts
 
@@ -128,7 +128,7 @@ def snapshot_drift(current: DataFrame, previous: DataFrame) -> DataFrame:
         for c in common:
             mean = F.avg(_num(df, c)) if c in nums else F.lit(None).cast("double")
             items.append(F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("rows"), mean.alias("mean"),
-                                  (F.count_if(col(c).isNull()) / F.count(F.lit(1))).alias("null_share")))
+                                  (F.count_if(present(df, c).isNull()) / F.count(F.lit(1))).alias("null_share")))
         return df.agg(F.array(*items).alias("s")).select(F.inline("s"))
 
     a, b = stats(current).alias("a"), stats(previous).alias("b")

@@ -29,6 +29,12 @@ def dtype(df: DataFrame, name: str) -> T.DataType:
     raise KeyError(f"Column '{name}' not found in DataFrame.")
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """A column with NaN as null, the one meaning of "missing" in this library."""
+    c = col(name)
+    return F.when(~F.isnan(c), c) if isinstance(dtype(df, name), (T.FloatType, T.DoubleType)) else c
+
+
 def as_list(v) -> list:
     if v is None:
         return []
@@ -43,8 +49,9 @@ def replace_column(df: DataFrame, name: str, expr: Column) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, key: list | None = None) -> DataFrame:
-    """``n`` rows chosen by a seeded hash of ``key`` (all columns by default):
-    repeatable, and computed as a top-k (each partition keeps its n smallest
-    hashes), with no full sort and no driver round trip."""
-    cols = [col(c) for c in (key or df.columns)]
-    return df.withColumn("__h", F.xxhash64(F.lit(seed), *cols)).orderBy("__h").limit(n).drop("__h")
+    """``n`` rows chosen by a seeded hash (md5 of the seed and the key's texts):
+    repeatable on any engine, and computed as a top-k (each partition keeps
+    its n smallest hashes), with no full sort and no driver round trip."""
+    cols = [F.coalesce(col(c).cast("string"), F.lit("")) for c in (key or df.columns)]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *cols))
+    return df.withColumn("__h", digest).orderBy("__h", *[col(c) for c in (key or [])]).limit(n).drop("__h")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.operators.common import col
+from vellum.operators.common import col, present
 from vellum.operators.quantiles import exact_quantiles
 from vellum import texts
 
@@ -30,7 +30,11 @@ def median_column(logic: str) -> str | None:
     return m.group(2) if m and m.group(1).lower() == "median" else None
 
 
-def kpi_expression(logic: str, exact: bool = True) -> Column:
+def _missing_nan(df: DataFrame | None, name: str) -> Column:
+    return present(df, name) if df is not None and name in df.columns else col(name)
+
+
+def kpi_expression(logic: str, df: DataFrame | None = None) -> Column:
     """Aggregate Column for a KPI's logic: ``count``, ``count_unique 'c'``,
     ``sum 'c'``, ``mean 'c'``, ``median 'c'`` (approximate here; the exact
     median is computed by ``calculate_kpis``), else a SQL aggregate expression."""
@@ -42,7 +46,7 @@ def kpi_expression(logic: str, exact: bool = True) -> Column:
     m = _SIMPLE.match(text)
     if m:
         fn, c = m.group(1).lower(), m.group(2)
-        x = col(c)
+        x = _missing_nan(df, c)
         if fn == "count_unique":
             return F.count_distinct(x).cast("double")
         if fn == "sum":
@@ -57,7 +61,7 @@ def calculate_kpis(df: DataFrame, kpis: list[dict], exact: bool = True) -> DataF
     """``name, value`` for every KPI definition (dicts with ``name``,
     ``calculation_logic`` and optional ``calculation_type`` = 'sql')."""
     spark = df.sparkSession
-    exprs, names = [], []
+    exprs, names, medians = [], [], []
     for k in kpis:
         name = k.get("name", "Unknown KPI")
         logic = k.get("calculation_logic", "")
@@ -68,10 +72,10 @@ def calculate_kpis(df: DataFrame, kpis: list[dict], exact: bool = True) -> DataF
             elif median_column(logic) and exact:
                 c = median_column(logic)
                 df.select(col(c)).schema  # an unknown column is a null KPI, not an abort
-                # exact median by distributed selection, then a value
-                e = F.lit(exact_quantiles(df, [c], [0.5])[c][0]).cast("double")
+                medians.append((len(exprs), c))
+                e = F.lit(None).cast("double")
             else:
-                e = kpi_expression(logic)
+                e = kpi_expression(logic, df)
                 df.agg(e).schema  # resolve now: bad logic becomes a null value
         except Exception as err:  # noqa: BLE001 - any failure is a null KPI, as in the reference
             log.warning("Failed to calculate KPI '%s': %s", name, str(err).splitlines()[0])
@@ -80,6 +84,10 @@ def calculate_kpis(df: DataFrame, kpis: list[dict], exact: bool = True) -> DataF
         exprs.append(e.alias(f"k{len(exprs)}"))
     if not exprs:
         return spark.createDataFrame([], "name STRING, value DOUBLE")
+    if medians:  # the exact medians of all KPIs by one distributed selection
+        solved = exact_quantiles(df, list(dict.fromkeys(c for _, c in medians)), [0.5])
+        for i, c in medians:
+            exprs[i] = F.lit(solved[c][0]).cast("double").alias(f"k{i}")
     wide = df.agg(*exprs)
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"k{i}").cast("double").alias("value"))
                       for i, n in enumerate(names)])
@@ -165,8 +173,12 @@ KPI_SCHEMA = T.StructType([
 
 
 def upsert(definitions: DataFrame, updates: DataFrame) -> DataFrame:
-    """Define or overwrite KPIs by (project_id, name): the new row wins whole."""
-    keys = ["project_id", "name"]
+    """Define or overwrite KPIs by (project_id, name): the new row wins whole.
+    Two updates of one KPI are a conflict: the job fails and names the KPI."""
+    clash = F.concat(F.lit("Several updates of one KPI: "), F.col("name"))
+    updates = updates.groupBy("project_id", "name").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in updates.columns if c not in ("project_id", "name")]) \
+        .filter(F.when(F.col("_n") > 1, F.raise_error(clash).cast("boolean")).otherwise(F.lit(True))).drop("_n")
     old = definitions.alias("o")
     new = updates.alias("n")
     cond = F.col("o.name") == F.col("n.name")

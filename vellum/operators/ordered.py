@@ -44,6 +44,23 @@ def with_global_index(df: DataFrame, order_cols: list, idx: str = "idx",
             .drop("_pid", "_pos", "_off"))
 
 
+def running_total(df: DataFrame, order_cols: list, value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows up to this one in the
+    order of ``order_cols`` (a total order). Sums run inside range partitions;
+    what earlier partitions add comes from a table of one row per partition."""
+    checkpoint_dir(df.sparkSession)
+    tagged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    total, rows = 0, []
+    for r in sorted(tagged.groupBy("_pid").agg(F.sum(value).alias("_sum")).collect()):  # one row per partition
+        rows.append((r["_pid"], total))
+        total += r["_sum"]
+    offsets = df.sparkSession.createDataFrame(rows, "_pid int, _off long")
+    inside = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    return (tagged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_off") + F.sum(value).over(inside)).drop("_pid", "_off"))
+
+
 def halo_buckets(indexed: DataFrame, halo: int, idx: str = "idx", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows with ``_bucket`` and ``_halo``; window by ``_bucket`` ordered by ``idx``."""
     if halo >= bucket_rows:
@@ -68,6 +85,7 @@ def rolling(df: DataFrame, value: str, order_cols: list, window: int = 5, partit
     window per key (one task per key)."""
     out = out or f"{value}_rolling_mean"
     x = F.col(value).cast("double")
+    x = F.when(~F.isnan(x), x)  # NaN is missing
     keys = list(partition_by or [])
     if strategy == "window" and keys:
         w = Window.partitionBy(*keys).orderBy(*order_cols)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.numeric import is_datetime_type, is_numeric_type, is_string_type, nan_to_null
-from vellum.operators.common import col, seeded_sample
+from vellum.operators.common import col, present, seeded_sample
 from vellum.operators.quantiles import exact_quantiles
 
 
@@ -120,7 +120,7 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def unique_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     fn = F.count_distinct if exact else (lambda x: F.approx_count_distinct(x, 0.01))
-    structs = {c: F.struct(fn(col(c)).cast("long").alias("unique_count")) for c in df.columns}
+    structs = {c: F.struct(fn(present(df, c)).cast("long").alias("unique_count")) for c in df.columns}
     return _long(df, structs)
 
 

@@ -13,9 +13,17 @@ fine for thousands of distinct values, not for a column of a 100 TB table.
 3. once a bracket holds at most ``fetch_limit`` rows, its distinct values
    with their counts are fetched and the ranks read off directly.
 
-Every pass is a grouped count combined map-side; what reaches the driver
-is bounded by brackets x ``bins`` (histograms) or ``fetch_limit``
-(values). The results equal numpy's quantiles (linear interpolation).
+Infinities are counted first and answered from their counts; brackets hold
+finite values only, and every round makes a bracket at least ``bins`` times
+narrower, so rounds end without a cap. Every pass is a grouped count combined
+map-side; what reaches the driver is bounded by brackets x ``bins``
+(histograms) or ``fetch_limit`` (values). The results equal numpy's quantiles
+(linear interpolation).
+
+``grouped_exact_quantiles`` needs no driver at all: distinct values are
+counted per group, sorted by range and numbered by running totals, and every
+group reads its ranks off the sorted table. One algorithm serves groups of
+any size.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.common import col
+from vellum.operators.ordered import running_total
 
 
 @dataclass
@@ -38,7 +47,6 @@ class _Bracket:
     below: int            # rows of the column with value < lo
     inside: int           # rows with lo <= value <= hi
     ranks: set = field(default_factory=set)
-    where: object = None  # optional row condition (a group of a grouped quantile)
 
 
 def _values(df: DataFrame, columns: list[str]):
@@ -54,31 +62,44 @@ def _values(df: DataFrame, columns: list[str]):
 
 def _lerp(a: float, b: float, t: float) -> float:
     """numpy's linear interpolation (the form used by ``np.percentile``)."""
+    if a == b:  # also two infinities, whose difference is no number
+        return a
     d = b - a
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
 def order_statistics(df: DataFrame, columns: list[str], ranks: dict[int, set], counts: list[int],
                      mins: list, maxs: list, bins: int = 1024, fetch_limit: int = 1024,
-                     max_rounds: int = 16, wheres: list | None = None) -> dict[tuple[int, int], float]:
-    """Values at the given 0-based ranks of each column: {(column, rank): value}.
-
-    ``columns`` may repeat a column with a different row condition in
-    ``wheres`` (one entry per column slot), which is how groups are handled."""
+                     ) -> dict[tuple[int, int], float]:
+    """Values at the given 0-based ranks of each column: {(column, rank): value}."""
     xs = _values(df, columns)
-    if wheres:
-        xs = [x if w is None else F.when(w, x) for x, w in zip(xs, wheres)]
     found: dict[tuple[int, int], float] = {}
-    open_ = [_Bracket(i, mins[i], maxs[i], 0, counts[i], set(rs)) for i, rs in ranks.items() if rs and counts[i]]
-    for rnd in range(max_rounds + 1):
-        if not open_:
-            break
+    open_ = []
+    unbounded = [i for i, rs in ranks.items() if rs and counts[i] and (math.isinf(mins[i]) or math.isinf(maxs[i]))]
+    finite = {}
+    if unbounded:
+        inf = F.lit(float("inf"))
+        row = df.agg(*[e.alias(f"{name}{i}") for i in unbounded for name, e in (
+            ("neg", F.count_if(xs[i] == -inf)), ("n", F.count_if(F.abs(xs[i]) < inf)),
+            ("lo", F.min(F.when(F.abs(xs[i]) < inf, xs[i]))), ("hi", F.max(F.when(F.abs(xs[i]) < inf, xs[i]))))]).first()
+        finite = {i: (row[f"neg{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i in unbounded}
+    for i, rs in ranks.items():
+        if not rs or not counts[i]:
+            continue
+        below, inside, lo, hi = finite.get(i, (0, counts[i], mins[i], maxs[i]))
+        for r in rs:
+            if r < below or r >= below + inside:
+                found[(i, r)] = float("-inf") if r < below else float("inf")
+        left = {r for r in rs if below <= r < below + inside}
+        if left:
+            open_.append(_Bracket(i, lo, hi, below, inside, left))
+    while open_:
         settled = [b for b in open_ if b.lo == b.hi]
         for b in settled:
             for r in b.ranks:
                 found[(b.column, r)] = b.lo
         open_ = [b for b in open_ if b.lo != b.hi]
-        fetch = [b for b in open_ if b.inside <= fetch_limit or rnd == max_rounds]
+        fetch = [b for b in open_ if b.inside <= fetch_limit]
         split = [b for b in open_ if b not in fetch]
         nxt: list[_Bracket] = []
         if fetch:
@@ -99,7 +120,11 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[int, set], c
             items = []
             for k, b in enumerate(split):
                 x = xs[b.column]
-                bucket = F.least(F.floor((x - F.lit(b.lo)) / F.lit(b.hi - b.lo) * bins), F.lit(bins - 1)).cast("int")
+                # halves: the width of a bracket over the whole range of doubles is not a double
+                share = (x / 2 - F.lit(b.lo / 2)) / F.lit(b.hi / 2 - b.lo / 2)
+                if b.hi / 2 == b.lo / 2:  # neighbouring numbers next to zero
+                    share = (x - F.lit(b.lo)) / F.lit(b.hi - b.lo)
+                bucket = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
                 items.append(F.when((x >= b.lo) & (x <= b.hi),
                                     F.struct(F.lit(k).alias("k"), bucket.alias("b"), x.alias("v"))))
             rows = (df.select(F.explode(F.array(*items)).alias("s")).filter("s IS NOT NULL")
@@ -153,7 +178,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], median_m
                 continue
             pos = (n - 1) * q
             a, b = found[(i, math.floor(pos))], found[(i, math.ceil(pos))]
-            if q == 0.5 and median_mean and math.floor(pos) != math.ceil(pos):
+            if q == 0.5 and median_mean and a != b:
                 vals.append((a + b) / 2)
             else:
                 vals.append(_lerp(a, b, pos - math.floor(pos)))
@@ -161,49 +186,31 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], median_m
     return out
 
 
-def _interpolate(found, i, n, qs, median_mean):
-    vals = []
-    for q in qs:
-        pos = (n - 1) * q
-        a, b = found[(i, math.floor(pos))], found[(i, math.ceil(pos))]
-        if q == 0.5 and median_mean and math.floor(pos) != math.ceil(pos):
-            vals.append((a + b) / 2)
-        else:
-            vals.append(_lerp(a, b, pos - math.floor(pos)))
-    return vals
-
-
-def grouped_exact_quantiles(df: DataFrame, group: str, column: str, qs: list[float], hot_rows: int = 2_000_000,
-                            median_mean: bool = True, **kw) -> DataFrame:
-    """``group, q0, q1, ...``: exact per-group quantiles that stay skew-safe.
+def grouped_exact_quantiles(df: DataFrame, group: str, column: str, qs: list[float],
+                            median_mean: bool = True) -> DataFrame:
+    """``group, q0, q1, ...``: exact quantiles of every group (null keys are a
+    group; null for a group without values), numpy's linear interpolation;
+    ``median_mean``: q = 0.5 is the mean of the two middle values.
 
-    Groups with at most ``hot_rows`` values use Spark's ``percentile`` (its
-    buffer holds at most that many values, in the task that owns the group);
-    the few larger groups - at most rows / ``hot_rows`` of them - are solved
-    by the counting selection above, all of them in the same passes."""
+    Values are counted per (group, value), range-partitioned by both - so a
+    hot group spreads over many tasks and a hot value is one row - and
+    numbered by running totals."""
     x = _values(df, [column])[0]
-    g = col(group)
-    sizes = df.groupBy(g.alias("_g")).agg(F.count(x).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    hot = sizes.filter(F.col("_n") > hot_rows).collect()
-    names = [f"q{i}" for i in range(len(qs))]
-    arr = F.percentile(x, F.array(*[F.lit(float(q)) for q in qs]))
-    normal = df
-    if hot:
-        keys = df.sparkSession.createDataFrame([(r["_g"],) for r in hot], df.select(g.alias("_g")).schema)
-        normal = df.join(F.broadcast(keys), g.eqNullSafe(F.col("_g")), "left_anti")
-    small = normal.groupBy(g.alias(group)).agg(arr.alias("_q"))
-    small = small.select(group, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    if not hot:
-        return small
-    wheres = [g.eqNullSafe(F.lit(r["_g"])) for r in hot]
-    ranks = {}
-    for i, r in enumerate(hot):
-        n = r["_n"]
-        ranks[i] = {v for q in qs for v in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}
-    found = order_statistics(df, [column] * len(hot), ranks, [r["_n"] for r in hot], [r["_lo"] for r in hot],
-                             [r["_hi"] for r in hot], wheres=wheres, **kw)
-    rows = [(r["_g"], *_interpolate(found, i, r["_n"], qs, median_mean)) for i, r in enumerate(hot)]
-    schema = df.select(g.alias(group)).schema.add("_tmp", "double")
-    fields = [schema[group]] + [T.StructField(n, T.DoubleType()) for n in names]
-    big = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-    return small.unionByName(big)
+    rows = df.select(col(group).alias("_g"), x.alias("_v"))
+    counted = rows.groupBy("_g", "_v").agg(F.count("_v").alias("_n"))  # 0 for missing values: the group stays
+    ends = running_total(counted, ["_g", "_v"], "_n", "_end")
+    per = ends.groupBy("_g").agg(F.min(F.col("_end") - F.col("_n")).alias("_start"), F.sum("_n").alias("_size"))
+    per = per.select(F.col("_g").alias("_k"), "_start", "_size")
+    joined = ends.join(per, F.col("_g").eqNullSafe(F.col("_k")))
+    first, last = F.col("_end") - F.col("_n") - F.col("_start"), F.col("_end") - F.col("_start")
+    aggs, outs = [], []
+    for i, q in enumerate(qs):
+        pos = (F.col("_size") - 1) * F.lit(float(q))
+        for name, rank in ((f"_a{i}", F.floor(pos)), (f"_b{i}", F.ceil(pos))):
+            aggs.append(F.max(F.when((rank >= first) & (rank < last), F.col("_v"))).alias(name))
+        aggs.append(F.max(pos - F.floor(pos)).alias(f"_t{i}"))
+        a, b, t = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")
+        lerp = F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+        value = (a + b) / 2 if q == 0.5 and median_mean else lerp
+        outs.append(F.when(a == b, a).otherwise(value).alias(f"q{i}"))
+    return joined.groupBy("_g").agg(*aggs).select(F.col("_g").alias(group), *outs)

@@ -258,7 +258,12 @@ def seasonal_ar(df: DataFrame, periods: int, season: int = 12, freq: str = "D",
         yn = F.element_at(acc["buf"], 1) + dn
         return F.struct(dn.alias("d"), F.concat(F.slice(acc["buf"], 2, season - 1), F.array(yn)).alias("buf"))
 
-    fc = F.element_at(F.aggregate(F.sequence(F.lit(1), F.col("h")), init, step)["buf"], -1)
+    # no forecast without a full season and a fitted model: an error for one
+    # series, null for the short ones among many
+    enough = (F.size("_buf") >= season) & F.col("_phi").isNotNull() & F.col("_dT").isNotNull()
+    short = F.lit(None).cast("double") if keys else \
+        F.raise_error(F.lit(f"The series is too short for a season of {season}.")).cast("double")
+    fc = F.when(enough, F.element_at(F.aggregate(F.sequence(F.lit(1), F.col("h")), init, step)["buf"], -1)).otherwise(short)
     band = Z80 * F.col("_sigma") * F.sqrt(F.col("h").cast("double"))
     fut = fut.select(*keys, ds, fc.alias("forecast"), (fc - band).alias("lower"), (fc + band).alias("upper"))
     hist = df.select(*keys, ds, F.col(y).alias("history"))
@@ -289,15 +294,16 @@ def per_series(df: DataFrame, keys: list, fn, schema) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def resolve_freq(series: DataFrame, keys=(), ds: str = "ds") -> str:
-    """The frequency shared by all series: inferred, else ``D``; a series with
-    fewer than 3 timestamps cannot be inferred (ValueError, as the reference).
-    Only the distinct inferred values reach the driver."""
-    found = (infer_freq(series, keys, ds).groupBy("freq").agg(F.min("points").alias("fewest")).collect())
-    if any(r["fewest"] < 3 for r in found):
-        raise ValueError("Frequency inference needs at least 3 timestamps per series.")
-    freqs = {r["freq"] for r in found}
-    return freqs.pop() if len(freqs) == 1 and None not in freqs else "D"
+def series_freqs(series: DataFrame, keys=(), ds: str = "ds") -> DataFrame:
+    """``keys..., freq`` of every series: inferred, else ``D``. A lone series with
+    fewer than 3 timestamps cannot be inferred (ValueError); among many such a
+    series counts as daily and leaves the others alone."""
+    found = infer_freq(series, keys, ds)
+    if not keys:
+        points = found.agg(F.max("points")).first()[0]
+        if points is None or points < 3:
+            raise ValueError("A frequency needs three timestamps or more.")
+    return found.select(*keys, F.coalesce("freq", F.lit("D")).alias("freq"))
 
 
 def generate_forecast(df: DataFrame, time_col: str, target_col: str, periods: int = 30, freq: str | None = None,
@@ -310,7 +316,19 @@ def generate_forecast(df: DataFrame, time_col: str, target_col: str, periods: in
         raise ValueError(f"Unsupported model: {model_name}. Choose one of {list(MODELS)}.")
     series = prepare(df, time_col, target_col, keys)
     if freq is None:
-        freq = resolve_freq(series, keys)
+        found = series_freqs(series, keys)
+        kinds = sorted(r["freq"] for r in found.select("freq").distinct().collect())  # a dozen names at most
+        out = None
+        for kind in kinds:  # every series on its own grid
+            part = series.join(found.filter(F.col("freq") == kind), list(keys), "left_semi") \
+                if keys and len(kinds) > 1 else series
+            done = _forecast(part, periods, kind, model_name, keys)
+            out = done if out is None else out.unionByName(done)
+        return out if out is not None else _forecast(series, periods, "D", model_name, keys)
+    return _forecast(series, periods, freq, model_name, keys)
+
+
+def _forecast(series: DataFrame, periods: int, freq: str, model_name: str, keys) -> DataFrame:
     grid = fill_gaps(asfreq(series, freq, keys), keys)
     if model_name == "prophet":
         return trend_weekly(grid, periods, freq, keys)

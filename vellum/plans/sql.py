@@ -4,7 +4,6 @@ here Spark parses, optimises and runs it)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def run_sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
@@ -13,13 +12,3 @@ def run_sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFra
     if not text or not text.strip():
         raise ValueError("SQL query cannot be empty.")
     return spark.sql(text, args=args) if args else spark.sql(text)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Mark ``df`` for broadcast only when its row count is at most ``max_rows``.
-
-    The count is one cheap job on a dimension table; a side above the
-    bound is left to the planner (sort-merge or shuffled hash join, with
-    AQE's runtime choice)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -51,8 +51,10 @@ def get_session(master: str | None = None, app: str = "vellum",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is
-    unset (local tests) a scratch folder is created here.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose
+    driver runs every task (``local``) may get a scratch folder here; on a
+    cluster executors would each write to their own disk, so an unset folder
+    is an error.
     """
     try:
         sc = spark.sparkContext
@@ -63,6 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         conf_dir = tempfile.mkdtemp(prefix="vellum-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

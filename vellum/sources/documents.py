@@ -19,8 +19,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIND_LIMIT = 100_000
-
 
 def _field(path: str) -> Column:
     return F.col(".".join(f"`{p}`" for p in path.split(".")))
@@ -112,15 +110,14 @@ def filter_column(spec: dict | None) -> Column:
 
 
 def find(df: DataFrame, query: dict | None = None, projection: dict | None = None,
-         limit: int | None = FIND_LIMIT) -> DataFrame:
-    """Matching documents without ``_id``; ``limit`` is the reference's
-    find cap (``None`` returns every match)."""
+         limit: int | None = None) -> DataFrame:
+    """Every matching document, without ``_id``; ``limit`` keeps that many."""
     out = df.filter(filter_column(query))
     if projection:
         out = _project(out, projection)
     if "_id" in out.columns:
         out = out.drop("_id")
-    return out.limit(limit) if limit else out
+    return out if limit is None else out.limit(limit)
 
 
 def _project(df: DataFrame, spec: dict) -> DataFrame:
@@ -140,7 +137,18 @@ ACCUMULATORS = {
 }
 
 
-def _group(df: DataFrame, spec: dict) -> DataFrame:
+def _ordered_pick(op: str, value: Column, order: list[tuple[str, int]]) -> Column:
+    """``$first`` / ``$last`` after a ``$sort``: the value at the group's first
+    or last sort key (nulls lowest, as in the document store). The value sits
+    in a struct, so a null value can be picked too."""
+    if len({way >= 0 for _, way in order}) > 1:
+        raise ValueError("$first / $last need one direction for all $sort keys")
+    keys = F.struct(*[x for path, _ in order for x in (_field(path).isNotNull(), _field(path))])
+    pick = F.min_by if (op == "$first") == (order[0][1] >= 0) else F.max_by
+    return pick(F.struct(value.alias("v")), keys)["v"]
+
+
+def _group(df: DataFrame, spec: dict, order: list[tuple[str, int]] | None = None) -> DataFrame:
     key = spec.get("_id")
     if key is None:
         keys = []
@@ -155,6 +163,8 @@ def _group(df: DataFrame, spec: dict) -> DataFrame:
         (op, arg), = acc.items()
         if op == "$count":
             aggs.append(F.count(F.lit(1)).alias(name))
+        elif op in ("$first", "$last") and order:
+            aggs.append(_ordered_pick(op, _value(arg), order).alias(name))
         elif op in ACCUMULATORS:
             aggs.append(ACCUMULATORS[op](_value(arg)).alias(name))
         else:
@@ -172,6 +182,8 @@ def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFram
     """Run the stages; as the reference, ``_id`` is dropped from the result
     (which also drops a ``$group`` key) unless ``drop_id=False``."""
     out = df
+    order: list[tuple[str, int]] = []  # of the last $sort, as long as rows keep it
+    looked_up: set[str] = set()  # already one row per match
     for stage in stages:
         (op, arg), = stage.items()
         if op == "$match":
@@ -182,8 +194,9 @@ def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFram
             for k, v in arg.items():
                 out = out.withColumn(k, _value(v))
         elif op == "$group":
-            out = _group(out, arg)
+            out, order = _group(out, arg, order), []
         elif op == "$sort":
+            order = list(arg.items())
             out = out.orderBy(*[(_field(k).asc() if v >= 0 else _field(k).desc()) for k, v in arg.items()])
         elif op == "$limit":
             out = out.limit(int(arg))
@@ -193,13 +206,22 @@ def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFram
             path = arg if isinstance(arg, str) else arg["path"]
             keep = isinstance(arg, dict) and arg.get("preserveNullAndEmptyArrays")
             name = path.lstrip("$")
+            if name in looked_up:  # $lookup gave one row per match: only rows without one can go
+                out = out if keep else out.filter(_field(name).isNotNull())
+                continue
             fn = F.explode_outer if keep else F.explode
-            out = out.withColumn(name, fn(_field(name)))
+            root, _, rest = name.partition(".")
+            if not rest:
+                out = out.withColumn(name, fn(_field(name)))
+            else:  # inside a struct: explode beside it, then put the element in its place
+                out = out.select("*", fn(_field(name)).alias("__element"))
+                out = out.withColumn(root, F.col(f"`{root}`").withField(rest, F.col("__element"))).drop("__element")
         elif op == "$lookup":
             other = (collections or {})[arg["from"]]
             right = other.select(F.col(f"`{arg['foreignField']}`").alias("_fk"),
                                  F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias(arg["as"]))
             out = out.join(right, _field(arg["localField"]) == F.col("_fk"), "left").drop("_fk")
+            looked_up.add(arg["as"])
         elif op == "$count":
             out = out.agg(F.count(F.lit(1)).alias(arg))
         else:

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.common import present
 from vellum.session import checkpoint_dir
 
 
@@ -57,10 +58,10 @@ def catalog_rows(tables: dict[str, DataFrame], exact: bool = True, profiled_at=N
     for name, df in tables.items():
         distinct = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.01))
         # distinct counts in their own aggregation (one struct-valued scalar subquery)
-        dist = df.select(F.struct(*[distinct(F.col(f"`{f.name}`")).cast("long").alias(f"u{i}")
+        dist = df.select(F.struct(*[distinct(present(df, f.name)).cast("long").alias(f"u{i}")
                                     for i, f in enumerate(df.schema.fields)]).alias("d")).scalar()
         items = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"),
-                          (F.count_if(F.col(f"`{f.name}`").isNull()) / F.count(F.lit(1))).alias("null_share"),
+                          (F.count_if(present(df, f.name).isNull()) / F.count(F.lit(1))).alias("null_share"),
                           dist[f"u{i}"].alias("distinct_count"))
                  for i, f in enumerate(df.schema.fields)]
         parts.append(df.agg(F.array(*items).alias("s")).select(F.lit(name).alias("name"), F.inline("s")))

@@ -4,7 +4,8 @@
   ``foreachBatch``; results are appended keyed by (run, batch), so a
   replayed batch overwrites itself instead of counting twice;
 * ``window_kpi_stream`` (ST2): a KPI per tumbling event-time window with a
-  watermark (append mode: a window is emitted once the watermark passes it);
+  watermark (append mode: a window is emitted once the watermark passes it,
+  so the newest window stays open until later events arrive);
 * ``dedupe_stream`` (ST3): ``dropDuplicatesWithinWatermark`` on a key;
 * ``outlier_stream`` (ST4): rows beyond |z| > 3 of a baseline computed once
   from the static table (two numbers, passed as literals).
@@ -24,22 +25,25 @@ from vellum.operators import quality
 from vellum.sources.sinks import scratch_path
 
 
-def stage_in_time_order(df: DataFrame, ts_col: str, path: str, files: int = 4) -> None:
-    """Write ``df`` as ``files`` parquet files covering consecutive time ranges,
-    one after the other, so a file source sees them arrive in time order."""
-    bounds = df.select(F.percentile_approx(ts_col, [i / files for i in range(1, files)], 10000)).first()[0]
-    edges = [None, *bounds, None]
-    for i in range(files):
-        part = df
-        if edges[i] is not None:
-            part = part.filter(F.col(ts_col) >= F.lit(edges[i]))
-        if edges[i + 1] is not None:
-            part = part.filter(F.col(ts_col) < F.lit(edges[i + 1]))
-        part.coalesce(1).write.mode("append").parquet(path)
+#: Files that each staged time range is written to, in parallel; a
+#: micro-batch reads as many.
+RANGE_FILES = 2
+
+
+def stage_in_time_order(df: DataFrame, ts_col: str, path: str, ranges: int = 4, files: int = RANGE_FILES) -> None:
+    """Write ``df`` as ``ranges`` consecutive time ranges, one after the other,
+    each as ``files`` parquet files written in parallel, so a file source sees
+    them arrive in time order. Rows without a time come with the first range."""
+    bounds = df.select(F.percentile_approx(ts_col, [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
+    place = F.lit(0)
+    for edge in bounds:
+        place = place + F.when(F.col(ts_col) >= F.lit(edge), 1).otherwise(0)
+    for i in range(ranges):
+        df.filter(place == i).repartition(files).write.mode("append").parquet(path)
         time.sleep(1.1)  # distinct modification times order the files
 
 
-def _source(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
+def _source(spark: SparkSession, path: str, schema, max_files: int = RANGE_FILES) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 

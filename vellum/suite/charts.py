@@ -27,7 +27,9 @@ def ch2b(spark, sf):
     return charts.chart_data(spark.table("lineitem"), "line", x="l_quantity", y="l_extendedprice", max_points=10)
 
 
-@query("ch3_scatter_sample")
+@query("ch3_scatter_sample", sql="""
+SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
+ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_orderkey, l_linenumber, l_partkey LIMIT 1000""")
 def ch3(spark, sf):
     return charts.chart_data(spark.table("lineitem"), "scatter", x="l_quantity", y="l_extendedprice",
                              color="l_returnflag", max_points=1000, key=["l_orderkey", "l_linenumber", "l_partkey"])
@@ -89,7 +91,23 @@ def ch8(spark, sf):
                              bins_x=10, bins_y=5)
 
 
-@query("ch9_scatter_3d")
+@query("ch9_line_3d", sql="SELECT l_quantity, l_extendedprice, l_discount FROM lineitem")
+def ch9_line(spark, sf):
+    return charts.chart_data(spark.table("lineitem"), "line_3d", x="l_quantity", y="l_extendedprice", z="l_discount")
+
+
+@query("ch4_pie_nan", rounds={"v": 2, "share": "f"}, sql="""
+WITH o AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders)
+SELECT o_orderpriority, sum(v) AS v, sum(v) / (SELECT sum(v) FROM o) AS share FROM o GROUP BY o_orderpriority""")
+def ch4_nan(spark, sf):
+    o = spark.table("orders").selectExpr("o_orderpriority",
+                                         "CASE WHEN o_orderkey % 7 = 0 THEN double('NaN') ELSE double(o_totalprice) END AS v")
+    return charts.chart_data(o, "pie", x="o_orderpriority", y="v")
+
+
+@query("ch9_scatter_3d", sql="""
+SELECT l_quantity, l_extendedprice, l_discount FROM lineitem
+ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_orderkey, l_linenumber, l_partkey LIMIT 500""")
 def ch9(spark, sf):
     return charts.chart_data(spark.table("lineitem"), "scatter_3d", x="l_quantity", y="l_extendedprice",
                              z="l_discount", max_points=500, key=["l_orderkey", "l_linenumber", "l_partkey"])

@@ -5,7 +5,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vellum.operators import kpi, quality
-from vellum.plans.sql import broadcast_if_small
 from vellum.sources import sinks
 from vellum.suite import query
 from vellum.suite.quality import LI_RULES, NULL_RULES, oracle_rules
@@ -67,7 +66,7 @@ ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10""")
 def jn2(spark, sf):
     o, c, n = spark.table("orders"), spark.table("customer"), spark.table("nation")
     first = n.select(F.min("n_name")).scalar()
-    nat = broadcast_if_small(n.filter(F.col("n_name") == first))
+    nat = n.filter(F.col("n_name") == first)
     j = o.join(c, o.o_custkey == c.c_custkey).join(nat, F.col("c_nationkey") == nat.n_nationkey)
     return (j.select("o_orderkey", "o_orderdate", "c_name", "n_name")
             .orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(10))

@@ -7,7 +7,7 @@ folder under the session's checkpoint directory.
 from pyspark.sql import functions as F
 
 from vellum.operators import kpi, quality
-from vellum.plans.steps import lineage_rows, run_steps
+from vellum.plans.steps import append_lineage, run_steps
 from vellum.sources import sinks
 from vellum.sources.files import read_file, with_source
 from vellum.suite import query
@@ -69,25 +69,37 @@ def snk2(spark, sf):
 LINEAGE_STEPS = [
     {"step_type": "impute_missing", "params": {"column": "o_orderpriority", "strategy": "drop_rows"}},
     {"step_type": "date_extraction", "params": {"column": "o_orderdate", "components": ["year"]}},
+    {"step_type": "numeric_interaction", "params": {"column1": "o_totalprice", "column2": "o_custkey"}},
+    {"step_type": "binning", "params": {"bins": 4, "column": "o_totalprice"}},
+    {"step_type": "categorical_encoding", "params": {"columns": ["o_orderstatus"]}},
     {"step_type": "drop_duplicates", "params": {"subset": ["o_custkey"], "keep": False}},
 ]
 
 
 @query("snk3_lineage", views=["orders_nulls"], sql="""
-SELECT * FROM (VALUES
+SELECT step_no, process_type, step_type, params, new_columns,
+       coalesce(lag(rows_out) OVER (ORDER BY step_no), (SELECT count(*) FROM orders_nulls)) AS rows_in, rows_out FROM (VALUES
  (1, 'cleaning', 'impute_missing', '{"column": "o_orderpriority", "strategy": "drop_rows"}', CAST([] AS VARCHAR[]),
   (SELECT count(*) FROM orders_nulls WHERE o_orderpriority IS NOT NULL)),
  (2, 'feature_engineering', 'date_extraction', '{"column": "o_orderdate", "components": ["year"]}', ['o_orderdate_year'],
   (SELECT count(*) FROM orders_nulls WHERE o_orderpriority IS NOT NULL)),
- (3, 'cleaning', 'drop_duplicates', '{"keep": false, "subset": ["o_custkey"]}', CAST([] AS VARCHAR[]),
+ (3, 'feature_engineering', 'numeric_interaction', '{"column1": "o_totalprice", "column2": "o_custkey"}',
+  ['o_totalprice_mul_o_custkey'], (SELECT count(*) FROM orders_nulls WHERE o_orderpriority IS NOT NULL)),
+ (4, 'feature_engineering', 'binning', '{"bins": 4, "column": "o_totalprice"}', ['o_totalprice_binned_quantile'],
+  (SELECT count(*) FROM orders_nulls WHERE o_orderpriority IS NOT NULL)),
+ (5, 'feature_engineering', 'categorical_encoding', '{"columns": ["o_orderstatus"]}',
+  ['o_orderstatus_F', 'o_orderstatus_O', 'o_orderstatus_P'], (SELECT count(*) FROM orders_nulls WHERE o_orderpriority IS NOT NULL)),
+ (6, 'cleaning', 'drop_duplicates', '{"keep": false, "subset": ["o_custkey"]}', CAST([] AS VARCHAR[]),
   (SELECT count(*) FROM (SELECT o_custkey FROM orders_nulls WHERE o_orderpriority IS NOT NULL GROUP BY o_custkey
                          HAVING count(*) = 1)))
 ) AS t(step_no, process_type, step_type, params, new_columns, rows_out)""")
 def snk3(spark, sf):
     lineage = []
-    out = run_steps(spark.table("orders_nulls"), LINEAGE_STEPS, lineage=lineage)
-    out.write.format("noop").mode("overwrite").save()
-    return lineage_rows(spark, lineage).drop("run_id", "ts").withColumn("step_no", F.col("step_no"))
+    run_steps(spark.table("orders_nulls"), LINEAGE_STEPS, lineage=lineage)
+    path = sinks.scratch_path(spark, "lineage")
+    for _ in range(2):  # a repeated run replaces its rows
+        append_lineage(spark, lineage, path, "run-1")
+    return sinks.read_table(spark, path).drop("run_id", "ts")
 
 
 @query("snk4_catalog_refresh", sql="\nUNION ALL\n".join(

@@ -4,7 +4,7 @@ Spark (SQL text through ``run_sql`` or the DataFrame API) and by DuckDB."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vellum.plans.sql import broadcast_if_small, run_sql
+from vellum.plans.sql import run_sql
 from vellum.suite import query
 
 
@@ -29,8 +29,8 @@ SELECT r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey =
 JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
 def sql2(spark, sf):
     c, n, r = spark.table("customer"), spark.table("nation"), spark.table("region")
-    return (c.join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey)
-            .join(broadcast_if_small(r), F.col("n_regionkey") == r.r_regionkey)
+    return (c.join(n, c.c_nationkey == n.n_nationkey)
+            .join(r, F.col("n_regionkey") == r.r_regionkey)
             .groupBy("r_name").agg(F.count(F.lit(1)).alias("customers")))
 
 
@@ -97,8 +97,8 @@ SELECT r_name, n_name, count(*) AS customers FROM customer JOIN nation ON c_nati
 JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def sql12(spark, sf):
     c, n, r = spark.table("customer"), spark.table("nation"), spark.table("region")
-    return (c.join(broadcast_if_small(n), c.c_nationkey == n.n_nationkey)
-            .join(broadcast_if_small(r), F.col("n_regionkey") == r.r_regionkey)
+    return (c.join(n, c.c_nationkey == n.n_nationkey)
+            .join(r, F.col("n_regionkey") == r.r_regionkey)
             .rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("customers")))
 
 

@@ -128,8 +128,7 @@ FROM orders_nulls o LEFT JOIN (SELECT o_orderpriority, {_agg} AS v FROM orders_n
 SELECT *, CASE WHEN o_orderpriority IS NOT NULL THEN avg(o_totalprice) OVER (PARTITION BY o_orderpriority) END
        AS o_totalprice_mean_by_o_orderpriority FROM orders_nulls""")
 def fe3w(spark, sf):
-    return features.grouped_aggregation(spark.table("orders_nulls"), "o_orderpriority", "o_totalprice", "mean",
-                                        method="window")
+    return features.grouped_aggregation(spark.table("orders_nulls"), "o_orderpriority", "o_totalprice", "mean")
 
 
 @query("fe4_binning_uniform", sql="""
