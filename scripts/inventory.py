@@ -26,7 +26,7 @@ IMPL = {
     "PRJ13": "operators/features.numeric_interaction", "FLT1": "operators/clean.impute_missing (drop_rows)",
     "FLT2": "operators/segments.find_segments", "FLT3": "operators/kpi.active", "FLT4": "operators/quality.alerts",
     "FLT5": "operators/quality (predicates)", "JN1": "operators/quality.violation_history",
-    "JN2": "plans/sql.broadcast_if_small + joins", "JN3": "left_semi join", "JN4": "operators/segments.find_segments",
+    "JN2": "joins (planner's choice)", "JN3": "left_semi join", "JN4": "operators/segments.find_segments",
     "JN5": "operators/features.grouped_aggregation", "JN6": "operators/timeseries.ar_diff",
     "JN7": "operators/features (row-local select)", "JN8": "operators/relations.join_key_candidates",
     "JN9": "operators/relations.find_relationships", "JN10": "operators/relations.containment",
@@ -61,12 +61,12 @@ IMPL = {
     "TS10": "operators/timeseries.per_series", "TS11": "operators/timeseries.generate_forecast (ValueError)",
     "AN1": "operators/anomalies.zscore_anomalies, outliers", "AN2": "operators/anomalies.trend_change",
     "AN3": "operators/anomalies.snapshot_drift", "AN4": "operators/anomalies.find_anomalies",
-    "KP1": "operators/kpi.upsert", "KP2": "operators/kpi.calculate_kpis", "KP3": "operators/kpi.track",
+    "KP1": "operators/kpi.upsert", "KP2": "operators/kpi.calculate_kpis", "KP3": "operators/kpi.track, track_all",
     "KP4": "operators/kpi.threshold_status", "KP5": "operators/kpi.target_distance, target_achieved",
     "KP6": "operators/kpi.format_value", "PL1": "plans/steps.run_steps", "PL2": "plans/steps.validate",
     "PL3": "plans/steps.run_steps", "PL4": "plans/steps.run_steps (callable / table name)",
     **{f"CH{i}": "operators/charts.chart_data" for i in range(1, 14)}, "CH12": "operators/charts.check_spec",
-    "JB1": "operators/jobs.check_sources", "JB2": "operators/anomalies.find_anomalies per table",
+    "JB1": "operators/jobs.check_sources", "JB2": "operators/jobs.scan_anomalies",
     **{f"SQL{i}": "plans/sql.run_sql / DataFrame API" for i in range(1, 25)},
     **{f"SF{i}": "functions/" for i in range(1, 12)}, "SF8": "functions/nested.safe_get",
     "ST1": "streaming/jobs.quality_stream", "ST2": "streaming/jobs.window_kpi_stream",

@@ -71,12 +71,20 @@ def to_number(c: Column, dt: T.DataType | None = None) -> Column:
     return F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
 
 
+# Layouts tried in this order after ISO when no formats are given; of the two
+# readings of 1/2/2024 the American one comes first, as pandas takes it.
+DATE_LAYOUTS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "M-d-yyyy",
+                "d-M-yyyy", "d.M.yyyy", "d.M.yyyy H:mm", "yyyy/M/d", "yyyy/M/d H:mm:ss", "yyyy.M.d", "yyyyMMdd",
+                "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM yyyy")
+
+
 def to_timestamp(c: Column, formats: list[str] | None = None,
                  dt: T.DataType | None = None, unit: str | None = None) -> Column:
     """``pd.to_datetime(errors='coerce')`` with an explicit list of formats, as
     a naive timestamp (TIMESTAMP_NTZ, like pandas' datetime64); text is read
     as wall-clock time. Numbers are rejected unless ``unit`` ('s', 'ms', 'us')
-    is given (epoch time, UTC).
+    is given (epoch time, UTC). Without formats ISO text and ``DATE_LAYOUTS`` are
+    read.
     """
     if dt is not None and isinstance(dt, T.TimestampType):
         return c
@@ -89,7 +97,7 @@ def to_timestamp(c: Column, formats: list[str] | None = None,
         return fn(c.cast("long")).cast("timestamp_ntz")  # wall clock of the (UTC) session time zone
     s = c.cast("string")
     if not formats:
-        return F.try_to_timestamp(s).cast("timestamp_ntz")
+        return F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(f)) for f in DATE_LAYOUTS]).cast("timestamp_ntz")
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 

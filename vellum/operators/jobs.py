@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import quality
+from vellum.operators import anomalies, quality
 
 log = logging.getLogger(__name__)
 
@@ -52,3 +52,33 @@ def check_sources(spark: SparkSession, rules, load: Callable[[str], DataFrame])
         F.count_if(F.col("status") == "error").alias("error_count"),
         F.count(F.lit(1)).alias("rules_run"))
     return CheckRun(results, summary, skipped)
+
+
+@dataclass
+class AnomalyScan:
+    findings: DataFrame     # source + the columns of a finding
+    skipped: list           # sources that could not be loaded
+
+
+def scan_anomalies(spark: SparkSession, sources: dict[str, dict], load: Callable[[str], DataFrame]) -> AnomalyScan:
+    """Findings of every source: z-scores of its numeric columns and, where
+    ``{"time_column": ..., "tie_breaker": [...]}`` names a time column, the
+    trend check. All sources form one lazy plan."""
+    parts, skipped = [], []
+    for name in sorted(sources):
+        try:
+            df = load(name)
+            df.schema
+        except Exception as e:  # noqa: BLE001
+            log.error("Source '%s' could not be loaded: %s", name, str(e).splitlines()[0])
+            skipped.append(name)
+            continue
+        spec = sources[name] or {}
+        found = anomalies.find_anomalies(df, spec.get("time_column"), spec.get("tie_breaker"))
+        parts.append(found.select(F.lit(name).alias("source"), "*"))
+    if not parts:
+        return AnomalyScan(spark.createDataFrame([], anomalies.ANOMALY_SCHEMA).select(F.lit("").alias("source"), "*"), skipped)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return AnomalyScan(out, skipped)

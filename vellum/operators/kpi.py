@@ -40,7 +40,7 @@ def kpi_expression(logic: str, df: DataFrame | None = None) -> Column:
     median is computed by ``calculate_kpis``), else a SQL aggregate expression."""
     text = (logic or "").strip()
     if not text:
-        raise ValueError("No calculation logic defined.")
+        raise ValueError("The KPI has no calculation_logic.")
     if text.lower() == "count":
         return F.count(F.lit(1)).cast("double")
     m = _SIMPLE.match(text)
@@ -97,7 +97,7 @@ def calculate_kpis(df: DataFrame, kpis: list[dict], exact: bool = True) -> DataF
 def sql_kpi(spark: SparkSession, logic: str) -> Column:
     """First cell of the SQL result as a double (null when empty)."""
     if not logic or not logic.strip():
-        raise ValueError("No calculation logic defined.")
+        raise ValueError("The KPI has no calculation_logic.")
     res = spark.sql(logic)
     first = res.columns[0]
     return res.select(F.col(f"`{first}`").cast("double")).limit(1).scalar()
@@ -195,3 +195,54 @@ def active(kpis: DataFrame, project_id: int | None = None) -> DataFrame:
     if project_id is not None:
         cond = cond & (F.col("project_id") == project_id)
     return kpis.filter(cond)
+
+
+TRACKED = ("project_id INT, name STRING, value DOUBLE, previous_value DOUBLE, delta DOUBLE, trend INT, status STRING")
+
+
+def track_all(df: DataFrame, definitions: DataFrame, history_path: str, run_id: str, project_id: int | None = None,
+              run_ts=None) -> DataFrame:
+    """Track every active KPI in one call: values of all definitions from one
+    aggregation, the newest stored value of an earlier run, delta and trend,
+    the threshold status, and the values appended to the history under
+    ``run_id`` (repeating a run replaces its rows and compares with the runs
+    before it). Definitions and results are one row per KPI."""
+    from vellum.sources.sinks import append_kpi_values  # the sinks module builds on the operators
+    spark = df.sparkSession
+    kept = active(definitions, project_id)
+    rows = [r.asDict() for r in kept.select("project_id", "name", "calculation_type", "calculation_logic").collect()]
+    # a name may exist in several projects: values are computed per definition
+    specs = [{"name": str(i), "calculation_logic": r["calculation_logic"],
+              "calculation_type": r["calculation_type"] or "expression"} for i, r in enumerate(rows)]
+    keys = spark.createDataFrame([(str(i), r["project_id"], r["name"]) for i, r in enumerate(rows)],
+                                 "_i STRING, project_id INT, name STRING")
+    full = keys.withColumn("_key", F.concat_ws("/", F.coalesce(F.col("project_id").cast("string"), F.lit("")), "name"))
+    values = calculate_kpis(df, specs).withColumnRenamed("name", "_i")
+    now = full.join(values, "_i", "left")
+    history = _history(spark, history_path, run_id)
+    if history is not None:
+        previous = latest_values(history.withColumnRenamed("name", "_key"), "_key").select("_key", "previous_value")
+        now = now.join(previous, "_key", "left")
+    else:
+        now = now.withColumn("previous_value", F.lit(None).cast("double"))
+    delta = F.col("value") - F.col("previous_value")
+    limits = kept.select(F.concat_ws("/", F.coalesce(F.col("project_id").cast("string"), F.lit("")), "name").alias("_key"),
+                         "alert_threshold_upper", "alert_threshold_lower")
+    result = now.join(limits, "_key").select(
+        "_key", "project_id", "name", "value", "previous_value", delta.alias("delta"),
+        F.signum(delta).cast("int").alias("trend"),
+        threshold_status(F.col("value"), F.col("alert_threshold_upper"), F.col("alert_threshold_lower")).alias("status"))
+    done = result.collect()  # one row per definition, before the append changes the history
+    out = spark.createDataFrame([tuple(r)[1:] for r in done], TRACKED)
+    stored = spark.createDataFrame([(r["_key"], r["value"]) for r in done], "name STRING, value DOUBLE")
+    append_kpi_values(stored, history_path, run_id, run_ts)
+    return out
+
+
+def _history(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """Stored values of the other runs, None before the first append."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema("name STRING, run_ts TIMESTAMP, value DOUBLE, run_id STRING").parquet(path) \
+        .filter(F.col("run_id") != run_id)

@@ -121,3 +121,19 @@ def previous_in_key(df: DataFrame, columns: list[str], order_cols: list, keys: l
     for c in columns:
         hb = hb.withColumn(f"prev_{c}", F.when(same, F.lag(F.col(c), 1).over(w)))
     return hb.filter(~F.col("_halo")).drop("_bucket", "_halo")
+
+
+def lags(df: DataFrame, column: str, steps: list[int], order_cols: list, keys: list | None = None,
+         bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``lag_<k>`` for every k of ``steps``: the value k rows back in the same
+    key's order (null where the key has no such row), skew-safe as ``rolling``."""
+    keys = list(keys or [])
+    indexed = with_global_index(df, keys + list(order_cols))
+    hb = halo_buckets(indexed, max(steps), bucket_rows=bucket_rows)
+    w = Window.partitionBy("_bucket").orderBy("idx")
+    for k in steps:
+        same = F.lag("idx", k).over(w).isNotNull()
+        for key in keys:
+            same = same & F.lag(F.col(key), k).over(w).eqNullSafe(F.col(key))
+        hb = hb.withColumn(f"lag_{k}", F.when(same, F.lag(F.col(column), k).over(w)))
+    return hb.filter(~F.col("_halo")).drop("_bucket", "_halo", "idx")

@@ -3,9 +3,8 @@
 Candidates come from column names and types (a self-join of the schema
 table on the normalised name: metadata, not data). ``containment`` is the
 data part that scales with the tables: for each candidate pair, the share
-of distinct values of one column found in the other, computed with
-``distinct`` + ``left_semi`` joins (shuffled on the value, AQE picks
-broadcast for small sides) and one union for all pairs.
+of distinct values of one column found in the other, all pairs from one
+grouping of value hashes.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import normalise_name
 from vellum.operators.common import col
+from vellum.sources.schema import schema_counts
 from vellum import texts
 
 # Type families (fixed values): substrings of the lower-cased type name.
@@ -73,26 +73,74 @@ def _comparable(df: DataFrame, c: str, other_type: str):
     return col(c).cast("string")
 
 
+SLOTS = 60  # columns that share one 64-bit map
+
+
 def containment(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
     """For each (source1, column1, source2, column2): distinct values of
-    column1, how many of them occur in column2, and the share."""
-    parts = []
-    for s1, c1, s2, c2 in pairs:
-        d1, d2 = tables[s1], tables[s2]
-        t1, t2 = d1.schema[c1].dataType.simpleString(), d2.schema[c2].dataType.simpleString()
-        a = d1.select(_comparable(d1, c1, t2).alias("v")).filter("v IS NOT NULL").distinct()
-        b = d2.select(_comparable(d2, c2, t1).alias("v")).filter("v IS NOT NULL").distinct()
-        found = a.join(b, "v", "left_semi")
-        stats = a.agg(F.count(F.lit(1)).alias("distinct_values"))
-        hit = found.agg(F.count(F.lit(1)).alias("matched_values"))
-        parts.append(stats.select(F.lit(s1).alias("source1"), F.lit(c1).alias("column1"), F.lit(s2).alias("source2"),
-                                  F.lit(c2).alias("column2"), F.col("distinct_values").cast("long"),
-                                  hit.select(F.col("matched_values").cast("long")).scalar().alias("matched_values")))
+    column1, how many of them occur in column2, and the share.
+
+    Every table is scanned once for all its columns. A value (by a 128-bit
+    hash, never the text itself) is grouped once and gets a bit for each
+    column that holds it; all pairs are read off the counts per bit map."""
+    parts, batch, slots = [], [], {}
+    for pair in pairs:
+        need = {k for k in _slots(tables, pair) if k not in slots}
+        if len(slots) + len(need) > SLOTS:
+            parts.append(_containment(tables, batch, slots))
+            batch, slots = [], {}
+        for k in _slots(tables, pair):
+            slots.setdefault(k, len(slots))
+        batch.append(pair)
+    if batch:
+        parts.append(_containment(tables, batch, slots))
+    if not parts:
+        raise ValueError("Containment needs at least one pair of columns.")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("containment", F.try_divide(F.col("matched_values").cast("double"),
-                                                      F.col("distinct_values")))
+    return out.withColumn("containment", F.try_divide(F.col("matched_values").cast("double"), F.col("distinct_values")))
+
+
+def _slots(tables: dict[str, DataFrame], pair: tuple[str, str, str, str]) -> list[tuple[str, str, str]]:
+    """(source, column, type it is compared with) of both ends of a pair."""
+    s1, c1, s2, c2 = pair
+    t1, t2 = (tables[s].schema[c].dataType.simpleString() for s, c in ((s1, c1), (s2, c2)))
+    return [(s1, c1, t2), (s2, c2, t1)]
+
+
+def _containment(tables: dict[str, DataFrame], pairs: list, slots: dict) -> DataFrame:
+    rows = None
+    for source in dict.fromkeys(k[0] for k in slots):
+        df = tables[source]
+        values = [F.struct(F.lit(1 << i).cast("long").alias("bit"), _comparable(df, c, t).cast("string").alias("v"))
+                  for (s, c, t), i in slots.items() if s == source]
+        part = df.select(F.explode(F.array(*values)).alias("x")).select("x.bit", "x.v").filter("v IS NOT NULL") \
+            .select("bit", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
+        rows = part if rows is None else rows.unionByName(part)
+    maps = rows.groupBy("h1", "h2").agg(F.bit_or("bit").alias("bits")).groupBy("bits").agg(F.count(F.lit(1)).alias("n"))
+    found = []
+    for s1, c1, s2, c2 in pairs:
+        a, b = (1 << slots[k] for k in _slots(tables, (s1, c1, s2, c2)))
+        held = F.col("bits").bitwiseAND(F.lit(a)) != 0
+        both = held & (F.col("bits").bitwiseAND(F.lit(b)) != 0)
+        found.append(F.struct(F.lit(s1).alias("source1"), F.lit(c1).alias("column1"), F.lit(s2).alias("source2"),
+                              F.lit(c2).alias("column2"),
+                              F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)).alias("distinct_values"),
+                              F.coalesce(F.sum(F.when(both, F.col("n"))), F.lit(0)).alias("matched_values")))
+    return maps.agg(F.array(*found).alias("s")).select(F.inline("s"))
+
+
+def with_counts(candidates: DataFrame, tables: dict[str, DataFrame], first: tuple, second: tuple) -> DataFrame:
+    """Candidates with ``values1`` / ``values2``: how many values each of the two
+    columns holds. ``first`` / ``second`` name the candidate's columns that
+    spell out (source, column), or the one that spells ``source.column``."""
+    counts = schema_counts(tables).select(F.concat_ws(".", "source", "column_name").alias("_c"), F.col("present").alias("_n"))
+    out = candidates
+    for names, new in ((first, "values1"), (second, "values2")):
+        key = F.concat_ws(".", *names)
+        out = out.join(counts.withColumnRenamed("_n", new), key == F.col("_c"), "left").drop("_c")
+    return out
 
 
 def relationship_containment(spark: SparkSession, tables: dict[str, DataFrame], schema_df: DataFrame) -> DataFrame:

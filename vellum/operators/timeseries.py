@@ -108,10 +108,44 @@ def _grid(start: Column, stop: Column, freq: str) -> Column:
     raise ValueError(f"Unsupported frequency '{freq}'")
 
 
+def _bucket(ts: Column, start: Column, freq: str) -> Column:
+    """The grid point that an observation is counted under: the last one not
+    after it, or the end of its period for frequencies at period ends."""
+    if freq in STEP_SECONDS:
+        n = F.floor((_seconds(ts) - _seconds(start)) / STEP_SECONDS[freq])
+        return start + F.make_dt_interval(secs=(n * STEP_SECONDS[freq]).cast("decimal(18,6)"))
+    if freq in ("W", "W-SUN"):
+        sunday = F.next_day(F.date_sub(ts, 1), "Sun")
+        return F.to_timestamp_ntz(F.concat(sunday.cast("string"), F.lit(" "), F.date_format(start, "HH:mm:ss")))
+    if freq in MONTH_FREQS:
+        months, unit, at_end = MONTH_FREQS[freq]
+        base = F.trunc(ts, unit)
+        return (F.last_day(F.add_months(base, months - 1)) if at_end else base).cast("timestamp_ntz")
+    raise ValueError(f"Unknown frequency '{freq}'")
+
+
+RESAMPLERS = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
+
+
+def resample(df: DataFrame, freq: str, agg: str = "mean", keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
+    """One value per grid point and series: all observations are counted in
+    their bucket (mean, sum, min, max or count), none is dropped for lying
+    off the grid; buckets without an observation between the first and the
+    last one are null (0 for ``count``)."""
+    if agg not in RESAMPLERS:
+        raise ValueError(f"Unknown resampling function '{agg}': one of {sorted(RESAMPLERS)}")
+    first = df.groupBy(*keys).agg(F.min(ds).cast("timestamp_ntz").alias("_first"))
+    rows = df.join(first, list(keys)) if keys else df.withColumn("_first", df.select(F.min(ds)).scalar().cast("timestamp_ntz"))
+    placed = rows.withColumn(ds, _bucket(F.col(ds).cast("timestamp_ntz"), F.col("_first"), freq))
+    counted = placed.groupBy(*keys, ds).agg(RESAMPLERS[agg](y).alias(y))
+    full = asfreq(counted, freq, keys, ds, y)
+    return full.withColumn(y, F.coalesce(F.col(y), F.lit(0))) if agg == "count" else full
+
+
 def asfreq(df: DataFrame, freq: str, keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
     """Reindex every series on its grid from its first timestamp: values
     exactly on the grid are kept, grid points without a value get null,
-    off-grid values are dropped (pandas ``asfreq``)."""
+    off-grid values are dropped (pandas ``asfreq``; see ``resample``)."""
     span = df.groupBy(*keys).agg(F.min(ds).alias("_lo"), F.max(ds).alias("_hi"))
     is_date = isinstance(df.schema[ds].dataType, T.DateType)
     lo = F.col("_lo").cast("timestamp_ntz") if is_date else F.col("_lo")
@@ -125,12 +159,30 @@ def asfreq(df: DataFrame, freq: str, keys=(), ds: str = "ds", y: str = "y") -> D
 
 
 def fill_gaps(df: DataFrame, keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
-    """Forward fill, then backward fill, per series."""
-    base = Window.partitionBy(*keys).orderBy(ds) if keys else Window.orderBy(ds)
-    back = base.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = base.rowsBetween(0, Window.unboundedFollowing)
-    f = F.last(y, ignorenulls=True).over(back)
-    return df.withColumn(y, F.coalesce(f, F.first(y, ignorenulls=True).over(ahead)))
+    """Forward fill, then backward fill, per series. A running count of known
+    values numbers the gap behind each; the value is joined back by (series,
+    gap), so neither a long series nor a long gap meets in one task."""
+    keys = list(keys)
+    known = ordered.running_total(df.withColumn("_known", F.col(y).isNotNull().cast("long")), [*keys, ds], "_known", "_gap")
+    known = known.drop("_known")
+    value = known.filter(F.col(y).isNotNull()).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_gap").alias("_g"), F.col(y).alias("_fill"))
+    match = F.col("_gap") == F.col("_g")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    filled = known.join(value, match, "left").drop("_g", "_gap", *[f"_k{i}" for i in range(len(keys))])
+    if keys:
+        first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+            F.min_by(y, F.when(F.col(y).isNotNull(), F.col(ds))).alias("_first"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        filled = filled.join(first, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+        start = F.col("_first")
+    else:
+        start = df.filter(F.col(y).isNotNull()).select(F.min_by(y, ds)).scalar()
+    cols = [F.coalesce(F.col(c), F.col("_fill"), start).alias(c) if c == y else F.col(c) for c in df.columns]
+    return filled.select(*cols)
 
 
 def _step_expr(freq: str) -> Callable[[Column, Column], Column]:
@@ -205,9 +257,8 @@ def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def ar_diff(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
     """AR(1) on first differences. Returns history and forecast rows shaped as
     ``keys..., ds, history, forecast, lower, upper`` (full outer join on ds)."""
-    w = Window.partitionBy(*keys).orderBy(ds) if keys else Window.orderBy(ds)
-    d = df.withColumn("_d", F.col(y) - F.lag(y).over(w))
-    d = d.withColumn("_dl", F.lag("_d").over(w))
+    d = ordered.lags(df, y, [1, 2], [ds], list(keys))
+    d = d.withColumn("_d", F.col(y) - F.col("lag_1")).withColumn("_dl", F.col("lag_1") - F.col("lag_2"))
     fit = d.groupBy(*keys).agg(F.regr_slope("_d", "_dl").alias("_phi"), F.regr_intercept("_d", "_dl").alias("_c"),
                                F.max_by(y, ds).alias("_yT"), F.max_by("_d", ds).alias("_dT"))
     res = d.join(fit, list(keys)) if keys else _with_row(d, fit)
@@ -228,6 +279,16 @@ def ar_diff(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds
     return hist.join(fut, [*keys, ds], "full")
 
 
+def newest(df: DataFrame, n: int, keys=(), ds: str = "ds") -> DataFrame:
+    """The last ``n`` rows of every series with ``_k``, 1 for the newest. Per
+    key every task first trims its rows to n; a lone series is a top-n whose
+    n rows are then numbered."""
+    if not keys:
+        df = df.orderBy(F.col(ds).desc()).limit(n)
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return df.withColumn("_k", F.row_number().over(w.orderBy(F.col(ds).desc()))).filter(F.col("_k") <= n)
+
+
 def seasonal_ar(df: DataFrame, periods: int, season: int = 12, freq: str = "D", keys=(), ds: str = "ds",
                 y: str = "y") -> DataFrame:
     """Seasonal re-aim of the SARIMA call: difference at lag ``season``
@@ -235,11 +296,9 @@ def seasonal_ar(df: DataFrame, periods: int, season: int = 12, freq: str = "D",
     y_(T+h) = y_(T+h-season) + D_h, carrying the last ``season`` values (a
     bounded buffer per series) through the recursion. Same output shape as
     ``ar_diff``."""
-    w = Window.partitionBy(*keys).orderBy(ds) if keys else Window.orderBy(ds)
-    d = df.withColumn("_d", F.col(y) - F.lag(y, season).over(w))
-    d = d.withColumn("_dl", F.lag("_d").over(w))
-    last = Window.partitionBy(*keys).orderBy(F.col(ds).desc()) if keys else Window.orderBy(F.col(ds).desc())
-    tail = (d.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= season)
+    d = ordered.lags(df, y, [1, season, season + 1], [ds], list(keys))
+    d = d.withColumn("_d", F.col(y) - F.col(f"lag_{season}")).withColumn("_dl", F.col("lag_1") - F.col(f"lag_{season + 1}"))
+    tail = (newest(df, season, keys, ds)
             .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ds).alias("t"), F.col(y).alias("v")))),
                                             lambda e: e["v"]).alias("_buf")))
     fit = d.groupBy(*keys).agg(F.regr_slope("_d", "_dl").alias("_phi"), F.regr_intercept("_d", "_dl").alias("_c"),
@@ -280,8 +339,7 @@ def simple(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds"
         out = fut.join(v, list(keys)) if keys else _with_row(fut, v)
         return out.select(*keys, ds, "forecast")
     if method == "seasonal_naive":
-        w = Window.partitionBy(*keys).orderBy(F.col(ds).desc()) if keys else Window.orderBy(F.col(ds).desc())
-        lastm = df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= season)
+        lastm = newest(df, season, keys, ds)
         src = fut.withColumn("_k", F.lit(season) - ((F.col("h") - 1) % season))
         out = src.join(lastm.select(*keys, "_k", F.col(y).alias("forecast")), [*keys, "_k"], "left")
         return out.select(*keys, ds, "forecast")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.operators.common import present
+
 SCHEMA_INFO = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("source_no", T.IntegerType()),
@@ -31,6 +33,20 @@ def schema_info(spark: SparkSession, tables: dict[str, DataFrame], max_columns:
     return spark.createDataFrame(rows, SCHEMA_INFO)
 
 
+def schema_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``source, column_name, rows, present`` from the data: rows of the table
+    and values that are not missing, one aggregation per table."""
+    out = None
+    for name, df in tables.items():
+        items = [F.struct(F.lit(f.name).alias("column_name"), F.count(F.lit(1)).alias("rows"),
+                          F.count(present(df, f.name)).alias("present")) for f in df.schema.fields]
+        part = df.agg(F.array(*items).alias("s")).select(F.lit(name).alias("source"), F.inline("s"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("Name at least one table.")
+    return out
+
+
 def json_schema(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Field names and types of a JSON document collection, inferred from
     every document (not one sample), plus the document count."""

@@ -67,7 +67,7 @@ def query(name: str, sql: str | None = None, views=(), rounds=None):
 
 MODULES = ("cleaning", "transforms", "features", "quality", "profiling", "relations", "joins",
            "sqlconf", "kpis", "anomalies", "timeseries", "charts", "segments",
-           "documents", "sources", "streams", "jobs", "udfs")
+           "documents", "sources", "streams", "jobs", "udfs", "limits")
 
 
 def load_all() -> dict[str, Query]:

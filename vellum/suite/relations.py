@@ -1,7 +1,7 @@
 """Schema inspection (SRC9) and relationship discovery (JN8-JN10)."""
 
 from vellum.operators import relations
-from vellum.sources.schema import schema_info
+from vellum.sources.schema import schema_counts, schema_info
 from vellum.suite import query
 
 TEXT_TABLES = ["documents", "labels", "conversations", "benchmark", "pages", "events"]
@@ -56,19 +56,49 @@ JN9_SQL = (
     "OR lower(a.type) = lower(b.type)")
 
 
-@query("src9_schema_info", sql=_schema_sql(SCHEMA_TABLES))
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text", "benchmark": "item_id text",
+    "pages": "page_id url html", "documents": "doc_id text lang source n_chars",
+    "events": "event_id ts user_id event_type value props", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+                 "l_linestatus l_shipdate"),
+}
+
+
+def _counts_sql(names):
+    return " UNION ALL ".join(f"SELECT '{t}' AS source, '{c}' AS column_name, count(*) AS rows, count({c}) AS present FROM {t}"
+                              for t in names for c in COLUMNS[t].split())
+
+
+@query("src9_schema_info", sql=f"""
+SELECT i.*, n.rows, n.present FROM ({_schema_sql(SCHEMA_TABLES)}) i LEFT JOIN ({_counts_sql(SCHEMA_TABLES)}) n
+  ON i.source = n.source AND i.column_name = n.column_name""")
 def src9(spark, sf):
-    return schema_info(spark, _tables(spark, SCHEMA_TABLES))
+    tables = _tables(spark, SCHEMA_TABLES)
+    return schema_info(spark, tables).join(schema_counts(tables), ["source", "column_name"], "left")
 
 
-@query("jn8_join_key_candidates", sql=JN8_SQL)
+@query("jn8_join_key_candidates", sql=f"""
+WITH n AS (SELECT source || '.' || column_name AS c, present FROM ({_counts_sql(TEXT_TABLES)}))
+SELECT k.*, a.present AS values1, b.present AS values2 FROM ({JN8_SQL}) k
+LEFT JOIN n a ON a.c = k.column1 LEFT JOIN n b ON b.c = k.column2""")
 def jn8(spark, sf):
-    return relations.join_key_candidates(schema_info(spark, _tables(spark)))
+    tables = _tables(spark)
+    return relations.with_counts(relations.join_key_candidates(schema_info(spark, tables)), tables, ("column1",), ("column2",))
 
 
-@query("jn9_relationships", sql=JN9_SQL)
+@query("jn9_relationships", sql=f"""
+WITH n AS ({_counts_sql(TEXT_TABLES)})
+SELECT k.*, a.present AS values1, b.present AS values2 FROM ({JN9_SQL}) k
+LEFT JOIN n a ON a.source = k.source1 AND a.column_name = k.column1
+LEFT JOIN n b ON b.source = k.source2 AND b.column_name = k.column2""")
 def jn9(spark, sf):
-    return relations.find_relationships(schema_info(spark, _tables(spark)))
+    tables = _tables(spark)
+    return relations.with_counts(relations.find_relationships(schema_info(spark, tables)), tables,
+                                 ("source1", "column1"), ("source2", "column2"))
 
 
 

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.operators import anomalies, udf
+from vellum.operators import jobs, udf
 from vellum.suite import query
 from vellum.suite.anomalies import _z_sql
 
@@ -78,8 +78,7 @@ JB2_TABLES = {"events": ["event_id", "user_id", "value"], "customer": ["c_custke
     f"SELECT '{t}' AS source, * FROM ({_z_sql(t, cols, {c: 'CAST(mx AS VARCHAR)' for c in cols})})"
     for t, cols in JB2_TABLES.items()))
 def jb2(spark, sf):
-    parts = [anomalies.find_anomalies(spark.table(t)).select(F.lit(t).alias("source"), "*") for t in JB2_TABLES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    scan = jobs.scan_anomalies(spark, {**dict.fromkeys(JB2_TABLES), "no_such_table": None}, spark.table)
+    if scan.skipped != ["no_such_table"]:
+        raise AssertionError(f"skipped {scan.skipped}")
+    return scan.findings
