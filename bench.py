@@ -31,7 +31,8 @@ HEADLINE = [
     "sql1_inner_join",
     "sql10_grouping_sets",
     "ch8_density_heatmap",
-    "wn1_rolling_mean_global",
+    "wn1_rolling_nan",             # rolling mean and change over all events, default buckets
+    "jn10_containment",            # 8 column pairs, one grouping
 ]
 
 
