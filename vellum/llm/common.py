@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +57,32 @@ def is_id(rows: DataFrame) -> bool:
     return bool(rows.schema["_uid"].metadata.get("is_id"))
 
 
-def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those staged with
+    ``outlives=True``, which belong to the scope around. What leaves the
+    scope must not read the others any more."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(hadoop).delete(p, True)
+
+
+def staged(df: DataFrame, codec: str = "zstd", outlives: bool = False) -> DataFrame:
     """``df`` written once to the session's shared checkpoint folder and read
     back: later uses neither recompute it nor depend on a live executor."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    scopes = _scopes[:-1] if outlives else _scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

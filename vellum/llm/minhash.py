@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import is_id, keyed, staged
+from .common import is_id, keyed, staged, temporary
 from .graph import components
 
 BUCKETS = 240
@@ -298,17 +298,19 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     """``(uid, n, component)`` of keyed documents: size of the set and the
     smallest document reachable over links with
     ``den * intersection >= num * union``."""
-    sketch = staged(docs.select("_uid", "_text").mapInArrow(
-        _sketch(k), "uid long, n long, h1 long, h2 long, registers binary"))
-    full = sketch.filter("n > 0")
-    same = full.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("uid").alias("rep"))
-    reps = full.join(same.select(F.col("rep")), F.col("uid") == F.col("rep"), "left_semi")
-    linked = staged(components(links(docs, reps, k, num, den)))
-    named = same.join(linked, F.col("rep") == F.col("node"), "left").select(
-        "_h1", "_h2", F.coalesce("component", "rep").alias("_component"))
-    return (sketch.select("uid", "n", "h1", "h2")
-            .join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") > 0), "left")
-            .select("uid", "n", F.coalesce("_component", "uid").alias("component")))
+    with temporary(docs.sparkSession):
+        sketch = staged(docs.select("_uid", "_text").mapInArrow(
+            _sketch(k), "uid long, n long, h1 long, h2 long, registers binary"))
+        full = sketch.filter("n > 0")
+        same = full.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("uid").alias("rep"))
+        reps = full.join(same.select(F.col("rep")), F.col("uid") == F.col("rep"), "left_semi")
+        linked = staged(components(links(docs, reps, k, num, den)))
+        named = same.join(linked, F.col("rep") == F.col("node"), "left").select(
+            "_h1", "_h2", F.coalesce("component", "rep").alias("_component"))
+        out = (sketch.select("uid", "n", "h1", "h2")
+                .join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") > 0), "left")
+                .select("uid", "n", F.coalesce("_component", "uid").alias("component")))
+        return staged(out, outlives=True)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textops
-from .common import staged
+from .common import staged, temporary
 
 HOT = 8
 MANY = 4096
@@ -310,11 +310,13 @@ def union_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return list(zip(s[heads, 0].tolist(), ends.tolist(), strict=True))
 
 
-def cut(docs: DataFrame, spans: DataFrame, fields: str, describe: Callable, carry: list[str]) -> DataFrame:
+def cut(docs: DataFrame, find: Callable[[], DataFrame], fields: str, describe: Callable, carry: list[str]) -> DataFrame:
     """``carry`` columns of every keyed document plus ``fields``, which
-    ``describe(text, spans)`` gives as one tuple per document."""
+    ``describe(text, spans)`` gives as one tuple per document; ``find()``
+    returns the spans, whose intermediate tables go once they are grouped."""
+    with temporary(docs.sparkSession):
+        per = staged(find().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), outlives=True)
     rest = F.struct(*[F.col("_row").getField(c).alias(c) for c in carry]).alias("_rest")
-    per = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = docs.select("_uid", "_text", rest).join(per, F.col("_uid") == F.col("uid"), "left") \
         .select("_text", "spans", "_rest")
     kind = joined.schema["_rest"].dataType.simpleString()

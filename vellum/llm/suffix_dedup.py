@@ -103,7 +103,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int | None = None, id_c
         return len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest()
 
     rows = keyed(docs, id_col, text_col)
-    return repeats.cut(rows, repeated_spans(rows, length, gram, hot=hot),
+    return repeats.cut(rows, lambda: repeated_spans(rows, length, gram, hot=hot),
                        "n_bytes long, n_removed long, n_spans long, kept_sha256 string", describe, [id_col])
 
 
@@ -115,6 +115,6 @@ def apply(docs: DataFrame, length: int = LENGTH, gram: int | None = None, id_col
         return (None if text is None else _rest(text, spans)[1].decode("utf-8", "ignore"),)
 
     rows = keyed(docs, id_col, text_col)
-    kept = repeats.cut(rows, repeated_spans(rows, length, gram), "_kept_text string", describe,
+    kept = repeats.cut(rows, lambda: repeated_spans(rows, length, gram), "_kept_text string", describe,
                        [c for c in docs.columns if c != text_col])
     return kept.select(*[F.col("_kept_text" if c == text_col else f"`{c}`").alias(c) for c in docs.columns])

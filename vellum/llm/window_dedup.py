@@ -168,7 +168,7 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int | None = None, id_c
         return n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     rows = keyed(docs, id_col, text_col)
-    return repeats.cut(rows, repeated_spans(rows, window, gram, hot), "n_words long, n_removed long, kept_sha256 string",
+    return repeats.cut(rows, lambda: repeated_spans(rows, window, gram, hot=hot), "n_words long, n_removed long, kept_sha256 string",
                        describe, [id_col])
 
 
@@ -180,6 +180,6 @@ def apply(docs: DataFrame, window: int = WINDOW, gram: int | None = None, id_col
         return (b" ".join(_kept(text, spans)[1]).decode() if spans else text,)
 
     rows = keyed(docs, id_col, text_col)
-    kept = repeats.cut(rows, repeated_spans(rows, window, gram), "_kept_text string", describe,
+    kept = repeats.cut(rows, lambda: repeated_spans(rows, window, gram), "_kept_text string", describe,
                        [c for c in docs.columns if c != text_col])
     return kept.select(*[F.col("_kept_text" if c == text_col else f"`{c}`").alias(c) for c in docs.columns])
