@@ -56,7 +56,19 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
-@query("op2_suffix_dedup")
+@query("op2_suffix_dedup", sql=r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+p AS (SELECT doc_id, b, substr(t, 2 * b + 1, 1198) AS t, least(500, strlen(t) // 2 - b) AS n FROM d, unnest(range(0, strlen(t) // 2, 500)) AS r(b)),
+x AS (SELECT doc_id, b + i AS j, substr(t, 2 * i - 1, 2) AS x, CASE WHEN 2 * (i + 99) <= strlen(t) THEN md5(substr(t, 2 * i - 1, 200)) END AS h
+      FROM p, unnest(range(1, n + 1)) AS r(i)),
+s AS (SELECT *, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, j) > 1 AS start FROM x),
+c AS (SELECT *, bool_or(start) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM s),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, count(*) FILTER (opens) AS o,
+             string_agg(x, '' ORDER BY j) FILTER (NOT gone) AS t FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(o, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.t, ''))) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -96,7 +108,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
-@query("op5_window_dedup")
+@query("op5_window_dedup", sql=r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, j, w[j] AS x, CASE WHEN j + 49 <= len(w) THEN md5(array_to_string(w[j:j + 49], ' ')) END AS h
+      FROM w, unnest(range(1, len(w) + 1)) AS r(j)),
+f AS (SELECT h, min(doc_id) AS m FROM x WHERE h IS NOT NULL GROUP BY h),
+s AS (SELECT x.doc_id, x.j, x.x, coalesce(f.m < x.doc_id, false) AS start FROM x LEFT JOIN f ON x.h = f.h),
+c AS (SELECT *, bool_or(start) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(x, ' ' ORDER BY j) FILTER (NOT gone) AS t FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""")
 def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.digests(_table(spark, sf_dir, "documents"))
 
