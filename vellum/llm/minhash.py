@@ -305,8 +305,10 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
         same = full.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("uid").alias("rep"))
         reps = full.join(same.select(F.col("rep")), F.col("uid") == F.col("rep"), "left_semi")
         linked = staged(components(links(docs, reps, k, num, den)))
-        named = same.join(linked, F.col("rep") == F.col("node"), "left").select(
-            "_h1", "_h2", F.coalesce("component", "rep").alias("_component"))
+        # written, so that both sides of the last join are plain exchanges: a large class
+        # of copies on the left is then split among tasks
+        named = staged(same.join(linked, F.col("rep") == F.col("node"), "left").select(
+            "_h1", "_h2", F.coalesce("component", "rep").alias("_component")))
         out = (sketch.select("uid", "n", "h1", "h2")
                 .join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") > 0), "left")
                 .select("uid", "n", F.coalesce("_component", "uid").alias("component")))
