@@ -3,8 +3,8 @@
 A paragraph is a line of a text that holds a word. A softmax regression over
 word 1- to 3-grams gives a family, ``none`` (no licence notice) or ``unknown``
 (a notice of some other licence). It learns from the notices below, varied by
-seeded edits, and from at most ``NEGATIVES`` corpus paragraphs (the smallest
-hashes, their first 400 characters) as ``none``; a quarter of the varied notices is held out to fit the
+seeded edits, and from about ``NEGATIVES`` corpus paragraphs (drawn by hash,
+twice as many at most; their first 400 characters) as ``none``; a quarter of the varied notices is held out to fit the
 temperature that calibrates the probabilities and the probability below which
 a family becomes ``unknown``. A predicted family is then compared with that
 family's notices: without enough common word pairs it is ``unknown`` too.
@@ -232,11 +232,13 @@ def fit(negatives: list[str], seed: int = 5) -> Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> Model:
-    """Model with ``none`` learnt from at most ``negatives`` paragraphs."""
-    lines = docs.select(F.explode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line")).filter(
-        F.trim("line") != "").select(F.substring("line", 1, 400).alias("line"))
-    sample = lines.orderBy(F.xxhash64("line"), "line").limit(negatives)
-    return fit([r["line"] for r in sample.collect()])
+    """Model with ``none`` learnt from about ``negatives`` paragraphs."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    lines = docs.select(F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("at", "line")) \
+        .filter(F.trim("line") != "")
+    every = max(1, -(-lines.count() // negatives))  # about one line in `every`, by hash: no task sends more than its share
+    sample = lines.filter(F.pmod(F.xxhash64("h", "at"), F.lit(every)) == 0).select(F.substring("line", 1, 400).alias("line"))
+    return fit(sorted(r["line"] for r in sample.limit(2 * negatives).collect()))
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
