@@ -118,3 +118,59 @@ def test_edits_stay_nearer_than_the_next_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [r for r in simhash.compare(docs).collect() if r["n_chars"] > 100]
     assert sum(r["near_edited"] > r["near_next"] for r in rows) >= 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("radius,blocks", [(5, 4), (23, 8), (40, 16)])
+def test_wide_radius_search_is_exact(spark, radius, blocks):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    prints = []
+    for _ in range(200):
+        x = rng.choice(base)
+        for b in rng.sample(range(128), rng.randint(0, radius + 3)):
+            x ^= 1 << b
+        prints.append(x)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    two = lambda p: (signed(p & (1 << 64) - 1), signed(p >> 64))
+    df = spark.createDataFrame([two(p) for p in prints], "f1 long, f2 long")
+    asked = df.limit(20) if radius == 40 else df
+    got = [(r["q1"], r["q2"], r["f1"], r["f2"], r["distance"]) for r in simhash.within(df, asked, radius, blocks).collect()]
+    assert len(set(got)) == len(got)
+    assert set(got) == {(r["f1"], r["f2"], *two(p), d) for r in asked.collect() for p in prints
+                        if (d := ((r["f1"] % (1 << 64) | r["f2"] % (1 << 64) << 64) ^ p).bit_count()) <= radius}
+
+
+def planted(seed=5, n=40, words=200):
+    """Texts of distinct words, each with a copy that has a share of them replaced."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6, 9)))
+    docs = []
+    for i in range(n):
+        text = [word() for _ in range(words)]
+        for c, replaced in enumerate((0, 1, 10, 20)):  # 0, 0.5, 5 and 10 % of the words
+            copy = list(text)
+            for at in rng.sample(range(words), replaced):
+                copy[at] = word()
+            docs.append((20 * i if c == 0 else 20 * i + c, " ".join(copy)))
+    return docs
+
+
+def test_near_copies_are_found_with_their_classes(spark, make_docs):
+    docs = make_docs(planted())
+    classes = {r["doc_id"]: simhash_hex(r) for r in simhash.membership(docs).collect()}
+    pairs = simhash.near(docs).collect()
+    found = {(r["doc_id"], r["near_fingerprint"]) for r in pairs}
+    recall = [sum((20 * i, classes[20 * i + c]) in found for i in range(40)) / 40 for c in (1, 2, 3)]
+    assert recall[0] == 1 and recall[1] >= 0.95 and recall[2] >= 0.8
+    assert all(near(r["fingerprint"], r["near_fingerprint"]) == 1 - r["distance"] / 128 for r in pairs)
+    counts = {r["doc_id"]: r for r in simhash.compare(docs).collect()}
+    for i in range(40):
+        own = [r for r in pairs if r["doc_id"] == 20 * i]
+        assert counts[20 * i]["fingerprint"] == classes[20 * i]
+        assert counts[20 * i]["near_classes"] == len(own) - 1
+        assert counts[20 * i]["within_reach"] == sum(r["n_documents"] for r in own) - 1
+        assert counts[20 * i + 1]["within_reach"] is None
+
+
+def simhash_hex(r):
+    return f"{r['f1'] % (1 << 64):016x}{r['f2'] % (1 << 64):016x}"

@@ -154,6 +154,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare(_table(spark, sf_dir, "documents"))
 
 
+@query("op10_simhash_near")
+def op10_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near(_table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -8,12 +8,18 @@ weight. Two 64-bit hashes give 128 bits. The votes of two bits share one
 64-bit sum (32 bits each, enough for 2^28 distinct terms), so a document is
 64 sums over its exploded terms, folded inside the task that holds the text.
 
-Search: fingerprints are cut into ``blocks`` blocks. Two fingerprints that
-differ in at most ``radius`` bits agree on ``blocks - radius`` blocks at
-least, so there is one table per choice of that many blocks, keyed by them
-(the permuted block tables); a pair counts in the first table where it
-meets and only if its distance is within the radius. Equal fingerprints are
-one entry with a count.
+Search: fingerprints are cut into ``blocks`` blocks. For a radius below the
+number of blocks, two fingerprints within it agree on ``blocks - radius``
+blocks at least, so there is one table per choice of that many blocks, keyed
+by them (the permuted block tables). For a wider radius they differ in at
+most ``radius // blocks`` bits of one block at least, so there is one table
+per block, and a query asks it for its own value and all values that near. A
+pair counts in the first table where it meets and only if its distance is
+within the radius. Equal fingerprints are one entry with a count.
+
+Texts whose term weights have the cosine c are 128 * acos(c) / pi bits apart
+on average: ``REACH`` is that distance for ``SIMILARITY``. ``RADIUS`` finds
+little beyond exact copies.
 
 Defined cases: null texts are empty; a text without terms has the zero
 fingerprint; equal texts have equal fingerprints; documents sharing an id
@@ -23,6 +29,7 @@ empty table gives no rows; a single document is its own next document.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -37,6 +44,9 @@ BITS = 128
 TOP_WEIGHT = 16
 RADIUS = 3
 BLOCKS = 6
+SIMILARITY = 0.85
+REACH = round(BITS * math.acos(SIMILARITY) / math.pi)  # 23
+REACH_BLOCKS = 8  # of 16 bits, 2 of which may differ
 
 _PAIR = (1 << 32) + 1  # one bit in either half of a sum
 
@@ -98,34 +108,88 @@ def _blocks(f1: Column, f2: Column, blocks: int) -> list[Column]:
     return out
 
 
+def _permuted(df: DataFrame, f1: str, f2: str, tables: list[tuple[int, ...]], blocks: int) -> DataFrame:
+    """Every row once per table, with its key ``_k<f1>``."""
+    cut = _blocks(F.col(f1), F.col(f2), blocks)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[cut[i] for i in chosen]).alias("k"))
+                     for t, chosen in enumerate(tables)])
+    return df.select("*", F.explode(keys).alias("_e")).select("*", F.col("_e.t").alias(f"_t{f1}"),
+                                                               F.col("_e.k").alias(f"_k{f1}")).drop("_e")
+
+
+def _by_block(df: DataFrame, f1: str, f2: str, blocks: int, differ: int) -> DataFrame:
+    """Every row once per block and value at most ``differ`` bits from the
+    block's own; the key ``_k<f1>`` is the value, ``_t<f1>`` the block."""
+    width = BITS // blocks
+    masks = [sum(1 << b for b in chosen) for n in range(differ + 1) for chosen in combinations(range(width), n)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), v.alias("v"))
+                     for t, v in enumerate(_blocks(F.col(f1), F.col(f2), blocks))])
+    rows = df.select("*", F.explode(keys).alias("_e"))
+    if differ:
+        rows = rows.select("*", F.explode(F.lit(masks).cast("array<long>")).alias("_m"))
+    value = F.col("_e.v").bitwiseXOR(F.col("_m")) if differ else F.col("_e.v")
+    return rows.select("*", F.col("_e.t").alias(f"_t{f1}"), value.alias(f"_k{f1}")).drop("_e", "_m")
+
+
 def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``(q1, q2, f1, f2, n, distance)``: for every distinct query
     fingerprint all distinct fingerprints within the radius and how many
     rows have them. Inputs have columns ``f1, f2``."""
-    if not 0 <= radius < blocks <= BITS:
-        raise ValueError("there must be more blocks than the radius")
-    tables = list(combinations(range(blocks), blocks - radius))
-
-    def spread(df: DataFrame, f1: str, f2: str) -> DataFrame:
-        cut = _blocks(F.col(f1), F.col(f2), blocks)
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[cut[i] for i in chosen]).alias("k"))
-                         for t, chosen in enumerate(tables)])
-        return df.select("*", F.explode(keys).alias("_e")).select("*", F.col("_e.t").alias(f"_t{f1}"),
-                                                                   F.col("_e.k").alias(f"_k{f1}")).drop("_e")
-
-    entries = spread(prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")), "f1", "f2")
-    asked = spread(queries.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct(), "q1", "q2")
-    # the first table where a pair meets: the lowest choice among its equal blocks
-    equal = [a == b for a, b in zip(_blocks(F.col("f1"), F.col("f2"), blocks),
-                                    _blocks(F.col("q1"), F.col("q2"), blocks), strict=True)]
-    first = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [equal[i] for i in chosen]), F.lit(t))
-                         for t, chosen in enumerate(tables)])
+    if not (0 <= radius <= BITS and 1 <= blocks <= BITS):
+        raise ValueError("radius and blocks count bits of a fingerprint")
+    if radius >= blocks and blocks not in (4, 8, 16, 32):
+        raise ValueError("a radius of as many bits as there are blocks or more needs 4, 8, 16 or 32 equal blocks")
+    entries = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct()
+    ours, theirs = (_blocks(F.col(f"{x}1"), F.col(f"{x}2"), blocks) for x in "fq")
+    if radius < blocks:
+        tables = list(combinations(range(blocks), blocks - radius))
+        entries, asked = _permuted(entries, "f1", "f2", tables, blocks), _permuted(asked, "q1", "q2", tables, blocks)
+        equal = [a == b for a, b in zip(ours, theirs, strict=True)]
+        meets = [reduce(lambda a, b: a & b, [equal[i] for i in chosen]) for chosen in tables]
+    else:
+        differ = min(radius // blocks, BITS // blocks)
+        # the planner does not count the values a query asks for: without the hint it would broadcast them all
+        entries = _by_block(entries, "f1", "f2", blocks, 0).hint("merge")
+        asked = _by_block(asked, "q1", "q2", blocks, differ)
+        meets = [F.bit_count(a.bitwiseXOR(b)) <= differ for a, b in zip(ours, theirs, strict=True)]
+    first = F.coalesce(*[F.when(m, F.lit(t)) for t, m in enumerate(meets)])  # the first table where a pair meets
     d = distance(F.col("f1"), F.col("f2"), F.col("q1"), F.col("q2"))
     met = entries.join(asked, (F.col("_kf1") == F.col("_kq1")) & (F.col("_tf1") == F.col("_tq1"))
                        & (d <= radius) & (first == F.col("_tf1")))
     return met.select("q1", "q2", "f1", "f2", "n", d.alias("distance"))
 
 
+def _asks(ident: Column, kind: str, every: int) -> Column:
+    """Whether a document is a query: integer ids divisible by ``every``."""
+    integral = kind in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(ident % every == 0, F.lit(False)) if integral else F.lit(False)
+
+
+def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, f1, f2)`` of every input row: the fingerprint class it is in."""
+    rows = keyed(docs, id_col, text_col)
+    prints = fingerprints(rows.select("_uid", "_text"), ["_uid"], "_text").withColumnRenamed("_uid", "_u")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.select("_uid", F.col("_row").getField(id_col).alias(id_col)).join(
+        prints, F.col("_uid") == F.col("_u"), "left").select(id_col, zero("f1"), zero("f2"))
+
+
+def near(docs: DataFrame, radius: int = REACH, blocks: int = REACH_BLOCKS, every: int = 20, id_col: str = "doc_id",
+         text_col: str = "text") -> DataFrame:
+    """``(id, fingerprint, near_fingerprint, distance, n_documents)``: for
+    every document whose id is divisible by ``every`` all fingerprint classes
+    within the radius, its own included, and how many documents are in each.
+    ``membership`` says which."""
+    rows = staged(membership(docs, id_col, text_col))
+    asking = rows.filter(_asks(F.col(f"`{id_col}`"), dict(rows.dtypes)[id_col], every))
+    found = within(rows.select("f1", "f2"), asking.select("f1", "f2"), radius, blocks)
+    asking = asking.select(F.col(f"`{id_col}`").alias("_id"), F.col("f1").alias("_a1"), F.col("f2").alias("_a2"))
+    return asking.join(found, (F.col("_a1") == F.col("q1")) & (F.col("_a2") == F.col("q2"))).select(
+        F.col("_id").alias(id_col), written(F.col("q1"), F.col("q2")).alias("fingerprint"),
+        written(F.col("f1"), F.col("f2")).alias("near_fingerprint"), "distance", F.col("n").alias("n_documents"))
+
+
 def edited_pairs(rows: DataFrame) -> DataFrame:
     """``(uid, next, n_chars, text, edited)`` of keyed documents: the last
     half of every text replaced by the beginning of the next one."""
@@ -147,12 +211,14 @@ def edited_pairs(rows: DataFrame) -> DataFrame:
         F.concat(kept, F.col("_lent")).alias("edited"))
 
 
-def compare(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = 20, id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
+def compare(docs: DataFrame, radius: int = RADIUS, reach: int = REACH, blocks: int = REACH_BLOCKS, every: int = 20,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_chars``, ``edited_sha256``, both
     fingerprints, their likeness, the likeness to the next document's, and
-    ``within_radius`` for ids divisible by ``every``: how many other
-    documents have a fingerprint within the radius."""
+    for ids divisible by ``every``: ``within_radius``, how many other
+    documents have a fingerprint within ``radius``, ``within_reach``, the
+    same for ``reach``, and ``near_classes``, how many other fingerprints are
+    within ``reach`` (``near`` lists them)."""
     rows = keyed(docs, id_col, text_col)
     pairs = edited_pairs(rows)
     both = pairs.select("uid", "next", "n_chars", F.explode(F.array(
@@ -167,11 +233,13 @@ def compare(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every:
     table = staged(info.join(wide, "uid", "left").join(ids, F.col("uid") == F.col("_uid")).select(
         "uid", "_id", "next", "n_chars", "edited_sha256", *[zero(f"{f}{e}") for e in (0, 1) for f in ("f1", "f2")]))
     after = table.select(F.col("uid").alias("_v"), F.col("f10").alias("_n1"), F.col("f20").alias("_n2"))
-    integral = dict(table.dtypes)["_id"] in ("tinyint", "smallint", "int", "bigint")
-    is_query = (F.col("_id") % every == 0) if integral else F.lit(False)
-    plain = table.select(F.col("f10").alias("f1"), F.col("f20").alias("f2"), F.coalesce(is_query, F.lit(False)).alias("_q"))
-    found = within(plain.select("f1", "f2"), plain.filter("_q").select("f1", "f2"), radius, blocks)
-    counts = found.groupBy("q1", "q2").agg((F.sum("n") - 1).alias("_found"))
+    is_query = _asks(F.col("_id"), dict(table.dtypes)["_id"], every)
+    plain = table.select(F.col("f10").alias("f1"), F.col("f20").alias("f2"), is_query.alias("_q"))
+    found = within(plain.select("f1", "f2"), plain.filter("_q").select("f1", "f2"), max(radius, reach), blocks)
+    told = {"within_radius": F.sum(F.when(F.col("distance") <= radius, F.col("n"))) - 1,
+            "within_reach": F.sum(F.when(F.col("distance") <= reach, F.col("n"))) - 1,
+            "near_classes": F.count_if(F.col("distance") <= reach) - 1}
+    counts = found.groupBy("q1", "q2").agg(*[x.alias(f"_{name}") for name, x in told.items()])
     return (table.join(after, F.col("next") == F.col("_v"))
             .join(counts, (F.col("f10") == F.col("q1")) & (F.col("f20") == F.col("q2")), "left")
             .select(F.col("_id").alias(id_col), "n_chars", "edited_sha256",
@@ -179,4 +247,4 @@ def compare(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every:
                     written(F.col("f11"), F.col("f21")).alias("edited_fingerprint"),
                     likeness(F.col("f10"), F.col("f20"), F.col("f11"), F.col("f21")).alias("near_edited"),
                     likeness(F.col("f10"), F.col("f20"), F.col("_n1"), F.col("_n2")).alias("near_next"),
-                    F.when(is_query, F.col("_found")).alias("within_radius")))
+                    *[F.when(is_query, F.col(f"_{name}")).alias(name) for name in told]))
