@@ -89,3 +89,11 @@ def test_labels_outside_the_learning_folds_do_not_matter(spark, make_docs):
 def test_very_long_text(scorer):
     assert scorer.score("alpha beta " * 200_000 + "idiot moron") >= 0.5
     scorer.restorer.tokens("x" * 20_000 + "1" * 2000)
+
+
+@pytest.mark.parametrize("seen,source", [
+    ("iddiott", "idiot"), ("mmoorroonn", "moron"), ("loosserr", "loser"), ("id iot", "idiot"), ("st u pid", "stupid"),
+    ("mo ron", "moron"), ("lo s er", "loser"), ("i . d . i . o . t", "idiot"), ("m - o - r - o - n", "moron")])
+def test_doubled_split_and_separated_words(scorer, seen, source):
+    assert source in scorer.restorer.tokens(f"the {seen} and")
+    assert scorer.score(f"the {seen} and") > scorer.score("the and")

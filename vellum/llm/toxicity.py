@@ -4,10 +4,13 @@
    word boundaries, partial counts per task, summed by key. The table has
    ``SYMBOLS ** 4`` cells whatever the corpus, so it can be broadcast.
 2. Noisy-channel restoration: a token that holds digits or signs between
-   letters, letters repeated three times or more, or a run of single
-   characters is a lattice: look-alike signs stand for letters, separators
-   and repeats may vanish, blanks inside a run may join. Viterbi search under
-   the character model picks the restored word. Other tokens have one path.
+   letters or a repeated letter, a run of single characters and a run of
+   fragments of at most ``FRAGMENT`` characters is a lattice: look-alike
+   signs stand for letters, separators and repeats may vanish (one of two
+   equal letters at ``COST_DOUBLE``), blanks inside a run, with or without
+   separators between them, may join. Search under the character model
+   (``BEAM`` states after each sign) picks the restored words, which are
+   scored beside the observed ones. Other tokens have one path.
 3. A logistic regression scores the restored tokens. Features are the tokens
    and their beginnings of ``PREFIXES`` letters (present or not), selected by
    how unevenly they fall on the labels.
@@ -54,7 +57,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "×": "x", "µ": "u"}
 SEPARATORS = set(".-_*~'`^,:;/\\=#")
 COST_LEET, COST_DROP, COST_REPEAT, COST_KEEP_SIGN, COST_SPACE, COST_THIRD, COST_ANY = 0.7, 0.6, 0.3, 6.0, 1.5, 3.0, 2.5
+COST_DOUBLE, COST_JOIN = 3.0, 1.0  # one of two equal letters; a blank between fragments
+KNOWN_WORD = 2.75  # nats a letter: a word that lost a doubled letter must be as likely as this under the model
 BEAM = 24
+FRAGMENT = 3
 
 _CLASS = np.full(256, SKIP, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -107,9 +113,12 @@ def _class(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """Most likely source of an observed token (Viterbi over its lattice);
-    blanks inside the token may stay as word boundaries."""
+def restore(token: str, model: np.ndarray, drop: float = COST_DROP, space: float = COST_SPACE,
+            doubles: bool = False) -> str:
+    """Most likely source of an observed token (search over its lattice);
+    blanks inside the token may vanish at the cost ``drop`` or stay as word
+    boundaries at the cost ``space``. With ``doubles`` one of two equal
+    letters may vanish, too."""
     beam: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
     observed = [(c, n, length) for c, same in groupby(_fold(token)) for length in [len(list(same))] for n in range(length)]
     for c, run, length in observed:
@@ -119,7 +128,7 @@ def restore(token: str, model: np.ndarray) -> str:
         elif c in LEET:
             options += [(x, COST_LEET) for x in LEET[c]]
         if c in " \t\n\r\v\f":
-            options += [("", COST_DROP), (" ", COST_SPACE)]
+            options += [("", drop), (" ", space)]
         elif not c.isalpha():
             if c in SEPARATORS or not c.isalnum():
                 options.append(("", COST_DROP))
@@ -127,8 +136,8 @@ def restore(token: str, model: np.ndarray) -> str:
                 options += [(x, COST_ANY) for x in "aeiou"]
             if c.isdigit():
                 options.append(("", COST_KEEP_SIGN))
-        if run and length > 2:  # a double letter is no noise
-            options.append(("", COST_REPEAT))
+        if run and (length > 2 or doubles and c.isalpha()):
+            options.append(("", COST_REPEAT if length > 2 else COST_DOUBLE))
         step: dict[tuple[int, int, int], tuple[float, str]] = {}
         for (a, b, d), (cost, text) in beam.items():
             for out, extra in options:
@@ -149,9 +158,13 @@ def restore(token: str, model: np.ndarray) -> str:
     return min(end)[1]
 
 
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t\n\r\v\f]+[\w@$!|+*](?!\S)){2,}|(?<!\S)[@$!|+*](?:[ \t\n\r\v\f]+[\w@$!|+*](?!\S)){2,}")
+_GAP = r"[ \t\n\r\v\f]+(?:[.\-_*~'`^,:;/\\=#|]+[ \t\n\r\v\f]+)*"
+_SIGN = r"[\w@$!|+*]"
+_SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[@$!|+*])(?:{_GAP}{_SIGN}(?!\S)){{2,}}")
+_END = r"(?=[.,;:?\"')]*(?!\S))"
+_SPLIT = re.compile(rf"(?<!\S){_SIGN}{{1,{FRAGMENT}}}(?:{_GAP}{_SIGN}{{1,{FRAGMENT}}}{_END})+")
 _EDGE = ".,;:!?\"'()[]{}<>%&#*|~`^_-/\\=…»«„“”’‘"
-_REPEAT = re.compile(r"(.)\1\1")
+_REPEAT, _TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 
 
 def suspicious(token: str) -> bool:
@@ -164,8 +177,11 @@ def suspicious(token: str) -> bool:
 class Restorer:
     """Tokens of a text after restoration."""
 
+    KNOWN = 200_000
+
     def __init__(self, model: np.ndarray):
         self.model = model
+        self.runs: dict[str, tuple[str, ...]] = {}
 
     def readings(self, raw: str) -> tuple[str, ...]:
         """Restored words of one observed (lower-case) token."""
@@ -174,17 +190,44 @@ class Restorer:
         token = raw.strip(_EDGE)
         got = (token,) if token else ()
         for form in {token, raw.rstrip(".,;:?\"'")}:  # an edge sign may be a letter: 'b!tch!' or '$cum'
-            if form and suspicious(form):
+            if not form or not suspicious(form):
+                continue
+            if not form.isalpha() or _TRIPLE.search(form):
                 got += tuple(restore(form, self.model).split())
+            if _REPEAT.search(form):  # 'iddiott', but also 'better': beside the reading that keeps doubled letters
+                word = restore(form, self.model, doubles=True)
+                if len(word) > 2 and word != _fold(form) and self.known(word):
+                    got += tuple(word.split())
         return got
 
+    def known(self, word: str) -> bool:
+        """Whether the character model explains the word."""
+        a = b = d = 0
+        cost = 0.0
+        for c in word + " ":
+            x = 0 if c == " " else _class(c)
+            cost -= float(self.model[((a * SYMBOLS + b) * SYMBOLS + d) * SYMBOLS + x])
+            a, b, d = b, d, x
+        return cost <= KNOWN_WORD * (len(word) + 1)
+
     def spaced(self, text: str) -> list[str]:
-        """Words restored from runs of single characters."""
+        """Words restored from runs of single characters and of fragments."""
         out = []
         for m in _SPACED.finditer(text):
             out += restore(m.group(0), self.model).split()
+        for m in _SPLIT.finditer(text):
+            out += self.joined(m.group(0))
         return out
 
+    def joined(self, run: str) -> tuple[str, ...]:
+        """Words of a run of fragments, remembered for ``KNOWN`` runs."""
+        got = self.runs.get(run)
+        if got is None:
+            if len(self.runs) >= self.KNOWN:
+                self.runs.clear()
+            got = self.runs[run] = tuple(restore(run, self.model, COST_JOIN, 0.0).split())
+        return got
+
     def tokens(self, text: str) -> set[str]:
         text = text.lower()
         out = set(self.spaced(text))
