@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity, window_dedup
+from . import (licenses, merkle, minhash, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity,
+               window_dedup)
 from .common import prepare
 
 
@@ -162,3 +163,45 @@ def op10_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op12_merkle_manifest", sql=r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS size, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text,
+         list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                     lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                              lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))) AS crc FROM documents),
+l AS (SELECT *, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+             CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                  ELSE text END AS changed FROM d),
+f AS (SELECT doc_id, tree, pos, size, leaf, sha256(concat(head, coalesce(strlen(changed) || ':' || changed, '-'))) AS folded FROM l),
+n AS (SELECT tree, 0 AS level, pos, size, leaf AS h FROM f
+      UNION ALL
+      SELECT tree, level + 1, pos // 16, (size + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM n WHERE size > 1
+      GROUP BY tree, level, pos // 16, size),
+r AS (SELECT tree, level, pos // 16 AS run, list(h ORDER BY pos) AS c FROM n WHERE size > 1 GROUP BY ALL),
+c AS (SELECT doc_id, tree, 0 AS level, pos, folded, '' AS proof FROM f
+      UNION ALL
+      SELECT doc_id, c.tree, c.level + 1, pos // 16,
+             sha256(array_to_string(c.c[1:pos % 16] || [folded] || c.c[pos % 16 + 2:], '')),
+             proof || array_to_string(c.c[1:pos % 16] || c.c[pos % 16 + 2:], '')
+      FROM (SELECT c.*, r.c FROM c JOIN r ON r.tree = c.tree AND r.level = c.level AND r.run = c.pos // 16) AS c),
+s AS (SELECT tree, h AS subroot FROM n WHERE size = 1),
+m AS (SELECT 0 AS level, tree AS pos, count(*) OVER () AS size, subroot AS h FROM s
+      UNION ALL
+      SELECT level + 1, pos // 16, (size + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM m WHERE size > 1
+      GROUP BY level, pos // 16, size),
+t AS (SELECT level, pos // 16 AS run, list(h ORDER BY pos) AS c FROM m WHERE size > 1 GROUP BY ALL),
+u AS (SELECT doc_id, 0 AS level, tree AS pos, folded, proof FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1
+      UNION ALL
+      SELECT doc_id, level + 1, pos // 16, sha256(array_to_string(c[1:pos % 16] || [folded] || c[pos % 16 + 2:], '')),
+             proof || array_to_string(c[1:pos % 16] || c[pos % 16 + 2:], '')
+      FROM (SELECT u.*, t.c FROM u JOIN t ON t.level = u.level AND t.run = u.pos // 16)),
+e AS (SELECT doc_id, folded, proof FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1)
+SELECT f.doc_id, f.leaf, s.subroot, m.h AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = m.h AS verified
+FROM f JOIN s ON f.tree = s.tree JOIN e ON f.doc_id = e.doc_id JOIN m ON m.size = 1""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))
