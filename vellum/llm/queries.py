@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (licenses, merkle, minhash, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity,
-               window_dedup)
+from . import (licenses, merkle, minhash, mixing, packing, quality_rules, sharding, simhash, suffix_dedup, topk,
+               toxicity, window_dedup)
 from .common import prepare
 
 
@@ -205,3 +205,27 @@ SELECT f.doc_id, f.leaf, s.subroot, m.h AS root, sha256(e.proof) AS proof_sha256
 FROM f JOIN s ON f.tree = s.tree JOIN e ON f.doc_id = e.doc_id JOIN m ON m.size = 1""")
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality_rules", sql=r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, k, j, len(w) AS n, CASE WHEN j + k - 1 <= len(w) THEN md5(array_to_string(w[j:j + k - 1], ' ')) END AS h
+      FROM w, unnest(range(1, len(w) + 1)) AS r(j), (VALUES (3), (8), (101)) AS s(k)),
+s AS (SELECT *, h IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, k, h) > 1 AS start FROM x),
+c AS (SELECT *, CASE WHEN k = 3 THEN bool_or(start) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+                     WHEN k = 8 THEN bool_or(start) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)
+                     ELSE start END AS hit FROM s),
+k AS (SELECT doc_id, count(*) FILTER (hit AND k = 3) AS again, count(*) FILTER (hit AND k = 8) AS covered, bool_or(hit AND k = 101) AS long
+      FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+d AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(again, 0)::BIGINT AS n_repeat_words,
+             coalesce(covered, 0)::BIGINT AS n_covered, coalesce(long, false) AS long
+      FROM w LEFT JOIN k ON w.doc_id = k.doc_id LEFT JOIN l ON w.doc_id = l.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed,
+       NOT base_failed AND n_covered <= 0.5 * n_words AND NOT long AS kept FROM b""")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.scores(_table(spark, sf_dir, "documents")).drop("longest_repeat")
