@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (licenses, merkle, minhash, mixing, packing, quality_rules, sharding, simhash, suffix_dedup, topk,
-               toxicity, window_dedup)
+from . import (alignment, licenses, merkle, minhash, mixing, packing, quality_rules, sharding, simhash, suffix_dedup,
+               topk, toxicity, window_dedup)
 from .common import prepare
 
 
@@ -229,3 +229,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
        NOT base_failed AND n_covered <= 0.5 * n_words AND NOT long AS kept FROM b""")
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scores(_table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
