@@ -9,14 +9,17 @@ the digests of its own children, of which there are at most ``FAN``.
 
 ``climb`` is one recursive query: every leaf starts with the digest to be
 proved and meets, step by step, the node row that its link names; a step
-appends a row with the siblings found there and folds them with what it
-carries. ``proofs`` puts the rows of a leaf together again.
+folds the siblings found there with what it carries and appends them, by the
+node row and the place they stand beside, to the path of the leaf. ``proofs``
+writes the siblings of every path out.
 
 All leaves end at one root, so links alone would bring the whole table to
 one task. Leaves are dealt by (link, slot), a slot being ``SLOT`` consecutive
 leaves, and node rows lie ready once per slot that they cover: about one row
 for ``SLOT`` leaves and level beyond the nodes themselves. A step so moves
-the small state of a leaf and never gathers more than ``SLOT`` of them.
+the small state of a leaf and never gathers more than ``SLOT`` of them, and
+the siblings themselves (up to 15 digests a level and leaf) are never dealt:
+paths meet the few node rows of their slot.
 
 Digests are carried as 32 bytes and hashed as lower-case hex text.
 
@@ -41,7 +44,7 @@ from vellum.operators.ordered import with_global_index
 from .common import staged, temporary
 
 FAN = 16
-SLOT = 1024
+SLOT = 512
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = 32  # levels of the tree over the groups are numbered from here
 LEVEL_BITS = 57  # bits of a node's number below its level
@@ -172,28 +175,30 @@ def slots(rows: DataFrame) -> DataFrame:
 
 
 CLIMB = """
-WITH RECURSIVE climb(leaf, slot, step, parent, place, folded, siblings, subroot, root) AS (
-  SELECT leaf, leaf DIV {slot}, 0, parent, place, folded, CAST('' AS BINARY), subroot, IF(parent IS NULL, hash, NULL)
+WITH RECURSIVE climb(leaf, slot, step, node, spot, parent, place, folded, subroot, root) AS (
+  SELECT leaf, leaf DIV {slot}, 0, CAST(NULL AS LONG), CAST(NULL AS INT), parent, place, folded, subroot,
+         IF(parent IS NULL, hash, NULL)
   FROM {leaves}
   UNION ALL
-  SELECT leaf, slot, step, parent, place,
-         unhex(sha2(lower(hex(concat(before, folded, behind))), 256)), concat(before, behind), subroot, root
-  FROM (SELECT c.leaf, c.slot, c.step + 1 AS step, n.parent, n.place, c.folded,
-               substring(n.children, 1, 32 * c.place) AS before, substring(n.children, 32 * c.place + 33) AS behind,
-               IF(n.is_subroot, n.hash, NULL) AS subroot, IF(n.parent IS NULL, n.hash, NULL) AS root
-        FROM climb AS c JOIN {nodes} AS n ON c.parent = n.node AND c.slot = n.slot))
+  SELECT c.leaf, c.slot, c.step + 1, n.node, c.place, n.parent, n.place,
+         unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.place), c.folded,
+                                     substring(n.children, 32 * c.place + 33)))), 256)),
+         IF(n.is_subroot, n.hash, NULL), IF(n.parent IS NULL, n.hash, NULL)
+  FROM climb AS c JOIN {nodes} AS n ON c.parent = n.node AND c.slot = n.slot)
 SELECT * FROM climb"""
 
 
 def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(leaf, step, folded, siblings, subroot, root)``: a row per leaf and
-    level; ``subroot`` and ``root`` where the level has them."""
+    """``(leaf, slot, step, node, spot, folded, subroot, root)``: a row per
+    leaf and level. The siblings of a step are the children of ``node`` but
+    for the one at ``spot``; ``subroot`` and ``root`` are given where the
+    level has them."""
     spark: SparkSession = leaves.sparkSession
     names = {k: f"merkle_{k}_{uuid.uuid4().hex}" for k in ("leaves", "nodes")}
     leaves.createOrReplaceTempView(names["leaves"])
     slots(nodes).createOrReplaceTempView(names["nodes"])
     try:
-        return spark.sql(CLIMB.format(slot=SLOT, **names)).select("leaf", "step", "folded", "siblings", "subroot", "root")
+        return spark.sql(CLIMB.format(slot=SLOT, **names)).drop("parent", "place")
     finally:
         for name in names.values():
             spark.catalog.dropTempView(name)
@@ -203,16 +208,24 @@ def proofs(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(id, leaf, subroot, root, proof, folded_root)``, digests as 32
     bytes, ``proof`` being all siblings in a row. Staged."""
     spark = leaves.sparkSession
-    limit, old = "spark.sql.cteRecursionRowLimit", None
+    limit = "spark.sql.cteRecursionRowLimit"
     old = spark.conf.get(limit, None)
     spark.conf.set(limit, "-1")  # a row per leaf and level is what is asked for
     try:
-        steps = F.array_sort(F.collect_list(F.struct("step", "siblings", "folded")))  # one per level
-        got = climb(leaves, nodes).groupBy("leaf").agg(
-            steps.alias("_s"), F.max("subroot").alias("_sub"), F.max("root").alias("root"))
-        got = got.select(F.col("leaf").alias("_leaf"), "_sub", "root",
-                         digest(hex_text(F.reduce("_s", F.lit(b""), lambda a, x: F.concat(a, x["siblings"])))).alias("proof"),
-                         F.element_at("_s", -1)["folded"].alias("folded_root"))
+        path = F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct("step", "node", "spot"))))  # one per level
+        got = climb(leaves, nodes).groupBy("slot", "leaf").agg(
+            path.alias("_path"), F.max_by("folded", "step").alias("folded_root"), F.max("subroot").alias("_sub"),
+            F.max("root").alias("root"))
+        # the node rows of a slot: fewer than its leaves and one a level
+        near = slots(nodes).groupBy(F.col("slot").alias("_slot")).agg(
+            F.map_from_entries(F.collect_list(F.struct("node", "children"))).alias("_near"))
+
+        def beside(x: Column) -> Column:
+            children = F.col("_near")[x["node"]]
+            return F.concat(F.substr(children, F.lit(1), 32 * x["spot"]), F.substr(children, 32 * x["spot"] + 33))
+        siblings = F.reduce("_path", F.lit(b""), lambda a, x: F.concat(a, beside(x)))
+        got = got.join(near, F.col("slot") == F.col("_slot"), "left").select(
+            F.col("leaf").alias("_leaf"), "_sub", "root", digest(hex_text(siblings)).alias("proof"), "folded_root")
         return staged(leaves.select("id", "leaf", "hash").join(got, F.col("leaf") == F.col("_leaf")).select(
             "id", F.col("hash").alias("leaf"), F.col("_sub").alias("subroot"), "root", "proof", "folded_root"), outlives=True)
     finally:
