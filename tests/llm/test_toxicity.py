@@ -97,3 +97,110 @@ def test_very_long_text(scorer):
 def test_doubled_split_and_separated_words(scorer, seen, source):
     assert source in scorer.restorer.tokens(f"the {seen} and")
     assert scorer.score(f"the {seen} and") > scorer.score("the and")
+
+
+# Words that set no cost and no threshold of the decoder, each held out from the lists above.
+HELD = [("imb3c1l3", "imbecile"), ("v.e.r.m.i.n", "vermin"), ("c0w4rd", "coward"), ("hhypoccritte", "hypocrite"),
+        ("l o w l i f e", "lowlife"), ("vveerrmmiinn", "vermin"), ("cow ard", "coward"), ("v - e - r - m - i - n", "vermin"),
+        ("imbeciiiile", "imbecile"), ("sc0undr3l", "scoundrel")]
+
+
+@pytest.fixture(scope="module")
+def english():
+    """A character model of words in which the held-out ones are rare."""
+    import pyarrow as pa
+    rng = random.Random(1)
+    words = ["the", "of", "and", "people", "imbecile", "vermin", "coward", "hypocrite", "lowlife", "scoundrel", "better",
+             "committee", "winter", "summer", "carbon", "mechanic", "universe", "virtue", "cowboy", "wardrobe", "hypothesis"]
+    text = " ".join(rng.choices(words, [40, 30, 30, 9] + [1] * 6 + [6] * 11, k=30_000))
+    n = np.zeros(toxicity.SYMBOLS ** 4)
+    for b in toxicity.count_grams(iter([pa.record_batch([pa.array([text])], names=["text"])])):
+        n[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    return toxicity.interpolated(n)
+
+
+@pytest.mark.parametrize("seen,source", HELD)
+def test_held_out_forms(english, seen, source):
+    assert source in toxicity.Restorer(english).tokens(f"the {seen} and")
+
+
+def brute_reading(token, cost, drop, space, doubles):
+    """All paths of the lattice, one by one."""
+    from itertools import groupby, product
+
+    from vellum.llm import lattice
+    signs = [(c, run, length) for c, same in groupby(lattice.fold(token)) for length in [len(list(same))] for run in range(length)]
+    options = [lattice.readings(*s, drop, space, doubles) or [("", 0.0)] for s in signs]
+    best = None
+    for path in product(*options):
+        spent, state = 0.0, 0
+        for x, price in path:
+            spent += price
+            if x:
+                spent += cost[state * 28 + lattice.letter_class(x)]
+                state = (state * 28 + lattice.letter_class(x)) % lattice.STATES
+        spent += cost[state * 28]
+        found = (spent, "".join(x for x, _ in path))
+        best = found if best is None or found[0] < best[0] - 1e-9 else best
+    return best
+
+
+def test_decoder_against_all_paths():
+    from vellum.llm import lattice
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.full(28, 0.3), 28 ** 3).ravel() + 1e-6).astype(np.float32)
+    pick = random.Random(5)
+    for how in ((0.6, 1.5, False), (0.6, 1.5, True), (1.0, 0.0, False)):
+        lat = lattice.Lattice(model, *how)
+        for _ in range(250):
+            token = "".join(pick.choice("aabbcdeé01!*.- $٣") for _ in range(pick.randint(1, 9)))
+            want = brute_reading(token, lat.cost, *how)
+            got = lat.restore(token)
+            assert got == lat.restore(token)
+            if got != want[1]:  # only for a tie
+                assert abs(cost_of(token, got, lat, how) - want[0]) < 1e-6, (token, got, want)
+
+
+def cost_of(token, output, lat, how):
+    """Cheapest path that writes ``output``."""
+    from itertools import groupby
+
+    from vellum.llm import lattice
+    signs = [(c, run, length) for c, same in groupby(lattice.fold(token)) for length in [len(list(same))] for run in range(length)]
+    live = {("", 0): 0.0}
+    for s in signs:
+        step = {}
+        for (text, state), spent in live.items():
+            for x, price in lattice.readings(*s, *how) or [("", 0.0)]:
+                t, total = state, spent + price
+                if x:
+                    total += lat.cost[state * 28 + lattice.letter_class(x)]
+                    t = (state * 28 + lattice.letter_class(x)) % lattice.STATES
+                if output.startswith(text + x):
+                    step[text + x, t] = min(total, step.get((text + x, t), 1e18))
+        live = step
+    return min(spent + lat.cost[state * 28] for (text, state), spent in live.items() if text == output)
+
+
+def test_keeps_agrees_with_restore(english):
+    from vellum.llm import lattice
+    lat = lattice.Lattice(english, doubles=True)
+    pick = random.Random(6)
+    for _ in range(2000):
+        word = "".join(pick.choice(["better", "tt", "ee", "the", "wi", "n", "s", "mm", "er"]) for _ in range(pick.randint(1, 4)))
+        if not any(c * 3 in word for c in "tenmsrwih") and lat.keeps(word):
+            assert lat.restore(word) == word
+
+
+def test_long_tokens_take_linear_time(english):
+    import time
+    r = toxicity.Restorer(english)
+    pick = random.Random(7)
+    took = []
+    for n in (50_000, 200_000):
+        token = "".join(pick.choice("abcdefghijklmnop0123456789+/") for _ in range(n))
+        began = time.process_time()
+        r.readings(token)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.05)
+    r.readings("*" * 3000 + "a")

@@ -8,9 +8,9 @@
    fragments of at most ``FRAGMENT`` characters is a lattice: look-alike
    signs stand for letters, separators and repeats may vanish (one of two
    equal letters at ``COST_DOUBLE``), blanks inside a run, with or without
-   separators between them, may join. Search under the character model
-   (``BEAM`` states after each sign) picks the restored words, which are
-   scored beside the observed ones. Other tokens have one path.
+   separators between them, may join. Viterbi search under the character model
+   over all paths (``lattice``) picks the restored words, which are scored
+   beside the observed ones. Other tokens have one path.
 3. A logistic regression scores the restored tokens. Features are the tokens
    and their beginnings of ``PREFIXES`` letters (present or not), selected by
    how unevenly they fall on the labels.
@@ -28,11 +28,9 @@ labels are ignored; a null id is in the held-out fold.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .common import staged, temporary
+from .lattice import SYMBOLS, Lattice, Recent, fold as unaccented, letter_class
 
 SAMPLE = 20_000
 FEATURES = 1 << 20
@@ -49,17 +48,10 @@ UNEVEN = 2.0  # standard errors between the labels that a feature must show
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 
-SYMBOLS = 28  # 0 boundary, 1-26 letters, 27 any other letter
-SKIP = 28
+SKIP = 28  # digits, currency signs and control characters part runs of the model
 
-# Look-alikes: observed sign -> letters it may stand for (fixed values).
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-        "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "×": "x", "µ": "u"}
-SEPARATORS = set(".-_*~'`^,:;/\\=#")
-COST_LEET, COST_DROP, COST_REPEAT, COST_KEEP_SIGN, COST_SPACE, COST_THIRD, COST_ANY = 0.7, 0.6, 0.3, 6.0, 1.5, 3.0, 2.5
-COST_DOUBLE, COST_JOIN = 3.0, 1.0  # one of two equal letters; a blank between fragments
+COST_JOIN = 1.0  # a blank between fragments
 KNOWN_WORD = 2.75  # nats a letter: a word that lost a doubled letter must be as likely as this under the model
-BEAM = 24
 FRAGMENT = 3
 
 _CLASS = np.full(256, SKIP, np.uint8)
@@ -96,6 +88,11 @@ def character_model(texts: DataFrame) -> np.ndarray:
             .filter("n > 0").toPandas())
     n = np.zeros(SYMBOLS ** 4)
     n[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+    return interpolated(n)
+
+
+def interpolated(n: np.ndarray) -> np.ndarray:
+    """``character_model`` from 4-gram counts."""
     p = np.full(SYMBOLS, 1 / SYMBOLS)
     for order in range(1, 5):
         counts = n.reshape(-1, SYMBOLS ** order).sum(axis=0).reshape(-1, SYMBOLS)
@@ -105,65 +102,14 @@ def character_model(texts: DataFrame) -> np.ndarray:
     return np.log(p.ravel()).astype(np.float32)
 
 
-def _fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
-def _class(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
-
-
-def restore(token: str, model: np.ndarray, drop: float = COST_DROP, space: float = COST_SPACE,
-            doubles: bool = False) -> str:
-    """Most likely source of an observed token (search over its lattice);
-    blanks inside the token may vanish at the cost ``drop`` or stay as word
-    boundaries at the cost ``space``. With ``doubles`` one of two equal
-    letters may vanish, too."""
-    beam: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    observed = [(c, n, length) for c, same in groupby(_fold(token)) for length in [len(list(same))] for n in range(length)]
-    for c, run, length in observed:
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options.append((c, 0.0 if run < 2 else COST_THIRD))
-        elif c in LEET:
-            options += [(x, COST_LEET) for x in LEET[c]]
-        if c in " \t\n\r\v\f":
-            options += [("", drop), (" ", space)]
-        elif not c.isalpha():
-            if c in SEPARATORS or not c.isalnum():
-                options.append(("", COST_DROP))
-            if c == "*":
-                options += [(x, COST_ANY) for x in "aeiou"]
-            if c.isdigit():
-                options.append(("", COST_KEEP_SIGN))
-        if run and (length > 2 or doubles and c.isalpha()):
-            options.append(("", COST_REPEAT if length > 2 else COST_DOUBLE))
-        step: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for (a, b, d), (cost, text) in beam.items():
-            for out, extra in options:
-                if not out:
-                    state, total, written = (a, b, d), cost + extra, text
-                else:
-                    x = 0 if out == " " else _class(out)
-                    state = (b, d, x)
-                    total = cost + extra - float(model[((a * SYMBOLS + b) * SYMBOLS + d) * SYMBOLS + x])
-                    written = text + out
-                if state not in step or total < step[state][0]:
-                    step[state] = (total, written)
-        if len(step) > BEAM:
-            step = dict(sorted(step.items(), key=lambda s: s[1][0])[:BEAM])
-        beam = step or beam
-    end = [(cost - float(model[((a * SYMBOLS + b) * SYMBOLS + d) * SYMBOLS]), text)
-           for (a, b, d), (cost, text) in beam.items()]
-    return min(end)[1]
-
-
 _GAP = r"[ \t\n\r\v\f]+(?:[.\-_*~'`^,:;/\\=#|]+[ \t\n\r\v\f]+)*"
 _SIGN = r"[\w@$!|+*]"
 _SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[@$!|+*])(?:{_GAP}{_SIGN}(?!\S)){{2,}}")
 _END = r"(?=[.,;:?\"')]*(?!\S))"
 _SPLIT = re.compile(rf"(?<!\S){_SIGN}{{1,{FRAGMENT}}}(?:{_GAP}{_SIGN}{{1,{FRAGMENT}}}{_END})+")
 _EDGE = ".,;:!?\"'()[]{}<>%&#*|~`^_-/\\=…»«„“”’‘"
+_MARKS = ".,;:?\"'"
+_WORD = re.compile("[a-z]+")
 _REPEAT, _TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 
 
@@ -171,61 +117,63 @@ def suspicious(token: str) -> bool:
     """Whether a token (lower case, edges stripped) has more than one reading."""
     if token.isalpha():
         return bool(_REPEAT.search(token))
-    return sum(c.isalpha() for c in token) >= 2 or (any(c.isalpha() or c in "@$!|" for c in token) and len(token) > 2)
+    letters = sum(map(str.isalpha, token))
+    return letters >= 2 or (len(token) > 2 and (letters > 0 or any(c in "@$!|" for c in token)))
 
 
 class Restorer:
     """Tokens of a text after restoration."""
 
-    KNOWN = 200_000
-
     def __init__(self, model: np.ndarray):
-        self.model = model
-        self.runs: dict[str, tuple[str, ...]] = {}
+        self.plain = Lattice(model)
+        self.doubled = Lattice(model, doubles=True)
+        self.fragments = Lattice(model, COST_JOIN, 0.0)
+        self.doubled.cost = self.fragments.cost = self.plain.cost  # one table in memory
+        self.runs: Recent = Recent()
 
     def readings(self, raw: str) -> tuple[str, ...]:
         """Restored words of one observed (lower-case) token."""
         if raw.isalpha() and not _REPEAT.search(raw):  # one reading
             return (raw,)
         token = raw.strip(_EDGE)
+        if _WORD.fullmatch(token) and (raw.rstrip(_MARKS) == token) \
+                and not _TRIPLE.search(token) and self.doubled.keeps(token):
+            return (token,)
         got = (token,) if token else ()
-        for form in {token, raw.rstrip(".,;:?\"'")}:  # an edge sign may be a letter: 'b!tch!' or '$cum'
+        other = raw.rstrip(_MARKS)  # an edge sign may be a letter: 'b!tch!' or '$cum'
+        for form in (token,) if other == token else (token, other):
             if not form or not suspicious(form):
                 continue
             if not form.isalpha() or _TRIPLE.search(form):
-                got += tuple(restore(form, self.model).split())
+                got += tuple(self.plain.restore(form).split())
             if _REPEAT.search(form):  # 'iddiott', but also 'better': beside the reading that keeps doubled letters
-                word = restore(form, self.model, doubles=True)
-                if len(word) > 2 and word != _fold(form) and self.known(word):
+                word = self.doubled.restore(form)
+                if len(word) > 2 and word != unaccented(form) and self.known(word):
                     got += tuple(word.split())
         return got
 
     def known(self, word: str) -> bool:
         """Whether the character model explains the word."""
-        a = b = d = 0
-        cost = 0.0
+        state, spent, cost = 0, 0.0, self.plain.cost
         for c in word + " ":
-            x = 0 if c == " " else _class(c)
-            cost -= float(self.model[((a * SYMBOLS + b) * SYMBOLS + d) * SYMBOLS + x])
-            a, b, d = b, d, x
-        return cost <= KNOWN_WORD * (len(word) + 1)
+            state = state % SYMBOLS ** 3 * SYMBOLS + letter_class(c)
+            spent += cost[state]
+        return spent <= KNOWN_WORD * (len(word) + 1)
 
     def spaced(self, text: str) -> list[str]:
         """Words restored from runs of single characters and of fragments."""
         out = []
         for m in _SPACED.finditer(text):
-            out += restore(m.group(0), self.model).split()
+            out += self.plain.restore(m.group(0)).split()
         for m in _SPLIT.finditer(text):
             out += self.joined(m.group(0))
         return out
 
     def joined(self, run: str) -> tuple[str, ...]:
-        """Words of a run of fragments, remembered for ``KNOWN`` runs."""
-        got = self.runs.get(run)
+        """Words of a run of fragments; recent runs are remembered."""
+        got = self.runs[run]
         if got is None:
-            if len(self.runs) >= self.KNOWN:
-                self.runs.clear()
-            got = self.runs[run] = tuple(restore(run, self.model, COST_JOIN, 0.0).split())
+            got = self.runs[run] = tuple(self.fragments.restore(run).split())
         return got
 
     def tokens(self, text: str) -> set[str]:
@@ -244,9 +192,7 @@ def features(word: str) -> list[int]:
 @dataclass
 class Scorer:
     """Everything a task needs: bounded by ``SYMBOLS ** 4`` and ``SELECTED``.
-    What tokens mean is remembered per worker, for ``KNOWN`` tokens."""
-
-    KNOWN = 500_000
+    A worker remembers what recent tokens mean."""
 
     model: np.ndarray
     weights: dict[int, float]
@@ -255,24 +201,26 @@ class Scorer:
     def start(self) -> None:
         if not hasattr(self, "hits"):
             self.restorer = Restorer(self.model)
-            self.hits: dict[str, tuple[int, ...]] = {}
+            self.hits: Recent = Recent(400_000)
+            self.found: Recent = Recent()
 
     def score(self, text: str | None) -> float:
         if not text:
             return self._squash(self.intercept)
         text = text.lower()
         found: set[int] = set()
-        hits = self.hits
+        hits, words, weights = self.hits, self.found, self.weights
         for raw in set(text.split()):
-            got = hits.get(raw)
+            got = hits[raw]
             if got is None:
-                if len(hits) >= self.KNOWN:
-                    hits.clear()
-                got = hits[raw] = tuple({f for w in self.restorer.readings(raw) for f in features(w) if f in self.weights})
+                got = hits[raw] = tuple([f for w in self.restorer.readings(raw) for f in features(w) if f in weights])
             if got:
                 found.update(got)
         for w in self.restorer.spaced(text):
-            found.update(f for f in features(w) if f in self.weights)
+            got = words[w]
+            if got is None:
+                got = words[w] = tuple([f for f in features(w) if f in weights])
+            found.update(got)
         return self._squash(self.intercept + sum(self.weights[f] for f in sorted(found)))
 
     @staticmethod
