@@ -158,19 +158,60 @@ def planted(seed=5, n=40, words=200):
 def test_near_copies_are_found_with_their_classes(spark, make_docs):
     docs = make_docs(planted())
     classes = {r["doc_id"]: simhash_hex(r) for r in simhash.membership(docs).collect()}
-    pairs = simhash.near(docs).collect()
-    found = {(r["doc_id"], r["near_fingerprint"]) for r in pairs}
+    smallest = {}
+    for i, c in sorted(classes.items(), reverse=True):
+        smallest[c] = i
+    rows = simhash.near(docs).collect()
+    pairs = [(r["doc_id"], r["fingerprint"], *e) for r in rows for e in r["near"]]
+    found = {(i, c) for i, _, _, c, _, _ in pairs}
     recall = [sum((20 * i, classes[20 * i + c]) in found for i in range(40)) / 40 for c in (1, 2, 3)]
     assert recall[0] == 1 and recall[1] >= 0.95 and recall[2] >= 0.8
-    assert all(near(r["fingerprint"], r["near_fingerprint"]) == 1 - r["distance"] / 128 for r in pairs)
+    assert all(near(own, other) == 1 - d / 128 and smallest[other] == i for _, own, i, other, d, _ in pairs)
     counts = {r["doc_id"]: r for r in simhash.compare(docs).collect()}
     for i in range(40):
-        own = [r for r in pairs if r["doc_id"] == 20 * i]
+        own = [x for x in pairs if x[0] == 20 * i]
         assert counts[20 * i]["fingerprint"] == classes[20 * i]
         assert counts[20 * i]["near_classes"] == len(own) - 1
-        assert counts[20 * i]["within_reach"] == sum(r["n_documents"] for r in own) - 1
+        assert counts[20 * i]["within_reach"] == sum(x[5] for x in own) - 1
         assert counts[20 * i + 1]["within_reach"] is None
 
 
+def test_a_group_of_near_copies_makes_lists_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST", 16)
+    rng = random.Random(4)
+    base = rng.getrandbits(128)
+    prints = {base}
+    while len(prints) < 300:
+        x = base
+        for b in rng.sample(range(128), rng.randint(1, 9)):
+            x ^= 1 << b
+        prints.add(x)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    two = lambda p: (signed(p & (1 << 64) - 1), signed(p >> 64))
+    df = spark.createDataFrame([(*two(p), i) for i, p in enumerate(sorted(prints))], "f1 long, f2 long, id long")
+    asked = df.filter("id % 20 = 0")
+    rows = simhash.lists_within(df, asked, 23, 8).collect()
+    pairs = [(r["q1"], r["q2"], e["f1"], e["f2"]) for r in rows for e in r["near"]]
+    assert len(pairs) == len(set(pairs)) == sum(
+        (a ^ b).bit_count() <= 23 for i, a in enumerate(sorted(prints)) if i % 20 == 0 for b in prints)
+    assert len(rows) < len(pairs) / 2
+
+
+def test_radius_from_similarity_and_recall():
+    import math
+    rng = random.Random(1)
+    assert simhash.reach(0.92, 0.95) == simhash.REACH == 23
+    assert simhash.reach(1.0, 0.99) == 0
+    p = math.acos(0.92) / math.pi
+    far = [sum(rng.random() < p for _ in range(128)) for _ in range(4000)]
+    assert sum(d <= simhash.REACH for d in far) / 4000 >= 0.94
+
+
+def test_blocks_widen_with_the_table():
+    sizes = [simhash.choose_blocks(n, 23) for n in (10, 10 ** 5, 10 ** 7, 10 ** 10)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1]
+    assert simhash.choose_blocks(1000, 3) == simhash.BLOCKS
+
+
 def simhash_hex(r):
     return f"{r['f1'] % (1 << 64):016x}{r['f2'] % (1 << 64):016x}"

@@ -17,9 +17,16 @@ per block, and a query asks it for its own value and all values that near. A
 pair counts in the first table where it meets and only if its distance is
 within the radius. Equal fingerprints are one entry with a count.
 
-Texts whose term weights have the cosine c are 128 * acos(c) / pi bits apart
-on average: ``REACH`` is that distance for ``SIMILARITY``. ``RADIUS`` finds
-little beyond exact copies.
+The entries under one key of a table lie in lists of about ``LIST``; a hot key
+(a group of near copies) has many lists. A query meets lists, not entries, and
+keeps one row per list with the entries within the radius, so counting or
+reporting them never makes a row per pair (``within`` does, for callers that
+want pairs).
+
+Texts whose term weights have the cosine c are Binomial(128, acos(c) / pi)
+bits apart. ``REACH`` is the least radius that holds the share ``RECALL`` of
+the pairs at the cosine ``SIMILARITY``; nearer pairs are found more often.
+``RADIUS`` finds little beyond exact copies.
 
 Defined cases: null texts are empty; a text without terms has the zero
 fingerprint; equal texts have equal fingerprints; documents sharing an id
@@ -44,9 +51,23 @@ BITS = 128
 TOP_WEIGHT = 16
 RADIUS = 3
 BLOCKS = 6
-SIMILARITY = 0.85
-REACH = round(BITS * math.acos(SIMILARITY) / math.pi)  # 23
-REACH_BLOCKS = 8  # of 16 bits, 2 of which may differ
+SIMILARITY, RECALL = 0.92, 0.95
+LIST = 64
+
+
+
+def reach(similarity: float, recall: float) -> int:
+    """Least radius within which the share ``recall`` of the pairs of cosine
+    ``similarity`` lies."""
+    p, held = math.acos(similarity) / math.pi, 0.0
+    for r in range(BITS):
+        held += math.comb(BITS, r) * p ** r * (1 - p) ** (BITS - r)
+        if held >= recall:
+            return r
+    return BITS
+
+
+REACH = reach(SIMILARITY, RECALL)  # 23
 
 _PAIR = (1 << 32) + 1  # one bit in either half of a sum
 
@@ -131,33 +152,69 @@ def _by_block(df: DataFrame, f1: str, f2: str, blocks: int, differ: int) -> Data
     return rows.select("*", F.col("_e.t").alias(f"_t{f1}"), value.alias(f"_k{f1}")).drop("_e", "_m")
 
 
-def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """``(q1, q2, f1, f2, n, distance)``: for every distinct query
-    fingerprint all distinct fingerprints within the radius and how many
-    rows have them. Inputs have columns ``f1, f2``."""
-    if not (0 <= radius <= BITS and 1 <= blocks <= BITS):
+def choose_blocks(fingerprints: int, radius: int) -> int:
+    """Blocks that make a search cheapest: a query asks for so many values,
+    and each value has so many entries (blocks get wider as the table grows)."""
+    def cost(blocks: int) -> float:
+        width, differ = BITS // blocks, min(radius // blocks, BITS // blocks)
+        asks = blocks * sum(math.comb(width, k) for k in range(differ + 1))
+        return asks * (1 + fingerprints / 2 ** width)
+    return min((b for b in (4, 8, 16, 32) if radius >= b), key=cost, default=BLOCKS)
+
+
+def lists_within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """``(q1, q2, near)``: for every distinct query fingerprint all distinct
+    fingerprints within the radius, in rows of one list each: ``near`` has
+    ``(f1, f2, n, id, distance)``, ``n`` rows having it, the smallest ``id``
+    among them. Inputs have columns ``f1, f2`` and ``id`` (of ``prints``)."""
+    if not 0 <= radius <= BITS or blocks is not None and not 1 <= blocks <= BITS:
         raise ValueError("radius and blocks count bits of a fingerprint")
+    entries = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    if blocks is None:
+        entries = staged(entries)
+        blocks = choose_blocks(entries.count(), radius)
     if radius >= blocks and blocks not in (4, 8, 16, 32):
         raise ValueError("a radius of as many bits as there are blocks or more needs 4, 8, 16 or 32 equal blocks")
-    entries = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"))
     asked = queries.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct()
-    ours, theirs = (_blocks(F.col(f"{x}1"), F.col(f"{x}2"), blocks) for x in "fq")
     if radius < blocks:
         tables = list(combinations(range(blocks), blocks - radius))
         entries, asked = _permuted(entries, "f1", "f2", tables, blocks), _permuted(asked, "q1", "q2", tables, blocks)
-        equal = [a == b for a, b in zip(ours, theirs, strict=True)]
-        meets = [reduce(lambda a, b: a & b, [equal[i] for i in chosen]) for chosen in tables]
     else:
         differ = min(radius // blocks, BITS // blocks)
-        # the planner does not count the values a query asks for: without the hint it would broadcast them all
-        entries = _by_block(entries, "f1", "f2", blocks, 0).hint("merge")
-        asked = _by_block(asked, "q1", "q2", blocks, differ)
-        meets = [F.bit_count(a.bitwiseXOR(b)) <= differ for a, b in zip(ours, theirs, strict=True)]
-    first = F.coalesce(*[F.when(m, F.lit(t)) for t, m in enumerate(meets)])  # the first table where a pair meets
-    d = distance(F.col("f1"), F.col("f2"), F.col("q1"), F.col("q2"))
-    met = entries.join(asked, (F.col("_kf1") == F.col("_kq1")) & (F.col("_tf1") == F.col("_tq1"))
-                       & (d <= radius) & (first == F.col("_tf1")))
-    return met.select("q1", "q2", "f1", "f2", "n", d.alias("distance"))
+        entries, asked = _by_block(entries, "f1", "f2", blocks, 0), _by_block(asked, "q1", "q2", blocks, differ)
+
+    def counts(f1: Column, f2: Column) -> Column:  # the first table where a pair meets
+        both = list(zip(_blocks(f1, f2, blocks), _blocks(F.col("q1"), F.col("q2"), blocks), strict=True))
+        if radius < blocks:
+            meets = [reduce(lambda a, b: a & b, [both[i][0] == both[i][1] for i in chosen]) for chosen in tables]
+        else:
+            meets = [F.bit_count(a.bitwiseXOR(b)) <= differ for a, b in both]
+        return F.coalesce(*[F.when(m, F.lit(t)) for t, m in enumerate(meets)])
+
+    def fits(e: Column) -> Column:
+        return ((distance(e["f1"], e["f2"], F.col("q1"), F.col("q2")) <= radius)
+                & (counts(e["f1"], e["f2"]) == F.col("_tq1")))
+    hot = (entries.groupBy(F.col("_tf1").alias("_t"), F.col("_kf1").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > LIST))
+    dealt = entries.join(hot, (F.col("_tf1") == F.col("_t")) & (F.col("_kf1") == F.col("_k")), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("f2", "f1"), F.ceil(F.col("_n") / LIST)), F.lit(0))
+    lists = dealt.groupBy("_tf1", "_kf1", part.alias("_part")).agg(
+        F.collect_list(F.struct("f1", "f2", "n", "id")).alias("_list"))  # about LIST entries
+    # the planner does not count the values a query asks for: without the hint it would broadcast them all
+    met = lists.hint("merge").join(asked, (F.col("_kf1") == F.col("_kq1")) & (F.col("_tf1") == F.col("_tq1"))
+                                   & F.exists("_list", fits))
+    near = F.transform(F.filter("_list", fits), lambda e: F.struct(
+        e["f1"].alias("f1"), e["f2"].alias("f2"), e["n"].alias("n"), e["id"].alias("id"),
+        distance(e["f1"], e["f2"], F.col("q1"), F.col("q2")).alias("distance")))
+    return met.select("q1", "q2", near.alias("near"))
+
+
+def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """``(q1, q2, f1, f2, n, distance)``: for every distinct query
+    fingerprint all distinct fingerprints within the radius and how many
+    rows have them. Inputs have columns ``f1, f2``."""
+    found = lists_within(prints.withColumn("id", F.lit(None).cast("long")), queries, radius, blocks)
+    return found.select("q1", "q2", F.explode("near").alias("x")).select("q1", "q2", "x.f1", "x.f2", "x.n", "x.distance")
 
 
 def _asks(ident: Column, kind: str, every: int) -> Column:
@@ -175,19 +232,23 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         prints, F.col("_uid") == F.col("_u"), "left").select(id_col, zero("f1"), zero("f2"))
 
 
-def near(docs: DataFrame, radius: int = REACH, blocks: int = REACH_BLOCKS, every: int = 20, id_col: str = "doc_id",
+def near(docs: DataFrame, radius: int = REACH, blocks: int | None = None, every: int = 20, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """``(id, fingerprint, near_fingerprint, distance, n_documents)``: for
-    every document whose id is divisible by ``every`` all fingerprint classes
-    within the radius, its own included, and how many documents are in each.
-    ``membership`` says which."""
-    rows = staged(membership(docs, id_col, text_col))
-    asking = rows.filter(_asks(F.col(f"`{id_col}`"), dict(rows.dtypes)[id_col], every))
-    found = within(rows.select("f1", "f2"), asking.select("f1", "f2"), radius, blocks)
-    asking = asking.select(F.col(f"`{id_col}`").alias("_id"), F.col("f1").alias("_a1"), F.col("f2").alias("_a2"))
+    """``(id, fingerprint, near)``: for every fingerprint of a document whose
+    id is divisible by ``every`` (``id``: the smallest one) all fingerprints
+    within the radius, its own included, in rows of about ``LIST`` at most.
+    ``near`` lists ``(id, fingerprint, distance, n_documents)``, ``id`` being
+    the smallest of the documents that have it; ``membership`` says which
+    others do."""
+    rows = staged(membership(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
+    asking = rows.filter(_asks(F.col("id"), dict(rows.dtypes)["id"], every))
+    found = lists_within(rows, asking, radius, blocks)
+    asking = asking.groupBy(F.col("f1").alias("_a1"), F.col("f2").alias("_a2")).agg(F.min("id").alias("_id"))
+    listed = F.transform("near", lambda e: F.struct(
+        e["id"].alias(id_col), written(e["f1"], e["f2"]).alias("fingerprint"), e["distance"].alias("distance"),
+        e["n"].alias("n_documents")))
     return asking.join(found, (F.col("_a1") == F.col("q1")) & (F.col("_a2") == F.col("q2"))).select(
-        F.col("_id").alias(id_col), written(F.col("q1"), F.col("q2")).alias("fingerprint"),
-        written(F.col("f1"), F.col("f2")).alias("near_fingerprint"), "distance", F.col("n").alias("n_documents"))
+        F.col("_id").alias(id_col), written(F.col("q1"), F.col("q2")).alias("fingerprint"), listed.alias("near"))
 
 
 def edited_pairs(rows: DataFrame) -> DataFrame:
@@ -211,7 +272,7 @@ def edited_pairs(rows: DataFrame) -> DataFrame:
         F.concat(kept, F.col("_lent")).alias("edited"))
 
 
-def compare(docs: DataFrame, radius: int = RADIUS, reach: int = REACH, blocks: int = REACH_BLOCKS, every: int = 20,
+def compare(docs: DataFrame, radius: int = RADIUS, reach: int = REACH, blocks: int | None = None, every: int = 20,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_chars``, ``edited_sha256``, both
     fingerprints, their likeness, the likeness to the next document's, and
@@ -235,11 +296,15 @@ def compare(docs: DataFrame, radius: int = RADIUS, reach: int = REACH, blocks: i
     after = table.select(F.col("uid").alias("_v"), F.col("f10").alias("_n1"), F.col("f20").alias("_n2"))
     is_query = _asks(F.col("_id"), dict(table.dtypes)["_id"], every)
     plain = table.select(F.col("f10").alias("f1"), F.col("f20").alias("f2"), is_query.alias("_q"))
-    found = within(plain.select("f1", "f2"), plain.filter("_q").select("f1", "f2"), max(radius, reach), blocks)
-    told = {"within_radius": F.sum(F.when(F.col("distance") <= radius, F.col("n"))) - 1,
-            "within_reach": F.sum(F.when(F.col("distance") <= reach, F.col("n"))) - 1,
-            "near_classes": F.count_if(F.col("distance") <= reach) - 1}
-    counts = found.groupBy("q1", "q2").agg(*[x.alias(f"_{name}") for name, x in told.items()])
+    plain = plain.withColumn("id", F.lit(None).cast("long"))
+    found = lists_within(plain, plain.filter("_q"), max(radius, reach), blocks)
+    zero_n = F.lit(0).cast("long")
+    told = {"within_radius": lambda e: F.when(e["distance"] <= radius, e["n"]).otherwise(zero_n),
+            "within_reach": lambda e: F.when(e["distance"] <= reach, e["n"]).otherwise(zero_n),
+            "near_classes": lambda e: F.when(e["distance"] <= reach, F.lit(1).cast("long")).otherwise(zero_n)}
+    counts = found.groupBy("q1", "q2").agg(*[
+        (F.sum(F.aggregate(F.transform("near", x), zero_n, lambda a, v: a + v)) - 1).alias(f"_{name}")
+        for name, x in told.items()])
     return (table.join(after, F.col("next") == F.col("_v"))
             .join(counts, (F.col("f10") == F.col("q1")) & (F.col("f20") == F.col("q2")), "left")
             .select(F.col("_id").alias(id_col), "n_chars", "edited_sha256",
