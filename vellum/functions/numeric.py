@@ -48,7 +48,15 @@ def nan_to_null(c: Column) -> Column:
 
 def number_text(c: Column) -> Column:
     """A double as Python writes it: plain digits from 1e-4 up to 1e16, else
-    ``1.5e+16`` / ``1e-05``."""
+    ``1.5e+16`` / ``1e-05``. Between 1e-3 and 1e7 that is Spark's own text;
+    the long way for the rest stays out of the generated code, which would
+    otherwise grow beyond what the JVM compiles."""
+    size = F.abs(c)
+    return (F.when((size >= 1e-3) & (size < 1e7) | (size == 0), c.cast("string"))
+            .otherwise(F.element_at(F.transform(F.array(c), _number_text), 1)))
+
+
+def _number_text(c: Column) -> Column:
     size = F.abs(c)
     plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
     text = c.cast("string")
