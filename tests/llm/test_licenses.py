@@ -64,3 +64,16 @@ def test_edge_rows(spark, make_docs, model):
                   for r in licenses.scan(docs, model).collect()), key=str)
     assert got == sorted([(1, 0, []), (2, 0, []), (3, 0, []), (4, 3, [(1, "mit")]), (4, 1, [(0, "mit")]), (0, 1, [])], key=str)
     assert licenses.scan(make_docs([])).collect() == []
+
+
+def test_learning_lines_are_different_and_repeatable(spark, make_docs, monkeypatch):
+    """A line copied very often is one line, however the rows are dealt."""
+    drawn = []
+    monkeypatch.setattr(licenses, "fit", lambda lines: drawn.append(lines))
+    rows = [(i, f"copied line\nown line {i}\n\n ") for i in range(400)]
+    docs = make_docs(rows)
+    licenses.train(docs.repartition(3), negatives=1000)
+    licenses.train(docs.repartition(8, "doc_id"), negatives=1000)
+    assert drawn[0] == drawn[1] == sorted({"copied line", *(f"own line {i}" for i in range(400))})
+    licenses.train(docs, negatives=50)
+    assert 20 <= len(drawn[2]) <= 100 and set(drawn[2]) <= set(drawn[0])

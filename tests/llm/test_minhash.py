@@ -81,7 +81,7 @@ def test_real_documents(spark):
 def test_repeated_and_null_ids(spark, make_docs):
     docs = make_docs([(5, "a b c d e f"), (5, "a b c d e f"), (None, "q w e r t y"), (7, "a b c d e f"), (9, None)])
     got = sorted(map(str, (tuple(r) for r in minhash.near_duplicates(docs).collect())))
-    assert got == sorted(["(5, 2, 5, True)", "(5, 2, 5, False)", "(None, 2, None, True)", "(7, 2, 5, False)",
+    assert got == sorted(["(5, 2, 5, True)", "(5, 2, 5, True)", "(None, 2, None, True)", "(7, 2, 5, False)",
                           "(9, 0, 9, True)"])
     kept = minhash.apply(docs)
     assert kept.columns == docs.columns
@@ -136,3 +136,10 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {n for a, b in edges if a != b for n in (a, b)}
     assert got == {n: find(n) for n in linked}
+
+
+def test_rows_sharing_an_id_are_kept_as_their_id_is(spark, make_docs):
+    text = "one two three four five six seven"
+    got = minhash.near_duplicates(make_docs([(5, text), (5, text), (7, text), (9, "other words only here")]), k=3, num=85, den=100)
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()) == [
+        (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True)]

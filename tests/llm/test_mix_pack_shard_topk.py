@@ -221,3 +221,20 @@ def test_topk_against_brute_force(spark, shape):
 def test_topk_empty(spark):
     q = topk.quantise(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.maxscore(q, q).collect() == []
+
+
+def test_topk_of_repeated_ids(spark):
+    """Rows that share an id are vectors of their own, as candidates and as queries."""
+    rng = random.Random(8)
+    data = [(rng.choice([0, 10, 10, 10, 1, 2, 3, 20]), [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(60)]
+    data += [data[0], data[0]]
+    q = topk.quantise(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    asked = q.filter("name % 10 = 0")
+    got = topk.named(topk.maxscore(q, asked, k=5, shard_rows=20, query_block=3), q, asked).collect()
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data]
+    want = Counter()
+    for n, (i, v) in enumerate(whole):
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(whole) if m != n)[:5]
+            want.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
+    assert Counter((r["query_id"], r["rank"], r["id"], r["score"]) for r in got) == want

@@ -232,13 +232,16 @@ def fit(negatives: list[str], seed: int = 5) -> Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> Model:
-    """Model with ``none`` learnt from about ``negatives`` paragraphs."""
+    """Model with ``none`` learnt from about ``negatives`` different
+    paragraphs, drawn by their own hash: copies of a line are drawn once, and
+    the draw does not depend on how rows are dealt."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    lines = docs.select(F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("at", "line")) \
-        .filter(F.trim("line") != "")
-    every = max(1, -(-lines.count() // negatives))  # about one line in `every`, by hash: no task sends more than its share
-    sample = lines.filter(F.pmod(F.xxhash64("h", "at"), F.lit(every)) == 0).select(F.substring("line", 1, 400).alias("line"))
-    return fit(sorted(r["line"] for r in sample.limit(2 * negatives).collect()))
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).filter(F.trim("line") != "")
+    lines = lines.select(F.xxhash64("line").alias("h"), F.substring("line", 1, 400).alias("line"))
+    different = lines.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    every = max(1, -(-different // negatives))  # about one line in `every`: no task sends more than its share
+    sample = lines.filter(F.pmod("h", F.lit(every)) == 0).groupBy("h").agg(F.min("line").alias("line"))
+    return fit(sorted(r["line"] for r in sample.orderBy("h").limit(2 * negatives).collect()))
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -318,7 +318,8 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest
-    id reachable), ``kept`` (it names its component)."""
+    id reachable), ``kept`` (its id names its component: rows that share it
+    are all kept here; ``apply`` keeps one)."""
     rows = keyed(docs, id_col, text_col)
     found = classes(rows, k, num, den)
     if is_id(rows):
@@ -331,7 +332,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     names = ids.select(F.col("_uid").alias("_c"), F.col("_id").alias("_name"))
     return own.join(names, F.col("component") == F.col("_c")).select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_name").alias("component_id"),
-        (F.col("component") == F.col("uid")).alias("kept"))
+        F.col("_id").eqNullSafe(F.col("_name")).alias("kept"))
 
 
 def apply(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",

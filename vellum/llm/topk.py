@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.ordered import with_global_index
+
 SHARD_ROWS = 16384
 QUERY_BLOCK = 2048
 #: A list over more than this share of the shard's rows is kept dense.
@@ -36,20 +38,34 @@ PRUNE_EVERY = 4
 
 
 def quantise(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(id, terms, weights)`` with weight floor(scale * x), zero weights left out."""
+    """``(id, name, terms, weights)``: one row per vector with weight
+    floor(scale * x), zero weights left out. ``name`` is the vector's id;
+    ``id`` is it too where ids are unique, else a number of the row in the
+    order of (id, weights), so rows that share an id are vectors of their own."""
     x = F.col(f"`{vector_col}`")
     doubles = F.transform(x, lambda v: v.cast("double"))
-    whole = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), doubles.alias("x")).filter(
-        F.col("id").isNotNull() & F.col("x").isNotNull()
+    whole = vectors.select(F.col(f"`{id_col}`").cast("long").alias("name"), doubles.alias("x")).filter(
+        F.col("name").isNotNull() & F.col("x").isNotNull()
         & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))))
     weights = F.transform("x", lambda v: F.floor(v * F.lit(float(scale))).cast("long"))
     pairs = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("x") - 1).alias("t"), weights.alias("w")),
                      lambda p: p["w"] != 0)
     pairs = F.when(F.size("x") == 0, F.filter(F.arrays_zip(F.array(F.lit(0)).alias("t"), F.array(F.lit(0).cast("long"))
                                                            .alias("w")), lambda p: p["w"] != 0)).otherwise(pairs)
-    return (whole.select("id", pairs.alias("p"))
-            .groupBy("id").agg(F.min("p").alias("p"))
-            .select("id", F.col("p.t").alias("terms"), F.col("p.w").alias("weights")))
+    rows = whole.select("name", pairs.alias("p"))
+    if rows.groupBy("name").count().filter("count > 1").isEmpty():
+        numbered = rows.withColumn("id", F.col("name"))
+    else:
+        numbered = with_global_index(rows, ["name", "p"], idx="id")
+    return numbered.select("id", "name", F.col("p.t").alias("terms"), F.col("p.w").alias("weights"))
+
+
+def named(found: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``maxscore`` rows with the ids of the vectors in place of row numbers."""
+    other = rows.select(F.col("id").alias("_i"), F.col("name").alias("_name"))
+    own = queries.select(F.col("id").alias("_q"), F.col("name").alias("_own"))
+    return found.join(other, F.col("id") == F.col("_i")).join(own, F.col("query_id") == F.col("_q")).select(
+        F.col("_own").alias("query_id"), "rank", F.col("_name").alias("id"), "score")
 
 
 class Shard:
