@@ -90,3 +90,12 @@ def test_recommended_conf_bounds():
     small = recommended_conf(10 * 2**20, 16)
     assert int(small["spark.sql.shuffle.partitions"]) == 32
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_suggestions_of_a_wide_text_column(spark):
+    """Past the width the proposals stay; the encoding takes the vector form."""
+    for n, method in ((200, "one-hot"), (201, "one-hot-vector")):
+        df = spark.createDataFrame([(f"c{i}", float(i)) for i in range(n)], "c string, x double")
+        rows = {r.step_type: r.params for r in suggest.suggest_features(df).collect()}
+        assert set(rows) == {"grouped_aggregation", "binning", "categorical_encoding"}
+        assert rows["categorical_encoding"]["method"] == method

@@ -119,11 +119,13 @@ def suggest_cleaning(df: DataFrame) -> DataFrame:
     return _union([_cast(p) for p in parts], spark)
 
 
-def suggest_features(df: DataFrame, max_categories: int = 200) -> DataFrame:
+def suggest_features(df: DataFrame, wide: int = 200) -> DataFrame:
     """The six proposals (date parts, interaction, group mean, quantile bins,
     one-hot, polynomial) on the first *usable* column of each kind: numeric
-    with std > 0, text with 2..max_categories distinct values, dates with
-    more than one value. One statistics aggregation decides usability."""
+    with std > 0, text and dates with more than one value. One statistics
+    aggregation decides usability. For a text column of more than ``wide``
+    values the encoding proposed is the vector form, which needs no column
+    per value."""
     spark = df.sparkSession
     fields = df.schema.fields
     nums = [f.name for f in fields if is_numeric_type(f.dataType)]
@@ -137,7 +139,7 @@ def suggest_features(df: DataFrame, max_categories: int = 200) -> DataFrame:
         aggs.append((F.coalesce(F.stddev_samp(col(c).cast("double")), F.lit(0.0)) > 0).alias(f"ok_{c}"))
     for c in cats:
         u = dist[f"u_{c}"]
-        aggs.append(((u >= 2) & (u <= max_categories)).alias(f"ok_{c}"))
+        aggs.append((u >= 2).alias(f"ok_{c}"))
     for c in dates:
         aggs.append((dist[f"u_{c}"] > 1).alias(f"ok_{c}"))
     stats = df.agg(*aggs)
@@ -147,9 +149,10 @@ def suggest_features(df: DataFrame, max_categories: int = 200) -> DataFrame:
         arr = F.array(*[F.when(F.col(f"ok_{c}"), F.lit(c)) for c in names]) if names else F.array().cast("array<string>")
         return F.slice(F.filter(arr, lambda x: x.isNotNull()), 1, k)
 
-    s = stats.select(first_ok(dates).alias("d"), first_ok(nums, 3).alias("num"), first_ok(cats).alias("cat"))
     m = F.create_map
     L = F.lit
+    is_wide = F.create_map(*[x for c in cats for x in (L(c), dist[f"u_{c}"] > wide)]) if cats else F.create_map().cast("map<string,boolean>")
+    s = stats.select(first_ok(dates).alias("d"), first_ok(nums, 3).alias("num"), first_ok(cats).alias("cat"), is_wide.alias("wide"))
     d0, n0, n1, c0 = F.col("d")[0], F.col("num")[0], F.col("num")[1], F.col("cat")[0]
     nn = F.size("num")
     has_date, two_nums, one_num, has_cat = F.size("d") > 0, nn >= 2, nn >= 1, F.size("cat") > 0
@@ -174,7 +177,8 @@ def suggest_features(df: DataFrame, max_categories: int = 200) -> DataFrame:
             L("Feature Suggestion"), F.format_string(texts.BINNING_DETAILS, n0),
             L(texts.BINNING_RATIONALE)),
         F.struct(
-            L("categorical_encoding"), m(L("columns"), F.to_json(F.col("cat")), L("method"), L("one-hot")),
+            L("categorical_encoding"), m(L("columns"), F.to_json(F.col("cat")), L("method"),
+                                            F.when(F.col("wide")[c0], "one-hot-vector").otherwise("one-hot")),
             L("Feature Suggestion"), F.format_string(texts.ENCODING_DETAILS, c0),
             L(texts.ENCODING_RATIONALE)),
         F.struct(

@@ -25,8 +25,8 @@ def prj7c(spark, sf):
 @query("prj8_full_name", views=["sales"],
        sql=f"SELECT {SALES}, concat_ws(' ', first_name, last_name) AS full_name FROM sales")
 def prj8(spark, sf):
-    return run_steps(spark.table("sales"), [{"step_type": "apply_nl_transform",
-                                            "params": {"code": "df['full_name'] = ..."}}])
+    return run_steps(spark.table("sales"), [{"step_type": "combine_columns", "params": {
+        "columns": ["first_name", "last_name"], "new_column_name": "full_name", "separator": " "}}])
 
 
 @query("prj8_combine_columns", views=["sales"],
@@ -39,13 +39,13 @@ def prj8c(spark, sf):
 @query("prj9_profit", views=["sales"],
        sql=f"SELECT {SALES}, revenue - cost AS profit FROM sales")
 def prj9(spark, sf):
-    return transform.apply_nl_transform(spark.table("sales"), derive="profit")
+    return transform.column_difference(spark.table("sales"), "revenue", "cost", "profit")
 
 
 @query("prj10_sales_per_quantity", views=["sales"],
        sql=f"SELECT {SALES}, coalesce(sales_amount / nullif(quantity, 0), 0) AS sales_per_quantity FROM sales")
 def prj10(spark, sf):
-    return transform.apply_nl_transform(spark.table("sales"), code="df['sales_per_quantity'] = ...")
+    return transform.column_ratio(spark.table("sales"), "sales_amount", "quantity", "sales_per_quantity")
 
 
 @query("prj11_calculate_column", sql="""
