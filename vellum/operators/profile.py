@@ -84,7 +84,7 @@ def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
         n = [row[f"n{i}"] for i in range(len(cols))]
         lo = [row[f"lo{i}"] for i in range(len(cols))]
         hi = [row[f"hi{i}"] for i in range(len(cols))]
-        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], median_mean=False, stats=(n, lo, hi))
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], median_mean=False)
         rows = [(c, int(n[i]), row[f"m{i}"], row[f"s{i}"], lo[i], *q[c], hi[i]) for i, c in enumerate(cols)]
         return df.sparkSession.createDataFrame(rows, DESCRIBE_SCHEMA)
     structs = {}
@@ -203,9 +203,7 @@ def profile(df: DataFrame, exact: bool = True, sample_rows: int | None = None) -
     rows = r["rows"]
     idx = {f.name: i for i, f in enumerate(fields)}
     num_i = [idx[c] for c in nums]
-    quart = (exact_quantiles(df, nums, [0.25, 0.5, 0.75], median_mean=False,
-                             stats=([r[f"n{i}"] for i in num_i], [r[f"lo{i}"] for i in num_i],
-                                    [r[f"hi{i}"] for i in num_i])) if exact and nums else {})
+    quart = exact_quantiles(df, nums, [0.25, 0.5, 0.75], median_mean=False) if exact and nums else {}
     if nums and not exact:
         approx = df.agg(*[F.percentile_approx(_num(df, c), [0.25, 0.5, 0.75], 100000).alias(c) for c in nums]).first()
         quart = {c: list(approx[c]) if approx[c] is not None else [None] * 3 for c in nums}

@@ -3,24 +3,25 @@
 Spark's exact ``percentile`` keeps every distinct value of a column in its
 aggregation buffer and merges all partitions' buffers in a single task:
 fine for thousands of distinct values, not for a column of a 100 TB table.
-``exact_quantiles`` selects the needed order statistics by counting:
-
-1. one aggregation: non-null count, min and max per column;
-2. histogram rounds: for every open bracket (a value range known to hold
-   the wanted ranks) count rows per bucket, with the minimum and maximum
-   value of each bucket. Buckets are monotone in the value, so the
-   bucket holding rank r gives the next, exact bracket [min_b, max_b];
-3. once a bracket holds at most ``fetch_limit`` rows, its distinct values
-   with their counts are fetched and the ranks read off directly.
-
-Infinities are counted first and answered from their counts; brackets hold
-finite values only, and every round makes a bracket at least ``bins`` times
-narrower, so rounds end without a cap. Every pass is a grouped count combined
-map-side; what reaches the driver is bounded by brackets x ``bins``
-(histograms) or ``fetch_limit`` (values). The results equal numpy's quantiles
-(linear interpolation).
-
-``grouped_exact_quantiles`` needs no driver at all: distinct values are
+``exact_quantiles`` takes three scans, whatever the data:
+
+1. one aggregation with a mergeable rank sketch (KLL) per column. The sketch
+   brackets every wanted rank: its rank error stays below ``RANK_ERROR``
+   (four times the bound that holds for 99 % of sketches of size ``SKETCH_K``,
+   and a rank more), so the quantile at q lies between its estimates for
+   q - RANK_ERROR and q + RANK_ERROR;
+2. one aggregation counts the rows below and inside every bracket. Should a
+   rank lie outside its bracket all the same, the bracket is opened and the
+   counts are taken again, so a sketch never makes a result wrong;
+3. the rows inside the brackets (0.7 % of a column per quantile) are counted
+   per value. Up to ``FETCH`` rows their counts are read off on the driver.
+   Beyond it further estimates cut a bracket into ``CELLS`` cells, so that
+   running counts are windows over one cell, and only the wanted values leave
+   the cluster.
+
+The results equal numpy's quantiles (linear interpolation).
+
+``grouped_exact_quantiles`` works per group: distinct values are
 counted per group, sorted by range and numbered by running totals, and every
 group reads its ranks off the sorted table. One algorithm serves groups of
 any size.
@@ -29,24 +30,20 @@ any size.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.common import col
 from vellum.operators.ordered import running_total
 
-
-@dataclass
-class _Bracket:
-    column: int
-    lo: float
-    hi: float
-    below: int            # rows of the column with value < lo
-    inside: int           # rows with lo <= value <= hi
-    ranks: set = field(default_factory=set)
+SKETCH_K = 4096
+RANK_ERROR = 0.0035
+CELLS = 64
+FETCH = 1 << 18  # rows inside all brackets that are read off on the driver
 
 
 def _values(df: DataFrame, columns: list[str]):
@@ -68,121 +65,138 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
-def order_statistics(df: DataFrame, columns: list[str], ranks: dict[int, set], counts: list[int],
-                     mins: list, maxs: list, bins: int = 1024, fetch_limit: int = 1024,
-                     ) -> dict[tuple[int, int], float]:
-    """Values at the given 0-based ranks of each column: {(column, rank): value}."""
-    xs = _values(df, columns)
-    found: dict[tuple[int, int], float] = {}
-    open_ = []
-    unbounded = [i for i, rs in ranks.items() if rs and counts[i] and (math.isinf(mins[i]) or math.isinf(maxs[i]))]
-    finite = {}
-    if unbounded:
-        inf = F.lit(float("inf"))
-        row = df.agg(*[e.alias(f"{name}{i}") for i in unbounded for name, e in (
-            ("neg", F.count_if(xs[i] == -inf)), ("n", F.count_if(F.abs(xs[i]) < inf)),
-            ("lo", F.min(F.when(F.abs(xs[i]) < inf, xs[i]))), ("hi", F.max(F.when(F.abs(xs[i]) < inf, xs[i]))))]).first()
-        finite = {i: (row[f"neg{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i in unbounded}
-    for i, rs in ranks.items():
-        if not rs or not counts[i]:
+@dataclass
+class _Bracket:
+    """Where the ranks ``first`` and ``last`` of a column lie."""
+    column: int
+    first: int
+    last: int
+    share: float            # of the way from the first to the last
+    lo: float | None        # None: open
+    hi: float | None
+    edges: list[float]      # inner cuts
+    below: int = 0
+    inside: int = 0
+    found: tuple[float, float] | None = None
+
+    def holds(self, x: Column) -> Column:
+        """Whether a value lies inside."""
+        out = x.isNotNull()
+        out = out if self.lo is None else out & (x >= self.lo)
+        return out if self.hi is None else out & (x <= self.hi)
+
+
+def _brackets(df: DataFrame, xs: list[Column], qs: list[float]) -> list[list[_Bracket] | None]:
+    """Per column (None: it is empty) a bracket for every q: one scan."""
+    shares = [[min(max(q + RANK_ERROR * (2 * k / CELLS - 1), 0.0), 1.0) for k in range(CELLS + 1)] for q in qs]
+    flat = F.array(*[F.lit(s) for own in shares for s in own])
+    row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                 *[F.kll_sketch_agg_double(x, SKETCH_K).alias(f"s{i}") for i, x in enumerate(xs)])
+    row = row.select(*[F.col(f"n{i}") for i in range(len(xs))], *[
+        F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", flat)).alias(f"e{i}") for i in range(len(xs))]).first()
+    out: list[list[_Bracket] | None] = []
+    for i in range(len(xs)):
+        n = row[f"n{i}"]
+        if not n:
+            out.append(None)
             continue
-        below, inside, lo, hi = finite.get(i, (0, counts[i], mins[i], maxs[i]))
-        for r in rs:
-            if r < below or r >= below + inside:
-                found[(i, r)] = float("-inf") if r < below else float("inf")
-        left = {r for r in rs if below <= r < below + inside}
-        if left:
-            open_.append(_Bracket(i, lo, hi, below, inside, left))
-    while open_:
-        settled = [b for b in open_ if b.lo == b.hi]
-        for b in settled:
-            for r in b.ranks:
-                found[(b.column, r)] = b.lo
-        open_ = [b for b in open_ if b.lo != b.hi]
-        fetch = [b for b in open_ if b.inside <= fetch_limit]
-        split = [b for b in open_ if b not in fetch]
-        nxt: list[_Bracket] = []
-        if fetch:
-            items = [F.when((xs[b.column] >= b.lo) & (xs[b.column] <= b.hi),
-                            F.struct(F.lit(k).alias("k"), xs[b.column].alias("v"))) for k, b in enumerate(fetch)]
-            rows = (df.select(F.explode(F.array(*items)).alias("s")).filter("s IS NOT NULL")
-                    .groupBy("s.k", "s.v").count().collect())
-            per: dict[int, list] = {}
-            for r in rows:
-                per.setdefault(r["k"], []).append((r["v"], r["count"]))
-            for k, b in enumerate(fetch):
-                pos = b.below
-                for v, n in sorted(per.get(k, [])):
-                    for r in [r for r in b.ranks if pos <= r < pos + n]:
-                        found[(b.column, r)] = v
-                    pos += n
-        if split:
-            items = []
-            for k, b in enumerate(split):
-                x = xs[b.column]
-                # halves: the width of a bracket over the whole range of doubles is not a double
-                share = (x / 2 - F.lit(b.lo / 2)) / F.lit(b.hi / 2 - b.lo / 2)
-                if b.hi / 2 == b.lo / 2:  # neighbouring numbers next to zero
-                    share = (x - F.lit(b.lo)) / F.lit(b.hi - b.lo)
-                bucket = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
-                items.append(F.when((x >= b.lo) & (x <= b.hi),
-                                    F.struct(F.lit(k).alias("k"), bucket.alias("b"), x.alias("v"))))
-            rows = (df.select(F.explode(F.array(*items)).alias("s")).filter("s IS NOT NULL")
-                    .groupBy("s.k", "s.b").agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"),
-                                               F.max("s.v").alias("hi")).collect())
-            per = {}
-            for r in rows:
-                per.setdefault(r["k"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-            for k, b in enumerate(split):
-                pos = b.below
-                for _, n, lo, hi in sorted(per.get(k, [])):
-                    inside = {r for r in b.ranks if pos <= r < pos + n}
-                    if inside:
-                        nxt.append(_Bracket(b.column, lo, hi, pos, n, inside))
-                    pos += n
-        open_ = nxt
-    return found
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], median_mean: bool = True,
-                    stats: tuple[list, list, list] | None = None, **kw) -> dict[str, list[float | None]]:
+        own = []
+        for k, q in enumerate(qs):
+            edges = list(row[f"e{i}"][k * (CELLS + 1):(k + 1) * (CELLS + 1)])
+            at, large = (n - 1) * q, n > SKETCH_K  # a smaller column is its own bracket
+            own.append(_Bracket(i, math.floor(at), math.ceil(at), at - math.floor(at),
+                                edges[0] if large and q > RANK_ERROR else None,
+                                edges[-1] if large and q < 1 - RANK_ERROR else None, edges[1:-1]))
+        out.append(own)
+    return out
+
+
+def _count(df: DataFrame, xs: list[Column], brackets: list[_Bracket]) -> None:
+    """Rows before, at and inside the ends of every bracket: one scan (another
+    one only if a sketch was further off than its bound). Ranks that fall on
+    an end, as in a column of few values, are found by that."""
+    while brackets:
+        aggs = []
+        for k, b in enumerate(brackets):
+            x = xs[b.column]
+            zero, all_ = F.lit(0).cast("long"), F.count(x)
+            aggs += [(zero if b.lo is None else F.count_if(x < b.lo)).alias(f"a{k}"),
+                     (zero if b.lo is None else F.count_if(x <= b.lo)).alias(f"b{k}"),
+                     (all_ if b.hi is None else F.count_if(x < b.hi)).alias(f"c{k}"),
+                     (all_ if b.hi is None else F.count_if(x <= b.hi)).alias(f"d{k}")]
+        row = df.agg(*aggs).first()
+        missed = []
+        for k, b in enumerate(brackets):
+            before, to_lo, to_hi, end = (row[f"{name}{k}"] for name in "abcd")
+            b.below, b.inside = before, end - before
+            if b.first < before or b.last >= end:
+                b.lo = b.hi = None
+                missed.append(b)
+                continue
+            at = [b.lo if r < to_lo else b.hi if r >= to_hi else None for r in (b.first, b.last)]
+            if None not in at:
+                b.found = (at[0], at[1])
+        brackets = missed
+
+
+def _read(df: DataFrame, xs: list[Column], brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    """Values at the two ranks of every bracket: one scan."""
+    items = [F.when(b.holds(xs[b.column]), F.struct(F.lit(k).alias("k"), xs[b.column].alias("v"))) for k, b in enumerate(brackets)]
+    near = reduce(lambda a, b: a | b, [b.holds(xs[b.column]) for b in brackets])  # few rows are left to explode
+    rows = df.filter(near).select(F.explode(F.array(*items)).alias("s")).filter("s IS NOT NULL").select("s.k", "s.v")
+    # -0.0 and 0.0 are one value
+    counted = rows.groupBy("k", (F.col("v") + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    if sum(b.inside for b in brackets) <= FETCH:
+        table = counted.toPandas().sort_values(["k", "v"])
+        out = []
+        for k, b in enumerate(brackets):
+            own = table[table["k"] == k]
+            v, end = own["v"].to_numpy(), own["c"].to_numpy().cumsum()
+            low, high = end.searchsorted([b.first - b.below, b.last - b.below], side="right")
+            out.append((float(v[low]), float(v[high])))
+        return out
+    edges = F.get(F.array(*[F.array(*[F.lit(float(e)) for e in b.edges]) for b in brackets]), F.col("k"))
+    counted = counted.withColumn("cell", F.size(F.filter(edges, lambda e: e < F.col("v"))))
+    cells = counted.groupBy(F.col("k").alias("_k"), F.col("cell").alias("_cell")).agg(F.sum("c").alias("_c"))
+    before = Window.partitionBy("_k").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    within = Window.partitionBy("k", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # CELLS rows per wanted quantile
+    placed = counted.withColumn("_end", F.sum("c").over(within)).join(
+        F.broadcast(cells), (F.col("k") == F.col("_k")) & (F.col("cell") == F.col("_cell")))
+    first, last = (F.get(F.array(*[F.lit(r - b.below) for b, r in ranks]), F.col("k"))
+                   for ranks in ([(b, b.first) for b in brackets], [(b, b.last) for b in brackets]))
+    end = F.col("_before") + F.col("_end")
+    start = end - F.col("c")
+    got = placed.groupBy("k").agg(F.max(F.when((first >= start) & (first < end), F.col("v"))).alias("a"),
+                                  F.max(F.when((last >= start) & (last < end), F.col("v"))).alias("b")).collect()
+    found = {r["k"]: (r["a"], r["b"]) for r in got}
+    return [found[k] for k in range(len(brackets))]
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], median_mean: bool = True) -> dict[str, list[float | None]]:
     """``{column: [quantile for q in qs]}`` (nulls and NaN ignored; None for an
     empty column). ``median_mean``: q = 0.5 is the mean of the two middle
-    values, as ``np.median`` / pandas ``median``; other q interpolate linearly.
-    ``stats`` = (counts, mins, maxs) of the non-null values, when the caller
-    already aggregated them, saves the first pass."""
-    if stats is None:
-        xs = _values(df, columns)
-        row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                     *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
-                     *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
-        stats = ([row[f"n{i}"] for i in range(len(columns))], [row[f"lo{i}"] for i in range(len(columns))],
-                 [row[f"hi{i}"] for i in range(len(columns))])
-    counts = [int(n) for n in stats[0]]
-    mins, maxs = list(stats[1]), list(stats[2])
-    ranks: dict[int, set] = {}
-    for i, n in enumerate(counts):
-        if n == 0:
-            continue
-        for q in qs:
-            pos = (n - 1) * q
-            ranks.setdefault(i, set()).update({math.floor(pos), math.ceil(pos)})
-    found = order_statistics(df, columns, ranks, counts, mins, maxs, **kw)
-    out = {}
-    for i, c in enumerate(columns):
-        n = counts[i]
-        vals = []
-        for q in qs:
-            if n == 0:
-                vals.append(None)
+    values, as ``np.median`` / pandas ``median``; other q interpolate linearly."""
+    if not columns or not qs:
+        return {c: [] for c in columns}
+    xs = _values(df, columns)
+    own = _brackets(df, xs, qs)
+    flat = [b for x in own if x for b in x]
+    _count(df, xs, flat)
+    open_ = [b for b in flat if b.found is None]
+    for b, found in zip(open_, _read(df, xs, open_) if open_ else [], strict=True):
+        b.found = found
+    out: dict[str, list[float | None]] = {}
+    for c, brackets in zip(columns, own, strict=True):
+        out[c] = []
+        for q, b in zip(qs, brackets or [None] * len(qs), strict=True):
+            if b is None:
+                out[c].append(None)
                 continue
-            pos = (n - 1) * q
-            a, b = found[(i, math.floor(pos))], found[(i, math.ceil(pos))]
-            if q == 0.5 and median_mean and a != b:
-                vals.append((a + b) / 2)
-            else:
-                vals.append(_lerp(a, b, pos - math.floor(pos)))
-        out[c] = vals
+            low, high = b.found
+            middle = q == 0.5 and median_mean and low != high
+            out[c].append((low + high) / 2 if middle else _lerp(low, high, b.share))
     return out
 
 
