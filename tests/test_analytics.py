@@ -191,3 +191,62 @@ def test_segments_against_bruteforce(spark):
     ratios = np.sort(np.linalg.eigvalsh(np.cov(z, rowvar=False)))[::-1]
     ratios = ratios / ratios.sum()
     assert seg.explained_variance == pytest.approx(list(ratios[:2]), rel=1e-6)
+
+
+def test_null_keys_are_series(spark):
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(i), float(i % 7 + (k is None) * i)) for k in ("a", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, ds date, y double")
+    for model in ("prophet", "arima", "sarima", "simple"):
+        out = timeseries.generate_forecast(df, "ds", "y", 5, "D", model, ["k"]).collect()
+        assert {r.k for r in out} == {"a", None}
+        ahead = [r for r in out if r.ds > dt.date(2024, 1, 30)]
+        assert len(ahead) == 10 and all((r.yhat if model == "prophet" else r.forecast) is not None for r in ahead)
+    assert timeseries.resample(df, "D", "sum", ["k"]).filter("k IS NULL AND y IS NOT NULL").count() == 30
+
+
+def test_a_line_goes_on(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(i), 2.0 * i) for i in range(30)], "ds date, y double")
+    out = timeseries.ar_diff(df, 5).filter("forecast IS NOT NULL").orderBy("ds").collect()
+    assert [r.forecast for r in out] == pytest.approx([60.0, 62.0, 64.0, 66.0, 68.0])
+    assert [r.upper - r.lower for r in out] == pytest.approx([0.0] * 5)
+
+
+def test_grid_of_seconds_over_years_comes_in_blocks(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1.0), (dt.datetime(2024, 1, 8), 2.0)], "ds timestamp_ntz, y double")
+    out = timeseries.asfreq(df, "s")
+    assert out.count() == 7 * 86400 + 1 and out.filter("y IS NOT NULL").count() == 2
+    assert out.agg(F.max("ds")).first()[0] == dt.datetime(2024, 1, 8) and out.select("ds").distinct().count() == 7 * 86400 + 1
+
+
+def test_quantiles_read_in_cells_equal_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from vellum.operators import quantiles
+    rng = np.random.default_rng(3)
+    cols = {"flat": rng.uniform(-5, 5, 20_000), "few": rng.integers(0, 4, 20_000).astype(float),
+            "wide": 10.0 ** rng.uniform(-300, 300, 20_000), "same": np.full(20_000, 7.0)}
+    rows = [tuple(map(float, r)) for r in np.stack(list(cols.values()), 1)] + [(None, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    qs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for fetch in (quantiles.FETCH, 0):
+        monkeypatch.setattr(quantiles, "FETCH", fetch)
+        got = quantiles.exact_quantiles(df, list(cols), qs, median_mean=False)
+        for c, v in cols.items():
+            assert got[c] == np.quantile(v, qs).tolist()
+
+
+def test_quantiles_survive_a_bad_sketch(spark, monkeypatch):
+    """Brackets that miss their ranks are opened, the result stays exact."""
+    import numpy as np
+
+    from vellum.operators import quantiles
+    df = spark.range(10_000).selectExpr("CAST(id AS DOUBLE) AS v")
+    real = quantiles._brackets
+
+    def wrong(*args):
+        out = real(*args)
+        for b in out[0]:
+            b.lo, b.hi = 9_000.0, 9_100.0
+        return out
+    monkeypatch.setattr(quantiles, "_brackets", wrong)
+    assert quantiles.exact_quantiles(df, ["v"], [0.25, 0.5])["v"] == np.quantile(np.arange(10_000), [0.25, 0.5]).tolist()

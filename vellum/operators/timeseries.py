@@ -6,7 +6,7 @@ series are fitted in one job. The models are closed-form re-aims of the
 reference's solvers (which are single-machine maximum-likelihood fits):
 
 * ``trend_weekly`` (for the Prophet call): least-squares line in time
-  (``regr_slope``/``regr_intercept``) plus the mean residual per weekday,
+  plus the mean residual per weekday, all from sums per (key, weekday),
   interval +-1.2816 residual std (80 %);
 * ``ar_diff`` (for ARIMA(1,1,1)): AR(1) with intercept on first
   differences, forecast by the recursion d_h = c + phi d_(h-1),
@@ -14,12 +14,13 @@ reference's solvers (which are single-machine maximum-likelihood fits):
   on differences at the seasonal lag;
 * ``simple``: mean, last value or seasonal naive.
 
-They are not numerically equal to Prophet / statsmodels fits.
+A null key is a series of its own everywhere. They are not numerically equal to Prophet / statsmodels fits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from vellum.operators import ordered
 from vellum.operators.common import col
 
 Z80 = 1.2816
+GRID_BLOCK = 4096
 
 # Fixed frequency aliases understood by asfreq / future / infer_freq.
 STEP_SECONDS = {"D": 86400, "h": 3600, "H": 3600, "min": 60, "T": 60, "s": 1, "S": 1}
@@ -52,6 +54,19 @@ def prepare(df: DataFrame, time_col: str, target_col: str, keys=()) -> DataFrame
     return base.groupBy(*keys, "ds").agg(F.avg("y").alias("y"))
 
 
+def attach(rows: DataFrame, per_key: DataFrame, keys=(), on=(), how: str = "left") -> DataFrame:
+    """``rows`` with the other columns of ``per_key`` joined by the keys, null
+    being a key like any other, and by the columns ``on``."""
+    names = [*keys, *on]
+    if not names:
+        return _with_row(rows, per_key)
+    other = per_key.select(*[col(k).alias(f"_on{i}") for i, k in enumerate(names)],
+                           *[col(c) for c in per_key.columns if c not in names])
+    same = reduce(lambda a, b: a & b, [
+        col(k).eqNullSafe(F.col(f"_on{i}")) if k in keys else col(k) == F.col(f"_on{i}") for i, k in enumerate(names)])
+    return rows.join(other, same, how).drop(*[f"_on{i}" for i in range(len(names))])
+
+
 def _seconds(c: Column) -> Column:
     """Seconds since the epoch for DATE / TIMESTAMP / TIMESTAMP_NTZ (UTC session)."""
     return F.unix_micros(c.cast("timestamp")) / 1e6
@@ -89,10 +104,24 @@ def infer_freq(df: DataFrame, keys=(), ds: str = "ds") -> DataFrame:
     return g.select(*keys, F.col("n").alias("points"), freq.alias("freq"))
 
 
-def _grid(start: Column, stop: Column, freq: str) -> Column:
-    """Array of grid timestamps from ``start`` (first point) to ``stop``."""
+def _grid(span: DataFrame, start: Column, stop: Column, freq: str) -> DataFrame:
+    """Rows of ``span`` once per grid timestamp ``_g`` from ``start`` (the first
+    point) to ``stop``. Steps of a fixed length are made block by block, so
+    no row holds more than a list of blocks or ``GRID_BLOCK`` points; weeks
+    and months are few."""
     if freq in STEP_SECONDS:
-        return F.sequence(start, stop, F.expr(f"INTERVAL {STEP_SECONDS[freq]} SECONDS"))
+        step = STEP_SECONDS[freq]
+        last = F.floor((F.unix_micros(stop.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(step * 1_000_000))
+        blocks = span.select("*", last.cast("long").alias("_last")).select(
+            "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / GRID_BLOCK))).alias("_block"))
+        points = F.sequence(F.col("_block") * GRID_BLOCK, F.least(F.col("_last"), F.col("_block") * GRID_BLOCK + (GRID_BLOCK - 1)))
+        return blocks.select("*", F.explode(points).alias("_nth")).withColumn(
+            "_g", start + F.make_dt_interval(secs=(F.col("_nth") * step).cast("decimal(18,6)"))).drop("_last", "_block", "_nth")
+    return span.select("*", F.explode(_calendar_grid(start, stop, freq)).alias("_g"))
+
+
+def _calendar_grid(start: Column, stop: Column, freq: str) -> Column:
+    """Array of the weeks or months from ``start`` to ``stop``."""
     if freq in ("W", "W-SUN"):
         first = F.next_day(F.date_sub(start, 1), "Sun")
         first_ts = F.to_timestamp_ntz(F.concat(first.cast("string"), F.lit(" "), F.date_format(start, "HH:mm:ss")))
@@ -135,7 +164,7 @@ def resample(df: DataFrame, freq: str, agg: str = "mean", keys=(), ds: str = "ds
     if agg not in RESAMPLERS:
         raise ValueError(f"Unknown resampling function '{agg}': one of {sorted(RESAMPLERS)}")
     first = df.groupBy(*keys).agg(F.min(ds).cast("timestamp_ntz").alias("_first"))
-    rows = df.join(first, list(keys)) if keys else df.withColumn("_first", df.select(F.min(ds)).scalar().cast("timestamp_ntz"))
+    rows = attach(df, first, keys)
     placed = rows.withColumn(ds, _bucket(F.col(ds).cast("timestamp_ntz"), F.col("_first"), freq))
     counted = placed.groupBy(*keys, ds).agg(RESAMPLERS[agg](y).alias(y))
     full = asfreq(counted, freq, keys, ds, y)
@@ -150,12 +179,9 @@ def asfreq(df: DataFrame, freq: str, keys=(), ds: str = "ds", y: str = "y") -> D
     is_date = isinstance(df.schema[ds].dataType, T.DateType)
     lo = F.col("_lo").cast("timestamp_ntz") if is_date else F.col("_lo")
     hi = F.col("_hi").cast("timestamp_ntz") if is_date else F.col("_hi")
-    grid = span.select(*keys, F.explode(_grid(lo, hi, freq)).alias("_g"))
-    if is_date:
-        grid = grid.select(*keys, F.col("_g").cast("date").alias(ds))
-    else:
-        grid = grid.withColumnRenamed("_g", ds)
-    return grid.join(df.select(*keys, ds, y), [*keys, ds], "left")
+    grid = _grid(span.filter("_lo IS NOT NULL"), lo, hi, freq)
+    grid = grid.select(*keys, (F.col("_g").cast("date") if is_date else F.col("_g")).alias(ds))
+    return attach(grid, df.select(*keys, ds, y), keys, [ds])
 
 
 def fill_gaps(df: DataFrame, keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
@@ -216,34 +242,56 @@ def future(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds"
     return rows.select(*keys, "h", (nxt.cast("date") if is_date else nxt).alias(ds))
 
 
-def _t_days(ds_col: Column, first: Column) -> Column:
-    return (_seconds(ds_col) - _seconds(first)) / 86400.0
+def _sums(t: Column, y: Column) -> list[Column]:
+    """What a least-squares line needs of its points (missing y: no point)."""
+    t = F.when(y.isNotNull(), t)
+    return [F.count(y).alias("n"), F.sum(t).alias("t"), F.sum(y).alias("y"), F.sum(t * t).alias("tt"),
+            F.sum(t * y).alias("ty"), F.sum(y * y).alias("yy"), F.min(t).alias("lo"), F.max(t).alias("hi")]
 
 
 def trend_weekly(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
-    """History and future rows: ``keys..., ds, y, trend, yhat, yhat_lower, yhat_upper``."""
-    first = df.groupBy(*keys).agg(F.min(ds).alias("_first"))
-    h = df.join(first, list(keys)) if keys else df.withColumn("_first", df.select(F.min(ds)).scalar())
-    h = h.withColumn("_t", _t_days(F.col(ds), F.col("_first")))
-    fit = h.groupBy(*keys).agg(F.regr_slope(y, "_t").alias("_b"), F.regr_intercept(y, "_t").alias("_a"))
-    h = h.join(fit, list(keys)) if keys else _with_row(h, fit)
-    h = h.withColumn("_wd", F.weekday(ds)).withColumn("_r", F.col(y) - (F.col("_a") + F.col("_b") * F.col("_t")))
-    season = h.groupBy(*keys, "_wd").agg(F.avg("_r").alias("_s"))
-    h = h.join(season, [*keys, "_wd"], "left")
-    sig = h.groupBy(*keys).agg(F.stddev_samp(F.col("_r") - F.col("_s")).alias("_sigma"))
-    fut = future(df, periods, freq, keys, ds).drop("h").withColumn(y, F.lit(None).cast("double"))
-    fut = fut.join(first, list(keys)) if keys else fut.withColumn("_first", df.select(F.min(ds)).scalar())
-    fut = (fut.withColumn("_t", _t_days(F.col(ds), F.col("_first"))))
-    fut = fut.join(fit, list(keys)) if keys else _with_row(fut, fit)
-    fut = fut.withColumn("_wd", F.weekday(ds)).join(season, [*keys, "_wd"], "left")
-    cols = [*keys, ds, y, "_t", "_a", "_b", "_s", "_wd"]
-    allrows = h.select(*cols).unionByName(fut.select(*cols))
-    allrows = allrows.join(sig, list(keys)) if keys else _with_row(allrows, sig)
-    trend = F.col("_a") + F.col("_b") * F.col("_t")
-    yhat = trend + F.coalesce(F.col("_s"), F.lit(0.0))
+    """History and future rows: ``keys..., ds, y, trend, yhat, yhat_lower, yhat_upper``.
+
+    Sums per (key, weekday) give line, weekday means and residual deviation
+    in closed form; the model, one row per key, is joined back once."""
+    keys = list(keys)
+    # one origin for all series keeps the sums of squares small
+    origin = df.select(F.min(_seconds(F.col(ds)))).scalar()
+    t = (_seconds(F.col(ds)) - origin) / 86400.0
+    value = F.col(y).cast("double")
+    days = df.groupBy(*keys, F.weekday(ds).alias("_wd")).agg(*_sums(t, value), F.max(ds).alias("_end"))
+    total = {c: F.sum(c).alias(f"_{c}") for c in ("n", "t", "y", "tt", "ty", "yy")}
+    model = days.groupBy(*keys).agg(
+        *total.values(), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max("_end").alias("_last"),
+        F.collect_list(F.struct("_wd", "n", "t", "y", "tt", "ty", "yy")).alias("_days"))  # 7 at most
+    n, st, sy, stt, sty = (F.col(f"_{c}") for c in ("n", "t", "y", "tt", "ty"))
+    slope = F.when(F.col("_hi") > F.col("_lo"), (sty - st * sy / n) / (stt - st * st / n))
+    model = model.withColumn("_b", slope).withColumn("_a", (sy - F.col("_b") * st) / n)
+    a, b = F.col("_a"), F.col("_b")
+
+    def left(d):  # squared residuals of a weekday around their mean
+        mean = (d["y"] - d["n"] * a - b * d["t"]) / d["n"]
+        square = (d["yy"] - 2 * a * d["y"] - 2 * b * d["ty"] + d["n"] * a * a + 2 * a * b * d["t"] + b * b * d["tt"])
+        return F.when(d["n"] > 0, square - d["n"] * mean * mean).otherwise(F.lit(0.0))
+    spread = F.aggregate(F.transform("_days", left), F.lit(0.0), lambda s, x: s + x)
+    season = F.map_from_entries(F.transform(F.filter("_days", lambda d: d["n"] > 0), lambda d: F.struct(
+        d["_wd"], (d["y"] - d["n"] * a - b * d["t"]) / d["n"])))
+    model = model.withColumn("_sigma", F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1)))) \
+        .withColumn("_season", season).select(*keys, "_a", "_b", "_sigma", "_season", "_last")
+    fitted = ["_a", "_b", "_sigma", "_season"]
+    hist = attach(df.select(*keys, ds, value.alias(y)), model.drop("_last"), keys)
+    step = _step_expr(freq)
+    is_date = isinstance(df.schema[ds].dataType, T.DateType)
+    ahead = model.select(*keys, *fitted, "_last", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("h"))
+    base = F.col("_last").cast("timestamp_ntz") if is_date else F.col("_last")
+    nxt = step(base, F.col("h"))
+    ahead = ahead.select(*keys, (nxt.cast("date") if is_date else nxt).alias(ds), F.lit(None).cast("double").alias(y), *fitted)
+    rows = hist.select(*keys, ds, y, *fitted).unionByName(ahead)
+    trend = a + b * t
+    yhat = trend + F.coalesce(F.col("_season")[F.weekday(ds)], F.lit(0.0))
     band = Z80 * F.coalesce(F.col("_sigma"), F.lit(0.0))
-    return allrows.select(*keys, ds, y, trend.alias("trend"), yhat.alias("yhat"),
-                          (yhat - band).alias("yhat_lower"), (yhat + band).alias("yhat_upper"))
+    return rows.select(*keys, ds, y, trend.alias("trend"), yhat.alias("yhat"),
+                       (yhat - band).alias("yhat_lower"), (yhat + band).alias("yhat_upper"))
 
 
 def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -254,19 +302,31 @@ def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return out
 
 
+def _ar_fit(d: str, lagged: str) -> list[Column]:
+    """``_phi`` and ``_c`` of d = c + phi * lagged; constant lagged values (two
+    or more) leave the mean."""
+    constant = (F.regr_count(d, lagged) >= 2) & (F.regr_sxx(d, lagged) == 0)
+    return [F.when(constant, F.lit(0.0)).otherwise(F.regr_slope(d, lagged)).alias("_phi"),
+            F.when(constant, F.regr_avgy(d, lagged)).otherwise(F.regr_intercept(d, lagged)).alias("_c")]
+
+
+def _history_and_forecast(df: DataFrame, fut: DataFrame, keys, ds: str, y: str) -> DataFrame:
+    """``keys..., ds, history, forecast, lower, upper``: a forecast begins
+    behind its series, so the full outer join on (keys, ds) is a union."""
+    return df.select(*keys, ds, F.col(y).alias("history")).unionByName(fut, allowMissingColumns=True)
+
+
 def ar_diff(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
     """AR(1) on first differences. Returns history and forecast rows shaped as
-    ``keys..., ds, history, forecast, lower, upper`` (full outer join on ds)."""
+    ``keys..., ds, history, forecast, lower, upper``. Where the differences
+    are constant there is no slope to fit: they go on as they are."""
     d = ordered.lags(df, y, [1, 2], [ds], list(keys))
     d = d.withColumn("_d", F.col(y) - F.col("lag_1")).withColumn("_dl", F.col("lag_1") - F.col("lag_2"))
-    fit = d.groupBy(*keys).agg(F.regr_slope("_d", "_dl").alias("_phi"), F.regr_intercept("_d", "_dl").alias("_c"),
-                               F.max_by(y, ds).alias("_yT"), F.max_by("_d", ds).alias("_dT"))
-    res = d.join(fit, list(keys)) if keys else _with_row(d, fit)
+    fit = d.groupBy(*keys).agg(*_ar_fit("_d", "_dl"), F.max_by(y, ds).alias("_yT"), F.max_by("_d", ds).alias("_dT"))
+    res = attach(d, fit, keys)
     sig = (res.withColumn("_e", F.col("_d") - (F.col("_c") + F.col("_phi") * F.col("_dl")))
            .groupBy(*keys).agg(F.stddev_samp("_e").alias("_sigma")))
-    fut = future(df, periods, freq, keys, ds)
-    fut = fut.join(fit, list(keys)) if keys else _with_row(fut, fit)
-    fut = fut.join(sig, list(keys)) if keys else _with_row(fut, sig)
+    fut = attach(attach(future(df, periods, freq, keys, ds), fit, keys), sig, keys)
     # recursion d_h = c + phi d_(h-1), y_h = y_(h-1) + d_h, evaluated per row over 1..h
     init = F.struct(F.col("_dT").alias("d"), F.col("_yT").alias("y"))
     path = F.aggregate(F.sequence(F.lit(1), F.col("h")), init,
@@ -275,8 +335,7 @@ def ar_diff(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds
     fc = path["y"]
     band = Z80 * F.col("_sigma") * F.sqrt(F.col("h").cast("double"))
     fut = fut.select(*keys, ds, fc.alias("forecast"), (fc - band).alias("lower"), (fc + band).alias("upper"))
-    hist = df.select(*keys, ds, F.col(y).alias("history"))
-    return hist.join(fut, [*keys, ds], "full")
+    return _history_and_forecast(df, fut, keys, ds, y)
 
 
 def newest(df: DataFrame, n: int, keys=(), ds: str = "ds") -> DataFrame:
@@ -301,15 +360,12 @@ def seasonal_ar(df: DataFrame, periods: int, season: int = 12, freq: str = "D",
     tail = (newest(df, season, keys, ds)
             .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ds).alias("t"), F.col(y).alias("v")))),
                                             lambda e: e["v"]).alias("_buf")))
-    fit = d.groupBy(*keys).agg(F.regr_slope("_d", "_dl").alias("_phi"), F.regr_intercept("_d", "_dl").alias("_c"),
-                               F.max_by("_d", ds).alias("_dT"))
-    fit = fit.join(tail, list(keys)) if keys else _with_row(fit, tail)
-    res = d.join(fit, list(keys)) if keys else _with_row(d, fit)
+    fit = d.groupBy(*keys).agg(*_ar_fit("_d", "_dl"), F.max_by("_d", ds).alias("_dT"))
+    fit = attach(fit, tail, keys)
+    res = attach(d, fit, keys)
     sig = (res.withColumn("_e", F.col("_d") - (F.col("_c") + F.col("_phi") * F.col("_dl")))
            .groupBy(*keys).agg(F.stddev_samp("_e").alias("_sigma")))
-    fut = future(df, periods, freq, keys, ds)
-    fut = fut.join(fit, list(keys)) if keys else _with_row(fut, fit)
-    fut = fut.join(sig, list(keys)) if keys else _with_row(fut, sig)
+    fut = attach(attach(future(df, periods, freq, keys, ds), fit, keys), sig, keys)
     init = F.struct(F.col("_dT").alias("d"), F.col("_buf").alias("buf"))
 
     def step(acc, _):
@@ -325,8 +381,7 @@ def seasonal_ar(df: DataFrame, periods: int, season: int = 12, freq: str = "D",
     fc = F.when(enough, F.element_at(F.aggregate(F.sequence(F.lit(1), F.col("h")), init, step)["buf"], -1)).otherwise(short)
     band = Z80 * F.col("_sigma") * F.sqrt(F.col("h").cast("double"))
     fut = fut.select(*keys, ds, fc.alias("forecast"), (fc - band).alias("lower"), (fc + band).alias("upper"))
-    hist = df.select(*keys, ds, F.col(y).alias("history"))
-    return hist.join(fut, [*keys, ds], "full")
+    return _history_and_forecast(df, fut, keys, ds, y)
 
 
 def simple(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds", y: str = "y",
@@ -336,13 +391,11 @@ def simple(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds"
     if method in ("mean", "last"):
         stat = F.avg(y) if method == "mean" else F.max_by(y, ds)
         v = df.groupBy(*keys).agg(stat.alias("forecast"))
-        out = fut.join(v, list(keys)) if keys else _with_row(fut, v)
-        return out.select(*keys, ds, "forecast")
+        return attach(fut, v, keys).select(*keys, ds, "forecast")
     if method == "seasonal_naive":
         lastm = newest(df, season, keys, ds)
         src = fut.withColumn("_k", F.lit(season) - ((F.col("h") - 1) % season))
-        out = src.join(lastm.select(*keys, "_k", F.col(y).alias("forecast")), [*keys, "_k"], "left")
-        return out.select(*keys, ds, "forecast")
+        return attach(src, lastm.select(*keys, "_k", F.col(y).alias("forecast")), keys, ["_k"]).select(*keys, ds, "forecast")
     raise ValueError(f"Unknown simple method '{method}'")
 
 
@@ -378,7 +431,7 @@ def generate_forecast(df: DataFrame, time_col: str, target_col: str, periods: in
         kinds = sorted(r["freq"] for r in found.select("freq").distinct().collect())  # a dozen names at most
         out = None
         for kind in kinds:  # every series on its own grid
-            part = series.join(found.filter(F.col("freq") == kind), list(keys), "left_semi") \
+            part = attach(series, found.filter(F.col("freq") == kind), keys, how="inner").drop("freq") \
                 if keys and len(kinds) > 1 else series
             done = _forecast(part, periods, kind, model_name, keys)
             out = done if out is None else out.unionByName(done)

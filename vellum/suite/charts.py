@@ -72,6 +72,20 @@ def ch6(spark, sf):
     return charts.chart_data(spark.table("orders"), "box", x="o_orderpriority", y="o_totalprice")
 
 
+@query("ch6_box_null_group", views=["orders_nulls"], rounds={"q1": 6, "median": 6, "q3": 6, "lower_fence": 6, "upper_fence": 6}, sql="""
+WITH q AS (SELECT o_orderpriority, count(o_totalprice) AS n, quantile_cont(o_totalprice, 0.25) AS q1,
+                  quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3
+           FROM orders_nulls GROUP BY o_orderpriority),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT f.o_orderpriority, n, q1, median, q3, lower_fence, upper_fence,
+       min(CASE WHEN o_totalprice BETWEEN lower_fence AND upper_fence THEN o_totalprice END) AS whisker_low,
+       max(CASE WHEN o_totalprice BETWEEN lower_fence AND upper_fence THEN o_totalprice END) AS whisker_high,
+       count(*) FILTER (WHERE NOT (o_totalprice BETWEEN lower_fence AND upper_fence)) AS outliers
+FROM f JOIN orders_nulls o ON f.o_orderpriority IS NOT DISTINCT FROM o.o_orderpriority GROUP BY ALL""")
+def ch6n(spark, sf):
+    return charts.chart_data(spark.table("orders_nulls"), "box", x="o_orderpriority", y="o_totalprice")
+
+
 @query("ch7_violin", sql="""
 WITH s AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 10 AS w FROM events)
 SELECT event_type, CAST(least(floor((value - lo) / w), 9) AS INTEGER) AS bin, count(*) AS count

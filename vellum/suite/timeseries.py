@@ -313,3 +313,39 @@ FROM s FULL OUTER JOIN fut ON s.user_id = fut.user_id AND s.ds = fut.ds"""
 def ts8u(spark, sf):
     series = ts.fill_gaps(ts.asfreq(spark.sql(USER_DAILY), "D", keys=["user_id"]), keys=["user_id"])
     return ts.seasonal_ar(series, 7, season=7, keys=["user_id"])
+
+
+# Series by event type with one type as the null key; -1 stands for null in DuckDB's joins.
+NULL_KEY = """SELECT CASE WHEN user_id % 3 > 0 THEN user_id % 3 END AS k, CAST(ts AS DATE) AS ds, avg(value) AS y
+FROM events GROUP BY ALL"""
+
+
+@query("ts7_trend_weekly_null_key", rounds=TREND_ROUNDS, sql="SELECT nullif(k, -1) AS k, * EXCLUDE (k) FROM (" + _trend_sql(
+    f"SELECT coalesce(k, -1) AS k, ds, y FROM ({NULL_KEY})", ["k"], 7) + ")")
+def ts7n(spark, sf):
+    return ts.generate_forecast(spark.sql(NULL_KEY), "ds", "y", 7, "D", "prophet", ["k"])
+
+
+@query("ts3_resample_null_key", rounds={"y": 6}, sql=f"""
+WITH s AS ({NULL_KEY}), f AS (SELECT k, min(ds) AS lo, max(ds) AS hi FROM s GROUP BY k),
+g AS (SELECT k, CAST(d AS DATE) AS ds FROM f, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS t(d))
+SELECT g.k, g.ds, s.y FROM g LEFT JOIN s ON g.k IS NOT DISTINCT FROM s.k AND g.ds = s.ds""")
+def ts3n(spark, sf):
+    out = ts.resample(spark.sql(NULL_KEY), "D", "mean", ["k"])
+    return out.select("k", F.col("ds").cast("date").alias("ds"), "y")
+
+
+# Straight lines: their differences are constant, so every forecast goes on along the line.
+LINES = """SELECT CASE WHEN u > 0 THEN u END AS k, ds, 3.0 * u + (1.0 + u) * datediff({days}) AS y
+FROM (SELECT DISTINCT user_id % 2 AS u, CAST(ts AS DATE) AS ds FROM events) AS d"""
+
+
+@query("ts8_ar_straight_lines", rounds={"history": 6, "forecast": 6, "lower": 6, "upper": 6}, sql=f"""
+WITH s AS ({LINES.format(days="'day', DATE '2024-01-01', d.ds")}),
+f AS (SELECT k, max(ds) AS last, arg_max(y, ds) AS y, (max(y) - min(y)) / (max(ds) - min(ds)) AS step FROM s GROUP BY k)
+SELECT k, ds, y AS history, NULL::DOUBLE AS forecast, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM s
+UNION ALL
+SELECT k, CAST(last + INTERVAL (h) DAY AS DATE), NULL, y + h * step, y + h * step, y + h * step FROM f, range(1, 6) AS r(h)""")
+def ts8l(spark, sf):
+    lines = spark.sql(LINES.format(days="d.ds, DATE '2024-01-01'"))
+    return ts.generate_forecast(lines, "ds", "y", 5, "D", "arima", ["k"])
