@@ -110,3 +110,33 @@ def test_nested_unwind_and_lookup_then_unwind(spark):
         out = docs.aggregate(df, [{"$lookup": {"from": "o", "localField": "_id", "foreignField": "k", "as": "m"}},
                                   {"$unwind": {"path": "$m", "preserveNullAndEmptyArrays": keep}}], {"o": other})
         assert out.count() == n
+
+
+def test_sketches_read_new_parts_only(spark, tmp_path):
+    from vellum.operators import sketches
+    path = str(tmp_path / "sketches")
+    first = spark.range(0, 60_000).selectExpr("id", "id % 7 AS few", "IF(id % 3 = 0, double('nan'), id) AS x")
+    second = spark.range(50_000, 100_000).selectExpr("id", "id % 9 AS few", "CAST(id AS DOUBLE) AS x")
+    sketches.refresh(first, path, "t", "1")
+    sketches.refresh(second, path, "t", "2")
+    sketches.refresh(second, path, "t", "2")  # a part stored again replaces itself
+    got = {r.column_name: r for r in sketches.summary(spark.read.parquet(path)).collect()}
+    assert got["id"].rows == 110_000 and got["x"].missing == 20_000 and got["few"].distinct_count == 9
+    assert abs(got["id"].distinct_count - 100_000) <= 100_000 * sketches.bound()
+
+
+def test_sketch_candidates_are_confirmed_exactly(spark):
+    from vellum.operators import sketches
+    tables = {"a": spark.range(30_000).selectExpr("CAST(id AS INT) AS k", "CAST(id AS STRING) AS s"),
+              "b": spark.range(40_000).selectExpr("id AS key", "id + 1 AS shifted", "'x' AS s"),
+              "empty": spark.range(0).selectExpr("id AS none")}
+    stored = None
+    for t, df in tables.items():
+        own = sketches.column_sketches(df, t)
+        stored = own if stored is None else stored.unionByName(own)
+    near = sketches.containment_candidates(sketches.summary(stored))
+    pairs = {(r.source1, r.column1, r.source2, r.column2) for r in near.collect()}
+    assert ("a", "k", "b", "key") in pairs and ("a", "k", "b", "shifted") in pairs  # all but one value
+    assert not any("s" in (p[1], p[3]) or "empty" in (p[0], p[2]) for p in pairs)
+    sure = {(r.source1, r.column1, r.source2, r.column2) for r in sketches.confirmed(near, tables).collect()}
+    assert ("a", "k", "b", "key") in sure and ("a", "k", "b", "shifted") not in sure

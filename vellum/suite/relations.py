@@ -126,3 +126,26 @@ def jn10(spark, sf):
                                                                      "benchmark"]),
                                               schema_info(spark, _tables(spark, ["documents", "labels",
                                                                                  "conversations", "benchmark"])))
+
+
+KEYED = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"],
+         "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "nation": ["n_nationkey", "n_regionkey"],
+         "region": ["r_regionkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"]}
+
+
+@query("jn10_sketched_candidates", sql="WITH v AS (" + "\nUNION ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS BIGINT) AS v FROM {t}" for t, cs in KEYED.items() for c in cs) + """),
+n AS (SELECT t, c, count(v) AS n FROM v GROUP BY t, c)
+SELECT a.t AS source1, a.c AS column1, b.t AS source2, b.c AS column2, n.n AS distinct_values
+FROM v a JOIN v b ON a.v = b.v AND (a.t <> b.t OR a.c <> b.c) JOIN n ON n.t = a.t AND n.c = a.c
+GROUP BY ALL HAVING count(*) = n.n""")
+def jn10s(spark, sf):
+    """Columns whose values all occur in another column, found by sketches and confirmed exactly."""
+    from vellum.operators import sketches
+    tables = {t: spark.table(t).select(*cs) for t, cs in KEYED.items()}
+    stored = None
+    for t, df in tables.items():
+        own = sketches.column_sketches(df, t)
+        stored = own if stored is None else stored.unionByName(own)
+    found = sketches.confirmed(sketches.containment_candidates(sketches.summary(stored)), tables)
+    return found.select("source1", "column1", "source2", "column2", "distinct_values")

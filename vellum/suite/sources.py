@@ -126,3 +126,22 @@ def snk4e(spark, sf):
     sinks.append(rows, path, "run-1")
     return sinks.read_table(spark, path).select("name", "source_type", "tags", "rows",
                                                 F.size("schema_cache").alias("schema_columns"))
+
+
+SKETCHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("snk4_catalog_sketches", views=["orders_nulls"], sql="\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS missing, true AS within_bound FROM orders_nulls"
+    for c in SKETCHED))
+def snk4s(spark, sf):
+    """Two parts are sketched one after the other and merged."""
+    from vellum.operators import sketches
+    path, orders = sinks.scratch_path(spark, "sketches"), spark.table("orders_nulls")
+    for part in (0, 1):
+        sketches.refresh(orders.filter(F.col("o_orderkey") % 2 == part), path, "orders", str(part))
+    found = sketches.summary(spark.read.parquet(path))
+    exact = orders.select(F.struct(*[F.count_distinct(c).alias(c) for c in SKETCHED]).alias("d")).scalar()
+    n = F.coalesce(*[F.when(F.col("column_name") == c, exact[c]) for c in SKETCHED])
+    close = F.abs(F.col("distinct_count") - n) <= F.when(n <= 1 << sketches.LG_NOMINAL, 0).otherwise(n * sketches.bound())
+    return found.select("column_name", "rows", "missing", close.alias("within_bound"))
