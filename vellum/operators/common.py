@@ -19,14 +19,14 @@ def col(name: str) -> Column:
 def require_columns(df: DataFrame, *names: str | None, what: str = "Column") -> None:
     for n in names:
         if not n or n not in df.columns:
-            raise KeyError(f"{what} '{n}' not found in DataFrame.")
+            raise KeyError(f"{what} '{n}' is not among the table's columns.")
 
 
 def dtype(df: DataFrame, name: str) -> T.DataType:
     for f in df.schema.fields:
         if f.name == name:
             return f.dataType
-    raise KeyError(f"Column '{name}' not found in DataFrame.")
+    raise KeyError(f"'{name}' is not among the table's columns.")
 
 
 def present(df: DataFrame, name: str) -> Column:

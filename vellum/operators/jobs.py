@@ -37,7 +37,7 @@ def check_sources(spark: SparkSession, rules, load: Callable[[str], DataFrame])
             df = load(s)
             df.schema  # resolve now: a missing table is skipped, not fatal
         except Exception as e:  # noqa: BLE001
-            log.error("Failed to load data for source '%s': %s", s, str(e).splitlines()[0])
+            log.error("Source '%s' cannot be read: %s", s, str(e).splitlines()[0])
             skipped.append(s)
             continue
         parts.append(quality.run_quality_checks(df, [r for r in active if r.get("source") == s], source=s))

@@ -78,7 +78,7 @@ def calculate_kpis(df: DataFrame, kpis: list[dict], exact: bool = True) -> DataF
                 e = kpi_expression(logic, df)
                 df.agg(e).schema  # resolve now: bad logic becomes a null value
         except Exception as err:  # noqa: BLE001 - any failure is a null KPI, as in the reference
-            log.warning("Failed to calculate KPI '%s': %s", name, str(err).splitlines()[0])
+            log.warning("KPI '%s' stays empty: %s", name, str(err).splitlines()[0])
             e = F.lit(None).cast("double")
         names.append(name)
         exprs.append(e.alias(f"k{len(exprs)}"))

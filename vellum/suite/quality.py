@@ -149,10 +149,10 @@ STATUS_RULES = [
 @query("dq9_status", sql="""
 SELECT CAST(NULL AS VARCHAR) AS source, *, CAST(NULL AS VARCHAR[]) AS sample_failures FROM (VALUES
  ('no_type', NULL, 'l_quantity', 'skipped', 0, 'Missing rule_type.'),
- ('bad_column', 'not_null', 'nope', 'error', NULL, 'Error executing rule: Column ''nope'' not found in DataFrame.'),
- ('text_min', 'min_value', 'l_returnflag', 'error', NULL, 'Error executing rule: min_value rule requires numeric column.'),
- ('no_param', 'max_value', 'l_quantity', 'error', NULL, 'Error executing rule: ''max'' parameter required for max_value rule.'),
- ('unknown', 'fancy', 'l_quantity', 'error', NULL, 'Error executing rule: Unsupported rule type: fancy')
+ ('bad_column', 'not_null', 'nope', 'error', NULL, 'Error executing rule: The table has no column ''nope'' to check.'),
+ ('text_min', 'min_value', 'l_returnflag', 'error', NULL, 'Error executing rule: A min_value rule checks numbers, ''l_returnflag'' holds none.'),
+ ('no_param', 'max_value', 'l_quantity', 'error', NULL, 'Error executing rule: A max_value rule needs a value for ''max''.'),
+ ('unknown', 'fancy', 'l_quantity', 'error', NULL, 'Error executing rule: There are no ''fancy'' rules.')
 ) AS t(rule_name, rule_type, column_name, status, violation_count, details)
 UNION ALL
 SELECT NULL, 'disc_ok', 'max_value', 'l_discount', CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END,
