@@ -250,3 +250,10 @@ def test_quantiles_survive_a_bad_sketch(spark, monkeypatch):
         return out
     monkeypatch.setattr(quantiles, "_brackets", wrong)
     assert quantiles.exact_quantiles(df, ["v"], [0.25, 0.5])["v"] == np.quantile(np.arange(10_000), [0.25, 0.5]).tolist()
+
+
+def test_rows_without_a_time_come_last(spark):
+    rows = [(dt.datetime(2024, 1, 1 + i), 10.0 + i % 2) for i in range(20)] + [(None, 500.0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double").repartition(4)
+    found = anomalies.trend_change(df, "ts").collect()
+    assert len(found) == 1 and "increase" in found[0].details

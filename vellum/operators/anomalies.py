@@ -87,15 +87,17 @@ def trend_change(df: DataFrame, time_column: str, target: str | None = None, tie
                  window: int = 5, factor: float = 2.5, bucket_rows: int = ordered.BUCKET_ROWS) -> DataFrame:
     """Rolling ``window``-row mean of the first numeric column in time order;
     a finding when the last change exceeds ``factor`` standard deviations of
-    all changes (more than 10 rows needed)."""
+    all changes (more than 10 rows needed). Rows without a time come last;
+    rows of one time are ordered by ``tie_breaker``, then by the target."""
     if time_column not in df.columns or not is_datetime_type(df.schema[time_column].dataType):
         return df.sparkSession.createDataFrame([], ANOMALY_SCHEMA)
     nums = numeric_columns(df)
     target = target or (nums[0] if nums else None)
     if target is None:
         return df.sparkSession.createDataFrame([], ANOMALY_SCHEMA)
-    order = [time_column] + list(tie_breaker or [])
-    base = df.select(*[col(c) for c in dict.fromkeys(order + [target])])
+    names = list(dict.fromkeys([time_column, *(tie_breaker or []), target]))  # equal times: by the target itself
+    base = df.select(*[col(c) for c in names])
+    order = [col(c).asc_nulls_last() for c in names]
     r = ordered.rolling(base, target, order, window, out="rm", bucket_rows=bucket_rows)
     stats = r.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("rm_diff").alias("std"),
                   F.max_by("rm_diff", "idx").alias("last"))
