@@ -257,3 +257,23 @@ def test_rows_without_a_time_come_last(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz, v double").repartition(4)
     found = anomalies.trend_change(df, "ts").collect()
     assert len(found) == 1 and "increase" in found[0].details
+
+
+def test_arma_finds_its_coefficients(spark):
+    """Simulated ARMA(1,1) differences: two regressions come near the truth, and short series get a forecast."""
+    import random
+    rng = random.Random(12)
+    y, d, e, rows = 0.0, 0.0, 0.0, []
+    for i in range(3000):
+        u = rng.gauss(0, 1)
+        d, e = 0.1 + 0.6 * d + 0.3 * e + u, u
+        y += d
+        rows.append(("long", dt.date(2000, 1, 1) + dt.timedelta(i), y))
+    rows += [("short", dt.date(2024, 1, 1) + dt.timedelta(i), v) for i, v in enumerate([1.0, 2.0, 4.0, 5.0])]
+    df = spark.createDataFrame(rows, "k string, ds date, y double")
+    out = timeseries.arma_diff(df, 3, keys=["k"]).filter("history IS NULL").orderBy("k", "ds").collect()
+    long = [r.forecast for r in out if r.k == "long"]
+    first = long[0] - y
+    assert abs(first - (0.1 + 0.6 * d + 0.3 * e)) < 0.25  # one step ahead
+    assert abs((long[1] - long[0]) - (0.1 + 0.6 * first)) < 0.15
+    assert all(r.forecast is not None for r in out if r.k == "short")

@@ -8,10 +8,11 @@ reference's solvers (which are single-machine maximum-likelihood fits):
 * ``trend_weekly`` (for the Prophet call): least-squares line in time
   plus the mean residual per weekday, all from sums per (key, weekday),
   interval +-1.2816 residual std (80 %);
-* ``ar_diff`` (for ARIMA(1,1,1)): AR(1) with intercept on first
-  differences, forecast by the recursion d_h = c + phi d_(h-1),
-  interval +-1.2816 sigma sqrt(h); ``seasonal_ar`` (for SARIMA): the same
-  on differences at the seasonal lag;
+* ``arma_diff`` (for ARIMA(1,1,1)): ARMA(1,1) with intercept on first
+  differences by two regressions (Hannan and Rissanen), interval from the
+  psi weights; ``ar_diff``: AR(1) on first differences, forecast by the
+  recursion d_h = c + phi d_(h-1), interval +-1.2816 sigma sqrt(h);
+  ``seasonal_ar`` (for SARIMA): the same on differences at the seasonal lag;
 * ``simple``: mean, last value or seasonal naive.
 
 A null key is a series of its own everywhere. They are not numerically equal to Prophet / statsmodels fits.
@@ -338,6 +339,67 @@ def ar_diff(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds
     return _history_and_forecast(df, fut, keys, ds, y)
 
 
+def _plane(d: Column, u: Column, v: Column) -> list[Column]:
+    """Moments of the rows where all three are known, for d = c + bu * u + bv * v."""
+    known = d.isNotNull() & u.isNotNull() & v.isNotNull()
+    d, u, v = (F.when(known, x) for x in (d, u, v))
+    return [F.count(d).alias("n"), F.avg(d).alias("md"), F.avg(u).alias("mu"), F.avg(v).alias("mv"),
+            F.var_pop(u).alias("uu"), F.var_pop(v).alias("vv"), F.covar_pop(u, v).alias("uv"),
+            F.covar_pop(u, d).alias("ud"), F.covar_pop(v, d).alias("vd")]
+
+
+def _solved(moments: DataFrame, names: tuple[str, str, str], phi: str, c: str) -> DataFrame:
+    """Adds ``names`` = (bu, bv, c), the least-squares plane; where its points do
+    not span one (or are fewer than four) the line ``phi``, ``c`` instead."""
+    det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
+    flat = F.coalesce((F.col("n") < 4) | (det <= 1e-9 * F.col("uu") * F.col("vv")), F.lit(True))
+    bu = F.when(flat, F.col(phi)).otherwise((F.col("ud") * F.col("vv") - F.col("vd") * F.col("uv")) / det)
+    bv = F.when(flat, F.lit(0.0)).otherwise((F.col("vd") * F.col("uu") - F.col("ud") * F.col("uv")) / det)
+    out = moments.withColumn(names[0], bu).withColumn(names[1], bv)
+    level = F.col("md") - F.col(names[0]) * F.col("mu") - F.col(names[1]) * F.col("mv")
+    return out.withColumn(names[2], F.when(flat, F.col(c)).otherwise(level)).drop("n", "md", "mu", "mv", "uu", "vv", "uv", "ud", "vd")
+
+
+def arma_diff(df: DataFrame, periods: int, freq: str = "D", keys=(), ds: str = "ds", y: str = "y") -> DataFrame:
+    """ARMA(1,1) with intercept on first differences (for ARIMA(1,1,1)), by the
+    two regressions of Hannan and Rissanen: an AR(2) gives innovations e, then
+    d_t = c + phi d_(t-1) + theta e_(t-1). The forecast starts from the last
+    innovation; its interval sums the model's psi weights. Output as
+    ``ar_diff``, which also stands in where a series is too short or too even."""
+    keys = list(keys)
+    lagged = ordered.lags(df, y, [1, 2, 3, 4], [ds], keys)
+    past = [F.col(y), *[F.col(f"lag_{k}") for k in (1, 2, 3, 4)]]
+    for k in range(4):
+        lagged = lagged.withColumn(f"_d{k}", past[k] - past[k + 1])
+    d, d1, d2, d3 = (F.col(f"_d{k}") for k in range(4))
+    first = lagged.groupBy(*keys).agg(*_plane(d, d1, d2), *_ar_fit("_d0", "_d1"))
+    first = _solved(first, ("_b1", "_b2", "_b0"), "_phi", "_c")
+    seen = attach(lagged, first, keys)
+    short = F.col("_b0") + F.col("_b1") * d1
+    seen = seen.withColumn("_e0", d - (short + F.col("_b2") * F.coalesce(d2, F.lit(0.0)))).withColumn(
+        "_e1", d1 - (F.col("_b0") + F.col("_b1") * d2 + F.col("_b2") * F.coalesce(d3, F.lit(0.0))))
+    second = seen.groupBy(*keys).agg(*_plane(d, d1, F.col("_e1")), F.max("_phi").alias("_phi"), F.max("_c").alias("_c"),
+                                     F.max_by(y, ds).alias("_yT"), F.max_by("_d0", ds).alias("_dT"), F.max_by("_e0", ds).alias("_eT"))
+    second = _solved(second, ("_p", "_q", "_k"), "_phi", "_c").drop("_phi", "_c")
+    left = attach(seen.drop("_phi", "_c"), second.select(*keys, "_p", "_q", "_k"), keys)
+    off = d - (F.col("_k") + F.col("_p") * d1 + F.col("_q") * F.coalesce(F.col("_e1"), F.lit(0.0)))
+    sigma = left.groupBy(*keys).agg(F.stddev_samp(off).alias("_sigma"))
+    fut = attach(attach(future(df, periods, freq, keys, ds), second, keys), sigma, keys)
+    zero = F.lit(0.0)
+    # h steps: difference, level, psi weight, sum of psi weights, sum of squares of those sums
+    init = F.struct(F.col("_dT").alias("d"), F.col("_yT").cast("double").alias("y"), zero.alias("w"), zero.alias("s"), zero.alias("v"))
+
+    def step(a, h):
+        nd = F.col("_k") + F.col("_p") * a["d"] + F.when(h == 1, F.col("_q") * F.coalesce(F.col("_eT"), zero)).otherwise(zero)
+        w = F.when(h == 1, F.lit(1.0)).when(h == 2, F.col("_p") + F.col("_q")).otherwise(F.col("_p") * a["w"])
+        s = a["s"] + w
+        return F.struct(nd.alias("d"), (a["y"] + nd).alias("y"), w.alias("w"), s.alias("s"), (a["v"] + s * s).alias("v"))
+    end = F.aggregate(F.sequence(F.lit(1), F.col("h")), init, step)
+    fc, band = end["y"], Z80 * F.col("_sigma") * F.sqrt(end["v"])
+    fut = fut.select(*keys, ds, fc.alias("forecast"), (fc - band).alias("lower"), (fc + band).alias("upper"))
+    return _history_and_forecast(df, fut, keys, ds, y)
+
+
 def newest(df: DataFrame, n: int, keys=(), ds: str = "ds") -> DataFrame:
     """The last ``n`` rows of every series with ``_k``, 1 for the newest. Per
     key every task first trims its rows to n; a lone series is a top-n whose
@@ -421,7 +483,7 @@ def generate_forecast(df: DataFrame, time_col: str, target_col: str, periods: in
                       model_name: str = "prophet", keys=()) -> DataFrame:
     """Prepare the series (``keys`` for many at once), put it on its frequency grid
     (given, else inferred), fill gaps and forecast ``periods`` steps with the
-    named model: ``prophet`` (trend + weekly), ``arima`` (AR on differences),
+    named model: ``prophet`` (trend + weekly), ``arima`` (ARMA on differences),
     ``sarima`` (AR on seasonal differences) or ``simple`` (mean)."""
     if model_name not in MODELS:
         raise ValueError(f"Unsupported model: {model_name}. Choose one of {list(MODELS)}.")
@@ -444,7 +506,7 @@ def _forecast(series: DataFrame, periods: int, freq: str, model_name: str, keys)
     if model_name == "prophet":
         return trend_weekly(grid, periods, freq, keys)
     if model_name == "arima":
-        return ar_diff(grid, periods, freq, keys)
+        return arma_diff(grid, periods, freq, keys)
     if model_name == "sarima":
         return seasonal_ar(grid, periods, 12, freq, keys)
     return simple(grid, periods, freq, keys)

@@ -349,3 +349,36 @@ SELECT k, CAST(last + INTERVAL (h) DAY AS DATE), NULL, y + h * step, y + h * ste
 def ts8l(spark, sf):
     lines = spark.sql(LINES.format(days="d.ds, DATE '2024-01-01'"))
     return ts.generate_forecast(lines, "ds", "y", 5, "D", "arima", ["k"])
+
+
+ARMA_SQL = """
+WITH RECURSIVE s AS (SELECT ds, y FROM events_daily),
+d AS (SELECT ds, y, y - lag(y) OVER w AS d, lag(y) OVER w - lag(y, 2) OVER w AS d1, lag(y, 2) OVER w - lag(y, 3) OVER w AS d2,
+             lag(y, 3) OVER w - lag(y, 4) OVER w AS d3 FROM s WINDOW w AS (ORDER BY ds)),
+m AS (SELECT avg(d) AS md, avg(d1) AS mu, avg(d2) AS mv, var_pop(d1) AS uu, var_pop(d2) AS vv, covar_pop(d1, d2) AS uv,
+             covar_pop(d1, d) AS ud, covar_pop(d2, d) AS vd FROM d WHERE d2 IS NOT NULL),
+a AS (SELECT (ud * vv - vd * uv) / (uu * vv - uv * uv) AS b1, (vd * uu - ud * uv) / (uu * vv - uv * uv) AS b2, * FROM m),
+f AS (SELECT b1, b2, md - b1 * mu - b2 * mv AS b0 FROM a),
+e AS (SELECT d.*, d - (b0 + b1 * d1 + b2 * coalesce(d2, 0)) AS e0, d1 - (b0 + b1 * d2 + b2 * coalesce(d3, 0)) AS e1 FROM d, f),
+n AS (SELECT avg(d) AS md, avg(d1) AS mu, avg(e1) AS mv, var_pop(d1) AS uu, var_pop(e1) AS vv, covar_pop(d1, e1) AS uv,
+             covar_pop(d1, d) AS ud, covar_pop(e1, d) AS vd FROM e WHERE e1 IS NOT NULL),
+b AS (SELECT (ud * vv - vd * uv) / (uu * vv - uv * uv) AS p, (vd * uu - ud * uv) / (uu * vv - uv * uv) AS q, * FROM n),
+g AS (SELECT p, q, md - p * mu - q * mv AS k FROM b),
+t AS (SELECT stddev_samp(d - (k + p * d1 + q * coalesce(e1, 0))) AS sigma, arg_max(y, ds) AS yT, arg_max(d, ds) AS dT,
+             arg_max(e0, ds) AS eT, max(ds) AS last FROM e, g),
+r(h, dd, yy, w, s, v) AS (
+  SELECT 0, dT, yT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM t
+  UNION ALL
+  SELECT h + 1, nd, yy + nd, nw, s + nw, v + (s + nw) * (s + nw)
+  FROM (SELECT r.*, k + p * dd + CASE WHEN h = 0 THEN q * eT ELSE 0 END AS nd,
+               CASE h WHEN 0 THEN 1.0 WHEN 1 THEN p + q ELSE p * w END AS nw FROM r, g, t) WHERE h < 10)
+SELECT ds, y AS history, NULL::DOUBLE AS forecast, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM s
+UNION ALL
+SELECT CAST(last + INTERVAL (h) DAY AS DATE), NULL, yy, yy - 1.2816 * sigma * sqrt(v), yy + 1.2816 * sigma * sqrt(v)
+FROM r, t WHERE h >= 1"""
+
+
+@query("ts8_arma_forecast", views=["events_daily"], rounds={"history": 6, "forecast": "f", "lower": "f", "upper": "f"}, sql=ARMA_SQL)
+def ts8arma(spark, sf):
+    return ts.generate_forecast(spark.table("events_daily"), "ds", "y", 10, "D", "arima").select(
+        "ds", "history", "forecast", "lower", "upper")
