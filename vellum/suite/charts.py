@@ -180,13 +180,8 @@ SELECT c_custkey, (c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT
        (c_nationkey - (SELECT avg(c_nationkey) FROM customer)) / (SELECT stddev_pop(c_nationkey) FROM customer) AS z_nation
 FROM customer""")
 def sg2(spark, sf):
-    c = spark.table("customer")
-    out = c.select("c_custkey", "c_acctbal", "c_nationkey")
-    for src, name in (("c_acctbal", "z_acctbal"), ("c_nationkey", "z_nation")):
-        m = c.select(F.avg(src)).scalar()
-        s = c.select(F.stddev_pop(src)).scalar()
-        out = out.withColumn(name, (F.col(src) - m) / s)
-    return out.select("c_custkey", "z_acctbal", "z_nation")
+    out = segments.standardise(spark.table("customer"), ["c_acctbal", "c_nationkey"])
+    return out.select("c_custkey", F.col("z_c_acctbal").alias("z_acctbal"), F.col("z_c_nationkey").alias("z_nation"))
 
 
 @query("sg7_silhouette_by_k")
