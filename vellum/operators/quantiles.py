@@ -121,13 +121,15 @@ def _count(df: DataFrame, xs: list[Column], brackets: list[_Bracket]) -> None:
             x = xs[b.column]
             zero, all_ = F.lit(0).cast("long"), F.count(x)
             aggs += [(zero if b.lo is None else F.count_if(x < b.lo)).alias(f"a{k}"),
-                     (zero if b.lo is None else F.count_if(x <= b.lo)).alias(f"b{k}"),
-                     (all_ if b.hi is None else F.count_if(x < b.hi)).alias(f"c{k}"),
                      (all_ if b.hi is None else F.count_if(x <= b.hi)).alias(f"d{k}")]
-        row = df.agg(*aggs).first()
+            if b.lo is None or b.lo != b.hi:  # else the bracket is one value
+                aggs += [(zero if b.lo is None else F.count_if(x <= b.lo)).alias(f"b{k}"),
+                         (all_ if b.hi is None else F.count_if(x < b.hi)).alias(f"c{k}")]
+        row = df.agg(*aggs).first().asDict()
         missed = []
         for k, b in enumerate(brackets):
-            before, to_lo, to_hi, end = (row[f"{name}{k}"] for name in "abcd")
+            before, end = row[f"a{k}"], row[f"d{k}"]
+            to_lo, to_hi = row.get(f"b{k}", end), row.get(f"c{k}", before)
             b.below, b.inside = before, end - before
             if b.first < before or b.last >= end:
                 b.lo = b.hi = None
