@@ -84,9 +84,6 @@ class Recent(dict):
             self[key] = got
         return got
 
-    def get(self, key):
-        return self[key]
-
     def __setitem__(self, key, value):
         if len(self) >= self.size:
             self.older = dict(self)
@@ -127,7 +124,7 @@ class Lattice:
         key = (tail, begin < 3)
         if not tail:
             return text[:begin] + self._follow(text, begin)
-        got = self.tails.get(key)
+        got = self.tails[key]
         if got is None:
             got = self.tails[key] = self._follow(text, begin)
         return text[:begin] + got
@@ -182,7 +179,7 @@ class Lattice:
             at = begin + i
             # the context: three letters with one reading, or the beginning of the token
             key = (text[max(0, at - 3):at], text[at:begin + j], at > 0 and text[at - 1] == text[at], held < 3)
-            got = self.memo.get(key)
+            got = self.memo[key]
             if got is None:
                 got = self._decide(key[0], [s[1] for s in signs[i:j]], held < 3)
                 if j - i <= 4 * self.SHORT:

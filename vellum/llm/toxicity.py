@@ -185,8 +185,22 @@ class Restorer:
 
 
 def features(word: str) -> list[int]:
-    forms = ["=" + word] + [word[:n] for n in PREFIXES if len(word) >= n]
-    return [zlib.crc32(f.encode()) % FEATURES for f in forms]
+    """Numbers of the word and of its beginnings of ``PREFIXES`` letters."""
+    crc = zlib.crc32
+    whole = word.encode()
+    out = [crc(whole, _EQUALS) % FEATURES]
+    if len(whole) == len(word):  # a letter is a byte: a longer beginning goes on from the shorter one
+        at, done = 0, 0
+        for n in PREFIXES:
+            if n > len(whole):
+                break
+            done, at = crc(whole[at:n], done), n
+            out.append(done % FEATURES)
+        return out
+    return out + [crc(word[:n].encode()) % FEATURES for n in PREFIXES if len(word) >= n]
+
+
+_EQUALS = zlib.crc32(b"=")
 
 
 @dataclass
