@@ -204,3 +204,65 @@ def test_long_tokens_take_linear_time(english):
         took.append(time.process_time() - began)
     assert took[1] < 10 * max(took[0], 0.05)
     r.readings("*" * 3000 + "a")
+
+
+def test_signs_that_only_vanish_open_no_core(english):
+    from vellum.llm import lattice
+    lat = lattice.Lattice(english)
+    for token, want in (("winter###", "winter"), ("summer,&&&", "summer"), ("%%%carbon%%%", "carbon"), ("&&wi#nt#er", "winter")):
+        assert lat.restore(token) == want
+    assert not lat.memo
+    assert lat.restore("w1nter###") == "winter" and len(lat.memo) == 1
+
+
+def test_short_cores_agree_with_long_ones(english):
+    from vellum.llm import lattice
+    pick = random.Random(8)
+    for how in ((0.6, 1.5, False), (0.6, 1.5, True), (1.0, 0.0, False)):
+        short, long, whole = (lattice.Lattice(english, *how) for _ in range(3))
+        long.SHORT, long.COMMIT, whole.NUMBERS = 0, 5, 0  # back pointers; no sign has a character: undivided
+        for _ in range(1500):
+            token = "".join(pick.choice(["the", "winter", "ee", "tt", "0", "1", "!", "*", "$", " ", ".", "#", "é", "ß", "\U000f0000"])
+                            for _ in range(pick.randint(1, 8)))
+            assert short.restore(token) == long.restore(token) == whole.restore(token)
+        assert short.memo and not long.memo and not whole.memo
+
+
+def test_runs_are_found_at_either_end_and_behind_any_blank(english):
+    r = toxicity.Restorer(english)
+    for text in ("c o w a r d", "x\nc o w a r d", "the\u00a0c o w a r d\u00a0the", "c.o w\x1cc o w a r d"):
+        assert "coward" in r.spaced(text), text
+    assert r.spaced("winterc o") == [] and r.spaced("the winter") == []
+
+
+def test_tokens_without_weight_are_remembered_in_two_generations():
+    blank = toxicity.Blank(2)
+    assert blank.others({"a", "b"}) == {"a", "b"}
+    blank.add(["a", "b"])
+    blank.add(["c"])
+    assert blank.others({"a", "b", "c", "d"}) == {"d"}
+    blank.add(["d"])
+    assert blank.others({"a", "b", "c", "d"}) == set() and len(blank.recent) + len(blank.older) <= 8
+    blank.add(["e"])
+    blank.add(["f", "g"])
+    blank.add(["h"])
+    assert blank.others({"a", "e", "h"}) == {"a"}
+
+
+def test_readings_do_not_depend_on_the_words_before(english):
+    from vellum.llm import lattice
+    pick = random.Random(9)
+    words = ["".join(pick.choice(["ee", "tt", "nn", "mm", "rr", "s"]) for _ in range(pick.randint(2, 4))) for _ in range(300)]
+    words = [w for w in words if not any(c * 3 in w for c in "etnmrs")]
+    used = lattice.Lattice(english, doubles=True)
+    for w in words:
+        used.keeps(w)
+    assert [used.restore(w) for w in words] == [_fresh(used).restore(w) for w in words]
+
+
+def _fresh(lat):
+    """The same costs, nothing remembered."""
+    from vellum.llm import lattice
+    new = lattice.Lattice(np.zeros(1, np.float32), *lat.how)
+    new.cost = lat.cost
+    return new

@@ -6,13 +6,14 @@ finds its cheapest reading over all paths. A state is the last three letters
 written, so behind three letters in a row that have one reading all paths
 are in the same state: the token falls apart into cores, stretches from a
 sign with several readings to the third such letter, and each core is decided
-alone, given the three letters before it. Cores are short and recur (the end
-of a word and its punctuation, a doubled letter and its neighbours), so their
-readings are remembered.
+alone, given the three letters before it. Signs that can but vanish are in no
+core. Cores are short and recur (the end of a word and its punctuation, a
+doubled letter and its neighbours), so their readings are remembered.
 
-A core keeps one cost per state and back pointers. Where all live paths share
-their beginning it is written out and its pointers go, so time and memory are
-linear in the length of a token.
+A short core keeps its paths, the cheapest one per state once there are
+several. A long core keeps one cost per state and back pointers; where all live
+paths share their beginning it is written out and its pointers go, so time and
+memory are linear in the length of a token.
 """
 
 from __future__ import annotations
@@ -33,21 +34,48 @@ BLANKS = set(" \t\n\r\v\f")
 COST_LEET, COST_DROP, COST_REPEAT, COST_KEEP_SIGN, COST_SPACE, COST_THIRD, COST_ANY = 0.7, 0.6, 0.3, 6.0, 1.5, 3.0, 2.5
 COST_DOUBLE = 3.0  # one of two equal letters
 
-_START = re.compile(r"(.)\1|[^a-z]", re.DOTALL)
-_DOUBLE = re.compile(r"([a-z])\1")
+_RUN = re.compile(r"(.)\1+|[^a-z]", re.DOTALL)
+# A sign with several readings is a character of a private plane; the others are the letter they write.
+_OPEN = 0xF0000
+_P = f"{chr(_OPEN)}-{chr(0x10FFFF)}"
+_CORE = re.compile(f"[{_P}](?:[^{_P}]{{0,2}}+[{_P}])*+[^{_P}]{{0,3}}")
+_PART = re.compile(f"([{_P}])([^{_P}]*)")
+
+
+class _Folded(dict):
+    """Character number -> its letter without accents, for ``str.translate``."""
+
+    def __missing__(self, number: int) -> str:
+        c = chr(number)
+        if number >= _OPEN:  # a private character is a sign, whichever it is
+            c = "\ue000"
+        got = self[number] = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        return got
+
+
+_FOLDED = _Folded()
 
 
 def fold(text: str) -> str:
     """Letters without accents."""
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(_FOLDED)
 
 
 def letter_class(c: str) -> int:
     return 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
 
 
+class _Classes(dict):
+    """Character -> ``letter_class``."""
+
+    def __missing__(self, c: str) -> int:
+        got = self[c] = letter_class(c)
+        return got
+
+
+_CLASSES = _Classes()
+
+
 def readings(c: str, run: int, length: int, drop: float, space: float, doubles: bool) -> list[tuple[str, float]]:
     """What the sign ``c``, number ``run`` of ``length`` equal ones, may
     stand for, with costs."""
@@ -94,99 +122,113 @@ class Recent(dict):
 class Lattice:
     """Decoder for one way to price blanks and doubled letters."""
 
-    SHORT = 16  # signs of a remembered end of a token
+    SHORT = 64  # signs of a core that is remembered
     COMMIT = 512  # signs between two tries to write out what is settled
+    NUMBERS = 0x110000 - _OPEN  # kinds of open signs that have a character
+    MERGED = 4  # paths from which those in the same state are compared
 
     def __init__(self, model: np.ndarray, drop: float = COST_DROP, space: float = COST_SPACE, doubles: bool = False):
         """``model``: log P(next | three before), flat."""
         self.cost: list[float] = (-model.astype(np.float64)).tolist()
         self.how = (drop, space, doubles)
-        self.signs: dict[tuple[str, int, int], tuple] = {}
+        self.numbers: dict[tuple, str] = {}  # readings of a sign -> its character
+        self.options: dict[str, tuple] = {}  # and back
+        self.runs: Recent = Recent(10_000)
         self.memo: Recent = Recent()  # cores
-        self.tails: Recent = Recent()
 
-    def _sign(self, c: str, run: int, length: int) -> tuple:
-        """``(the letter if there is no other reading, readings)``."""
-        options = readings(c, run, length, *self.how)
-        sure = options[0][0] if len(options) == 1 and options[0][0] else ""
-        got = self.signs[c, run, length] = (sure, tuple((x, letter_class(x) if x else -1, p) for x, p in options))
+    def _sign(self, c: str, run: int, length: int) -> str:
+        """Empty for a sign that can but vanish, the letter of one with one
+        reading, a private character for the others."""
+        options = tuple((x, letter_class(x) if x else -1, p) for x, p in readings(c, run, length, *self.how))
+        written = {x for x, _, _ in options}
+        if len(written) < 2:  # what all paths pay alike decides nothing
+            return "".join(written)
+        got = self.numbers.get(options)
+        if got is None:
+            if len(self.numbers) == self.NUMBERS:
+                raise OverflowError
+            got = self.numbers[options] = chr(_OPEN + len(self.numbers))
+            self.options[got] = options
+        return got
+
+    def _run(self, m: re.Match) -> str:
+        """Signs of a run of equal characters."""
+        run = m.group(0)
+        got = self.runs[run]
+        if got is None:
+            c, n = run[0], len(run)
+            length = min(n, 3)
+            got = "".join([self._sign(c, i, length) for i in range(min(n, 2))])
+            if n > 2:
+                got += self._sign(c, 2, length) * (n - 2)
+            if n <= self.SHORT:
+                self.runs[run] = got
         return got
 
     def restore(self, token: str) -> str:
         """Cheapest reading of a token over all paths of its lattice."""
         text = fold(token)
-        first = _START.search(text)
-        if not first:
-            return text
-        begin = first.start()
-        # what comes before is written as it is, what follows is known by itself and three letters before it
-        tail = text[max(0, begin - 3):] if len(text) - begin <= self.SHORT else ""
-        key = (tail, begin < 3)
-        if not tail:
-            return text[:begin] + self._follow(text, begin)
-        got = self.tails[key]
+        try:
+            return _CORE.sub(self._core, _RUN.sub(self._run, text))
+        except OverflowError:  # undivided
+            lattice = [tuple((x, letter_class(x) if x else -1, p) for x, p in
+                             readings(m.group(0)[0], i, m.end() - m.start(), *self.how) or [("", 0.0)])
+                       for m in re.finditer(r"(.)\1*", text, re.DOTALL) for i in range(m.end() - m.start())]
+            return self._decide("", lattice, True)
+
+    def _core(self, m: re.Match) -> str:
+        """Reading of a core. The key holds the context: three letters with
+        one reading, fewer at the beginning of the token."""
+        begin, end = m.span()
+        key = m.string[max(0, begin - 3):end]
+        got = self.memo[key]
         if got is None:
-            got = self.tails[key] = self._follow(text, begin)
-        return text[:begin] + got
+            if end - begin <= self.SHORT:
+                got = self.memo[key] = self._choose(m.string[max(0, begin - 3):begin], m.group(0))
+            else:
+                lattice = [self.options.get(c) or ((c, letter_class(c), 0.0),) for c in m.group(0)]
+                got = self._decide(m.string[max(0, begin - 3):begin], lattice, key[-3:-2] in self.options
+                                   or key[-2:-1] in self.options or key[-1:] in self.options)
+        return got
 
     def keeps(self, word: str) -> bool:
-        """Whether the cheapest reading of a word of the letters a-z without
-        three equal ones in a row is the word itself. False may also mean
-        that its doubled letters stand too near to each other to tell."""
-        last = -4
-        for m in _DOUBLE.finditer(word):
-            at = m.end() - 1
-            if at - last < 4:
-                return False
-            last = at
-            core, ends = word[at:at + 4], at + 4 > len(word)
-            key = (word[max(0, at - 3):at], core, True, ends)
-            got = self.memo[key]
-            if got is None:
-                signs = [self._sign(core[0], 1, 2), *[self._sign(c, 0, 1) for c in core[1:]]]
-                got = self.memo[key] = self._decide(key[0], [x[1] for x in signs], ends)
-            if got != core:
-                return False
-        return True
-
-    def _follow(self, text: str, begin: int) -> str:
-        """Reading of ``text`` from ``begin`` on, its first sign with several
-        readings or a sign equal to the next."""
-        n = len(text)
-        signs, known = [], self.signs
-        i = begin
-        while i < n:
-            c, j = text[i], i + 1
-            while j < n and text[j] == c:
-                j += 1
-            length = min(j - i, 3)
-            for run in range(j - i):
-                key = (c, min(run, 2), length)
-                signs.append(known.get(key) or self._sign(*key))
-            i = j
-        out, i, total = [], 0, n - begin
-        while i < total:
-            sure = signs[i][0]
-            if sure:
-                out.append(sure)
-                i += 1
-                continue
-            j = i
-            held = 0
-            while j < total and held < 3:
-                held = held + 1 if signs[j][0] else 0
-                j += 1
-            at = begin + i
-            # the context: three letters with one reading, or the beginning of the token
-            key = (text[max(0, at - 3):at], text[at:begin + j], at > 0 and text[at - 1] == text[at], held < 3)
-            got = self.memo[key]
-            if got is None:
-                got = self._decide(key[0], [s[1] for s in signs[i:j]], held < 3)
-                if j - i <= 4 * self.SHORT:
-                    self.memo[key] = got
-            out.append(got)
-            i = j
-        return "".join(out)
+        """Whether the cheapest reading of a word is the word itself."""
+        return self.restore(word) == word
+
+    def _choose(self, context: str, core: str) -> str:
+        """Cheapest output of a short core; one with fewer than three letters
+        behind its last open sign ends the token."""
+        cost, number, state = self.cost, _CLASSES, 0
+        for c in context:
+            state = state * SYMBOLS + number[c]
+        paths = [(0.0, state, "")]
+        for sign, letters in _PART.findall(core):
+            options, classes = self.options[sign], [number[c] for c in letters]
+            if len(paths) > self.MERGED:
+                least: dict[int, tuple] = {}
+                for path in paths:
+                    other = least.get(path[1])
+                    if other is None or path < other:
+                        least[path[1]] = path
+                paths = least.values()
+            step = []
+            for spent, state, out in paths:
+                for x, c, price in options:
+                    t, total = state, spent + price
+                    if c >= 0:
+                        t = t * SYMBOLS + c
+                        total += cost[t]
+                        t %= STATES
+                    for c in classes:
+                        t = t * SYMBOLS + c
+                        total += cost[t]
+                        t %= STATES
+                    step.append((total, t, out + x + letters))
+            paths = step
+        if len(letters) < 3:
+            paths = [(spent + cost[state * SYMBOLS], out) for spent, state, out in paths]
+            return min(paths)[1]
+        return min(paths)[2]
 
     def _decide(self, context: str, lattice: list[tuple], ends: bool) -> str:
         """Cheapest output of a core; ``ends``: the token ends with it."""
@@ -195,8 +237,6 @@ class Lattice:
             state = (state * SYMBOLS + letter_class(c)) % STATES
         cost, live, links, written = self.cost, {state: 0.0}, [], []
         for options in lattice:
-            if not options:
-                continue
             step: dict[int, float] = {}
             link: dict[int, tuple[int, str]] = {}
             for s, spent in live.items():

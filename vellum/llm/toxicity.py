@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .common import staged, temporary
-from .lattice import SYMBOLS, Lattice, Recent, fold as unaccented, letter_class
+from .lattice import STATES, SYMBOLS, Lattice, Recent, fold as unaccented, letter_class
 
 SAMPLE = 20_000
 FEATURES = 1 << 20
@@ -104,12 +104,15 @@ def interpolated(n: np.ndarray) -> np.ndarray:
 
 _GAP = r"[ \t\n\r\v\f]+(?:[.\-_*~'`^,:;/\\=#|]+[ \t\n\r\v\f]+)*"
 _SIGN = r"[\w@$!|+*]"
-_SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[@$!|+*])(?:{_GAP}{_SIGN}(?!\S)){{2,}}")
+# Both begin with the blank in front, so that a search skips to the next blank.
+_SPACED = re.compile(rf"\s((?!_){_SIGN}(?:{_GAP}{_SIGN}(?!\S)){{2,}})")
 _END = r"(?=[.,;:?\"')]*(?!\S))"
-_SPLIT = re.compile(rf"(?<!\S){_SIGN}{{1,{FRAGMENT}}}(?:{_GAP}{_SIGN}{{1,{FRAGMENT}}}{_END})+")
+_SPLIT = re.compile(rf"\s({_SIGN}{{1,{FRAGMENT}}}+(?:{_GAP}{_SIGN}{{1,{FRAGMENT}}}+{_END})+)")
 _EDGE = ".,;:!?\"'()[]{}<>%&#*|~`^_-/\\=…»«„“”’‘"
 _MARKS = ".,;:?\"'"
 _WORD = re.compile("[a-z]+")
+_LETTER = bytes(letter_class(chr(i)) for i in range(256))
+_TWICE = re.compile(r"([^\W\d_])\1")
 _REPEAT, _TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 
 
@@ -144,10 +147,13 @@ class Restorer:
         for form in (token,) if other == token else (token, other):
             if not form or not suspicious(form):
                 continue
+            word = None
             if not form.isalpha() or _TRIPLE.search(form):
-                got += tuple(self.plain.restore(form).split())
+                word = self.plain.restore(form)
+                got += tuple(word.split())
             if _REPEAT.search(form):  # 'iddiott', but also 'better': beside the reading that keeps doubled letters
-                word = self.doubled.restore(form)
+                if word is None or _TWICE.search(unaccented(form)):  # else both lattices are the same
+                    word = self.doubled.restore(form)
                 if len(word) > 2 and word != unaccented(form) and self.known(word):
                     got += tuple(word.split())
         return got
@@ -155,18 +161,19 @@ class Restorer:
     def known(self, word: str) -> bool:
         """Whether the character model explains the word."""
         state, spent, cost = 0, 0.0, self.plain.cost
-        for c in word + " ":
-            state = state % SYMBOLS ** 3 * SYMBOLS + letter_class(c)
+        for c in word.encode().translate(_LETTER) if word.isascii() else map(letter_class, word):
+            state = state % STATES * SYMBOLS + c
             spent += cost[state]
-        return spent <= KNOWN_WORD * (len(word) + 1)
+        return spent + cost[state % STATES * SYMBOLS] <= KNOWN_WORD * (len(word) + 1)
 
     def spaced(self, text: str) -> list[str]:
         """Words restored from runs of single characters and of fragments."""
         out = []
-        for m in _SPACED.finditer(text):
-            out += self.plain.restore(m.group(0)).split()
-        for m in _SPLIT.finditer(text):
-            out += self.joined(m.group(0))
+        text = " " + text
+        for run in _SPACED.findall(text):
+            out += self.plain.restore(run).split()
+        for run in _SPLIT.findall(text):
+            out += self.joined(run)
         return out
 
     def joined(self, run: str) -> tuple[str, ...]:
@@ -188,21 +195,35 @@ def features(word: str) -> list[int]:
     """Numbers of the word and of its beginnings of ``PREFIXES`` letters."""
     crc = zlib.crc32
     whole = word.encode()
-    out = [crc(whole, _EQUALS) % FEATURES]
-    if len(whole) == len(word):  # a letter is a byte: a longer beginning goes on from the shorter one
-        at, done = 0, 0
-        for n in PREFIXES:
-            if n > len(whole):
-                break
-            done, at = crc(whole[at:n], done), n
-            out.append(done % FEATURES)
-        return out
-    return out + [crc(word[:n].encode()) % FEATURES for n in PREFIXES if len(word) >= n]
+    if len(whole) == len(word):  # a letter is a byte
+        return [crc(whole, _EQUALS) % FEATURES, *[crc(whole[:n]) % FEATURES for n in PREFIXES if n <= len(whole)]]
+    return [crc(whole, _EQUALS) % FEATURES, *[crc(word[:n].encode()) % FEATURES for n in PREFIXES if n <= len(word)]]
 
 
 _EQUALS = zlib.crc32(b"=")
 
 
+class Blank:
+    """Tokens without a weight: the last ``size`` to 2 * ``size`` ones."""
+
+    def __init__(self, size: int = 400_000):
+        self.size, self.recent, self.older = size, set(), set()
+
+    def others(self, tokens: set[str]) -> set[str]:
+        """Those of the tokens that are not remembered."""
+        rest = tokens - self.recent
+        again = rest & self.older
+        if again:
+            self.recent |= again
+            rest -= again
+        return rest
+
+    def add(self, tokens: list[str]) -> None:
+        if len(self.recent) >= self.size:
+            self.recent, self.older = set(), self.recent
+        self.recent.update(tokens)
+
+
 @dataclass
 class Scorer:
     """Everything a task needs: bounded by ``SYMBOLS ** 4`` and ``SELECTED``.
@@ -215,7 +236,8 @@ class Scorer:
     def start(self) -> None:
         if not hasattr(self, "hits"):
             self.restorer = Restorer(self.model)
-            self.hits: Recent = Recent(400_000)
+            self.hits: Recent = Recent()
+            self.blank = Blank()
             self.found: Recent = Recent()
 
     def score(self, text: str | None) -> float:
@@ -223,20 +245,29 @@ class Scorer:
             return self._squash(self.intercept)
         text = text.lower()
         found: set[int] = set()
-        hits, words, weights = self.hits, self.found, self.weights
-        for raw in set(text.split()):
+        hits, words, readings, blank = self.hits, self.found, self.restorer.readings, []
+        for raw in self.blank.others(set(text.split())):
             got = hits[raw]
             if got is None:
-                got = hits[raw] = tuple([f for w in self.restorer.readings(raw) for f in features(w) if f in weights])
-            if got:
-                found.update(got)
+                got = [f for w in set(readings(raw)) for f in self.weighty(w)]
+                if not got:
+                    blank.append(raw)
+                    continue
+                hits[raw] = got
+            found.update(got)
+        self.blank.add(blank)
         for w in self.restorer.spaced(text):
             got = words[w]
             if got is None:
-                got = words[w] = tuple([f for f in features(w) if f in weights])
+                got = words[w] = self.weighty(w)
             found.update(got)
         return self._squash(self.intercept + sum(self.weights[f] for f in sorted(found)))
 
+    def weighty(self, word: str) -> list[int]:
+        """Features of a word that have a weight."""
+        weights = self.weights
+        return [f for f in features(word) if f in weights]
+
     @staticmethod
     def _squash(z: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
